@@ -24,7 +24,7 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     for name, dtype in df.dtypes:
         c = F.col(f"`{name}`")
         if dtype in ("double", "float"):
-            sel.append(F.round(c.cast("double"), places).alias(name))
+            sel.append((F.round(c.cast("double"), places) + F.lit(0.0)).alias(name))
         else:
             sel.append(c.alias(name))
     return df.select(*sel)

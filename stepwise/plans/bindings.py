@@ -8,7 +8,7 @@ per-run window, so it scales with the input and keeps parquet pushdown.
 Fixed mapping choices (the SQL oracles in ``plans/oracle.py`` restate them):
 
 * step log    <- events:   run_id = user_id (string), step = 1-based order of
-  (ts, event_id) inside the run, loss = value, split = 'val' for event types
+  (ts, event_id) inside the run, loss = ln(1 + value), split = 'val' for event types
   error and signup else 'train', time = ts, epoch = 1 + (day of month - 1) div 7
 * run configs <- customer: id = c_custkey (string); optimizer = lower(segment)
   except NULL when c_nationkey % 7 = 0; learning_rate = c_acctbal / 10000,
@@ -45,7 +45,7 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("int").alias("epoch"),
         F.row_number().over(run).cast("bigint").alias("step"),
         F.col("ts").cast("timestamp").alias("time"),
-        F.col("value").alias("loss"),
+        F.log(F.lit(1.0) + F.col("value")).alias("loss"),
     )
 
 
@@ -91,3 +91,34 @@ def logits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("int").alias("label"),
         F.col("embedding").alias("features"),
     )
+
+
+
+def batch_step_log(spark: SparkSession, sf_dir: str, batch: int = 10,
+                   steps_per_run: int = 10) -> DataFrame:
+    """embeddings -> step records carrying a logits matrix and labels.
+
+    Samples are dealt to batches of ``batch`` consecutive vec_ids; a batch is
+    one step; ``steps_per_run`` consecutive batches form a run; every fourth
+    batch is a validation step.  loss = mean cross-entropy of the batch.
+    Grouping is per batch, so no group exceeds ``batch`` rows.
+    """
+    from stepwise.functions.arrays import cross_entropy
+
+    lt = logits_table(spark, sf_dir)
+    b = F.floor(F.col("vec_id") / batch).cast("bigint")
+    items = F.array_sort(F.collect_list(F.struct(
+        F.col("vec_id"), F.col("logits"), F.col("label"),
+        cross_entropy("logits", "label").alias("ce"))))
+    g = lt.groupBy(b.alias("batch")).agg(items.alias("items"))
+    return g.select(
+        F.floor(F.col("batch") / steps_per_run).cast("bigint").cast("string").alias("run_id"),
+        F.when(F.col("batch") % 4 == 3, F.lit("val")).otherwise(F.lit("train")).alias("split"),
+        F.lit(1).alias("epoch"),
+        (F.col("batch") + 1).alias("step"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("batch")).alias("time"),
+        (F.aggregate(F.col("items"), F.lit(0.0).cast("double"), lambda a, x: a + x["ce"])
+         / F.size("items")).alias("loss"),
+        F.transform("items", lambda x: x["logits"]).alias("logits"),
+        F.transform("items", lambda x: x["label"]).alias("labels"),
+    )

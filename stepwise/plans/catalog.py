@@ -10,8 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stepwise.functions import arrays as ar
+from stepwise.functions import scalars as sc
 from stepwise.operators import analysis as an
+from stepwise.operators import logs, nested
 from stepwise.operators.common import round_doubles
 from stepwise.operators.smooth import smooth_and_mask
 from stepwise.plans import bindings as bd
@@ -39,3 +43,185 @@ def best_steps(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(out.select(
         "run_id", "optimizer", "learning_rate", "depth", "width",
         "best_loss_step", "best_loss", "best_smoothed_loss_step", "best_smoothed_loss"))
+
+
+# ---------------------------------------------------------------- shared inputs
+
+def _joined(spark, sf):
+    """J1 of the events step log with the customer run configs."""
+    return an.join_logs_configs(bd.step_log(spark, sf), bd.run_configs(spark, sf))
+
+
+def _smoothed(spark, sf):
+    return smooth_and_mask(bd.step_log(spark, sf), ["run_id"], ["loss"])
+
+
+# ---------------------------------------------------------------- N1, N2
+
+@register("flatten_configs")
+def flatten_configs(spark, sf):
+    """Nested run configs -> dotted columns."""
+    return round_doubles(nested.flatten(bd.nested_configs(spark, sf)))
+
+
+@register("unflatten_configs")
+def unflatten_configs(spark, sf):
+    """N2 o N1: flatten, rebuild the nesting, flatten again with '/' to show the structure."""
+    flat = nested.flatten(bd.nested_configs(spark, sf))
+    return round_doubles(nested.flatten(nested.unflatten(flat), sep="/"))
+
+
+# ---------------------------------------------------------------- P*
+
+@register("name_suffix")
+def name_suffix(spark, sf):
+    """Last four characters of the customer name as a key."""
+    c = bd.table(spark, sf, "customer")
+    return c.select("c_custkey", sc.string_suffix("c_name", 4).alias("name_suffix"))
+
+
+@register("lr_filter")
+def lr_filter(spark, sf):
+    """Drop high learning rates outside sweep_b, keeping NULL learning rates."""
+    j = _joined(spark, sf)
+    cond = an.pd_cmp("learning_rate", ">=", 0.5) & an.pd_cmp("exp_name", "!=", "sweep_b")
+    return round_doubles(an.filter_not(j, cond).select(
+        "run_id", "step", "learning_rate", "exp_name", "loss"))
+
+
+@register("fill_optimizer")
+def fill_optimizer(spark, sf):
+    """P5: missing optimizer -> 'sgd'."""
+    return an.fill_null(bd.run_configs(spark, sf), {"optimizer": "sgd"}).select("id", "optimizer")
+
+
+@register("present_smoothed")
+def present_smoothed(spark, sf):
+    """Rows whose smoothed loss is present."""
+    return round_doubles(an.not_null_mask(_smoothed(spark, sf), "smoothed_loss")
+                         .select("run_id", "step", "smoothed_loss"))
+
+
+@register("param_counts")
+def param_counts(spark, sf):
+    """MLP parameter count per config."""
+    c = bd.run_configs(spark, sf)
+    return c.select("id", "depth", "width",
+                    sc.param_count("width", "depth", bd.INPUT_DIM, bd.OUTPUT_DIM).alias("total_params"))
+
+
+@register("rescaled_features")
+def rescaled_features(spark, sf):
+    """P10: scale features by 1/255 and move a (4, 4, 4) layout to channels-first."""
+    e = bd.table(spark, sf, "embeddings")
+    moved = ar.channels_first(ar.rescale("embedding", 255.0), 4, 4, 4)
+    return e.select("vec_id", ar.round_array(moved, 6).alias("features"))
+
+
+# ---------------------------------------------------------------- J1
+
+@register("join_logs_configs")
+def join_logs_configs(spark, sf):
+    """Step log joined to run configs on run_id = id (null-safe)."""
+    return round_doubles(_joined(spark, sf).select(
+        "run_id", "step", "split", "loss", "optimizer", "learning_rate", "depth", "width"))
+
+
+# ---------------------------------------------------------------- A*
+
+@register("facet_train_frac")
+def facet_train_frac(spark, sf):
+    """A1: facets (train_frac; width, depth), null keys dropped."""
+    return round_doubles(an.facet_summary(_joined(spark, sf), ["train_frac", "width", "depth"],
+                                          "run_id", "step", "loss"))
+
+
+@register("facet_optimizer_lr")
+def facet_optimizer_lr(spark, sf):
+    """A2: facets (optimizer, learning_rate), null keys kept as a group."""
+    return round_doubles(an.facet_summary(_joined(spark, sf), ["optimizer", "learning_rate"],
+                                          "run_id", "step", "loss", keep_null=True))
+
+
+@register("distinct_counts")
+def distinct_counts(spark, sf):
+    """A3: number of distinct widths, depths and optimizers (NULL counted once)."""
+    return an.distinct_count(_joined(spark, sf), ["width", "depth", "optimizer"], count_null=True)
+
+
+@register("single_width_check")
+def single_width_check(spark, sf):
+    """A4: (train_frac, depth) groups that hold more than one width."""
+    return an.check_single_value(bd.run_configs(spark, sf), ["train_frac", "depth"], "width")
+
+
+@register("best_per_run_split")
+def best_per_run_split(spark, sf):
+    """A5 keyed by (run_id, split) on the raw loss."""
+    return round_doubles(an.best_per_run(bd.step_log(spark, sf), ["run_id", "split"], "step",
+                                         {"loss": "lower"}))
+
+
+@register("run_elapsed")
+def run_elapsed(spark, sf):
+    """Seconds from the first to the last step of each run."""
+    return round_doubles(an.elapsed(bd.step_log(spark, sf), "run_id", "step", "time"))
+
+
+@register("log_summary")
+def log_summary(spark, sf):
+    """W1 + A7-A10: count-window summary, flush 20, chunks of 7, loss and perplexity."""
+    return round_doubles(logs.count_window_summary(
+        bd.step_log(spark, sf), flush_interval=20, aggregation_interval=7,
+        metrics=("loss", "perplexity")))
+
+
+@register("log_summary_accuracy")
+def log_summary_accuracy(spark, sf):
+    """W1 + A6: summary of batch records with logits, flush 4, chunks of 3, accuracy and loss."""
+    return round_doubles(logs.count_window_summary(
+        bd.batch_step_log(spark, sf), flush_interval=4, aggregation_interval=3,
+        metrics=("loss", "accuracy")))
+
+
+# ---------------------------------------------------------------- U*
+
+@register("union_sweeps")
+def union_sweeps(spark, sf):
+    """The step log cut by month half into two sweeps, one lacking epoch, unioned by name."""
+    log = bd.step_log(spark, sf)
+    a = an.tag_constant(log.filter(F.dayofmonth("time") <= 15), "sweep_name", "first_half")
+    b = an.tag_constant(log.filter(F.dayofmonth("time") > 15).drop("epoch"), "sweep_name", "second_half")
+    return round_doubles(an.union_runs(a, b).select("run_id", "step", "epoch", "loss", "sweep_name"))
+
+
+@register("distinct_lrs")
+def distinct_lrs(spark, sf):
+    """Distinct learning rates of sweep_b below 0.5."""
+    cond = (F.col("exp_name") == "sweep_b") & (F.col("learning_rate") < 0.5)
+    return round_doubles(an.distinct_values(bd.run_configs(spark, sf), "learning_rate", cond))
+
+
+# ---------------------------------------------------------------- W3, W4, L3
+
+@register("nth_from_end")
+def nth_from_end(spark, sf):
+    """Smoothed loss 31 rows from the end of each run."""
+    return round_doubles(an.nth_from_end(_smoothed(spark, sf), "run_id", "step", "smoothed_loss", 31))
+
+
+@register("first_in_group")
+def first_in_group(spark, sf):
+    """First run_id and width (by step) of each depth group."""
+    return an.first_in_group(_joined(spark, sf), "depth", "step", ["run_id", "width"])
+
+
+@register("report_head")
+def report_head(spark, sf):
+    """L3: the 30 deep runs with the lowest best loss."""
+    summary = an.best_per_run(bd.step_log(spark, sf), "run_id", "step", {"loss": "lower"})
+    cfg = bd.run_configs(spark, sf)
+    j = an.join_logs_configs(summary, cfg)
+    return round_doubles(an.report_head(j, F.col("depth") >= 3,
+                                        ["run_id", "depth", "width", "best_loss", "best_loss_step"],
+                                        [F.col("best_loss").asc(), F.col("run_id").asc()], 30))

@@ -12,7 +12,7 @@ LOG = """log AS (
          CASE WHEN event_type IN ('error', 'signup') THEN 'val' ELSE 'train' END AS split,
          CAST(floor((day(ts) - 1) / 7) + 1 AS INTEGER) AS epoch,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step,
-         ts AS time, value AS loss
+         ts AS time, ln(1 + value) AS loss
   FROM events)"""
 
 CFG = """cfg AS (
@@ -73,3 +73,144 @@ FROM runs JOIN cfg ON cfg.id IS NOT DISTINCT FROM runs.run_id
 LEFT JOIN b1 ON b1.run_id = runs.run_id
 LEFT JOIN b2 ON b2.run_id = runs.run_id
 """
+
+J = """j AS (SELECT * FROM log JOIN cfg ON log.run_id IS NOT DISTINCT FROM cfg.id)"""
+
+
+def _flat(sep: str) -> str:
+    s = sep
+    return f"""WITH {CFG}
+SELECT id, depth AS "trainer{s}epochs", 'mlp' AS "model{s}architecture", 64 AS "model{s}input_dim",
+       10 AS "model{s}output_dim", depth AS "model{s}depth", width AS "model{s}width",
+       optimizer AS "optimizer{s}name", round(learning_rate, 6) AS "optimizer{s}learning_rate",
+       'embeddings' AS "loader{s}dataset", round(train_frac, 6) AS "loader{s}train_frac",
+       exp_name AS "loader{s}sweep{s}name"
+FROM cfg"""
+
+
+ORACLE["flatten_configs"] = _flat(".")
+ORACLE["unflatten_configs"] = _flat("/")
+
+ORACLE["name_suffix"] = "SELECT c_custkey, right(c_name, 4) AS name_suffix FROM customer"
+
+ORACLE["lr_filter"] = f"""WITH {LOG}, {CFG}, {J}
+SELECT run_id, step, round(learning_rate, 6) AS learning_rate, exp_name, round(loss, 6) AS loss
+FROM j WHERE NOT (coalesce(learning_rate >= 0.5, false) AND coalesce(exp_name <> 'sweep_b', true))"""
+
+ORACLE["fill_optimizer"] = f"WITH {CFG} SELECT id, coalesce(optimizer, 'sgd') AS optimizer FROM cfg"
+
+ORACLE["present_smoothed"] = f"""WITH {LOG}, {HAT}, {smoothed('log', 'run_id', 'loss', 'smo')}
+SELECT run_id, step, round(smoothed_loss, 6) AS smoothed_loss FROM smo
+WHERE smoothed_loss IS NOT NULL AND NOT isnan(smoothed_loss)"""
+
+ORACLE["param_counts"] = f"""WITH {CFG}
+SELECT id, depth, width,
+       CAST(64 * width + width + depth * (width * width + width) + width * 10 + 10 AS BIGINT) AS total_params
+FROM cfg"""
+
+ORACLE["rescaled_features"] = """SELECT vec_id,
+  list_transform(range(64), lambda j: round(CAST(embedding[(j % 16) * 4 + j // 16 + 1] AS DOUBLE) / 255, 6) + 0.0) AS features
+FROM embeddings"""
+
+ORACLE["join_logs_configs"] = f"""WITH {LOG}, {CFG}, {J}
+SELECT run_id, step, split, round(loss, 6) AS loss, optimizer, round(learning_rate, 6) AS learning_rate,
+       depth, width FROM j"""
+
+
+def _facet(keys: list[str], drop_null: bool) -> str:
+    where = ("WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in keys)) if drop_null else ""
+    sel = ", ".join(f"round({k}, 6) AS {k}" if k in ("train_frac", "learning_rate") else k for k in keys)
+    return f"""WITH {LOG}, {CFG}, {J}
+SELECT {sel}, count(*) AS n_rows, count(DISTINCT run_id) AS n_series, min(step) AS first_step,
+       max(step) AS last_step, round(avg(loss), 6) AS mean_value
+FROM j {where} GROUP BY {', '.join(keys)}"""
+
+
+ORACLE["facet_train_frac"] = _facet(["train_frac", "width", "depth"], True)
+ORACLE["facet_optimizer_lr"] = _facet(["optimizer", "learning_rate"], False)
+
+ORACLE["distinct_counts"] = f"""WITH {LOG}, {CFG}, {J}
+SELECT CAST(count(DISTINCT width) + max(CASE WHEN width IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_width,
+       CAST(count(DISTINCT depth) + max(CASE WHEN depth IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_depth,
+       CAST(count(DISTINCT optimizer) + max(CASE WHEN optimizer IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_optimizer
+FROM j"""
+
+ORACLE["single_width_check"] = f"""WITH {CFG}
+SELECT round(train_frac, 6) AS train_frac, depth, count(DISTINCT width) AS n_values
+FROM cfg GROUP BY train_frac, depth HAVING count(DISTINCT width) > 1"""
+
+ORACLE["best_per_run_split"] = f"""WITH {LOG}
+SELECT run_id, split, step AS best_loss_step, round(loss, 6) AS best_loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, split ORDER BY loss, step) AS r
+  FROM log WHERE loss IS NOT NULL AND NOT isnan(loss)) WHERE r = 1"""
+
+ORACLE["run_elapsed"] = f"""WITH {LOG}
+SELECT run_id, round((epoch_us(arg_max(time, step)) - epoch_us(arg_min(time, step))) / 1e6, 6) AS elapsed_sec
+FROM log GROUP BY run_id"""
+
+
+def chunk_ctes(src: str, flush: int, agg: int) -> str:
+    """CTEs k1..k3 assigning (island, fg, chunk) to each record of ``src``."""
+    fg = f"(rn - st) // {flush}" if flush else "0"
+    return f"""k1 AS (SELECT *, row_number() OVER w - 1 AS rn,
+       CASE WHEN row_number() OVER w > 1 AND split IS DISTINCT FROM lag(split) OVER w THEN 1 ELSE 0 END AS chg
+     FROM {src} WINDOW w AS (PARTITION BY run_id ORDER BY step)),
+k2 AS (SELECT *, sum(chg) OVER w2 AS island, max(CASE WHEN chg = 1 OR rn = 0 THEN rn END) OVER w2 AS st
+     FROM k1 WINDOW w2 AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k3 AS (SELECT *, {fg} AS fg, ((rn - st) - ({fg}) * {flush}) // {agg} AS chunk FROM k2)"""
+
+
+ORACLE["log_summary"] = f"""WITH {LOG}, {chunk_ctes('log', 20, 7)}
+SELECT run_id AS logger_id, count(*) AS n_steps, arg_max(step, step) AS step,
+       strftime(arg_max(time, step), '%Y-%m-%d %H:%M:%S.%f') AS time, arg_max(epoch, step) AS epoch,
+       run_id, arg_max(split, step) AS split, round(avg(loss), 6) AS loss_mean,
+       round(stddev_samp(loss), 6) AS loss_std, round(exp(avg(loss)), 6) AS perplexity
+FROM k3 GROUP BY run_id, island, fg, chunk"""
+
+ELOG = """e1 AS (SELECT vec_id, vec_id // 10 AS batch, label,
+                  list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings),
+e2 AS (SELECT *, list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))))
+                 - logits[label + 1] AS ce,
+              CASE WHEN list_position(logits, list_max(logits)) - 1 = label THEN 1.0 ELSE 0.0 END AS correct
+       FROM e1),
+elog AS (SELECT CAST(batch // 10 AS VARCHAR) AS run_id,
+                CASE WHEN batch % 4 = 3 THEN 'val' ELSE 'train' END AS split, 1 AS epoch,
+                batch + 1 AS step, make_timestamp(CAST((1704067200 + batch) * 1000000 AS BIGINT)) AS time,
+                avg(ce) AS loss
+         FROM e2 GROUP BY batch)"""
+
+ORACLE["log_summary_accuracy"] = f"""WITH {ELOG}, {chunk_ctes('elog', 4, 3)},
+rec AS (SELECT run_id AS logger_id, count(*) AS n_steps, arg_max(step, step) AS step,
+       strftime(arg_max(time, step), '%Y-%m-%d %H:%M:%S.%f') AS time, arg_max(epoch, step) AS epoch,
+       run_id, arg_max(split, step) AS split, round(avg(loss), 6) AS loss_mean,
+       round(stddev_samp(loss), 6) AS loss_std, island, fg, chunk
+       FROM k3 GROUP BY run_id, island, fg, chunk),
+smp AS (SELECT k3.run_id, island, fg, chunk, avg(e2.correct) AS am, stddev_samp(e2.correct) AS asd
+        FROM k3 JOIN e2 ON e2.batch + 1 = k3.step GROUP BY k3.run_id, island, fg, chunk)
+SELECT logger_id, n_steps, step, time, epoch, rec.run_id, split, loss_mean, loss_std,
+       round(am, 6) AS accuracy_mean, round(asd, 6) AS accuracy_std
+FROM rec JOIN smp ON rec.run_id = smp.run_id AND rec.island = smp.island AND rec.fg = smp.fg
+ AND rec.chunk = smp.chunk"""
+
+ORACLE["union_sweeps"] = f"""WITH {LOG}
+SELECT run_id, step, CASE WHEN day(time) <= 15 THEN epoch END AS epoch, round(loss, 6) AS loss,
+       CASE WHEN day(time) <= 15 THEN 'first_half' ELSE 'second_half' END AS sweep_name FROM log"""
+
+ORACLE["distinct_lrs"] = f"""WITH {CFG}
+SELECT round(learning_rate, 6) AS learning_rate FROM (
+  SELECT DISTINCT learning_rate FROM cfg WHERE exp_name = 'sweep_b' AND learning_rate < 0.5)"""
+
+ORACLE["nth_from_end"] = f"""WITH {LOG}, {HAT}, {smoothed('log', 'run_id', 'loss', 'smo')}
+SELECT run_id, step AS step_at, round(smoothed_loss, 6) AS smoothed_loss_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS r FROM smo) WHERE r = 31"""
+
+ORACLE["first_in_group"] = f"""WITH {LOG}, {CFG}, {J}
+SELECT depth, run_id AS first_run_id, width AS first_width FROM (
+  SELECT *, row_number() OVER (PARTITION BY depth ORDER BY step, run_id, width) AS r FROM j) WHERE r = 1"""
+
+ORACLE["report_head"] = f"""WITH {LOG}, {CFG},
+b AS (SELECT run_id, step AS best_loss_step, loss AS best_loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY loss, step) AS r FROM log
+  WHERE loss IS NOT NULL AND NOT isnan(loss)) WHERE r = 1)
+SELECT run_id, depth, width, round(best_loss, 6) AS best_loss, best_loss_step
+FROM b JOIN cfg ON b.run_id = cfg.id WHERE depth >= 3 ORDER BY best_loss, run_id LIMIT 30"""
