@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from stepwise.functions import arrays as ar
 from stepwise.functions import scalars as sc
+from stepwise.functions import text as tx
 from stepwise.operators import analysis as an
-from stepwise.operators import logs, nested
+from stepwise.operators import bpe, logs, nested
 from stepwise.operators.common import round_doubles
 from stepwise.operators.smooth import smooth_and_mask
 from stepwise.plans import bindings as bd
@@ -225,3 +226,104 @@ def report_head(spark, sf):
     return round_doubles(an.report_head(j, F.col("depth") >= 3,
                                         ["run_id", "depth", "width", "best_loss", "best_loss_step"],
                                         [F.col("best_loss").asc(), F.col("run_id").asc()], 30))
+
+
+# ---------------------------------------------------------------- text
+
+TEXT_NEW_TOKENS = 8
+_MODELS: dict = {}
+
+
+def _model(spark, sf, name="documents", key="doc_id", new_tokens=TEXT_NEW_TOKENS):
+    """Train (once per session) a BPE model on a whole corpus table."""
+    k = (sf, name, key, new_tokens, id(spark))
+    if k not in _MODELS:
+        _MODELS[k] = bpe.bpe_train(bd.table(spark, sf, name), "text", key, new_tokens=new_tokens)
+    return _MODELS[k]
+
+
+@register("normalized_text")
+def normalized_text(spark, sf):
+    """documents stripped of Unicode whitespace at both ends (length and md5)."""
+    t = tx.normalize_text("text")
+    return bd.table(spark, sf, "documents").select(
+        "doc_id", F.length(t).cast("bigint").alias("n_chars"), F.md5(t).alias("text_md5"))
+
+
+@register("word_freq")
+def word_freq(spark, sf):
+    """A13 + F2: pre-token frequencies over the whole documents corpus."""
+    return bpe.word_freq(bd.table(spark, sf, "documents"), "text", "doc_id").select("word", "freq")
+
+
+@register("alphabet")
+def alphabet(spark, sf):
+    """Characters of the documents corpus with ids from 3 by first appearance."""
+    words = bpe.word_freq(bd.table(spark, sf, "documents"), "text", "doc_id")
+    return bpe.alphabet(words)
+
+
+@register("pair_counts")
+def pair_counts(spark, sf):
+    """Adjacent character pairs of all words, weighted by word frequency."""
+    words = bpe.word_freq(bd.table(spark, sf, "documents"), "text", "doc_id")
+    table = words.filter(F.length("word") > 1).select(bpe.encode_symbols("word").alias("sym"), "freq")
+    return bpe.pair_counts(table)
+
+
+@register("top_pair")
+def top_pair(spark, sf):
+    """L1: the most frequent pair (ties: left, right)."""
+    return top_pair_of(spark, sf)
+
+
+def top_pair_of(spark, sf):
+    return bpe.top_pairs(pair_counts(spark, sf), 1)
+
+
+@register("bpe_merges")
+def bpe_merges(spark, sf):
+    """T1 (+T2 rewrite rounds): merges learned from documents, 8 new tokens."""
+    return _model(spark, sf).merges_df(spark)
+
+
+@register("bpe_vocab")
+def bpe_vocab(spark, sf):
+    """The resulting vocabulary (specials, alphabet, merged tokens)."""
+    return _model(spark, sf).vocab_df(spark)
+
+
+@register("encode_conversations")
+def encode_conversations(spark, sf):
+    """T3 + T4 + J3: conversation turns encoded with the documents model (+EOS, unknown -> UNK)."""
+    return bpe.encode(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], _model(spark, sf))
+
+
+@register("decode_conversations")
+def decode_conversations(spark, sf):
+    """T6 + J4: decode of the encoded turns (specials appear literally)."""
+    m = _model(spark, sf)
+    enc = bpe.encode(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], m)
+    return bpe.decode(enc, "ids", ["conv_id", "turn"], m)
+
+
+@register("round_trip_documents")
+def round_trip_documents(spark, sf):
+    """decode(encode(text, no EOS)) of the training corpus equals its normalised text."""
+    rt = bpe.round_trip(bd.table(spark, sf, "documents"), "text", "doc_id", _model(spark, sf))
+    return rt.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("encoded_lengths")
+def encoded_lengths(spark, sf):
+    """Tokens per encoded conversation turn (EOS included)."""
+    enc = bpe.encode(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], _model(spark, sf))
+    return bpe.encoded_lengths(enc, ["conv_id", "turn"])
+
+
+@register("vocab_overlap")
+def vocab_overlap(spark, sf):
+    """Tokens shared by the documents and the benchmark vocabularies."""
+    a = _model(spark, sf).vocab_df(spark)
+    b = _model(spark, sf, "benchmark", "item_id").vocab_df(spark)
+    return bpe.vocab_overlap(a, b)["common"]

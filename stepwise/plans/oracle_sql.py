@@ -214,3 +214,123 @@ b AS (SELECT run_id, step AS best_loss_step, loss AS best_loss FROM (
   WHERE loss IS NOT NULL AND NOT isnan(loss)) WHERE r = 1)
 SELECT run_id, depth, width, round(best_loss, 6) AS best_loss, best_loss_step
 FROM b JOIN cfg ON b.run_id = cfg.id WHERE depth >= 3 ORDER BY best_loss, run_id LIMIT 30"""
+
+
+# ---------------------------------------------------------------- text
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _text_patterns():
+    from stepwise.functions.text import STRIP_PATTERN, WORD_PATTERN
+    return _lit(WORD_PATTERN), _lit(STRIP_PATTERN)
+
+
+# Python's whitespace characters, for DuckDB's trim().
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+SEP = "chr(10) || chr(9)"
+
+
+def occ_ctes(p: str, table: str, keys: list[str]) -> str:
+    word, strip = _text_patterns()
+    ks = ", ".join(keys)
+    return f"""{p}_norm AS (SELECT {ks}, regexp_replace(text, {strip}, '', 'g') AS t FROM {table}),
+{p}_occ AS (SELECT {ks}, u.w AS word, u.pos AS pos FROM (
+   SELECT {ks}, unnest(list_transform(regexp_extract_all(t, {word}), lambda x, i: {{'w': x, 'pos': i - 1}})) AS u
+   FROM {p}_norm))"""
+
+
+def bpe_ctes(p: str, table: str, key: str, k: int) -> str:
+    """Word table, alphabet and k one-at-a-time merge rounds, unrolled."""
+    out = [occ_ctes(p, table, [key]),
+           f"""{p}_wf AS (SELECT word, count(*) AS freq FROM {p}_occ GROUP BY word),
+{p}_ch AS (SELECT u.ch AS ch, {key} AS o1, pos AS o2, u.cp AS o3 FROM (
+   SELECT {key}, pos, unnest(list_transform(regexp_extract_all(word, '(?s).'), lambda x, i: {{'ch': x, 'cp': i}})) AS u
+   FROM {p}_occ)),
+{p}_alpha AS (SELECT ch AS token, CAST(row_number() OVER (ORDER BY o1, o2, o3) + 2 AS INTEGER) AS id FROM (
+   SELECT *, row_number() OVER (PARTITION BY ch ORDER BY o1, o2, o3) AS r FROM {p}_ch) WHERE r = 1),
+{p}_s0 AS (SELECT chr(9) || array_to_string(regexp_extract_all(word, '(?s).'), {SEP}) || chr(10) AS sym, freq
+   FROM {p}_wf WHERE length(word) > 1)"""]
+    for i in range(k):
+        out.append(f"""{p}_pc{i} AS (SELECT u.l AS l, u.r AS r, sum(freq) AS cnt FROM (
+   SELECT unnest(list_transform(range(1, len(sy)), lambda j: {{'l': sy[j], 'r': sy[j + 1]}})) AS u, freq
+   FROM (SELECT string_split(substr(sym, 2, length(sym) - 2), {SEP}) AS sy, freq FROM {p}_s{i})) GROUP BY 1, 2),
+{p}_m{i} AS (SELECT {i} AS rank, l, r FROM {p}_pc{i} ORDER BY cnt DESC, l, r LIMIT 1),
+{p}_s{i + 1} AS (SELECT replace(sym, chr(9) || m.l || {SEP} || m.r || chr(10), chr(9) || m.l || m.r || chr(10)) AS sym,
+   freq FROM {p}_s{i} JOIN {p}_m{i} m ON true)""")
+    union = " UNION ALL ".join(f"SELECT * FROM {p}_m{i}" for i in range(k))
+    out.append(f"""{p}_merges AS (SELECT CAST(rank AS INTEGER) AS rank, l AS "left", r AS "right", l || r AS merged
+   FROM ({union})),
+{p}_vocab AS (SELECT 0 AS id, '[PAD]' AS token UNION ALL SELECT 1, '[UNK]' UNION ALL SELECT 2, '[EOS]'
+   UNION ALL SELECT id, token FROM {p}_alpha
+   UNION ALL SELECT CAST((SELECT count(*) FROM {p}_alpha) + 3 + rank AS INTEGER), merged FROM {p}_merges)""")
+    return ",\n".join(out)
+
+
+def encode_ctes(q: str, table: str, keys: list[str], p: str) -> str:
+    """Greedy lowest-rank, leftmost merge per distinct word (recursive), then ids per text."""
+    ks = ", ".join(keys)
+    return f"""{occ_ctes(q, table, keys)},
+{q}_mp AS (SELECT rank, chr(9) || "left" || {SEP} || "right" || chr(10) AS pat,
+   chr(9) || "left" || "right" || chr(10) AS rep FROM {p}_merges),
+{q}_e(word, sym, it) AS (
+   SELECT word, chr(9) || array_to_string(regexp_extract_all(word, '(?s).'), {SEP}) || chr(10), 0
+   FROM (SELECT DISTINCT word FROM {q}_occ)
+   UNION ALL
+   SELECT word, sym, it FROM (
+     SELECT e.word, "left"(e.sym, position(mp.pat IN e.sym) - 1) || mp.rep
+              || substr(e.sym, position(mp.pat IN e.sym) + length(mp.pat)) AS sym,
+            e.it + 1 AS it, row_number() OVER (PARTITION BY e.word ORDER BY mp.rank) AS rk
+     FROM {q}_e e JOIN {q}_mp mp ON position(mp.pat IN e.sym) > 0) WHERE rk = 1),
+{q}_fin AS (SELECT word, arg_max(sym, it) AS sym FROM {q}_e GROUP BY word),
+{q}_tok AS (SELECT word, u.t AS token, u.i AS ti FROM (
+   SELECT word, unnest(list_transform(string_split(substr(sym, 2, length(sym) - 2), {SEP}),
+                                      lambda x, i: {{'t': x, 'i': i}})) AS u FROM {q}_fin)),
+{q}_ids AS (SELECT {', '.join('o.' + k for k in keys)}, o.pos, tk.ti, tk.token, coalesce(v.id, 1) AS id
+   FROM {q}_occ o JOIN {q}_tok tk ON tk.word = o.word LEFT JOIN {p}_vocab v ON v.token = tk.token),
+{q}_out AS (SELECT {', '.join('c.' + k for k in keys)},
+   coalesce(list(i.id ORDER BY i.pos, i.ti) FILTER (WHERE i.id IS NOT NULL), []) AS ids,
+   coalesce(string_agg(CASE WHEN i.id = 1 THEN '[UNK]' ELSE i.token END, '' ORDER BY i.pos, i.ti)
+            FILTER (WHERE i.id IS NOT NULL), '') AS txt
+   FROM {table} c LEFT JOIN {q}_ids i ON {' AND '.join(f'i.{k} = c.{k}' for k in keys)}
+   GROUP BY {', '.join('c.' + k for k in keys)})"""
+
+
+_K = 8
+_DOC = bpe_ctes("d", "documents", "doc_id", _K)
+
+ORACLE["normalized_text"] = f"""SELECT doc_id, CAST(length(trim(text, {_lit(WS_CHARS)})) AS BIGINT) AS n_chars,
+  md5(trim(text, {_lit(WS_CHARS)})) AS text_md5 FROM documents"""
+
+ORACLE["word_freq"] = f"""WITH {occ_ctes('d', 'documents', ['doc_id'])}
+SELECT word, count(*) AS freq FROM d_occ GROUP BY word"""
+
+ORACLE["alphabet"] = f"WITH {_DOC} SELECT token, id FROM d_alpha"
+
+ORACLE["pair_counts"] = f"""WITH {bpe_ctes('d', 'documents', 'doc_id', 1)}
+SELECT l AS "left", r AS "right", CAST(cnt AS BIGINT) AS "count" FROM d_pc0"""
+
+ORACLE["top_pair"] = f"""WITH {bpe_ctes('d', 'documents', 'doc_id', 1)}
+SELECT l AS "left", r AS "right", CAST(cnt AS BIGINT) AS "count" FROM d_pc0 ORDER BY cnt DESC, l, r LIMIT 1"""
+
+ORACLE["bpe_merges"] = f"WITH {_DOC} SELECT * FROM d_merges"
+ORACLE["bpe_vocab"] = f"WITH {_DOC} SELECT CAST(id AS INTEGER) AS id, token FROM d_vocab"
+
+_CONV = encode_ctes("c", "conversations", ["conv_id", "turn"], "d")
+
+ORACLE["encode_conversations"] = f"""WITH RECURSIVE {_DOC}, {_CONV}
+SELECT conv_id, turn, CAST(ids || [2] AS INTEGER[]) AS ids FROM c_out"""
+
+ORACLE["decode_conversations"] = f"""WITH RECURSIVE {_DOC}, {_CONV}
+SELECT conv_id, turn, txt || '[EOS]' AS text FROM c_out"""
+
+ORACLE["encoded_lengths"] = f"""WITH RECURSIVE {_DOC}, {_CONV}
+SELECT conv_id, turn, CAST(len(ids) + 1 AS INTEGER) AS n_tokens FROM c_out"""
+
+ORACLE["round_trip_documents"] = f"""SELECT doc_id, CAST(length(trim(text, {_lit(WS_CHARS)})) AS BIGINT) AS n_chars,
+  md5(trim(text, {_lit(WS_CHARS)})) AS text_md5 FROM documents"""
+
+ORACLE["vocab_overlap"] = f"""WITH {_DOC}, {bpe_ctes('b', 'benchmark', 'item_id', _K)}
+SELECT token FROM d_vocab INTERSECT SELECT token FROM b_vocab"""
