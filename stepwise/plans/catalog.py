@@ -17,6 +17,7 @@ from stepwise.functions import scalars as sc
 from stepwise.functions import text as tx
 from stepwise.operators import analysis as an
 from stepwise.operators import bpe, logs, nested
+from stepwise.operators import rank as rk
 from stepwise.operators.common import round_doubles
 from stepwise.operators.smooth import smooth_and_mask
 from stepwise.plans import bindings as bd
@@ -327,3 +328,80 @@ def vocab_overlap(spark, sf):
     a = _model(spark, sf).vocab_df(spark)
     b = _model(spark, sf, "benchmark", "item_id").vocab_df(spark)
     return bpe.vocab_overlap(a, b)["common"]
+
+
+# ---------------------------------------------------------------- K1, X*, W5, W6, P8, P9, T5, F6
+
+@register("random_split")
+def random_split(spark, sf):
+    """Embeddings split 0.8 / 0.1 (remainder 0.1 dropped), seed 42, exact sizes."""
+    e = bd.table(spark, sf, "embeddings").select("vec_id", "label")
+    return rk.random_split(e, "vec_id", [0.8, 0.1], ["train", "val"], seed=42)
+
+
+@register("make_batches")
+def make_batches(spark, sf):
+    """Embeddings in vec_id order cut into batches of 64 (short last batch kept)."""
+    e = bd.table(spark, sf, "embeddings").select("vec_id")
+    return rk.make_batches(e, "vec_id", 64)
+
+
+@register("step_schedule")
+def step_schedule(spark, sf):
+    """3 epochs of batches of 64 over embeddings; validate after every 5th step."""
+    return rk.schedule_for(bd.table(spark, sf, "embeddings"), 3, 64, 5)
+
+
+@register("epoch_shuffle")
+def epoch_shuffle(spark, sf):
+    """3 epochs, each a fresh seeded order; batch = position div 64."""
+    e = bd.table(spark, sf, "embeddings").select("vec_id")
+    out = rk.epoch_shuffle(e, "vec_id", 3, seed=42)
+    return out.withColumn("batch", F.floor(F.col("position") / 64).cast("bigint"))
+
+
+@register("stride_sample")
+def stride_sample(spark, sf):
+    """Every 100th event in (ts, event_id) order."""
+    ev = bd.table(spark, sf, "events").select("event_id", "ts", "user_id")
+    return rk.stride_sample(ev, ["ts", "event_id"], 100).select("event_id", "user_id")
+
+
+@register("head_events")
+def head_events(spark, sf):
+    """The first 25 events in (ts, event_id) order."""
+    ev = bd.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    return rk.head_n(ev, ["ts", "event_id"], 25).select("event_id", "event_type")
+
+
+@register("range_events")
+def range_events(spark, sf):
+    """Events [1000, 1050) in (ts, event_id) order."""
+    ev = bd.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    return rk.range_subset(ev, ["ts", "event_id"], 1000, 1050).select("event_id", "event_type")
+
+
+@register("subset_by_index")
+def subset_by_index(spark, sf):
+    """Documents whose id is in the labels index table."""
+    d = bd.table(spark, sf, "documents").select("doc_id", "lang")
+    return rk.subset_by_index(d, bd.table(spark, sf, "labels"), "doc_id")
+
+
+def _conv_batches(spark, sf):
+    enc = bpe.encode(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], _model(spark, sf))
+    b = rk.make_batches(enc, ["conv_id", "turn"], 16)
+    return bpe.encode_batch(b, "batch")
+
+
+@register("encode_batch")
+def encode_batch(spark, sf):
+    """T5: encoded turns in batches of 16 (by conv_id, turn), padded to the batch's longest."""
+    return _conv_batches(spark, sf).select("conv_id", "turn", "batch", "ids")
+
+
+@register("flatten_labels")
+def flatten_labels(spark, sf):
+    """F6 + A16: each padded batch as one flat label array (rows x longest length)."""
+    out = rk.flatten_labels(_conv_batches(spark, sf), "batch", "position", "ids")
+    return out.select("batch", "n_rows", F.size("labels").cast("int").alias("n_labels"), "labels")

@@ -334,3 +334,65 @@ ORACLE["round_trip_documents"] = f"""SELECT doc_id, CAST(length(trim(text, {_lit
 
 ORACLE["vocab_overlap"] = f"""WITH {_DOC}, {bpe_ctes('b', 'benchmark', 'item_id', _K)}
 SELECT token FROM d_vocab INTERSECT SELECT token FROM b_vocab"""
+
+
+# ---------------------------------------------------------------- ranks
+
+def _split_sql(fractions, names, seed, table, key, cols):
+    fr = list(fractions) + [round(1 - sum(fractions), 3)]
+    labels = list(names) + ["remainder"]
+    m = len(fr)
+    size = [f"(CAST(floor(n * CAST({f} AS DOUBLE)) AS BIGINT) + CASE WHEN {i} < (n - ({' + '.join(f'CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)' for g in fr)})) % {m} + {m} * ((n - ({' + '.join(f'CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)' for g in fr)})) // {m}) THEN 1 ELSE 0 END)" for i, f in enumerate(fr)]
+    # leftovers dealt round-robin: part i gets floor(left/m) + (i < left % m)
+    left = f"(n - ({' + '.join(f'CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)' for g in fr)}))"
+    size = [f"(CAST(floor(n * CAST({f} AS DOUBLE)) AS BIGINT) + {left} // {m} + CASE WHEN {i} < {left} % {m} THEN 1 ELSE 0 END)"
+            for i, f in enumerate(fr)]
+    cum = ["0"]
+    for i in range(m - 1):
+        cum.append(" + ".join(size[: i + 1]))
+    case = " ".join(f"WHEN r >= {cum[i]} AND r < {cum[i]} + {size[i]} THEN '{labels[i]}'" for i in range(m))
+    return f"""WITH base AS (SELECT {cols}, row_number() OVER (ORDER BY md5('{seed}:' || CAST({key} AS VARCHAR)),
+                                     '{seed}:' || CAST({key} AS VARCHAR)) - 1 AS r FROM {table}),
+cnt AS (SELECT count(*) AS n FROM {table}),
+lab AS (SELECT base.*, CASE {case} END AS split FROM base, cnt)
+SELECT {cols}, split FROM lab WHERE split <> 'remainder'"""
+
+
+ORACLE["random_split"] = _split_sql([0.8, 0.1], ["train", "val"], 42, "embeddings", "vec_id", "vec_id, label")
+
+ORACLE["make_batches"] = """SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS position,
+  CAST((row_number() OVER (ORDER BY vec_id) - 1) // 64 AS BIGINT) AS batch FROM embeddings"""
+
+ORACLE["step_schedule"] = """WITH cnt AS (SELECT count(*) AS n, CAST(ceil(count(*) / 64.0) AS BIGINT) AS per FROM embeddings),
+g AS (SELECT e.epoch, b.batch, cnt.n, cnt.per FROM range(3) e(epoch), cnt, range(CAST((SELECT per FROM cnt) AS BIGINT)) b(batch))
+SELECT CAST(epoch AS BIGINT) AS epoch, CAST(batch AS INTEGER) AS batch, CAST(epoch * per + batch + 1 AS BIGINT) AS step,
+  CAST(least(64, n - batch * 64) AS BIGINT) AS n_samples, (epoch * per + batch + 1) % 5 = 0 AS validate FROM g"""
+
+ORACLE["epoch_shuffle"] = """WITH ex AS (SELECT vec_id, e.epoch FROM embeddings, range(1, 4) e(epoch)),
+r AS (SELECT vec_id, CAST(epoch AS INTEGER) AS epoch,
+  CAST(row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || vec_id), '42:' || epoch || ':' || vec_id) - 1 AS BIGINT) AS position
+  FROM ex)
+SELECT vec_id, epoch, position, CAST(position // 64 AS BIGINT) AS batch FROM r"""
+
+ORACLE["stride_sample"] = """SELECT event_id, user_id FROM (
+  SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS r FROM events) WHERE r % 100 = 0"""
+
+ORACLE["head_events"] = "SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 25"
+
+ORACLE["range_events"] = """SELECT event_id, event_type FROM (
+  SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS r FROM events) WHERE r >= 1000 AND r < 1050"""
+
+ORACLE["subset_by_index"] = "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+
+_BATCH = f"""{_DOC}, {_CONV},
+cb AS (SELECT conv_id, turn, ids || [2] AS ids, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS position
+       FROM c_out),
+cb2 AS (SELECT *, position // 16 AS batch, max(len(ids)) OVER (PARTITION BY position // 16) AS ml FROM cb),
+cb3 AS (SELECT conv_id, turn, position, CAST(batch AS BIGINT) AS batch,
+        CAST(ids || list_transform(range(ml - len(ids)), lambda x: 0) AS INTEGER[]) AS ids FROM cb2)"""
+
+ORACLE["encode_batch"] = f"WITH RECURSIVE {_BATCH} SELECT conv_id, turn, batch, ids FROM cb3"
+
+ORACLE["flatten_labels"] = f"""WITH RECURSIVE {_BATCH}
+SELECT batch, CAST(count(*) AS INTEGER) AS n_rows, CAST(len(flatten(list(ids ORDER BY position))) AS INTEGER) AS n_labels,
+  flatten(list(ids ORDER BY position)) AS labels FROM cb3 GROUP BY batch"""
