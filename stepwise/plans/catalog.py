@@ -18,6 +18,9 @@ from stepwise.functions import text as tx
 from stepwise.operators import analysis as an
 from stepwise.operators import bpe, logs, nested
 from stepwise.operators import rank as rk
+from stepwise.operators import sweeps as sw
+from stepwise.operators import vectors as vec
+from stepwise.sources import files as src
 from stepwise.operators.common import round_doubles
 from stepwise.operators.smooth import smooth_and_mask
 from stepwise.plans import bindings as bd
@@ -405,3 +408,194 @@ def flatten_labels(spark, sf):
     """F6 + A16: each padded batch as one flat label array (rows x longest length)."""
     out = rk.flatten_labels(_conv_batches(spark, sf), "batch", "position", "ids")
     return out.select("batch", "n_rows", F.size("labels").cast("int").alias("n_labels"), "labels")
+
+
+# ---------------------------------------------------------------- F7-F11, M2-M4
+
+@register("argmax_logits")
+def argmax_logits(spark, sf):
+    """predicted class = first index of the largest logit."""
+    lt = bd.logits_table(spark, sf)
+    return lt.select("vec_id", "label", ar.argmax("logits").alias("pred"))
+
+
+@register("softmax_logits")
+def softmax_logits(spark, sf):
+    """F8: class probabilities."""
+    lt = bd.logits_table(spark, sf)
+    return lt.select("vec_id", ar.round_array(ar.softmax("logits"), 6).alias("probs"))
+
+
+@register("mean_cross_entropy")
+def mean_cross_entropy(spark, sf):
+    """mean cross-entropy over rows whose label is not the ignore index 0."""
+    lt = bd.logits_table(spark, sf)
+    return round_doubles(lt.agg(ar.mean_cross_entropy("logits", "label", ignore_index=0).alias("loss"),
+                                F.count(F.when(F.col("label") != 0, 1)).alias("n_rows")))
+
+
+@register("layer_norm")
+def layer_norm(spark, sf):
+    """each embedding normalised to mean 0, sample std 1 (no epsilon)."""
+    e = bd.table(spark, sf, "embeddings")
+    return e.select("vec_id", ar.round_array(ar.layer_norm("embedding"), 6).alias("normed"))
+
+
+@register("relu_features")
+def relu_features(spark, sf):
+    """negative entries set to 0."""
+    e = bd.table(spark, sf, "embeddings")
+    return e.select("vec_id", ar.round_array(ar.relu("embedding"), 6).alias("features"))
+
+
+@register("evaluate_splits")
+def evaluate_splits(spark, sf):
+    """M4 (+X1, X2): per split and batch of 64 (vec_id order): samples, loss, accuracy."""
+    lt = bd.logits_table(spark, sf).select("vec_id", "logits", "label")
+    parts = rk.random_split(lt, "vec_id", [0.8, 0.1], ["train", "val"], seed=42)
+    batches = rk.make_batches(parts, "vec_id", 64, group="split")
+    return round_doubles(vec.evaluate(batches, "logits", "label", ["split", "batch"]))
+
+
+@register("score_centroids")
+def score_centroids(spark, sf):
+    """M2: dense layers (input from class centroids, one ReLU layer, output) applied to every vector."""
+    e = bd.table(spark, sf, "embeddings")
+    cents = vec.class_centroids(e, "embedding", "label", bd.INPUT_DIM).toPandas()
+    layers = vec.centroid_layers(cents, bd.OUTPUT_DIM, bd.INPUT_DIM, depth=1)
+    scored = vec.score_mlp(e, "embedding", layers, ["vec_id"])
+    return scored.select("vec_id", ar.round_array("logits", 6).alias("logits"), ar.argmax("logits").alias("pred"))
+
+
+@register("embed_tokens")
+def embed_tokens(spark, sf):
+    """M3: embedding vector (rows of embeddings by id) for every token of the encoded turns."""
+    enc = bpe.encode(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], _model(spark, sf))
+    out = vec.embed_tokens(enc, "ids", ["conv_id", "turn"], bd.table(spark, sf, "embeddings"),
+                           "vec_id", "embedding")
+    return out.select("conv_id", "turn", "pos", "token_id", "vector")
+
+
+# ---------------------------------------------------------------- G1-G5, F13-F15
+
+def _axes(spark, sf):
+    region = bd.table(spark, sf, "region")
+    nation = bd.table(spark, sf, "nation")
+    brands = bd.table(spark, sf, "part").select("p_brand").distinct()
+    return [("r_name", sw.axis_from_values(region.select("r_name", "r_regionkey"), "r_name", ["r_regionkey"])),
+            ("n_nationkey", sw.axis_from_values(nation.select("n_nationkey"), "n_nationkey")),
+            ("p_brand", sw.axis_from_values(brands, "p_brand"))], nation
+
+
+@register("grid_expand")
+def grid_expand(spark, sf):
+    """G1: every combination of region names x nation keys x part brands; run ids from 1."""
+    axes, _ = _axes(spark, sf)
+    return sw.grid_expand(spark, axes).select("run_id", "r_name", "n_nationkey", "p_brand")
+
+
+@register("grid_paired")
+def grid_paired(spark, sf):
+    """Region names crossed with (nation key, region key) pairs that move together."""
+    axes, nation = _axes(spark, sf)
+    paired = sw.paired_axis(nation, ["n_nationkey", "n_regionkey"], ["n_nationkey"])
+    return sw.grid_expand(spark, [axes[0], ("paired", paired)]).select(
+        "run_id", "r_name", "n_nationkey", "n_regionkey")
+
+
+def _transitions(spark, sf):
+    ev = bd.table(spark, sf, "events")
+    state = (F.when(F.col("event_type") == "click", "running")
+              .when(F.col("event_type") == "purchase", "finished")
+              .when(F.col("event_type") == "error", "failed").otherwise("new"))
+    return ev.select(F.col("user_id").cast("string").alias("run_id"), state.alias("state"), "ts", "event_id")
+
+
+@register("run_states")
+def run_states(spark, sf):
+    """Current state per run from its transition log (latest by ts, event_id)."""
+    return sw.run_state(_transitions(spark, sf), "run_id", "state", ["ts", "event_id"])
+
+
+@register("pending_runs")
+def pending_runs(spark, sf):
+    """Runs whose current state is new."""
+    return sw.pending_runs(sw.run_state(_transitions(spark, sf), "run_id", "state", ["ts", "event_id"]))
+
+
+@register("default_params")
+def default_params(spark, sf):
+    """Missing settings take defaults (optimizer, learning rate, batch sizes)."""
+    c = bd.run_configs(spark, sf).select("id", "optimizer", "learning_rate")
+    out = sw.default_params(c, {"optimizer": "sgd", "learning_rate": 0.001, "train_batch": 128, "val_batch": 1024})
+    return round_doubles(out)
+
+
+@register("series_labels")
+def series_labels(spark, sf):
+    """F15 + F13: series labels and zero-padded run directories per config."""
+    c = bd.run_configs(spark, sf)
+    return c.select("id", sc.series_label(F.concat(F.lit("d"), F.col("depth").cast("string")),
+                                          F.concat(F.lit("w"), F.col("width").cast("string"))).alias("model_label"),
+                    sc.series_label("optimizer", "depth").alias("opt_label"),
+                    sc.run_dir(F.col("id").cast("bigint") + 1).alias("run_dir"))
+
+
+@register("json_fields")
+def json_fields(spark, sf):
+    """parse the props JSON of each event and dump (run_id, step) as one JSON object."""
+    ev = bd.table(spark, sf, "events")
+    return ev.select("event_id", sc.json_load("props", "k int")["k"].alias("k"),
+                     sc.json_dump(F.col("user_id").cast("string").alias("run_id"),
+                                  F.col("event_id").alias("step")).alias("record"))
+
+
+# ---------------------------------------------------------------- S1-S4, S7
+
+def _scratch(spark, name):
+    from stepwise.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("jsonl_logs")
+def jsonl_logs(spark, sf):
+    """S1 + S3: the step log written as JSON lines (one folder per run) and read back with a schema."""
+    path = _scratch(spark, "logs")
+    src.write_logs(bd.step_log(spark, sf), path, partition_by="run_id")
+    df = src.read_run_logs(spark, path)
+    return round_doubles(df.select("run_id", "split", "epoch", "step",
+                                   sc.timestamp_str("time").alias("time"), "loss"))
+
+
+@register("jsonl_configs")
+def jsonl_configs(spark, sf):
+    """Nested configs written as JSON lines and read back flattened."""
+    path = _scratch(spark, "configs")
+    nested_df = bd.nested_configs(spark, sf)
+    nested_df.write.mode("overwrite").json(path)
+    return round_doubles(src.read_run_configs(spark, path, nested_df.schema))
+
+
+@register("sweep_run_table")
+def sweep_run_table(spark, sf):
+    """S4 + G1 + F13: the run table (run_dir, state, nested config) written by experiment and read back."""
+    axes, _ = _axes(spark, sf)
+    grid = sw.grid_expand(spark, axes)
+    runs = grid.select("run_id", sc.run_dir("run_id").alias("run_dir"), F.lit("new").alias("state"),
+                       F.struct(F.struct("r_name", "n_nationkey").alias("data"),
+                                F.struct("p_brand").alias("model")).alias("config"),
+                       F.lit("grid").alias("experiment"))
+    path = _scratch(spark, "runs")
+    src.write_run_table(runs, path)
+    back = spark.read.parquet(path)
+    return nested.flatten(back).select("run_id", "run_dir", "state", "experiment", "`config.data.r_name`",
+                                       "`config.data.n_nationkey`", "`config.model.p_brand`")
+
+
+@register("page_file_names")
+def page_file_names(spark, sf):
+    """Item id and category parsed from a file name built from each page URL path."""
+    p = bd.table(spark, sf, "pages")
+    name = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/", "_")
+    out = src.relayout_by_category(p.select("page_id", name.alias("file_name")), "file_name")
+    return out.select("page_id", "file_name", "item_id", "category")

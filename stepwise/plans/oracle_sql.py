@@ -396,3 +396,120 @@ ORACLE["encode_batch"] = f"WITH RECURSIVE {_BATCH} SELECT conv_id, turn, batch,
 ORACLE["flatten_labels"] = f"""WITH RECURSIVE {_BATCH}
 SELECT batch, CAST(count(*) AS INTEGER) AS n_rows, CAST(len(flatten(list(ids ORDER BY position))) AS INTEGER) AS n_labels,
   flatten(list(ids ORDER BY position)) AS labels FROM cb3 GROUP BY batch"""
+
+
+# ---------------------------------------------------------------- vectors
+
+_L10 = "list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE))"
+
+ORACLE["argmax_logits"] = f"""SELECT vec_id, label, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred
+FROM (SELECT vec_id, label, {_L10} AS l FROM embeddings)"""
+
+ORACLE["softmax_logits"] = f"""SELECT vec_id, list_transform(l, lambda x: round(exp(x - list_max(l))
+  / list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 6) + 0.0) AS probs
+FROM (SELECT vec_id, {_L10} AS l FROM embeddings)"""
+
+ORACLE["mean_cross_entropy"] = f"""WITH {ELOG}
+SELECT round(avg(ce), 6) + 0.0 AS loss, count(*) AS n_rows FROM e2 WHERE label <> 0"""
+
+ORACLE["layer_norm"] = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT vec_id, x, list_avg(x) AS m FROM v),
+s2 AS (SELECT vec_id, x, m, sqrt(list_sum(list_transform(x, lambda y: (y - m) * (y - m))) / (len(x) - 1)) AS sd FROM s)
+SELECT vec_id, CASE WHEN len(x) > 1 AND sd > 0 THEN list_transform(x, lambda y: round((y - m) / sd, 6) + 0.0) END AS normed
+FROM s2"""
+
+ORACLE["relu_features"] = """SELECT vec_id,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda y: round(greatest(y, 0.0), 6) + 0.0) AS features FROM embeddings"""
+
+
+def _split_ctes(fractions, names, seed, table, key, cols):
+    fr = list(fractions) + [round(1 - sum(fractions), 3)]
+    labels = list(names) + ["remainder"]
+    m = len(fr)
+    fl = [f"CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)" for g in fr]
+    left = f"(n - ({' + '.join(fl)}))"
+    size = [f"({fl[i]} + {left} // {m} + CASE WHEN {i} < {left} % {m} THEN 1 ELSE 0 END)" for i in range(m)]
+    cum = ["0"] + [" + ".join(size[: i + 1]) for i in range(m - 1)]
+    case = " ".join(f"WHEN r >= {cum[i]} AND r < {cum[i]} + {size[i]} THEN '{labels[i]}'" for i in range(m))
+    return f"""base AS (SELECT {cols}, row_number() OVER (ORDER BY md5('{seed}:' || CAST({key} AS VARCHAR)),
+                                     '{seed}:' || CAST({key} AS VARCHAR)) - 1 AS r FROM {table}),
+cnt AS (SELECT count(*) AS n FROM {table}),
+lab AS (SELECT base.*, CASE {case} END AS split FROM base, cnt)"""
+
+
+ORACLE["random_split"] = f"""WITH {_split_ctes([0.8, 0.1], ['train', 'val'], 42, 'embeddings', 'vec_id', 'vec_id, label')}
+SELECT vec_id, label, split FROM lab WHERE split <> 'remainder'"""
+
+ORACLE["evaluate_splits"] = f"""WITH {ELOG}, {_split_ctes([0.8, 0.1], ['train', 'val'], 42, 'embeddings', 'vec_id', 'vec_id')},
+bt AS (SELECT lab.vec_id, split, (row_number() OVER (PARTITION BY split ORDER BY lab.vec_id) - 1) // 64 AS batch
+       FROM lab WHERE split <> 'remainder')
+SELECT split, CAST(bt.batch AS BIGINT) AS batch, count(*) AS n_samples, round(avg(ce), 6) + 0.0 AS loss,
+       round(avg(correct), 6) + 0.0 AS accuracy
+FROM bt JOIN e2 ON e2.vec_id = bt.vec_id GROUP BY split, bt.batch"""
+
+ORACLE["score_centroids"] = """WITH xs AS (SELECT vec_id, label, u.i AS i, u.v AS v FROM (
+   SELECT vec_id, label, unnest(list_transform(CAST(embedding AS DOUBLE[]), lambda v, i: {'v': v, 'i': i})) AS u
+   FROM embeddings)),
+c AS (SELECT label, i, avg(v) AS cv FROM xs GROUP BY label, i),
+sc AS (SELECT xs.vec_id, c.label, sum(xs.v * c.cv) AS s FROM xs JOIN c ON c.i = xs.i GROUP BY xs.vec_id, c.label),
+fl AS (SELECT v.vec_id, k.label, greatest(coalesce(sc.s, 0.0), 0.0) AS s
+       FROM (SELECT DISTINCT vec_id FROM embeddings) v CROSS JOIN range(10) k(label)
+       LEFT JOIN sc ON sc.vec_id = v.vec_id AND sc.label = k.label),
+agg AS (SELECT vec_id, list(s ORDER BY label) AS l FROM fl GROUP BY vec_id)
+SELECT vec_id, list_transform(l, lambda x: round(x, 6) + 0.0) AS logits,
+       CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred FROM agg"""
+
+ORACLE["embed_tokens"] = f"""WITH RECURSIVE {_DOC}, {_CONV},
+t AS (SELECT conv_id, turn, unnest(list_transform(ids || [2], lambda x, i: {{'id': x, 'pos': i - 1}})) AS u FROM c_out)
+SELECT conv_id, turn, CAST(u.pos AS INTEGER) AS pos, CAST(u.id AS INTEGER) AS token_id, e.embedding AS vector
+FROM t JOIN embeddings e ON e.vec_id = u.id"""
+
+# ---------------------------------------------------------------- sweeps
+
+_AX = """r AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS pr FROM region),
+n AS (SELECT n_nationkey, n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS pn FROM nation),
+b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS pb FROM (SELECT DISTINCT p_brand FROM part)),
+sz AS (SELECT (SELECT count(*) FROM n) AS nn, (SELECT count(*) FROM b) AS nb)"""
+
+ORACLE["grid_expand"] = f"""WITH {_AX}
+SELECT CAST((pr * nn + pn) * nb + pb + 1 AS BIGINT) AS run_id, r_name, n_nationkey, p_brand FROM r, n, b, sz"""
+
+ORACLE["grid_paired"] = f"""WITH {_AX}
+SELECT CAST(pr * nn + pn + 1 AS BIGINT) AS run_id, r_name, n_nationkey, n_regionkey FROM r, n, sz"""
+
+_STATE = """st AS (SELECT CAST(user_id AS VARCHAR) AS run_id,
+  CASE WHEN event_type = 'click' THEN 'running' WHEN event_type = 'purchase' THEN 'finished'
+       WHEN event_type = 'error' THEN 'failed' ELSE 'new' END AS state,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)"""
+
+ORACLE["run_states"] = f"WITH {_STATE} SELECT run_id, state FROM st WHERE r = 1"
+ORACLE["pending_runs"] = f"WITH {_STATE} SELECT run_id, state FROM st WHERE r = 1 AND state = 'new'"
+
+ORACLE["default_params"] = f"""WITH {CFG}
+SELECT id, coalesce(optimizer, 'sgd') AS optimizer, round(coalesce(learning_rate, 0.001), 6) + 0.0 AS learning_rate,
+       128 AS train_batch, 1024 AS val_batch FROM cfg"""
+
+ORACLE["series_labels"] = f"""WITH {CFG}
+SELECT id, 'd' || depth || '_w' || width AS model_label, coalesce(optimizer, 'None') || '_' || depth AS opt_label,
+       printf('%04d', CAST(id AS BIGINT) + 1) AS run_dir FROM cfg"""
+
+ORACLE["json_fields"] = """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+  CAST(json_object('run_id', CAST(user_id AS VARCHAR), 'step', event_id) AS VARCHAR) AS record FROM events"""
+
+# ---------------------------------------------------------------- sources
+
+ORACLE["jsonl_logs"] = f"""WITH {LOG}
+SELECT run_id, split, epoch, step, strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS time, round(loss, 6) + 0.0 AS loss
+FROM log"""
+
+ORACLE["jsonl_configs"] = _flat(".")
+
+ORACLE["sweep_run_table"] = f"""WITH {_AX}
+SELECT CAST((pr * nn + pn) * nb + pb + 1 AS BIGINT) AS run_id, printf('%04d', (pr * nn + pn) * nb + pb + 1) AS run_dir,
+  'new' AS state, 'grid' AS experiment, r_name AS "config.data.r_name", n_nationkey AS "config.data.n_nationkey",
+  p_brand AS "config.model.p_brand" FROM r, n, b, sz"""
+
+ORACLE["page_file_names"] = r"""SELECT page_id, fn AS file_name, CASE WHEN len(parts) >= 2 THEN parts[-2] END AS item_id,
+  parts[-1] AS category FROM (
+  SELECT page_id, fn, string_split(regexp_extract(fn, '^(.+?)(\.[^.]*)?$', 1), '_') AS parts FROM (
+    SELECT page_id, replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') AS fn FROM pages))"""
