@@ -21,6 +21,7 @@ from stepwise.operators import rank as rk
 from stepwise.operators import sweeps as sw
 from stepwise.operators import vectors as vec
 from stepwise.sources import files as src
+from stepwise.streaming import summary as stsum
 from stepwise.operators.common import round_doubles
 from stepwise.operators.smooth import smooth_and_mask
 from stepwise.plans import bindings as bd
@@ -599,3 +600,56 @@ def page_file_names(spark, sf):
     name = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/", "_")
     out = src.relayout_by_category(p.select("page_id", name.alias("file_name")), "file_name")
     return out.select("page_id", "file_name", "item_id", "category")
+
+
+# ---------------------------------------------------------------- M1
+
+@register("sweep_train")
+def sweep_train(spark, sf):
+    """M1: one MLP fit per (width, depth) grid row on the embeddings train split; val accuracy."""
+    from stepwise.operators.train import sweep_train as fit
+
+    e = bd.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    parts = rk.random_split(e, "vec_id", [0.8, 0.1], ["train", "val"], seed=42)
+    grid = [{"run_id": 1, "width": 16, "depth": 1}, {"run_id": 2, "width": 32, "depth": 1}]
+    return round_doubles(fit(spark, parts, grid, "embedding", "label", bd.INPUT_DIM, bd.OUTPUT_DIM, max_iter=30))
+
+
+# ---------------------------------------------------------------- R1-R3
+
+def _stream_input(spark, sf, with_markers: bool) -> str:
+    """Write the step log as JSON lines in three appends: first half-month, second, end markers."""
+    base = _scratch(spark, "stream-in")
+    logs = bd.step_log(spark, sf).withColumn("end_of_run", F.lit(None).cast("boolean"))
+    src.write_logs(logs.filter(F.dayofmonth("time") <= 15), base)
+    src.write_logs(logs.filter(F.dayofmonth("time") > 15), base)
+    if with_markers:
+        ends = logs.groupBy("run_id").agg((F.max("step") + 1).alias("step"))
+        src.write_logs(ends.select("run_id", F.lit(None).cast("string").alias("split"),
+                                   F.lit(None).cast("int").alias("epoch"), "step",
+                                   F.lit(None).cast("timestamp").alias("time"),
+                                   F.lit(None).cast("double").alias("loss"),
+                                   F.lit(True).alias("end_of_run")), base)
+    return base
+
+
+@register("stream_log_summary")
+def stream_log_summary(spark, sf):
+    """R1 + R2: the log streamed from growing JSONL files, summarised with flush 20 / chunks of 7."""
+    base = _stream_input(spark, sf, with_markers=True)
+    out = _scratch(spark, "stream-out")
+    stream = stsum.stream_ingest(spark, base, max_files_per_trigger=1)
+    stsum.run_to_table(stsum.stream_count_summary(stream, 20, 7), out, out + "-chk")
+    return round_doubles(spark.read.parquet(out))
+
+
+@register("stream_join_configs")
+def stream_join_configs(spark, sf):
+    """Streamed step records joined to static run configs."""
+    base = _stream_input(spark, sf, with_markers=False)
+    out = _scratch(spark, "stream-join")
+    stream = stsum.stream_ingest(spark, base, max_files_per_trigger=1)
+    joined = stsum.stream_join_configs(stream, bd.run_configs(spark, sf))
+    stsum.run_to_table(joined.select("run_id", "step", "split", "loss", "optimizer", "learning_rate",
+                                     "depth", "width"), out, out + "-chk")
+    return round_doubles(spark.read.parquet(out))

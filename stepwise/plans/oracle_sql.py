@@ -513,3 +513,6 @@ ORACLE["page_file_names"] = r"""SELECT page_id, fn AS file_name, CASE WHEN len(p
   parts[-1] AS category FROM (
   SELECT page_id, fn, string_split(regexp_extract(fn, '^(.+?)(\.[^.]*)?$', 1), '_') AS parts FROM (
     SELECT page_id, replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') AS fn FROM pages))"""
+
+ORACLE["stream_log_summary"] = ORACLE["log_summary"]
+ORACLE["stream_join_configs"] = ORACLE["join_logs_configs"]
