@@ -11,6 +11,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Without this, a per-row statistic used inside ``transform``/``aggregate``
+    would be recomputed for every array element (quadratic work per row).
+    """
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
+
+
 def pad_array(c, n, pad=0) -> Column:
     """right-pad an array to length ``n`` (longer arrays are left unchanged)."""
     c = _c(c)
@@ -30,15 +39,14 @@ def array_sum(c) -> Column:
 
 def logsumexp(c) -> Column:
     c = _c(c)
-    m = F.array_max(c).cast("double")
-    return m + F.log(F.aggregate(c, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m)))
+    return let(F.array_max(c).cast("double"),
+               lambda m: m + F.log(F.aggregate(c, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m))))
 
 
 def softmax(c) -> Column:
     """F8: softmax over the array (max-shifted for stability)."""
     c = _c(c)
-    lse = logsumexp(c)
-    return F.transform(c, lambda x: F.exp(x.cast("double") - lse))
+    return let(logsumexp(c), lambda lse: F.transform(c, lambda x: F.exp(x.cast("double") - lse)))
 
 
 def cross_entropy(logits, label) -> Column:
@@ -59,17 +67,25 @@ def layer_norm(c, weight=None, bias=None) -> Column:
     """(x - mean) / sample_std * w + b, no epsilon; NULL when std is 0 or n < 2."""
     c = _c(c)
     n = F.size(c).cast("double")
-    mean = array_sum(c) / n
-    ss = F.aggregate(c, F.lit(0.0).cast("double"), lambda acc, x: acc + (x - mean) * (x - mean))
-    std = F.sqrt(ss / (n - 1))
-    ok = (n > 1) & (std > 0)
-    if weight is None and bias is None:
-        out = F.transform(c, lambda x: (x - mean) / std)
-    else:
-        w = _c(weight) if weight is not None else F.array_repeat(F.lit(1.0), F.size(c))
-        b = _c(bias) if bias is not None else F.array_repeat(F.lit(0.0), F.size(c))
-        out = F.transform(c, lambda x, i: (x - mean) / std * F.element_at(w, i + 1) + F.element_at(b, i + 1))
-    return F.when(ok, out)
+    w = _c(weight) if weight is not None else None
+    b = _c(bias) if bias is not None else None
+
+    def with_mean(mean):
+        ss = F.aggregate(c, F.lit(0.0).cast("double"), lambda acc, x: acc + (x - mean) * (x - mean))
+
+        def with_std(std):
+            if w is None and b is None:
+                out = F.transform(c, lambda x: (x - mean) / std)
+            else:
+                ww = w if w is not None else F.array_repeat(F.lit(1.0), F.size(c))
+                bb = b if b is not None else F.array_repeat(F.lit(0.0), F.size(c))
+                out = F.transform(c, lambda x, i: (x - mean) / std * F.element_at(ww, i + 1)
+                                  + F.element_at(bb, i + 1))
+            return F.when((n > 1) & (std > 0), out)
+
+        return let(F.sqrt(ss / (n - 1)), with_std)
+
+    return let(array_sum(c) / n, with_mean)
 
 
 def relu(c) -> Column:

@@ -183,7 +183,7 @@ def _accept(head: list[tuple[str, str, int]], truncated: bool, ever: set[str],
 
 def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
               new_tokens: int | None = None, head: int = 256,
-              checkpoint_every: int = 10) -> BpeModel:
+              checkpoint_every: int = 1) -> BpeModel:
     """Train byte-pair merges on the whole corpus.
 
     ``keys`` give the corpus order (first appearance decides alphabet ids).
@@ -223,7 +223,9 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
             if l + r not in ever:
                 tokens.append(l + r)
                 ever.add(l + r)
-        nxt = table.select(apply_merges("sym", batch).alias("sym"), "freq")
+        # words merged down to one symbol have no pairs left: drop them
+        nxt = (table.select(apply_merges("sym", batch).alias("sym"), "freq")
+                    .filter(F.col("sym").contains(_R + _L)))
         rounds += 1
         if rounds % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)
