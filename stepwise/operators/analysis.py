@@ -221,6 +221,11 @@ def report_head(df: DataFrame, cond: Column | None, cols, order, n: int = 30) ->
     return df.select(*cols).orderBy(*order).limit(n)
 
 
+def apply_transforms(df: DataFrame, transforms) -> DataFrame:
+    """An ordered chain of DataFrame -> DataFrame transforms (folded with ``transform``)."""
+    return reduce(lambda acc, t: acc.transform(t), transforms, df)
+
+
 def select_cols(df: DataFrame, cols) -> DataFrame:
     """P11."""
     return df.select(*cols)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepwise.functions.text import normalize_text, pre_tokenize
-from stepwise.operators.common import bounded_broadcast
+from stepwise.operators.common import bounded_broadcast, parallelism, spread
 from stepwise.session import ensure_checkpoint_dir
 
 # The special tokens and their ids.
@@ -75,6 +75,7 @@ class BpeModel:
 def word_occurrences(df: DataFrame, text: str, keys) -> DataFrame:
     """(keys..., pos, word): every pre-token of the normalised text, 0-based position."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    df = spread(df.select(*keys, text), *keys)
     return df.select(*keys, F.posexplode(pre_tokenize(normalize_text(text))).alias("pos", "word"))
 
 
@@ -211,7 +212,8 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     merges: list[tuple[str, str]] = []
 
     table = (words.filter(F.length("word") > 1)
-                  .select(encode_symbols("word").alias("sym"), F.col("freq"))).cache()
+                  .select(encode_symbols("word").alias("sym"), F.col("freq"))
+                  .repartition(parallelism(spark), "sym")).cache()
     rounds = 0
     while len(tokens) < vocab_size:
         got = [(r["left"], r["right"], r["count"]) for r in top_pairs(pair_counts(table), head).collect()]
@@ -282,7 +284,9 @@ def encode_words(words: DataFrame, model: BpeModel, word: str = "word") -> DataF
                 "ids": [[ids.get(t, UNK_ID) for t in ts] for ts in toks],
             })
 
-    return words.select(F.col(word).alias("word")).mapInPandas(run, WORD_CODES)
+    spark = words.sparkSession
+    return (words.select(F.col(word).alias("word")).repartition(parallelism(spark), "word")
+                 .mapInPandas(run, WORD_CODES))
 
 
 # ---------------------------------------------------------------- T4, T6, T7
@@ -319,20 +323,20 @@ def token_to_id(tokens: DataFrame, token: str, vocab: DataFrame, max_vocab: int)
 def decode(df: DataFrame, ids: str, keys, model: BpeModel) -> DataFrame:
     """T6 + J4: ids -> tokens -> one string per row; specials appear literally.
 
-    An id outside the vocabulary raises (the vocabulary is broadcast: its size
-    is the model's vocab_size).
+    The vocabulary (bounded by the model's vocab_size) is a constant array, so
+    each row is decoded in place by index lookup — no explode, join or
+    regrouping shuffle.  An id outside the vocabulary raises.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    vocab = F.broadcast(model.vocab_df(df.sparkSession))
-    ex = df.select(*keys, F.posexplode(ids).alias("i", "id"))
-    looked = ex.join(vocab, "id", "left").select(
-        *keys, "i", F.when(F.col("token").isNull(),
-                           F.raise_error(F.concat(F.lit("token id out of range: "), F.col("id").cast("string"))))
-                     .otherwise(F.col("token")).alias("token"))
-    empty = df.select(*keys, F.lit(-1).alias("i"), F.lit("").alias("token"))
-    grouped = (looked.unionByName(empty).groupBy(*keys)
-                     .agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("__t")))
-    return grouped.select(*keys, F.array_join(F.transform("__t", lambda x: x["token"]), "").alias("text"))
+    vocab = F.array(*[F.lit(t) for t in model.tokens])
+    n = len(model.tokens)
+
+    def look(i):
+        ok = (i >= 0) & (i < n)
+        return F.when(ok, F.element_at(vocab, F.when(ok, i + 1).otherwise(1))).otherwise(
+            F.raise_error(F.concat(F.lit("token id out of range: "), i.cast("string"))))
+
+    return df.select(*keys, F.array_join(F.transform(F.col(ids), look), "").alias("text"))
 
 
 def round_trip(df: DataFrame, text: str, keys, model: BpeModel) -> DataFrame:
@@ -354,6 +358,11 @@ def encoded_lengths(encoded: DataFrame, keys, ids: str = "ids") -> DataFrame:
     return encoded.select(*keys, F.size(ids).cast("int").alias("n_tokens"))
 
 
+def sorted_vocab(vocab: DataFrame, token: str = "token") -> DataFrame:
+    """L4: the vocabulary listed in token order (binary string order)."""
+    return vocab.orderBy(token)
+
+
 # ---------------------------------------------------------------- J7
 
 def vocab_overlap(a: DataFrame, b: DataFrame, token: str = "token") -> dict[str, DataFrame]:

@@ -28,3 +28,21 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
         else:
             sel.append(c.alias(name))
     return df.select(*sel)
+
+
+def parallelism(spark) -> int:
+    """Task slots of the cluster (total executor cores)."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-repartition ``df`` to the cluster's parallelism if it has fewer partitions.
+
+    Large inputs already arrive in many file splits and are left alone; a
+    table stored as one big row group would otherwise run all per-row work
+    (regex tokenisation, Python UDFs) in a single task.
+    """
+    target = parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -81,6 +81,22 @@ def _accuracy_metric() -> Metric:
         finish=finish, temp_cols=["__acc_n", "__acc_k"])
 
 
+@dataclass
+class PandasMetric:
+    """E1 fallback: arbitrary Python over one chunk's records (a UDAF).
+
+    ``fn`` gets the chunk's records (columns ``fields``, in step order) as a
+    pandas DataFrame and returns a dict matching ``schema`` (a DDL string).
+    Chunks are bounded by ``aggregation_interval`` records, so a group never
+    grows with the data.
+    """
+
+    name: str
+    fn: Callable
+    schema: str
+    fields: list[str]
+
+
 METRICS: dict[str, Callable[[], Metric]] = {
     "loss": _loss_metric,
     "accuracy": _accuracy_metric,
@@ -127,6 +143,8 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
     run_id, split, then each metric's columns.
     """
     ms = [METRICS[m]() if isinstance(m, str) else m for m in metrics]
+    py = [m for m in ms if isinstance(m, PandasMetric)]
+    ms = [m for m in ms if not isinstance(m, PandasMetric)]
     for m in ms:
         df = m.prepare(df)
     keyed = chunk_keys(df, run_key, seq, split, flush_interval, aggregation_interval)
@@ -147,9 +165,31 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
         sel.append(F.col(run_key))
     for m in ms:
         sel += m.finish()
+    keys = [run_key, "__island", "__fg", "__chunk"]
+    for m in py:
+        grouped = grouped.join(_pandas_metric(keyed, keys, seq, m), keys, "inner")
+        sel += [F.col(f.split()[0]) for f in m.schema.split(",")]
     return grouped.select(*sel)
 
 
+def _pandas_metric(keyed: DataFrame, keys: list[str], seq: str, m: PandasMetric) -> DataFrame:
+    import pandas as pd
+
+    out_cols = [f.split()[0] for f in m.schema.split(",")]
+    key_types = {k: t for k, t in keyed.dtypes if k in keys}
+    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", " + m.schema
+
+    def run(pdf):
+        pdf = pdf.sort_values(seq)
+        vals = m.fn(pdf[m.fields])
+        row = {k: pdf[k].iloc[0] for k in keys}
+        row.update({c: vals.get(c) for c in out_cols})
+        return pd.DataFrame([row])
+
+    return keyed.select(*keys, seq, *[f for f in m.fields if f != seq]) \
+        .groupBy(*keys).applyInPandas(run, schema)
+
+
 def collect_field_lists(df: DataFrame, keys, seq: str, fields) -> DataFrame:
     """Per chunk, each field's values (in sequence order) from the records that have it."""
     keys = [keys] if isinstance(keys, str) else list(keys)

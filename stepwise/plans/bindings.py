@@ -35,18 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> raw step records (one record per step, no logits)."""
+    """events -> raw step records (one record per step, no logits).
+
+    The step numbering window is partitioned by the string ``run_id`` itself,
+    so every later per-run window or aggregate reuses this one hash
+    partitioning instead of shuffling the log again.
+    """
     ev = table(spark, sf_dir, "events")
-    run = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(
+    run = Window.partitionBy("run_id").orderBy("ts", "event_id")
+    base = ev.select(
         F.col("user_id").cast("string").alias("run_id"),
         F.when(F.col("event_type").isin("error", "signup"), F.lit("val"))
          .otherwise(F.lit("train")).alias("split"),
         (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("int").alias("epoch"),
-        F.row_number().over(run).cast("bigint").alias("step"),
+        "ts", "event_id",
         F.col("ts").cast("timestamp").alias("time"),
         F.log(F.lit(1.0) + F.col("value")).alias("loss"),
     )
+    return base.select("run_id", "split", "epoch", F.row_number().over(run).cast("bigint").alias("step"),
+                       "time", "loss")
 
 
 def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
