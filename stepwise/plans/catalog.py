@@ -653,3 +653,23 @@ def stream_join_configs(spark, sf):
     stsum.run_to_table(joined.select("run_id", "step", "split", "loss", "optimizer", "learning_rate",
                                      "depth", "width"), out, out + "-chk")
     return round_doubles(spark.read.parquet(out))
+
+
+@register("append_summaries")
+def append_summaries(spark, sf):
+    """S3: summary rows appended as JSON lines in two appends (split by run), read back with a schema."""
+    summary = logs.count_window_summary(bd.step_log(spark, sf), flush_interval=20, aggregation_interval=7,
+                                        metrics=("loss", "perplexity"))
+    path = _scratch(spark, "summaries")
+    first = F.col("run_id").cast("bigint") % 2 == 0
+    src.append_summaries(summary.filter(first), path)
+    src.append_summaries(summary.filter(~first), path)
+    schema = "logger_id string, n_steps bigint, step bigint, time string, epoch int, run_id string, " \
+             "split string, loss_mean double, loss_std double, perplexity double"
+    return round_doubles(spark.read.schema(schema).json(path))
+
+
+@register("samples_train")
+def samples_train(spark, sf):
+    """The train half of a known labelled-vector set (exact seeded split)."""
+    return src.read_samples(spark, sf, "embeddings", train=True).select("id", "label")

@@ -516,3 +516,8 @@ ORACLE["page_file_names"] = r"""SELECT page_id, fn AS file_name, CASE WHEN len(p
 
 ORACLE["stream_log_summary"] = ORACLE["log_summary"]
 ORACLE["stream_join_configs"] = ORACLE["join_logs_configs"]
+
+ORACLE["append_summaries"] = ORACLE["log_summary"]
+
+ORACLE["samples_train"] = f"""WITH {_split_ctes([0.5], ['train'], 42, 'embeddings', 'vec_id', 'vec_id, label')}
+SELECT vec_id AS id, label FROM lab WHERE split = 'train'"""

@@ -75,3 +75,20 @@ def test_batched_rounds_equal_one_at_a_time(spark):
     tokens, merges = _one_at_a_time(freq, len(model.tokens), alphabet)
     assert merges == model.merges
     assert tokens == model.tokens
+
+
+def test_decode_out_of_range_raises(spark):
+    model = bpe.BpeModel(["[PAD]", "[UNK]", "[EOS]", "a"], [])
+    df = spark.createDataFrame([(1, [3, 2]), (2, [9])], "k long, ids array<int>")
+    ok = bpe.decode(df.filter("k = 1"), "ids", "k", model).first()["text"]
+    assert ok == "a[EOS]"
+    import pytest
+    with pytest.raises(Exception):
+        bpe.decode(df.filter("k = 2"), "ids", "k", model).collect()
+
+
+def test_alphabet_too_large_raises(spark):
+    import pytest
+    df = spark.createDataFrame([(0, "abcdef")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        bpe.bpe_train(df, "text", "doc_id", vocab_size=5)
