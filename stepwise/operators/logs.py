@@ -133,21 +133,84 @@ def chunk_keys(df: DataFrame, run_key: str, seq: str, split: str,
                .drop("__rn", "__chg", "__start"))
 
 
+def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
+                         flush_interval: int = 1000, aggregation_interval: int = 1) -> DataFrame:
+    """``chunk_keys`` without any window partitioned by the run alone.
+
+    Records are range-partitioned on (run, seq) — a hot run is split over many
+    partitions — and written to the shared checkpoint folder so partition
+    contents are fixed.  Each (partition, run) *slice* is numbered locally;
+    a small slice table (one row per slice) carries the offsets across
+    partitions: rows before the slice, the split at the slice boundary,
+    split changes before it and the position of the last change.
+    """
+    from stepwise.operators.common import bounded_broadcast, parallelism
+    from stepwise.session import ensure_checkpoint_dir
+
+    if aggregation_interval < 1 or flush_interval < 0:
+        raise ValueError("aggregation_interval must be >= 1 and flush_interval >= 0")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = (df.repartitionByRange(parallelism(spark) * 4, run_key, seq)
+               .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
+    w = Window.partitionBy("__pid", run_key).orderBy(seq)
+    run_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (parts.withColumn("__lrn", F.row_number().over(w) - 1)
+                  .withColumn("__lchg", F.when((F.col("__lrn") > 0) & ~F.col(split).eqNullSafe(F.lag(split).over(w)),
+                                               1).otherwise(0)))
+    first = F.min_by(F.col(split), F.col(seq))
+    last = F.max_by(F.col(split), F.col(seq))
+    slices = local.groupBy(run_key, "__pid").agg(
+        F.count(F.lit(1)).alias("__cnt"), first.alias("__first"), last.alias("__last"),
+        F.sum("__lchg").alias("__nchg"),
+        F.max(F.when(F.col("__lchg") == 1, F.col("__lrn"))).alias("__lastchg"))
+    sw = Window.partitionBy(run_key).orderBy("__pid")
+    before = sw.rowsBetween(Window.unboundedPreceding, -1)
+    slices = (slices.withColumn("__off", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
+                    .withColumn("__prev", F.lag("__last").over(sw)))
+    slices = slices.withColumn("__bchg", F.when((F.col("__off") > 0) & ~F.col("__first").eqNullSafe(F.col("__prev")),
+                                                1).otherwise(0))
+    # global position of the last change inside each slice (boundary change counts at local 0)
+    slices = slices.withColumn("__slast", F.coalesce(
+        F.col("__off") + F.col("__lastchg"), F.when(F.col("__bchg") == 1, F.col("__off"))))
+    slices = (slices.withColumn("__isl_off", F.coalesce(F.sum(F.col("__nchg") + F.col("__bchg")).over(before), F.lit(0)))
+                    .withColumn("__start_off", F.coalesce(F.max("__slast").over(before), F.lit(0)))
+                    .select(run_key, "__pid", "__off", "__bchg", "__isl_off", "__start_off"))
+    slices = bounded_broadcast(slices, 2_000_000)
+    j = local.join(slices, [run_key, "__pid"], "inner")
+    chg = F.when(F.col("__lrn") == 0, F.col("__bchg")).otherwise(F.col("__lchg"))
+    rn = F.col("__off") + F.col("__lrn")
+    j = j.withColumn("__rn", rn).withColumn("__chg", chg)
+    j = (j.withColumn("__island", F.col("__isl_off") + F.sum("__chg").over(run_to))
+          .withColumn("__start", F.greatest(F.col("__start_off"),
+                                            F.coalesce(F.max(F.when(F.col("__chg") == 1, F.col("__rn"))).over(run_to),
+                                                       F.lit(0)))))
+    pos = F.col("__rn") - F.col("__start")
+    fg = F.floor(pos / flush_interval) if flush_interval else F.lit(0)
+    j = j.withColumn("__fg", fg.cast("bigint"))
+    inner = pos - F.col("__fg") * (flush_interval or 0)
+    return (j.withColumn("__chunk", F.floor(inner / aggregation_interval).cast("bigint"))
+             .drop("__pid", "__lrn", "__lchg", "__off", "__bchg", "__isl_off", "__start_off",
+                   "__rn", "__chg", "__start"))
+
+
 def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "step",
                          split: str = "split", flush_interval: int = 1000,
                          aggregation_interval: int = 1, metrics=("loss",),
-                         logger_id: Column | None = None) -> DataFrame:
+                         logger_id: Column | None = None, skew_safe: bool = False) -> DataFrame:
     """One summary row per chunk with n_steps (A10), last-record fields (A9) and metrics.
 
     Output: logger_id, n_steps, step, time (string, microseconds), epoch,
-    run_id, split, then each metric's columns.
+    run_id, split, then each metric's columns.  ``skew_safe`` splits very
+    long runs across tasks (see ``chunk_keys_skew_safe``).
     """
     ms = [METRICS[m]() if isinstance(m, str) else m for m in metrics]
     py = [m for m in ms if isinstance(m, PandasMetric)]
     ms = [m for m in ms if not isinstance(m, PandasMetric)]
     for m in ms:
         df = m.prepare(df)
-    keyed = chunk_keys(df, run_key, seq, split, flush_interval, aggregation_interval)
+    keys_fn = chunk_keys_skew_safe if skew_safe else chunk_keys
+    keyed = keys_fn(df, run_key, seq, split, flush_interval, aggregation_interval)
     last_cols = [c for c in LAST_FIELDS if c in df.columns]
     if split not in last_cols:
         last_cols.append(split)

@@ -76,6 +76,88 @@ def savgol_smooth(df: DataFrame, keys, order: str, cols, window: int = WINDOW,
     return out.drop(f"{tmp}_rn", f"{tmp}_n", f"{tmp}_frame", f"{tmp}_p", f"{tmp}_off")
 
 
+def run_positions(df: DataFrame, keys, order: str) -> DataFrame:
+    """Add ``__rn`` (0-based position in its run) and ``__n`` (run length) without a
+    window partitioned by the run: range partitions split hot runs, and a small
+    per-(run, partition) slice table carries the offsets."""
+    from stepwise.operators.common import bounded_broadcast, parallelism
+    from stepwise.session import ensure_checkpoint_dir
+
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = (df.repartitionByRange(parallelism(spark) * 4, *keys, order)
+               .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
+    w = Window.partitionBy("__pid", *keys).orderBy(order)
+    local = parts.withColumn("__lrn", F.row_number().over(w) - 1)
+    slices = local.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__cnt"))
+    sw = Window.partitionBy(*keys).orderBy("__pid")
+    slices = slices.select(*keys, "__pid",
+                           F.coalesce(F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding, -1)),
+                                      F.lit(0)).alias("__off"),
+                           F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding,
+                                                              Window.unboundedFollowing)).alias("__n"))
+    j = local.join(bounded_broadcast(slices, 2_000_000), [*keys, "__pid"], "inner")
+    return (j.withColumn("__rn", (F.col("__off") + F.col("__lrn")).cast("int"))
+             .withColumn("__n", F.col("__n").cast("int"))
+             .drop("__pid", "__lrn", "__off"))
+
+
+def savgol_smooth_skew_safe(df: DataFrame, keys, order: str, cols, window: int = WINDOW,
+                            degree: int = DEGREE, prefix: str = "smoothed_",
+                            bucket_rows: int = 4096) -> DataFrame:
+    """W2 for runs of any length: rows are bucketed by position (``bucket_rows``
+    per bucket) and the ``window - 1`` rows at each bucket edge are copied into
+    the neighbouring bucket, so every window partition is (run, bucket)-sized.
+    Same values as ``savgol_smooth``."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    halo = window - 1
+    if bucket_rows <= halo:
+        raise ValueError("bucket_rows must exceed window - 1")
+    pos = run_positions(df, keys, order)
+    home = F.floor(F.col("__rn") / bucket_rows).cast("int")
+    off = F.col("__rn") % bucket_rows
+    copies = F.array_compact(F.array(
+        home, F.when(off < halo, home - 1), F.when(off >= bucket_rows - halo, home + 1)))
+    ex = (pos.withColumn("__home", home)
+             .withColumn("__bucket", F.explode(copies))
+             .filter(F.col("__bucket") >= 0))
+    w = Window.partitionBy(*keys, "__bucket").orderBy("__rn")
+    near = w.rowsBetween(-(window - 1), window - 1)
+    half = window // 2
+    out = ex.withColumn("__frame", F.collect_list(F.struct(*[F.col(c).alias(c) for c in cols])).over(near))
+    rn, n = F.col("__rn"), F.col("__n")
+    start = F.least(F.greatest(rn - half, F.lit(0)), n - window)
+    frame_start = F.greatest(rn - (window - 1), F.lit(0))
+    out = (out.filter(F.col("__bucket") == F.col("__home"))
+              .withColumn("__p", (rn - start).cast("int"))
+              .withColumn("__o", (start - frame_start).cast("int")))
+    hrow = F.element_at(_h_literal(window, degree), F.col("__p") + 1)
+    for c in cols:
+        dot = F.aggregate(
+            F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0.0).cast("double"),
+            lambda acc, k: acc + F.element_at(hrow, k + 1)
+            * F.element_at(F.col("__frame"), F.col("__o") + k + 1)[c].cast("double"))
+        out = out.withColumn(prefix + c, F.when(n >= window, dot))
+    return out.drop("__rn", "__n", "__home", "__bucket", "__frame", "__p", "__o")
+
+
+def mask_outside_agg(df: DataFrame, cols, keys, step: str = "step", margin: int = EDGE_MARGIN) -> DataFrame:
+    """P7 with the run maximum from a partially aggregated group-by (no run-keyed window)."""
+    from stepwise.operators.common import bounded_broadcast
+
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    mx = bounded_broadcast(df.groupBy(*keys).agg(F.max(step).alias("__mx")), 2_000_000)
+    out = df.join(mx, keys, "inner")
+    for c in cols:
+        if c in out.columns:
+            out = out.withColumn(c, F.when(F.col(step).between(F.lit(margin), F.col("__mx") - margin), F.col(c)))
+    return out.drop("__mx")
+
+
 def mask_outside(df: DataFrame, cols, keys, step: str = "step",
                  margin: int = EDGE_MARGIN) -> DataFrame:
     """NULL out ``cols`` where step is outside [margin, max(step) - margin] of its run."""
@@ -89,8 +171,15 @@ def mask_outside(df: DataFrame, cols, keys, step: str = "step",
 
 
 def smooth_and_mask(df: DataFrame, keys, cols, step: str = "step", window: int = WINDOW,
-                    degree: int = DEGREE, margin: int = EDGE_MARGIN) -> DataFrame:
-    """The per-run read path of a sweep: W2 followed by P7 on the smoothed columns."""
+                    degree: int = DEGREE, margin: int = EDGE_MARGIN, skew_safe: bool = False) -> DataFrame:
+    """The per-run read path of a sweep: W2 followed by P7 on the smoothed columns.
+
+    ``skew_safe`` avoids every window partitioned by the run alone, so a run
+    holding a large share of all rows is spread over many tasks.
+    """
     present = [c for c in cols if c in df.columns]
+    if skew_safe:
+        out = savgol_smooth_skew_safe(df, keys, step, present, window, degree)
+        return mask_outside_agg(out, [f"smoothed_{c}" for c in present], keys, step, margin)
     out = savgol_smooth(df, keys, step, present, window, degree)
     return mask_outside(out, [f"smoothed_{c}" for c in present], keys, step, margin)

@@ -49,12 +49,12 @@ def grid_expand(spark: SparkSession, axes: list[tuple[str, DataFrame]],
     total = reduce(lambda a, b: a * b, sizes, 1) if axes else 0
     grid = spark.range(total).withColumnRenamed("id", "__i")
     stride = total
-    for (name, ax), size in zip(axes, sizes):
+    for k, ((name, ax), size) in enumerate(zip(axes, sizes)):
         stride = stride // size if size else 0
         pos = F.floor(F.col("__i") / F.lit(stride)) % F.lit(size)
-        grid = grid.withColumn(f"__p_{name}", pos.cast("bigint"))
-        a = bounded_broadcast(ax.withColumnRenamed("pos", f"__p_{name}"), max_axis_rows)
-        grid = grid.join(a, f"__p_{name}", "inner").drop(f"__p_{name}")
+        grid = grid.withColumn(f"__p{k}", pos.cast("bigint"))
+        a = bounded_broadcast(ax.withColumnRenamed("pos", f"__p{k}"), max_axis_rows)
+        grid = grid.join(a, f"__p{k}", "inner").drop(f"__p{k}")
     return grid.withColumn("run_id", (F.col("__i") + 1).cast("bigint")).drop("__i")
 
 

@@ -673,3 +673,24 @@ def append_summaries(spark, sf):
 def samples_train(spark, sf):
     """The train half of a known labelled-vector set (exact seeded split)."""
     return src.read_samples(spark, sf, "embeddings", train=True).select("id", "label")
+
+
+@register("log_summary_skew_safe")
+def log_summary_skew_safe(spark, sf):
+    """W1 without run-keyed windows: hot runs are split across range partitions."""
+    return round_doubles(logs.count_window_summary(
+        bd.step_log(spark, sf), flush_interval=20, aggregation_interval=7,
+        metrics=("loss", "perplexity"), skew_safe=True))
+
+
+@register("best_steps_skew_safe")
+def best_steps_skew_safe(spark, sf):
+    """Flagship with the skew-safe smoothing path (hot runs split by position buckets)."""
+    logs_df = bd.step_log(spark, sf)
+    smoothed = smooth_and_mask(logs_df, ["run_id"], ["loss"], skew_safe=True)
+    summary = an.best_per_run(smoothed, "run_id", "step", {"loss": "lower", "smoothed_loss": "lower"})
+    cfg = bd.run_configs(spark, sf).select("id", "optimizer", "learning_rate", "depth", "width")
+    out = an.join_logs_configs(summary, cfg, left="run_id", right="id").drop("id")
+    return round_doubles(out.select(
+        "run_id", "optimizer", "learning_rate", "depth", "width",
+        "best_loss_step", "best_loss", "best_smoothed_loss_step", "best_smoothed_loss"))

@@ -521,3 +521,5 @@ ORACLE["append_summaries"] = ORACLE["log_summary"]
 
 ORACLE["samples_train"] = f"""WITH {_split_ctes([0.5], ['train'], 42, 'embeddings', 'vec_id', 'vec_id, label')}
 SELECT vec_id AS id, label FROM lab WHERE split = 'train'"""
+ORACLE["log_summary_skew_safe"] = ORACLE["log_summary"]
+ORACLE["best_steps_skew_safe"] = ORACLE["best_steps"]

@@ -139,3 +139,41 @@ def test_pandas_metric_fallback_matches_builtin(spark):
     for r in out:
         chunk = [float(s % 5) for s in range(1, 30) if s <= r["step"] and s > r["step"] - r["n_steps"]]
         assert r["loss_max"] == max(chunk) and r["last_loss"] == chunk[-1]
+
+
+def _skewed_log(spark):
+    rng = random.Random(11)
+    rows = []
+    for run, n in [("hot", 1500), ("a", 50), ("b", 51), ("c", 52), ("d", 130)]:
+        split = "train"
+        for step in range(1, n + 1):
+            if rng.random() < 0.05:
+                split = "val" if split == "train" else "train"
+            rows.append((run, split, 1, step * 10, rng.random() * 3))
+    return spark.createDataFrame(rows, "run_id string, split string, epoch int, step bigint, loss double")
+
+
+def test_skew_safe_summary_equals_default(spark):
+    df = _skewed_log(spark)
+    for flush, agg in [(20, 7), (0, 5), (100, 10)]:
+        a = sorted(tuple(r) for r in logs.count_window_summary(df, flush_interval=flush,
+                                                               aggregation_interval=agg).collect())
+        b = sorted(tuple(r) for r in logs.count_window_summary(df, flush_interval=flush, aggregation_interval=agg,
+                                                               skew_safe=True).collect())
+        assert [x[:6] for x in a] == [x[:6] for x in b]
+        for x, y in zip(a, b):
+            for i in (6, 7):
+                assert (x[i] is None and y[i] is None) or abs(x[i] - y[i]) < 1e-9
+
+
+def test_skew_safe_smoothing_equals_default(spark):
+    df = _skewed_log(spark)
+    a = {(r["run_id"], r["step"]): r["smoothed_loss"]
+         for r in smooth.smooth_and_mask(df, ["run_id"], ["loss"]).collect()}
+    b = {(r["run_id"], r["step"]): r["smoothed_loss"]
+         for r in smooth.mask_outside_agg(
+             smooth.savgol_smooth_skew_safe(df, ["run_id"], "step", ["loss"], bucket_rows=64),
+             ["smoothed_loss"], ["run_id"]).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-9, k

@@ -34,7 +34,7 @@ def test_unflatten_clash_raises(spark):
 
 
 def _axis(spark, name, values, dtype="string"):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"pos bigint, {name} {dtype}")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"pos bigint, `{name}` {dtype}")
     return (name, df)
 
 
