@@ -21,6 +21,7 @@ from stepwise.session import local_session  # noqa: E402
 
 HEADLINE = [
     "best_steps",            # S1-J1-W2-P7-A5-J2 flagship
+    "best_steps_skew_safe",  # same, no run-keyed windows (hot runs split)
     "log_summary",           # W1 count windows
     "log_summary_accuracy",  # W1 + A6 over logits batches
     "facet_train_frac",      # A1

@@ -194,9 +194,15 @@ def elapsed(df: DataFrame, run_key, step: str, ts: str) -> DataFrame:
 
 # ---------------------------------------------------------------- windows
 
-def nth_from_end(df: DataFrame, keys, order: str, col: str, n: int = 31) -> DataFrame:
+def nth_from_end(df: DataFrame, keys, order: str, col: str, n: int = 31,
+                 skew_safe: bool = False) -> DataFrame:
     """Per series, the value ``n`` rows from the end (1 = last row)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if skew_safe:
+        from stepwise.operators.smooth import run_positions
+        pos = run_positions(df, keys, order)
+        return (pos.filter(F.col("__n") - F.col("__rn") == n)
+                   .select(*keys, F.col(order).alias(f"{order}_at"), F.col(col).alias(f"{col}_at")))
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return (df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == n)
               .select(*keys, F.col(order).alias(f"{order}_at"), F.col(col).alias(f"{col}_at")))

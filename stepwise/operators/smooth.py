@@ -76,7 +76,7 @@ def savgol_smooth(df: DataFrame, keys, order: str, cols, window: int = WINDOW,
     return out.drop(f"{tmp}_rn", f"{tmp}_n", f"{tmp}_frame", f"{tmp}_p", f"{tmp}_off")
 
 
-def run_positions(df: DataFrame, keys, order: str) -> DataFrame:
+def run_positions(df: DataFrame, keys, order) -> DataFrame:
     """Add ``__rn`` (0-based position in its run) and ``__n`` (run length) without a
     window partitioned by the run: range partitions split hot runs, and a small
     per-(run, partition) slice table carries the offsets."""
@@ -84,11 +84,12 @@ def run_positions(df: DataFrame, keys, order: str) -> DataFrame:
     from stepwise.session import ensure_checkpoint_dir
 
     keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = (df.repartitionByRange(parallelism(spark) * 4, *keys, order)
+    parts = (df.repartitionByRange(parallelism(spark) * 4, *keys, *order)
                .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
-    w = Window.partitionBy("__pid", *keys).orderBy(order)
+    w = Window.partitionBy("__pid", *keys).orderBy(*order)
     local = parts.withColumn("__lrn", F.row_number().over(w) - 1)
     slices = local.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     sw = Window.partitionBy(*keys).orderBy("__pid")

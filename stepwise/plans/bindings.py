@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def step_log(spark: SparkSession, sf_dir: str, skew_safe: bool = False) -> DataFrame:
     """events -> raw step records (one record per step, no logits).
 
     The step numbering window is partitioned by the string ``run_id`` itself,
@@ -52,6 +52,11 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("time"),
         F.log(F.lit(1.0) + F.col("value")).alias("loss"),
     )
+    if skew_safe:
+        from stepwise.operators.smooth import run_positions
+        pos = run_positions(base, ["run_id"], ["ts", "event_id"])
+        return pos.select("run_id", "split", "epoch", (F.col("__rn") + 1).cast("bigint").alias("step"),
+                          "time", "loss")
     return base.select("run_id", "split", "epoch", F.row_number().over(run).cast("bigint").alias("step"),
                        "time", "loss")
 

@@ -679,14 +679,14 @@ def samples_train(spark, sf):
 def log_summary_skew_safe(spark, sf):
     """W1 without run-keyed windows: hot runs are split across range partitions."""
     return round_doubles(logs.count_window_summary(
-        bd.step_log(spark, sf), flush_interval=20, aggregation_interval=7,
+        bd.step_log(spark, sf, skew_safe=True), flush_interval=20, aggregation_interval=7,
         metrics=("loss", "perplexity"), skew_safe=True))
 
 
 @register("best_steps_skew_safe")
 def best_steps_skew_safe(spark, sf):
     """Flagship with the skew-safe smoothing path (hot runs split by position buckets)."""
-    logs_df = bd.step_log(spark, sf)
+    logs_df = bd.step_log(spark, sf, skew_safe=True)
     smoothed = smooth_and_mask(logs_df, ["run_id"], ["loss"], skew_safe=True)
     summary = an.best_per_run(smoothed, "run_id", "step", {"loss": "lower", "smoothed_loss": "lower"})
     cfg = bd.run_configs(spark, sf).select("id", "optimizer", "learning_rate", "depth", "width")
@@ -694,3 +694,10 @@ def best_steps_skew_safe(spark, sf):
     return round_doubles(out.select(
         "run_id", "optimizer", "learning_rate", "depth", "width",
         "best_loss_step", "best_loss", "best_smoothed_loss_step", "best_smoothed_loss"))
+
+
+@register("nth_from_end_skew_safe")
+def nth_from_end_skew_safe(spark, sf):
+    """W3 on the skew-safe path (positions from range slices, no run-keyed window)."""
+    sm = smooth_and_mask(bd.step_log(spark, sf, skew_safe=True), ["run_id"], ["loss"], skew_safe=True)
+    return round_doubles(an.nth_from_end(sm, "run_id", "step", "smoothed_loss", 31, skew_safe=True))

@@ -523,3 +523,4 @@ ORACLE["samples_train"] = f"""WITH {_split_ctes([0.5], ['train'], 42, 'embedding
 SELECT vec_id AS id, label FROM lab WHERE split = 'train'"""
 ORACLE["log_summary_skew_safe"] = ORACLE["log_summary"]
 ORACLE["best_steps_skew_safe"] = ORACLE["best_steps"]
+ORACLE["nth_from_end_skew_safe"] = ORACLE["nth_from_end"]
