@@ -83,9 +83,9 @@ def layer_norm(c, weight=None, bias=None) -> Column:
                                   + F.element_at(bb, i + 1))
             return F.when((n > 1) & (std > 0), out)
 
-        return let(F.sqrt(ss / (n - 1)), with_std)
+        return let(F.sqrt(F.try_divide(ss, n - 1)), with_std)
 
-    return let(array_sum(c) / n, with_mean)
+    return let(F.try_divide(array_sum(c), n), with_mean)
 
 
 def relu(c) -> Column:

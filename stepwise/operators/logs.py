@@ -71,8 +71,8 @@ def _accuracy_metric() -> Metric:
 
     def finish():
         n, k = F.col("__acc_n_sum"), F.col("__acc_k_sum")
-        mean = k / n
-        std = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (k - n * mean * mean) / (n - 1))))
+        mean = F.try_divide(k, n)
+        std = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(k - n * mean * mean, n - 1))))
         return [mean.alias("accuracy_mean"), std.alias("accuracy_std")]
 
     return Metric(

@@ -177,3 +177,11 @@ def test_skew_safe_smoothing_equals_default(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-9, k
+
+
+def test_vector_edge_cases_do_not_raise(spark):
+    from stepwise.functions import arrays as ar
+    df = spark.createDataFrame([(1, [2.0]), (2, []), (3, [1.0, 1.0]), (4, [1.0, 3.0])], "k int, v array<double>")
+    got = {r["k"]: r["n"] for r in df.select("k", ar.layer_norm("v").alias("n")).collect()}
+    assert got[1] is None and got[2] is None and got[3] is None
+    assert [round(x, 9) for x in got[4]] == [round(-1 / 2 ** 0.5, 9), round(1 / 2 ** 0.5, 9)]
