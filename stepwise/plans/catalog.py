@@ -701,3 +701,36 @@ def nth_from_end_skew_safe(spark, sf):
     """W3 on the skew-safe path (positions from range slices, no run-keyed window)."""
     sm = smooth_and_mask(bd.step_log(spark, sf, skew_safe=True), ["run_id"], ["loss"], skew_safe=True)
     return round_doubles(an.nth_from_end(sm, "run_id", "step", "smoothed_loss", 31, skew_safe=True))
+
+
+@register("token_ids")
+def token_ids(spark, sf):
+    """Each distinct conversation pre-token looked up in the documents vocabulary (unknown -> 1)."""
+    words = bpe.word_freq(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"]).select(
+        F.col("word").alias("token"))
+    m = _model(spark, sf)
+    return bpe.token_to_id(words, "token", m.vocab_df(spark), len(m.tokens)).select("token", "id")
+
+
+@register("chunk_field_lists")
+def chunk_field_lists(spark, sf):
+    """Per summary chunk (flush 20, chunks of 7), the losses of its records in step order."""
+    keyed = logs.chunk_keys(bd.step_log(spark, sf), "run_id", "step", "split", 20, 7)
+    lists = logs.collect_field_lists(keyed.withColumn("loss", F.round("loss", 6)),
+                                     ["run_id", "__island", "__fg", "__chunk"], "step", ["loss", "step"])
+    return lists.select("run_id", F.col("__island").alias("island"), F.col("__fg").alias("flush_group"),
+                        F.col("__chunk").alias("chunk"), F.col("loss").alias("losses"), F.col("step").alias("steps"))
+
+
+@register("relayout_pages")
+def relayout_pages(spark, sf):
+    """S7 write: pages rewritten under one folder per parsed category, read back and counted."""
+    p = bd.table(spark, sf, "pages")
+    name = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/", "_")
+    out = _scratch(spark, "relayout")
+    src.relayout_by_category(p.select("page_id", name.alias("file_name"), "html"), "file_name", out=out,
+                             content_col="html")
+    # explicit schema: partition values stay strings (an empty category is stored as the null partition)
+    back = spark.read.schema("file_name string, html string, item_id string, category string").parquet(out)
+    return back.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"),
+                                        F.sum(F.length("html")).cast("bigint").alias("n_bytes"))

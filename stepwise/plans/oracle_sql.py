@@ -524,3 +524,17 @@ SELECT vec_id AS id, label FROM lab WHERE split = 'train'"""
 ORACLE["log_summary_skew_safe"] = ORACLE["log_summary"]
 ORACLE["best_steps_skew_safe"] = ORACLE["best_steps"]
 ORACLE["nth_from_end_skew_safe"] = ORACLE["nth_from_end"]
+
+ORACLE["token_ids"] = f"""WITH {_DOC}, {occ_ctes('c', 'conversations', ['conv_id', 'turn'])}
+SELECT w.word AS token, CAST(coalesce(v.id, 1) AS INTEGER) AS id
+FROM (SELECT DISTINCT word FROM c_occ) w LEFT JOIN d_vocab v ON v.token = w.word"""
+
+ORACLE["chunk_field_lists"] = f"""WITH {LOG}, {chunk_ctes('log', 20, 7)}
+SELECT run_id, CAST(island AS BIGINT) AS island, CAST(fg AS BIGINT) AS flush_group, CAST(chunk AS BIGINT) AS chunk,
+       list(round(loss, 6) + 0.0 ORDER BY step) AS losses, list(step ORDER BY step) AS steps
+FROM k3 GROUP BY run_id, island, fg, chunk"""
+
+ORACLE["relayout_pages"] = r"""SELECT category, count(*) AS n_files, CAST(sum(length(html)) AS BIGINT) AS n_bytes FROM (
+  SELECT html, nullif(string_split(regexp_extract(fn, '^(.+?)(\.[^.]*)?$', 1), '_')[-1], '') AS category FROM (
+    SELECT html, replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') AS fn FROM pages))
+GROUP BY category"""
