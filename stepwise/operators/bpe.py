@@ -127,6 +127,16 @@ def pair_counts(table: DataFrame, sym: str = "sym", freq: str = "freq") -> DataF
                  .agg(F.sum(freq).cast("bigint").alias("count")))
 
 
+def _signed_pairs(table: DataFrame, sign: int, sym: str = "sym", freq: str = "freq") -> DataFrame:
+    """Adjacent pairs of every row with count +-freq (not aggregated)."""
+    s = _symbols(sym)
+    n = F.size(s) - 1
+    pairs = F.arrays_zip(F.slice(s, 1, n).alias("left"), F.slice(s, 2, n).alias("right"))
+    return (table.filter(F.size(s) > 1)
+                 .select(F.explode(pairs).alias("p"), (F.col(freq) * sign).cast("bigint").alias("count"))
+                 .select(F.col("p.left").alias("left"), F.col("p.right").alias("right"), "count"))
+
+
 def top_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
     """L1: the k most frequent pairs; ties by left, then right (binary string order)."""
     return pairs.orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc()).limit(k)
@@ -184,7 +194,8 @@ def _accept(head: list[tuple[str, str, int]], truncated: bool, ever: set[str],
 
 def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
               new_tokens: int | None = None, head: int = 256,
-              checkpoint_every: int = 1) -> BpeModel:
+              checkpoint_every: int = 1, delta: bool | None = None,
+              delta_min_words: int = 2_000_000) -> BpeModel:
     """Train byte-pair merges on the whole corpus.
 
     ``keys`` give the corpus order (first appearance decides alphabet ids).
@@ -193,6 +204,11 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     Textbook semantics: all non-overlapping occurrences merge, frequencies are
     summed, ranks are unique; a merge whose string already exists adds a
     merge but no vocabulary entry.
+
+    With ``delta`` the pair counts are kept as a checkpointed table and each
+    round only re-counts the words a merge touched (old pairs subtracted, new
+    pairs added); otherwise every round re-counts all words.  By default
+    ``delta`` is chosen from the size of the distinct-word table.
     """
     spark = corpus.sparkSession
     ensure_checkpoint_dir(spark)
@@ -213,10 +229,16 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
 
     table = (words.filter(F.length("word") > 1)
                   .select(encode_symbols("word").alias("sym"), F.col("freq"))
-                  .repartition(parallelism(spark), "sym")).cache()
+                  .repartition(parallelism(spark), "sym")).checkpoint(eager=True)
+    if delta is None:
+        # re-counting only touched words pays off once the word table is large;
+        # below that, the extra job per round costs more than the full recount
+        delta = table.limit(delta_min_words + 1).count() > delta_min_words
+    pairs = pair_counts(table).checkpoint(eager=True) if delta else None
     rounds = 0
     while len(tokens) < vocab_size:
-        got = [(r["left"], r["right"], r["count"]) for r in top_pairs(pair_counts(table), head).collect()]
+        counts = pairs if delta else pair_counts(table)
+        got = [(r["left"], r["right"], r["count"]) for r in top_pairs(counts, head).collect()]
         if not got:
             break
         batch = _accept(got, len(got) >= head, ever, vocab_size - len(tokens))
@@ -225,6 +247,19 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
             if l + r not in ever:
                 tokens.append(l + r)
                 ever.add(l + r)
+        if delta:
+            # only words containing a merged pair change: subtract their old pairs, add the new ones
+            touched = None
+            for l, r in batch:
+                hit = F.col("sym").contains(_L + l + _R + _L + r + _R)
+                touched = hit if touched is None else (touched | hit)
+            changed = table.filter(touched)
+            rewritten = changed.select(apply_merges("sym", batch).alias("sym"), "freq")
+            diff = _signed_pairs(changed, -1).unionByName(_signed_pairs(rewritten, 1))
+            pairs = (pairs.unionByName(diff).groupBy("left", "right")
+                          .agg(F.sum("count").cast("bigint").alias("count"))
+                          .filter(F.col("count") > 0)
+                          .checkpoint(eager=True))
         # words merged down to one symbol have no pairs left: drop them
         nxt = (table.select(apply_merges("sym", batch).alias("sym"), "freq")
                     .filter(F.col("sym").contains(_R + _L)))
