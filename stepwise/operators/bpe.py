@@ -355,6 +355,14 @@ def token_to_id(tokens: DataFrame, token: str, vocab: DataFrame, max_vocab: int)
                   .drop("__t"))
 
 
+def _vocab_literal(tokens: list[str]):
+    """The vocabulary as one constant array: a single string literal split on a
+    private-use separator that no token contains (constant-folded by Catalyst)."""
+    text = "".join(tokens)
+    sep = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in text)
+    return F.split(F.lit(sep.join(tokens)), sep, -1)
+
+
 def decode(df: DataFrame, ids: str, keys, model: BpeModel) -> DataFrame:
     """T6 + J4: ids -> tokens -> one string per row; specials appear literally.
 
@@ -363,7 +371,7 @@ def decode(df: DataFrame, ids: str, keys, model: BpeModel) -> DataFrame:
     regrouping shuffle.  An id outside the vocabulary raises.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    vocab = F.array(*[F.lit(t) for t in model.tokens])
+    vocab = _vocab_literal(model.tokens)
     n = len(model.tokens)
 
     def look(i):
