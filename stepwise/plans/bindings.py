@@ -128,7 +128,8 @@ def batch_step_log(spark: SparkSession, sf_dir: str, batch: int = 10,
         F.when(F.col("batch") % 4 == 3, F.lit("val")).otherwise(F.lit("train")).alias("split"),
         F.lit(1).alias("epoch"),
         (F.col("batch") + 1).alias("step"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("batch")).alias("time"),
+        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.expr("make_dt_interval(0, 0, 0, batch)"))
+        .cast("timestamp").alias("time"),
         (F.aggregate(F.col("items"), F.lit(0.0).cast("double"), lambda a, x: a + x["ce"])
          / F.size("items")).alias("loss"),
         F.transform("items", lambda x: x["logits"]).alias("logits"),
