@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from stepwise.functions.text import normalize_text, pre_tokenize
 from stepwise.operators.common import bounded_broadcast, parallelism, spread
-from stepwise.session import ensure_checkpoint_dir
+from stepwise.session import ensure_checkpoint_dir, ship_package
 
 # The special tokens and their ids.
 PAD, UNK, EOS = "[PAD]", "[UNK]", "[EOS]"
@@ -305,6 +305,7 @@ def encode_words(words: DataFrame, model: BpeModel, word: str = "word") -> DataF
     Runs the merge loop in Arrow batches; ranks and ids are broadcast once
     (their size is bounded by the vocabulary size).
     """
+    ship_package(words.sparkSession)
     sc = words.sparkSession.sparkContext
     b_ranks = sc.broadcast(model.ranks)
     b_ids = sc.broadcast(model.ids)

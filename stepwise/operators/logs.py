@@ -238,6 +238,9 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
 def _pandas_metric(keyed: DataFrame, keys: list[str], seq: str, m: PandasMetric) -> DataFrame:
     import pandas as pd
 
+    from stepwise.session import ship_package
+
+    ship_package(keyed.sparkSession)
     out_cols = [f.split()[0] for f in m.schema.split(",")]
     key_types = {k: t for k, t in keyed.dtypes if k in keys}
     schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", " + m.schema

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepwise.functions.arrays import argmax, cross_entropy
+from stepwise.session import ship_package
 
 
 def score_mlp(df: DataFrame, features: str, layers: list[tuple[np.ndarray, np.ndarray]],
@@ -29,6 +30,7 @@ def score_mlp(df: DataFrame, features: str, layers: list[tuple[np.ndarray, np.nd
     if len(layers) < 2:
         raise ValueError("need at least an input and an output layer")
     mats = [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
+    ship_package(df.sparkSession)
     b_layers = df.sparkSession.sparkContext.broadcast(mats)
     schema = T.StructType([f for f in df.select(*keep).schema.fields]
                           + [T.StructField(out, T.ArrayType(T.DoubleType()))])

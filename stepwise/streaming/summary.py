@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from stepwise.session import ship_package
 from stepwise.sources.files import JSON_TIME_FORMAT, STEP_LOG_SCHEMA
 
 STREAM_LOG_SCHEMA = T.StructType(STEP_LOG_SCHEMA.fields + [T.StructField("end_of_run", T.BooleanType())])
@@ -143,6 +144,7 @@ def stream_count_summary(stream: DataFrame, flush_interval: int = 1000,
     also closed after that much processing time (the close flush).  Without a
     timeout an ``availableNow`` query ends once the input is drained.
     """
+    ship_package(stream.sparkSession)
     if "end_of_run" not in stream.columns:
         stream = stream.withColumn("end_of_run", F.lit(None).cast("boolean"))
     cols = ["run_id", "split", "epoch", "step", "time", "loss", "end_of_run"]
