@@ -1,6 +1,6 @@
 """Text normalisation and pre-tokenisation (F1-F4), JVM-side regex only.
 
-Java's ``\\s`` is ASCII-only while the reference strips and splits on Python's
+Java's ``\\s`` is ASCII-only while the specified behaviour strips and splits on Python's
 Unicode whitespace, so the class is spelled out.  The same patterns run on
 RE2 (the SQL oracle), which accepts the ``\\x{...}`` escapes too.
 """

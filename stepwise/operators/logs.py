@@ -1,6 +1,6 @@
 """Count-window log summariser, batch form.
 
-The reference buffers step records per run and, on a flush, cuts the buffer
+A buffered step logger keeps records per run and, on a flush, cuts the buffer
 into chunks of ``aggregation_interval`` records and writes one summary row
 per chunk.  A flush happens after ``flush_interval`` records, whenever the
 split changes (train <-> val) and at the end of the run.

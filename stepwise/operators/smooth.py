@@ -43,7 +43,7 @@ def savgol_smooth(df: DataFrame, keys, order: str, cols, window: int = WINDOW,
     """Add ``smoothed_<col>`` for every col present; NULL for runs shorter than ``window``.
 
     A null or NaN inside the fitted block makes that row's smoothed value
-    NULL/NaN, like the reference's undefined result.
+    NULL/NaN (the fit is undefined there).
     """
     if window % 2 == 0 or window <= degree:
         raise ValueError("window must be odd and larger than degree")

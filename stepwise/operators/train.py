@@ -2,7 +2,7 @@
 
 Each grid row trains one ``MultilayerPerceptronClassifier`` (pyspark.ml) on
 the train split; every fit is a distributed job over the samples.  The
-differences from the reference's trainer are deliberate and stated: hidden
+differences from a mini-batch GPU trainer are deliberate and stated: hidden
 units are sigmoid (not ReLU), the solver is L-BFGS on full batches (not
 mini-batch SGD/Adam), and the per-iteration objective history is the run log.
 """

@@ -10,7 +10,7 @@ def _nested_df(spark):
         "str string, dict struct<a:int,b:int>, nested struct<dict:struct<a:int>>")
 
 
-def test_flatten_matches_reference_expectation(spark):
+def test_flatten_matches_expected_columns(spark):
     flat = nested.flatten(_nested_df(spark))
     assert flat.columns == ["str", "dict.a", "dict.b", "nested.dict.a"]
     assert tuple(flat.first()) == ("foo", 1, 2, 1)
