@@ -58,6 +58,24 @@ def grid_expand(spark: SparkSession, axes: list[tuple[str, DataFrame]],
     return grid.withColumn("run_id", (F.col("__i") + 1).cast("bigint")).drop("__i")
 
 
+def axes_from_table(params: DataFrame, param: str = "param", ord_col: str = "ord",
+                    values: str = "values") -> list[tuple[str, DataFrame]]:
+    """Axes from a long params table ``(param, ord, values array)`` in key order.
+
+    Only the parameter names and their order reach the driver (one row per
+    parameter); each axis is a ``posexplode`` of that parameter's list, so a
+    scalar is a one-element list and an empty list yields no runs.
+    """
+    names = [r[param] for r in params.select(param, ord_col).distinct().orderBy(ord_col).collect()]
+    axes = []
+    for name in names:
+        ax = (params.filter(F.col(param) == name)
+                    .select(F.posexplode(values).alias("pos", name))
+                    .withColumn("pos", F.col("pos").cast("bigint")))
+        axes.append((name, ax))
+    return axes
+
+
 def paired_axis(df: DataFrame, names: list[str], order) -> DataFrame:
     """Several parameters that move together, one position per row of ``df``.
 

@@ -76,3 +76,14 @@ def test_default_params_fill_and_add(spark):
     out = {r["id"]: (r["optimizer"], r["train_batch"])
            for r in sweeps.default_params(df, {"optimizer": "sgd", "train_batch": 128}).collect()}
     assert out == {"a": ("sgd", 128), "b": ("adam", 128)}
+
+
+def test_axes_from_params_table(spark):
+    params = spark.createDataFrame(
+        [("model.width", 1, ["10", "20"]), ("model.architecture", 0, ["mlp"]), ("lr", 2, ["0.1", "0.01", "0.001"])],
+        "param string, ord int, values array<string>")
+    runs = sweeps.grid_expand(spark, sweeps.axes_from_table(params)).orderBy("run_id").collect()
+    assert len(runs) == 6
+    assert [(r["model.width"], r["lr"]) for r in runs[:3]] == [("10", "0.1"), ("10", "0.01"), ("10", "0.001")]
+    empty = spark.createDataFrame([("a", 0, ["1"]), ("b", 1, [])], "param string, ord int, values array<string>")
+    assert sweeps.grid_expand(spark, sweeps.axes_from_table(empty)).count() == 0
