@@ -37,7 +37,7 @@ def metric_direction(name: str) -> str:
 
 def join_logs_configs(logs: DataFrame, configs: DataFrame, left: str = "run_id",
                       right: str = "id", suffixes=("_x", "_y"),
-                      max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                      max_broadcast_rows: int = 200_000) -> DataFrame:
     """Inner join, null keys match each other, clashing names get suffixes.
 
     Keys are compared as strings.  The config side is broadcast only when a

@@ -176,7 +176,7 @@ def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
     slices = (slices.withColumn("__isl_off", F.coalesce(F.sum(F.col("__nchg") + F.col("__bchg")).over(before), F.lit(0)))
                     .withColumn("__start_off", F.coalesce(F.max("__slast").over(before), F.lit(0)))
                     .select(run_key, "__pid", "__off", "__bchg", "__isl_off", "__start_off"))
-    slices = bounded_broadcast(slices, 2_000_000)
+    slices = bounded_broadcast(slices, 500_000)
     j = local.join(slices, [run_key, "__pid"], "inner")
     chg = F.when(F.col("__lrn") == 0, F.col("__bchg")).otherwise(F.col("__lchg"))
     rn = F.col("__off") + F.col("__lrn")

@@ -27,7 +27,7 @@ from stepwise.operators.common import bounded_broadcast
 from stepwise.session import ensure_checkpoint_dir
 
 BUCKET_DIGITS = 3
-MAX_OFFSET_ROWS = 5_000_000
+MAX_OFFSET_ROWS = 1_000_000
 
 
 def _cols(x) -> list:

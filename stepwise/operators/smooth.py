@@ -98,7 +98,7 @@ def run_positions(df: DataFrame, keys, order) -> DataFrame:
                                       F.lit(0)).alias("__off"),
                            F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding,
                                                               Window.unboundedFollowing)).alias("__n"))
-    j = local.join(bounded_broadcast(slices, 2_000_000), [*keys, "__pid"], "inner")
+    j = local.join(bounded_broadcast(slices, 500_000), [*keys, "__pid"], "inner")
     return (j.withColumn("__rn", (F.col("__off") + F.col("__lrn")).cast("int"))
              .withColumn("__n", F.col("__n").cast("int"))
              .drop("__pid", "__lrn", "__off"))
@@ -151,7 +151,7 @@ def mask_outside_agg(df: DataFrame, cols, keys, step: str = "step", margin: int
     from stepwise.operators.common import bounded_broadcast
 
     keys = [keys] if isinstance(keys, str) else list(keys)
-    mx = bounded_broadcast(df.groupBy(*keys).agg(F.max(step).alias("__mx")), 2_000_000)
+    mx = bounded_broadcast(df.groupBy(*keys).agg(F.max(step).alias("__mx")), 500_000)
     out = df.join(mx, keys, "inner")
     for c in cols:
         if c in out.columns:

@@ -42,7 +42,7 @@ def drop_null_params(axes: list[tuple[str, DataFrame]]) -> list[tuple[str, DataF
 
 
 def grid_expand(spark: SparkSession, axes: list[tuple[str, DataFrame]],
-                max_axis_rows: int = 1_000_000) -> DataFrame:
+                max_axis_rows: int = 100_000) -> DataFrame:
     """One row per combination with ``run_id`` from 1 (last axis varies fastest)."""
     axes = drop_null_params(axes)
     sizes = [ax.count() for _, ax in axes]
