@@ -49,13 +49,27 @@ def _with_offsets(df: DataFrame, part: list[str], group: list[str], out: str,
     return ranked.withColumn(out, (F.col("__off") + F.row_number().over(inner) - 1).cast("bigint")).drop("__off")
 
 
-def hash_rank(df: DataFrame, seed: Column, group=None, out: str = "rank") -> DataFrame:
-    """K1, hash order: 0-based rank by (md5(seed), seed) within ``group``; seed must be unique."""
+def bucket_digits(n_rows: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Hex digits of the md5 prefix so a bucket holds about ``rows_per_bucket`` rows (3..8)."""
+    d = BUCKET_DIGITS
+    while d < 8 and n_rows > rows_per_bucket * 16 ** d:
+        d += 1
+    return d
+
+
+def hash_rank(df: DataFrame, seed: Column, group=None, out: str = "rank",
+              n_rows: int | None = None) -> DataFrame:
+    """K1, hash order: 0-based rank by (md5(seed), seed) within ``group``; seed must be unique.
+
+    The number of buckets grows with the row count (counted if not given), so
+    the per-bucket sort stays about a million rows at any scale.
+    """
     group = [c if isinstance(c, str) else c for c in _cols(group)]
+    digits = bucket_digits(df.count() if n_rows is None else n_rows)
     s = seed.cast("string")
     h = F.md5(s)
     tmp = (df.withColumn("__seed", s).withColumn("__h", h)
-             .withColumn("__b", F.conv(F.substring("__h", 1, BUCKET_DIGITS), 16, 10).cast("int")))
+             .withColumn("__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("bigint")))
     ranked = _with_offsets(tmp, ["__b"], group, out, [F.col("__h"), F.col("__seed")])
     return ranked.drop("__seed", "__h", "__b")
 
@@ -97,7 +111,7 @@ def random_split(df: DataFrame, id_col: str, fractions, names=None, seed: int =
     names = list(names) if names else [f"part{i}" for i in range(len(fractions))]
     n = df.count()
     sizes = split_sizes(n, fractions)
-    ranked = hash_rank(df, F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), out="__r")
+    ranked = hash_rank(df, F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), out="__r", n_rows=n)
     expr, start = None, 0
     labels = names + ["remainder"]
     for name, size in zip(labels, sizes):
