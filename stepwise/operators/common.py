@@ -46,3 +46,9 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def range_parts(spark) -> int:
+    """Partitions for range-partitioned passes: at least 4 per task slot and at
+    least the configured shuffle partitions (sized for the cluster's data)."""
+    return max(parallelism(spark) * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))

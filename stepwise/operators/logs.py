@@ -144,14 +144,14 @@ def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
     partitions: rows before the slice, the split at the slice boundary,
     split changes before it and the position of the last change.
     """
-    from stepwise.operators.common import bounded_broadcast, parallelism
+    from stepwise.operators.common import bounded_broadcast, range_parts
     from stepwise.session import ensure_checkpoint_dir
 
     if aggregation_interval < 1 or flush_interval < 0:
         raise ValueError("aggregation_interval must be >= 1 and flush_interval >= 0")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = (df.repartitionByRange(parallelism(spark) * 4, run_key, seq)
+    parts = (df.repartitionByRange(range_parts(spark), run_key, seq)
                .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
     w = Window.partitionBy("__pid", run_key).orderBy(seq)
     run_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -80,14 +80,14 @@ def run_positions(df: DataFrame, keys, order) -> DataFrame:
     """Add ``__rn`` (0-based position in its run) and ``__n`` (run length) without a
     window partitioned by the run: range partitions split hot runs, and a small
     per-(run, partition) slice table carries the offsets."""
-    from stepwise.operators.common import bounded_broadcast, parallelism
+    from stepwise.operators.common import bounded_broadcast, range_parts
     from stepwise.session import ensure_checkpoint_dir
 
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = (df.repartitionByRange(parallelism(spark) * 4, *keys, *order)
+    parts = (df.repartitionByRange(range_parts(spark), *keys, *order)
                .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
     w = Window.partitionBy("__pid", *keys).orderBy(*order)
     local = parts.withColumn("__lrn", F.row_number().over(w) - 1)
