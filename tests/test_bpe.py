@@ -94,3 +94,16 @@ def test_alphabet_too_large_raises(spark):
     df = spark.createDataFrame([(0, "abcdef")], "doc_id long, text string")
     with pytest.raises(ValueError):
         bpe.bpe_train(df, "text", "doc_id", vocab_size=5)
+
+
+def test_alphabet_order_emoji_and_separators(spark):
+    df = spark.createDataFrame([(0, " ba😀b a@b\u001cbanana aaaa ")], "doc_id long, text string")
+    words = {r["word"]: r["freq"] for r in bpe.word_freq(df, "text", "doc_id").collect()}
+    assert words == {"ba😀b": 1, " ": 2, "a@b": 1, "\u001c": 1, "banana": 1, "aaaa": 1}
+    ids = {r["token"]: r["id"] for r in bpe.alphabet(bpe.word_freq(df, "text", "doc_id")).collect()}
+    assert [t for t, _ in sorted(ids.items(), key=lambda kv: kv[1])] == ["b", "a", "😀", " ", "@", "\u001c", "n"]
+    model = bpe.bpe_train(df, "text", "doc_id", new_tokens=3)
+    assert len(model.merges) >= 3
+    probe = spark.createDataFrame([(1, "banana aaaa")], "k long, text string")
+    rt = bpe.round_trip(probe, "text", "k", model).first()["text"]
+    assert rt == "banana aaaa"
