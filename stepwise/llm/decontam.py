@@ -171,3 +171,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         *[F.col("in")[c].alias(c) for c in docs.columns if c != text and c.lower() not in passed], F.col("n").alias("n_words"), F.coalesce("hit", zero).alias("n_hit"),
         F.coalesce("items", zero).alias("n_items"), F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.coalesce("hit", zero) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents without a hit, with the columns of ``docs``.
+
+    The contaminated texts are few against the corpus: their ids are sent to the documents if they are small
+    enough, else the two are shuffled.
+    """
+    found = decontaminate(docs.select(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("id"), F.col(f"`{text}`").alias("text")), benchmark)
+    leaked = stored(found.where("contaminated").select(F.col("id").alias("__leaked")).distinct(), "leaked")
+    return docs.join(broadcast_if_small(leaked, 96), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256) == F.col("__leaked"), "left_anti")
