@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm import decontam, langid, mixing, neardup, shards
+from stepwise.llm import decontam, langid, mixing, neardup, pii, quality, secret_scan, shards
 from stepwise.llm.textbuf import spread_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,22 @@ k AS (SELECT source, h FROM r WHERE upto <= rest OR (upto > rest AND upto - n <=
 SELECT d.doc_id, d.size, b.source_size, b.target, CAST(d.size * (b.whole + CASE WHEN b.whole < 2 AND k.h IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
 """
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document and the verdict of its host, the source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality.judge(docs, "source").drop("source")
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
