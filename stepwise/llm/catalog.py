@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm import decontam, langid, mixing, neardup, pii, quality, secret_scan, shards
+from stepwise.llm import decontam, html_text, langid, mixing, neardup, pii, quality, secret_scan, shards, warc
 from stepwise.llm.textbuf import spread_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,25 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@query
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, indexed and read back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("payload")
+
+
+ORACLE["op8_warc_round_trip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN f.first IS NULL OR f.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+"""
