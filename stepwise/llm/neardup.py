@@ -10,13 +10,14 @@ group of near copies almost no weight.)
 
 Sampling: 64 consistent weighted samples per text; two texts agree on one with
 a probability equal to their weighted Jaccard similarity.  Banding: 20 bands of 5
-samples.  In a bucket every text is paired with a few leaders (minima of
-salted hashes, one constant-size aggregate), never with all members, so the number of
+samples.  In a bucket every text is paired with a few leaders (the text with the largest buckets, and minima of
+salted hashes; one constant-size aggregate), never with all members, so the number of
 candidates grows with the texts whatever the buckets' sizes.  Pairs whose
 samples agree too little for the threshold are put aside, all others are
 verified by the exact weighted Jaccard similarity of the two sets.  Further rounds with
 other leaders run on the buckets whose texts are in several
-classes, until a round links nothing new.
+classes, until a round adds hardly any link.  A link can be missed if its texts share no band, or only large buckets
+whose leaders are like neither; README has the recall measured against all pairs.
 
 Defined results: null is the empty text; equal texts are always one class; texts
 without words are near copies of nothing else.  The class id is the smallest doc_id
@@ -40,6 +41,8 @@ SAMPLES = 64
 BANDS, BAND_SAMPLES = 20, 5
 #: Leaders that a bucket's texts are compared with in each round.
 LEADERS = 4
+#: Rounds end when one adds links of no more than this share of all links so far.
+STOP_SHARE = 0.02
 #: Pairs with fewer agreeing samples are not verified: five standard deviations below the threshold.
 LEAST_AGREED = int(SAMPLES * SIMILARITY - 5 * (SAMPLES * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Hashed slots of the document frequencies.
@@ -212,13 +215,26 @@ def text_id(text: Column) -> Column:
 
 
 def _pairs(buckets: DataFrame, salt: int) -> DataFrame:
-    """(a, b): every text of a bucket with the bucket's leaders; each pair once."""
-    leader = [F.min(F.struct(F.xxhash64("tid", F.lit(salt * LEADERS + i)).alias("h"), "tid"))["tid"].alias(f"l{i}") for i in range(LEADERS)]
-    heads = buckets.groupBy("key").agg(F.count("*").alias("n"), *leader).where("n > 1").select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("heads"))
-    met = buckets.join(stored(heads, "leaders"), "key").select("tid", F.explode("heads").alias("head")).where("tid != head")
+    """(a, b): every text of a bucket (tid, key, score) with the bucket's leaders; each pair once.
+
+    The first leader is the text whose buckets are the largest: the original of a group of near
+    copies shares more buckets than any copy.  The others are minima of salted hashes.
+    """
+    leader = [F.max(F.struct("score", "tid"))["tid"].alias("l0")]
+    leader += [F.min(F.struct(F.xxhash64("tid", F.lit(salt * LEADERS + i)).alias("h"), "tid"))["tid"].alias(f"l{i}") for i in range(1, LEADERS)]
+    heads = buckets.groupBy("key").agg(*leader).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("heads"))
+    met = buckets.select("tid", "key").join(stored(heads, "leaders"), "key").select("tid", F.explode("heads").alias("head")).where("tid != head")
     return met.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct()
 
 
+def _shared(texts: DataFrame) -> DataFrame:
+    """Stored (tid, key, score): the buckets of two texts or more; the score of a text is the sum of its buckets' sizes."""
+    buckets = texts.select("tid", F.explode("bands").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(buckets.join(stored(sizes, "sizes"), "key"), "shared")
+    return stored(shared.select("tid", "key").join(shared.groupBy("tid").agg(F.sum("n").alias("score")), "tid"), "scored")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links`` (a, b): the smallest id that it is connected with.
 
@@ -254,23 +270,21 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
     rows = stored(rows.drop(text).withColumn("__sig", F.col("__s.sig")).withColumn("__bands", F.col("__s.bands")).drop("__s"), "signed")
     texts = rows.where(F.col("__sig").isNotNull()).select(F.col("__tid").alias("tid"), F.col("__sig").alias("sig"), F.col("__bands").alias("bands")).dropDuplicates(["tid"])
     texts = stored(texts, "texts")
-    buckets = texts.select("tid", F.explode("bands").alias("key"))
-    sigs = texts.select("tid", "sig")
-    known, roots, checked, salt = None, None, None, 0
+    buckets, sigs = _shared(texts), texts.select("tid", "sig")
+    roots, checked, salt, linked = None, None, 0, 0
     while True:
         use = buckets
         if roots is not None:
-            named = buckets.join(roots.withColumnRenamed("id", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+            named = stored(buckets.join(roots.withColumnRenamed("id", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "rooted")
             mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-            use = named.join(stored(mixed, "mixed"), "key", "left_semi")
-        pairs = _pairs(use.select("tid", "key"), salt)
-        if checked is not None:
+            use = named.drop("root").join(stored(mixed, "mixed"), "key", "left_semi")
+        pairs = _pairs(use, salt)
+        if roots is not None:  # nothing new can be learned of pairs met before or held by one class
+            at = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
+            pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         pairs = pairs.join(sigs.select(F.col("tid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tid").alias("b"), F.col("sig").alias("sb")), "b")
         pairs = stored(pairs.where(_agreed("sa", "sb") >= LEAST_AGREED).select("a", "b"), "pairs")
-        if roots is not None:  # of texts that one class holds already nothing new can be learned
-            at = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = stored(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "pairs")
         if pairs.isEmpty():
             return rows, roots
         need = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "needed")
@@ -279,10 +293,24 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
         joined = pairs.join(vecs.select(F.col("tid").alias("a"), F.col("vec").alias("va")), "a").join(vecs.select(F.col("tid").alias("b"), F.col("vec").alias("vb")), "b")
         links = stored(joined.withColumn("s", _similarity("va", "vb")).where(F.col("s") >= similarity).select("a", "b"), "near")
         checked = pairs if checked is None else checked.unionAll(pairs)
-        if links.isEmpty():
+        new = links.count()
+        if new:
+            roots = _merged(roots, links)
+            linked += new
+        if new <= STOP_SHARE * linked:
             return rows, roots
-        known = links if known is None else known.unionAll(links)
-        roots, salt = components(known), salt + 1
+        salt += 1
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, root) after more links; only the graph of the classes is searched."""
+    if roots is None:
+        return components(links)
+    a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    lifted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
+    step = components(stored(lifted, "lifted"))
+    old = roots.join(step.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    return stored(old.unionByName(step.join(roots, "id", "left_anti")), "roots")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
