@@ -18,16 +18,18 @@ accepted per round when that provably gives the same result as one merge at
 a time (see ``_accept``).  The word table is cached per round and
 checkpointed to the shared checkpoint folder every few rounds to cut lineage.
 
-Encoding (T3/T4) runs the greedy lowest-rank merge loop once per *distinct*
-word inside ``mapInPandas`` with the merge ranks broadcast (bounded by the
-vocabulary size), then joins the word encodings back to the occurrences.
+Encoding (T4) runs the greedy lowest-rank merge loop on every row in place, in
+Arrow batches, with the merge ranks broadcast (bounded by the vocabulary size)
+and a bounded cache of words per task; T3 encodes a table of distinct words.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -278,18 +280,35 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
 # ---------------------------------------------------------------- T3
 
 def bpe_word(word: str, ranks: dict) -> list[str]:
-    """Greedy encoding of one word: merge the lowest-rank pair, leftmost first, until none applies."""
-    toks = list(word)
-    while len(toks) > 1:
-        best, at = None, -1
-        for i in range(len(toks) - 1):
-            r = ranks.get((toks[i], toks[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        toks[at:at + 2] = [toks[at] + toks[at + 1]]
-    return toks
+    """Greedy encoding of one word: merge the lowest-rank pair, leftmost first, until none applies.
+
+    Symbols form a linked list; a heap holds the mergeable neighbours as (rank, position).  Entries whose
+    symbols have changed since are skipped, so a word of n characters takes O(n log n).
+    """
+    sym = list(word)
+    end = len(sym)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    queue = []
+
+    def offer(i: int) -> None:
+        j = after[i] if i >= 0 else end
+        if j < end and (rank := ranks.get((sym[i], sym[j]))) is not None:
+            heapq.heappush(queue, (rank, i, sym[i], sym[j]))
+
+    for i in range(end):
+        offer(i)
+    while queue:
+        _, i, left, right = heapq.heappop(queue)
+        j = after[i]
+        if sym[i] != left or j >= end or sym[j] != right:
+            continue
+        sym[i], sym[j] = left + right, None
+        after[i] = after[j]
+        if after[j] < end:
+            before[after[j]] = i
+        offer(before[i])
+        offer(i)
+    return [s for s in sym if s is not None]
 
 
 WORD_CODES = T.StructType([
@@ -327,25 +346,42 @@ def encode_words(words: DataFrame, model: BpeModel, word: str = "word") -> DataF
 
 # ---------------------------------------------------------------- T4, T6, T7
 
+#: Encoded words that a task remembers.
+WORD_CACHE = 1 << 16
+
+
 def encode(df: DataFrame, text: str, keys, model: BpeModel, add_eos: bool = True) -> DataFrame:
     """T4: (keys..., ids array<int>) for every row; an empty text encodes to [] (+ EOS).
 
-    Distinct words are encoded once and joined back on the word (AQE splits a
-    hot word's partition); one more shuffle on the keys assembles each text.
+    Every row is encoded where it is, in Arrow batches, with the ranks broadcast and
+    a bounded cache of words per task: no shuffle, no hot word, and rows with equal
+    keys stay apart.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    occ = word_occurrences(df, text, keys)
-    codes = encode_words(occ.select("word").distinct(), model)
-    parts = occ.join(codes.select("word", "ids"), "word").select(*keys, "pos", "ids")
-    empty = df.select(*keys, F.lit(-1).cast("int").alias("pos"),
-                      F.array().cast("array<int>").alias("ids"))
-    grouped = (parts.unionByName(empty)
-                    .groupBy(*keys)
-                    .agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("__p")))
-    ids = F.flatten(F.transform("__p", lambda x: x["ids"]))
-    if add_eos:
-        ids = F.concat(ids, F.array(F.lit(EOS_ID)))
-    return grouped.select(*keys, ids.alias("ids"))
+    ship_package(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    b_ranks, b_ids = sc.broadcast(model.ranks), sc.broadcast(model.ids)
+
+    seen: dict[str, list[int]] = {}  # of one task
+
+    @F.arrow_udf("array<int>")
+    def codes(words: pa.Array) -> pa.Array:
+        ranks, ids = b_ranks.value, b_ids.value
+        out = []
+        for row in words.to_pylist():
+            got = []
+            for w in row or ():
+                c = seen.get(w)
+                if c is None:
+                    c = [ids.get(t, UNK_ID) for t in bpe_word(w, ranks)]
+                    if len(seen) < WORD_CACHE:
+                        seen[w] = c
+                got += c
+            out.append(got + [EOS_ID] if add_eos else got)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    rows = spread(df.select(*keys, text)).select(*keys, pre_tokenize(normalize_text(text)).alias("__words"))
+    return rows.select(*keys, codes("__words").alias("ids"))
 
 
 def token_to_id(tokens: DataFrame, token: str, vocab: DataFrame, max_vocab: int) -> DataFrame:

@@ -18,6 +18,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both-null keys; the keys come from ``left``."""
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = one if cond is None else cond & one
+    return left.join(other, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double/float column (for engine-independent comparison)."""
     sel = []

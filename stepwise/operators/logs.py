@@ -144,7 +144,7 @@ def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
     partitions: rows before the slice, the split at the slice boundary,
     split changes before it and the position of the last change.
     """
-    from stepwise.operators.common import bounded_broadcast, range_parts
+    from stepwise.operators.common import bounded_broadcast, join_null_safe, range_parts
     from stepwise.session import ensure_checkpoint_dir
 
     if aggregation_interval < 1 or flush_interval < 0:
@@ -177,7 +177,7 @@ def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
                     .withColumn("__start_off", F.coalesce(F.max("__slast").over(before), F.lit(0)))
                     .select(run_key, "__pid", "__off", "__bchg", "__isl_off", "__start_off"))
     slices = bounded_broadcast(slices, 500_000)
-    j = local.join(slices, [run_key, "__pid"], "inner")
+    j = join_null_safe(local, slices, [run_key, "__pid"])
     chg = F.when(F.col("__lrn") == 0, F.col("__bchg")).otherwise(F.col("__lchg"))
     rn = F.col("__off") + F.col("__lrn")
     j = j.withColumn("__rn", rn).withColumn("__chg", chg)
@@ -230,7 +230,7 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
         sel += m.finish()
     keys = [run_key, "__island", "__fg", "__chunk"]
     for m in py:
-        grouped = grouped.join(_pandas_metric(keyed, keys, seq, m), keys, "inner")
+        grouped = join_null_safe(grouped, _pandas_metric(keyed, keys, seq, m), keys)
         sel += [F.col(f.split()[0]) for f in m.schema.split(",")]
     return grouped.select(*sel)
 

@@ -38,23 +38,17 @@ def unflatten(df: DataFrame, sep: str = ".") -> DataFrame:
     A name that is both a leaf and a prefix of another (``a`` and ``a.b``)
     raises, in either order.
     """
-    tree: dict = {}
-    for name in df.columns:
-        parts = name.split(sep)
-        node = tree
-        for i, part in enumerate(parts):
-            last = i == len(parts) - 1
-            if last:
-                if part in node:
-                    raise ValueError(f"column {name!r} clashes with a nested group of the same name")
-                node[part] = name
-            else:
-                child = node.setdefault(part, {})
-                if not isinstance(child, dict):
-                    raise ValueError(f"column {name!r} nests under leaf column {sep.join(parts[:i + 1])!r}")
-                node = child
-
-    def build(node) -> Column:
-        return F.struct(*[(F.col(_q(v)) if isinstance(v, str) else build(v)).alias(k) for k, v in node.items()])
-
-    return df.select(*[(F.col(_q(v)) if isinstance(v, str) else build(v)).alias(k) for k, v in tree.items()])
+    def level(columns: list[tuple[list[str], str]]) -> list[Column]:
+        """One expression per distinct first component, in order of first appearance."""
+        groups: dict[str, list[tuple[list[str], str]]] = {}
+        for parts, name in columns:
+            groups.setdefault(parts[0], []).append((parts[1:], name))
+        out = []
+        for head, members in groups.items():
+            leaves = [name for rest, name in members if not rest]
+            if leaves and len(members) > 1:
+                raise ValueError(f"column {leaves[0]!r} clashes with a nested group of the same name")
+            out.append((F.col(_q(leaves[0])) if leaves else F.struct(*level(members))).alias(head))
+        return out
+
+    return df.select(*level([(name.split(sep), name) for name in df.columns]))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.operators.common import bounded_broadcast
+from stepwise.operators.common import bounded_broadcast, join_null_safe
 from stepwise.session import ensure_checkpoint_dir
 
 BUCKET_DIGITS = 3
@@ -45,7 +45,7 @@ def _with_offsets(df: DataFrame, part: list[str], group: list[str], out: str,
     offsets = bounded_broadcast(offsets, MAX_OFFSET_ROWS)
     keys = group + part
     inner = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.join(offsets, keys, "inner")
+    ranked = join_null_safe(df, offsets, keys)
     return ranked.withColumn(out, (F.col("__off") + F.row_number().over(inner) - 1).cast("bigint")).drop("__off")
 
 
@@ -61,12 +61,16 @@ def hash_rank(df: DataFrame, seed: Column, group=None, out: str = "rank",
               n_rows: int | None = None) -> DataFrame:
     """K1, hash order: 0-based rank by (md5(seed), seed) within ``group``; seed must be unique.
 
+    Rows without a seed are kept: they are seeded with a hash of their columns, so that many of
+    them spread over the buckets; null groups are a group.
+
     The number of buckets grows with the row count (counted if not given), so
     the per-bucket sort stays about a million rows at any scale.
     """
     group = [c if isinstance(c, str) else c for c in _cols(group)]
     digits = bucket_digits(df.count() if n_rows is None else n_rows)
-    s = seed.cast("string")
+    plain = [F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    s = F.coalesce(seed.cast("string"), F.concat(F.lit("\0null:"), F.xxhash64(*plain).cast("string")))
     h = F.md5(s)
     tmp = (df.withColumn("__seed", s).withColumn("__h", h)
              .withColumn("__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("bigint")))

@@ -20,6 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepwise.operators.common import bounded_broadcast, join_null_safe, range_parts
+from stepwise.session import ensure_checkpoint_dir
+
 WINDOW = 51
 DEGREE = 3
 EDGE_MARGIN = 30
@@ -80,9 +83,6 @@ def run_positions(df: DataFrame, keys, order) -> DataFrame:
     """Add ``__rn`` (0-based position in its run) and ``__n`` (run length) without a
     window partitioned by the run: range partitions split hot runs, and a small
     per-(run, partition) slice table carries the offsets."""
-    from stepwise.operators.common import bounded_broadcast, range_parts
-    from stepwise.session import ensure_checkpoint_dir
-
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
@@ -98,7 +98,7 @@ def run_positions(df: DataFrame, keys, order) -> DataFrame:
                                       F.lit(0)).alias("__off"),
                            F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding,
                                                               Window.unboundedFollowing)).alias("__n"))
-    j = local.join(bounded_broadcast(slices, 500_000), [*keys, "__pid"], "inner")
+    j = join_null_safe(local, bounded_broadcast(slices, 500_000), [*keys, "__pid"])
     return (j.withColumn("__rn", (F.col("__off") + F.col("__lrn")).cast("int"))
              .withColumn("__n", F.col("__n").cast("int"))
              .drop("__pid", "__lrn", "__off"))
@@ -148,11 +148,9 @@ def savgol_smooth_skew_safe(df: DataFrame, keys, order: str, cols, window: int =
 
 def mask_outside_agg(df: DataFrame, cols, keys, step: str = "step", margin: int = EDGE_MARGIN) -> DataFrame:
     """P7 with the run maximum from a partially aggregated group-by (no run-keyed window)."""
-    from stepwise.operators.common import bounded_broadcast
-
     keys = [keys] if isinstance(keys, str) else list(keys)
     mx = bounded_broadcast(df.groupBy(*keys).agg(F.max(step).alias("__mx")), 500_000)
-    out = df.join(mx, keys, "inner")
+    out = join_null_safe(df, mx, keys)
     for c in cols:
         if c in out.columns:
             out = out.withColumn(c, F.when(F.col(step).between(F.lit(margin), F.col("__mx") - margin), F.col(c)))

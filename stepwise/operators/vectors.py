@@ -60,11 +60,13 @@ def class_centroids(df: DataFrame, features: str, label: str, dim: int) -> DataF
 
 def embed_tokens(encoded: DataFrame, ids: str, keys, table: DataFrame, id_col: str,
                  vec_col: str) -> DataFrame:
-    """M3: one row per token position with its embedding vector (ids missing from the table drop)."""
+    """M3: one row per token position with its embedding vector; an id missing from the table raises."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     ex = encoded.select(*keys, F.posexplode(ids).alias("pos", "token_id"))
     emb = table.select(F.col(id_col).cast("int").alias("token_id"), F.col(vec_col).alias("vector"))
-    return ex.join(emb, "token_id", "inner")
+    found = ex.join(emb.withColumn("__known", F.lit(True)), "token_id", "left")
+    missing = F.raise_error(F.concat(F.lit("token id without an embedding: "), F.col("token_id").cast("string")))
+    return found.withColumn("vector", F.when(F.col("__known"), F.col("vector")).otherwise(missing)).drop("__known")
 
 
 def evaluate(df: DataFrame, logits: str, label: str, group) -> DataFrame:

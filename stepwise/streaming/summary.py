@@ -8,9 +8,10 @@ flush group reaches ``flush_interval`` records, when the split changes, or
 when the run ends (an end-of-run record, or the processing-time timeout).
 On the same input it produces the rows of the batch summariser W1.
 
-Rows of one run must arrive in step order across micro-batches; inside a
-micro-batch they are sorted by step.  A record whose step does not exceed the
-last step seen is counted in ``state.regressions`` and skipped.
+Rows of one run should arrive in step order across micro-batches; inside a
+micro-batch they are sorted by step.  No record is dropped: one whose step was
+passed already joins the chunk that is open when it arrives, and is counted in
+``state.regressions``.  NaN and infinite losses count as they do in W1; null ones do not.
 """
 
 from __future__ import annotations
@@ -67,6 +68,15 @@ def _fmt(ts) -> str | None:
     return str(ts)
 
 
+def _exp(x: float | None) -> float | None:
+    if x is None:
+        return None
+    try:
+        return math.exp(x)
+    except OverflowError:
+        return math.inf
+
+
 def make_summariser(flush_interval: int, aggregation_interval: int, timeout_ms: int | None = None):
     """The per-run state function for ``applyInPandasWithState``."""
 
@@ -83,7 +93,7 @@ def make_summariser(flush_interval: int, aggregation_interval: int, timeout_ms:
             std = math.sqrt(m2 / (n_loss - 1)) if n_loss > 1 else None
             lm = mean if n_loss else None
             out.append((run_id, n, c_step, c_time, c_epoch, run_id, split, lm, std,
-                        math.exp(lm) if lm is not None else None))
+                        _exp(lm)))
 
         if state.hasTimedOut:
             if n:
@@ -102,7 +112,6 @@ def make_summariser(flush_interval: int, aggregation_interval: int, timeout_ms:
             step = int(r.step)
             if last_step is not None and step <= last_step:
                 regr += 1
-                continue
             if pos and r.split != split:
                 if n:
                     emit()
@@ -111,13 +120,14 @@ def make_summariser(flush_interval: int, aggregation_interval: int, timeout_ms:
             split = r.split
             n += 1
             loss = r.loss
-            if loss is not None and not (isinstance(loss, float) and math.isnan(loss)):
+            if loss is not None and not getattr(r, "loss_null", False):
                 n_loss += 1
                 d = loss - mean
                 mean += d / n_loss
                 m2 += d * (loss - mean)
-            c_step, c_time, c_epoch = step, _fmt(r.time), (None if pd.isna(r.epoch) else int(r.epoch))
-            last_step = step
+            if n == 1 or step >= c_step:
+                c_step, c_time, c_epoch = step, _fmt(r.time), (None if pd.isna(r.epoch) else int(r.epoch))
+            last_step = step if last_step is None else max(step, last_step)
             pos += 1
             in_group = pos - ((pos - 1) // flush_interval) * flush_interval if flush_interval else pos
             if n == aggregation_interval or (flush_interval and in_group == flush_interval):
@@ -148,7 +158,7 @@ def stream_count_summary(stream: DataFrame, flush_interval: int = 1000,
     if "end_of_run" not in stream.columns:
         stream = stream.withColumn("end_of_run", F.lit(None).cast("boolean"))
     cols = ["run_id", "split", "epoch", "step", "time", "loss", "end_of_run"]
-    return stream.select(*cols).groupBy("run_id").applyInPandasWithState(
+    return stream.select(*cols, F.col("loss").isNull().alias("loss_null")).groupBy("run_id").applyInPandasWithState(
         make_summariser(flush_interval, aggregation_interval, timeout_ms), SUMMARY_OUT, STATE, "append",
         GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
@@ -169,11 +179,13 @@ def stream_join_configs(stream: DataFrame, configs: DataFrame, left: str = "run_
     return stream.join(c, stream[left].eqNullSafe(c[right]), "inner")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, timeout_s: int = 900) -> None:
-    """Drive a streaming query over everything available into a parquet folder."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, timeout_s: int | None = None) -> None:
+    """Drive a streaming query over everything available into a parquet folder; no time limit unless given."""
     q = (stream.writeStream.format("parquet").option("path", path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
-    if not q.awaitTermination(timeout_s):
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"streaming query did not drain its input within {timeout_s}s")

@@ -16,7 +16,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    assert set(se.queries()) - set(se.oracle_sql()) == NO_ORACLE
+    missing = set(se.queries()) - set(se.oracle_sql())
+    assert {q for q in missing if q not in se.LLM_QUERIES} == NO_ORACLE
 
 
 def _norm(v):

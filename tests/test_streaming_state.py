@@ -80,10 +80,11 @@ def test_state_function_equals_buffer_simulation_across_batches():
         assert not state.exists
 
 
-def test_regressed_step_is_skipped_and_std_null_for_single_record():
+def test_late_record_joins_the_open_chunk_and_std_null_for_single_record():
     fn, state = make_summariser(0, 2), FakeState()
     list(fn(("r",), iter([_frame([(1, "train", 1.0), (2, "train", 3.0), (3, "train", 5.0)])]), state))
-    out = pd.concat(list(fn(("r",), iter([_frame([(2, "train", 9.0)], end=True)]), state)))
+    out = pd.concat(list(fn(("r",), iter([_frame([(2, "train", 9.0), (4, "train", 5.0)], end=True)]), state)))
     assert state.value is None
-    assert list(out["n_steps"]) == [1] and out["loss_std"].isna().all() and out["loss_mean"].iloc[0] == 5.0
-    assert math.isclose(out["perplexity"].iloc[0], math.exp(5.0))
+    assert list(out["n_steps"]) == [2, 1] and list(out["loss_mean"]) == [7.0, 5.0] and list(out["step"]) == [3, 4]
+    assert out["loss_std"].isna().tolist() == [False, True]
+    assert math.isclose(out["perplexity"].iloc[1], math.exp(5.0))
