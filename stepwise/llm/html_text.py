@@ -7,7 +7,7 @@ with bullets or numbers and indented, preformatted text as it is, and table cell
 aligned columns.
 
 Defined results: null gives null, an empty page the empty text; text outside any tag counts; unclosed
-and stray tags lose no visible text, and an unclosed comment, script or style hides the rest as in a browser;
+and stray tags lose no visible text, an unclosed comment is kept as text, an unclosed script or style hides the rest;
 nesting deeper than ``MAX_DEPTH`` is rendered at that depth, whole; equal rows give equal results.  Columns of the input
 named like a result are replaced.
 """
@@ -55,13 +55,18 @@ class TreeBuilder(HTMLParser):
         self.root = Node("html", {}, True)
         self.open = [self.root]
 
-    def _close(self, names, stops) -> None:
+    def _close(self, names, stops, outermost: bool = False) -> None:
+        """Closes the innermost (or outermost) open element of the names inside the nearest of the stops."""
+        found = 0
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in names:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stops:
-                return
+                found = i
+                if not outermost:
+                    break
+            elif self.open[i].tag in stops:
+                break
+        if found:
+            del self.open[found:]
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
@@ -72,7 +77,7 @@ class TreeBuilder(HTMLParser):
         if tag in BLOCK and self.open[-1].tag == "head":
             self.open.pop()
         if tag in IMPLIED:
-            self._close(*IMPLIED[tag])
+            self._close(*IMPLIED[tag], outermost=True)
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self.handle_starttag("tr", [])
         shown = tag not in HIDDEN and "hidden" not in attrs and not _NONE.search(attrs.get("style") or "") and not (tag == "dialog" and "open" not in attrs)
