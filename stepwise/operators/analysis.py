@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.operators.common import bounded_broadcast
+from stepwise.operators.common import bounded_broadcast, join_null_safe
 
 # Better-direction of each known metric (E4).  Fixed values: the metric
 # names and their directions as the analysis code defines them.
@@ -58,8 +58,8 @@ def join_logs_configs(logs: DataFrame, configs: DataFrame, left: str = "run_id",
 
 
 def join_summary(series: DataFrame, summary: DataFrame, on: str = "run_id") -> DataFrame:
-    """Attach each run's summary row to its series (equi join on the run key)."""
-    return series.join(summary, on=on, how="inner")
+    """Attach each run's summary row to its series (equi join on the run key; null runs match)."""
+    return join_null_safe(series, summary, [on])
 
 
 # ---------------------------------------------------------------- unions
@@ -224,7 +224,7 @@ def report_head(df: DataFrame, cond: Column | None, cols, order, n: int = 30) ->
     if cond is not None:
         df = df.filter(F.coalesce(cond, F.lit(False)))
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    return df.select(*cols).orderBy(*order).limit(n)
+    return select_cols(df, cols).orderBy(*order).limit(n)
 
 
 def apply_transforms(df: DataFrame, transforms) -> DataFrame:

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepwise.functions.text import normalize_text, pre_tokenize
+from stepwise.functions.arrays import pad_array
+from stepwise.functions.text import join_tokens, normalize_text, pre_tokenize, to_chars
 from stepwise.operators.common import bounded_broadcast, parallelism, spread
 from stepwise.session import ensure_checkpoint_dir, ship_package
 
@@ -95,7 +96,7 @@ def alphabet(words: DataFrame) -> DataFrame:
     The alphabet is bounded by the number of distinct code points; the final
     ordering runs on that small table.
     """
-    chars = words.select("first", F.posexplode(F.split("word", "")).alias("cpos", "token"))
+    chars = words.select("first", F.posexplode(to_chars("word")).alias("cpos", "token"))
     firsts = chars.groupBy("token").agg(F.min(F.struct("first", "cpos")).alias("o"))
     w = Window.orderBy("o")
     return firsts.select("token", (F.row_number().over(w) + len(SPECIALS) - 1).cast("int").alias("id"))
@@ -111,7 +112,7 @@ def _symbols(sym_col: str = "sym"):
 def encode_symbols(word) -> F.Column:
     """A word as its segmentation string, one symbol per character."""
     w = F.col(word) if isinstance(word, str) else word
-    return F.concat(F.lit(_L), F.array_join(F.split(w, ""), _R + _L), F.lit(_R))
+    return F.concat(F.lit(_L), F.array_join(to_chars(w), _R + _L), F.lit(_R))
 
 
 def pair_counts(table: DataFrame, sym: str = "sym", freq: str = "freq") -> DataFrame:
@@ -416,7 +417,7 @@ def decode(df: DataFrame, ids: str, keys, model: BpeModel) -> DataFrame:
         return F.when(ok, F.element_at(vocab, F.when(ok, i + 1).otherwise(1))).otherwise(
             F.raise_error(F.concat(F.lit("token id out of range: "), i.cast("string"))))
 
-    return df.select(*keys, F.array_join(F.transform(F.col(ids), look), "").alias("text"))
+    return df.select(*keys, join_tokens(F.transform(F.col(ids), look)).alias("text"))
 
 
 def round_trip(df: DataFrame, text: str, keys, model: BpeModel) -> DataFrame:
@@ -429,7 +430,7 @@ def round_trip(df: DataFrame, text: str, keys, model: BpeModel) -> DataFrame:
 def encode_batch(encoded: DataFrame, batch: str, ids: str = "ids") -> DataFrame:
     """T5: right-pad every encoding with PAD to the longest one of its batch."""
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    return encoded.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(PAD_ID), longest - F.size(ids))))
+    return encoded.withColumn(ids, pad_array(ids, longest, PAD_ID))
 
 
 def encoded_lengths(encoded: DataFrame, keys, ids: str = "ids") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from stepwise.functions.arrays import argmax
 from stepwise.functions.scalars import timestamp_str
+from stepwise.operators.common import join_null_safe
 
 LAST_FIELDS = ("step", "time", "epoch", "run_id")
 
@@ -144,7 +145,7 @@ def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
     partitions: rows before the slice, the split at the slice boundary,
     split changes before it and the position of the last change.
     """
-    from stepwise.operators.common import bounded_broadcast, join_null_safe, range_parts
+    from stepwise.operators.common import bounded_broadcast, range_parts
     from stepwise.session import ensure_checkpoint_dir
 
     if aggregation_interval < 1 or flush_interval < 0:

@@ -140,8 +140,10 @@ def make_batches(df: DataFrame, order, batch_size: int, shuffle_seed: Column | N
 
 
 def epoch_shuffle(df: DataFrame, id_col: str, epochs: int, seed: int = 42) -> DataFrame:
-    """One copy per epoch (1-based), reshuffled per epoch: rank by md5(seed:epoch:id)."""
-    ex = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    """One copy per epoch (from 0, as in W5), reshuffled per epoch: rank by md5(seed:epoch:id)."""
+    if epochs < 1:
+        raise ValueError("epochs must be >= 1")
+    ex = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     s = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(id_col).cast("string"))
     return hash_rank(ex, s, group="epoch", out="position")
 
@@ -201,7 +203,20 @@ def range_subset(df: DataFrame, order, start: int, stop: int) -> DataFrame:
     return ordered_rank(df, order, out="__r").filter(F.col("__r").between(start, stop - 1)).drop("__r")
 
 
-# ---------------------------------------------------------------- F6
+# ---------------------------------------------------------------- E3, F6
+
+def collate(df: DataFrame, batch: str, order: str, cols) -> DataFrame:
+    """One row per batch: ``n_rows`` and, for each column, its values as an array in ``order``.
+
+    A group is a batch, so its size is the batch size whatever the input.
+    """
+    cols = _cols(cols)
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *[F.col(c).alias(c) for c in cols])))
+    g = df.groupBy(batch).agg(rows.alias("__rows"))
+    arrays = [F.col("__rows").getField(c).alias(c) for c in cols]
+    return g.select(batch, F.size("__rows").cast("int").alias("n_rows"), *arrays)
+
+
 
 def flatten_labels(df: DataFrame, batch: str, pos: str, ids: str, shift: bool = False) -> DataFrame:
     """one flat row-major label array per batch (rows x seq_len); optional shift by one."""

@@ -59,9 +59,12 @@ def grid_expand(spark: SparkSession, axes: list[tuple[str, DataFrame]],
 
 
 def axes_from_table(params: DataFrame, param: str = "param", ord_col: str = "ord",
-                    values: str = "values") -> list[tuple[str, DataFrame]]:
+                    values: str = "values", types: dict[str, str] | None = None) -> list[tuple[str, DataFrame]]:
     """Axes from a long params table ``(param, ord, values array)`` in key order.
 
+    The table holds values of every parameter in one type (strings); ``types`` names the SQL type
+    that a parameter's values are turned back into.
+
     Only the parameter names and their order reach the driver (one row per
     parameter); each axis is a ``posexplode`` of that parameter's list, so a
     scalar is a one-element list and an empty list yields no runs.
@@ -72,6 +75,8 @@ def axes_from_table(params: DataFrame, param: str = "param", ord_col: str = "ord
         ax = (params.filter(F.col(param) == name)
                     .select(F.posexplode(values).alias("pos", name))
                     .withColumn("pos", F.col("pos").cast("bigint")))
+        if types and name in types:
+            ax = ax.withColumn(name, F.col(f"`{name}`").cast(types[name]))
         axes.append((name, ax))
     return axes
 

@@ -5,7 +5,7 @@ vectors).  The test data is a generic star schema, so these functions map
 its tables onto those roles.  Every mapping is a pure projection or a
 per-run window, so it scales with the input and keeps parquet pushdown.
 
-Fixed mapping choices (the SQL oracles in ``plans/oracle.py`` restate them):
+Fixed mapping choices (the SQL oracles in ``plans/oracle_sql.py`` restate them):
 
 * step log    <- events:   run_id = user_id (string), step = 1-based order of
   (ts, event_id) inside the run, loss = ln(1 + value), split = 'val' for event types

@@ -358,7 +358,7 @@ def step_schedule(spark, sf):
 
 @register("epoch_shuffle")
 def epoch_shuffle(spark, sf):
-    """3 epochs, each a fresh seeded order; batch = position div 64."""
+    """3 epochs (from 0), each a fresh seeded order; batch = position div 64."""
     e = bd.table(spark, sf, "embeddings").select("vec_id")
     out = rk.epoch_shuffle(e, "vec_id", 3, seed=42)
     return out.withColumn("batch", F.floor(F.col("position") / 64).cast("bigint"))
@@ -638,7 +638,7 @@ def stream_log_summary(spark, sf):
     """R1 + R2: the log streamed from growing JSONL files, summarised with flush 20 / chunks of 7."""
     base = _stream_input(spark, sf, with_markers=True)
     out = _scratch(spark, "stream-out")
-    stream = stsum.stream_ingest(spark, base, max_files_per_trigger=1)
+    stream = stsum.stream_ingest(spark, base)
     stsum.run_to_table(stsum.stream_count_summary(stream, 20, 7), out, out + "-chk")
     return round_doubles(spark.read.parquet(out))
 
@@ -648,7 +648,7 @@ def stream_join_configs(spark, sf):
     """Streamed step records joined to static run configs."""
     base = _stream_input(spark, sf, with_markers=False)
     out = _scratch(spark, "stream-join")
-    stream = stsum.stream_ingest(spark, base, max_files_per_trigger=1)
+    stream = stsum.stream_ingest(spark, base)
     joined = stsum.stream_join_configs(stream, bd.run_configs(spark, sf))
     stsum.run_to_table(joined.select("run_id", "step", "split", "loss", "optimizer", "learning_rate",
                                      "depth", "width"), out, out + "-chk")
@@ -734,3 +734,119 @@ def relayout_pages(spark, sf):
     back = spark.read.schema("file_name string, html string, item_id string, category string").parquet(out)
     return back.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"),
                                         F.sum(F.length("html")).cast("bigint").alias("n_bytes"))
+
+
+# ---------------------------------------------------------------- sweep read path
+
+SWEEP_METRICS = ("loss_mean", "accuracy_mean")
+
+
+def _sweep(spark, sf, name, metrics):
+    """One sweep: its logs joined with its own configs, smoothed on every metric that is there, tagged."""
+    log = bd.step_log(spark, sf).withColumnRenamed("loss", "loss_mean")
+    log = log.withColumn("accuracy_mean", F.exp(-F.col("loss_mean"))).drop(*[m for m in SWEEP_METRICS if m not in metrics])
+    cfg = bd.run_configs(spark, sf).filter(F.col("exp_name") == name)
+    cfg = cfg.select("id", "optimizer", "depth", "width", F.col("depth").alias("epoch"))
+    joined = an.join_logs_configs(log, cfg)
+    return an.tag_constant(smooth_and_mask(joined, ["run_id"], SWEEP_METRICS), "sweep_name", name)
+
+
+def _sweeps(spark, sf):
+    """Both sweeps; sweep_b has no accuracy, so its accuracy columns are NULL."""
+    return an.union_runs(_sweep(spark, sf, "sweep_a", SWEEP_METRICS), _sweep(spark, sf, "sweep_b", SWEEP_METRICS[:1]))
+
+
+@register("sweep_read")
+def sweep_read(spark, sf):
+    """J1 (suffixes on the clashing epoch), W2 + P7 on all metrics, P2, U1: two sweeps in one table."""
+    return round_doubles(_sweeps(spark, sf).select(
+        "sweep_name", "run_id", "step", "epoch_x", "epoch_y", "optimizer", "loss_mean", "accuracy_mean",
+        "smoothed_loss_mean", "smoothed_accuracy_mean"))
+
+
+@register("sweep_best")
+def sweep_best(spark, sf):
+    """A5 of every metric of both sweeps, the better direction taken from the metric's name."""
+    names = [p + m for p in ("", "smoothed_") for m in SWEEP_METRICS]
+    return round_doubles(an.best_per_run(_sweeps(spark, sf), ["sweep_name", "run_id"], "step",
+                                         {m: an.metric_direction(m) for m in names}))
+
+
+@register("sweep_series")
+def sweep_series(spark, sf):
+    """A1 + J2: smoothed series by (optimizer, depth), null keys dropped, with the run's best step."""
+    runs = _sweeps(spark, sf)
+    best = an.best_per_run(runs, "run_id", "step", {"loss_mean": an.metric_direction("loss_mean")})
+    series = an.facet_series(runs, ["optimizer", "depth"], "run_id", "step", "smoothed_loss_mean")
+    return round_doubles(an.join_summary(series, best))
+
+
+@register("facet_series_null")
+def facet_series_null(spark, sf):
+    """A2: loss series by (optimizer, learning_rate), null keys kept."""
+    return round_doubles(an.facet_series(_joined(spark, sf), ["optimizer", "learning_rate"], "run_id", "step", "loss",
+                                         keep_null=True))
+
+
+# ---------------------------------------------------------------- E1-E3, S5, S8, X3, L4, P1
+
+@register("log_summary_pandas_metric")
+def log_summary_pandas_metric(spark, sf):
+    """W1 with a metric given as a Python function over one chunk's records."""
+    spread_of_loss = logs.PandasMetric(
+        "loss_spread", lambda rows: {"loss_max": rows["loss"].max(), "loss_median": rows["loss"].median()},
+        "loss_max double, loss_median double", ["loss"])
+    return round_doubles(logs.count_window_summary(
+        bd.step_log(spark, sf), flush_interval=20, aggregation_interval=7, metrics=("loss", spread_of_loss)))
+
+
+@register("materialised_features")
+def materialised_features(spark, sf):
+    """E2 + X3: a split's features sent through a chain of transforms, written once and read back."""
+    e = bd.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    parts = rk.random_split(e, "vec_id", [0.8, 0.1], ["train", "val"], seed=42)
+    out = an.apply_transforms(parts, [lambda d: d.withColumn("features", ar.rescale("embedding", 255.0)),
+                                      lambda d: d.withColumn("features", ar.round_array(ar.relu("features"), 6)),
+                                      lambda d: d.drop("embedding")])
+    return rk.materialise(out, _scratch(spark, "features"))
+
+
+@register("sorted_vocab")
+def sorted_vocab(spark, sf):
+    """L4: the vocabulary in token order."""
+    return bpe.sorted_vocab(_model(spark, sf).vocab_df(spark))
+
+
+@register("corpus_splits")
+def corpus_splits(spark, sf):
+    """S8 + S5: a corpus that replaces the results of a folder, read back split by split."""
+    path = _scratch(spark, "corpus")
+    src.overwrite_results(bd.table(spark, sf, "labels"), path)
+    part = F.when(F.col("lang") == "en", "train").otherwise("validation")
+    src.overwrite_results(bd.table(spark, sf, "documents").select("doc_id", "text", part.alias("split")), path)
+    both = an.union_runs(*[src.read_corpus(spark, path, split) for split in ("train", "validation")])
+    return both.select("doc_id", "split", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("collated_batches")
+def collated_batches(spark, sf):
+    """E3 + X2: batches of 64 vectors as one row each, ids and labels as arrays."""
+    e = bd.table(spark, sf, "embeddings").select("vec_id", "label")
+    return rk.collate(rk.make_batches(e, "vec_id", 64), "batch", "position", ["vec_id", "label"])
+
+
+@register("grid_nested")
+def grid_nested(spark, sf):
+    """G1 + P1 + N2: a long params table (with a null parameter) to nested run configs, types kept."""
+    def values(table, col):
+        return F.transform(F.array_sort(F.collect_set(col)), lambda v: v.cast("string")).alias("values"), bd.table(spark, sf, table)
+
+    parts = []
+    for i, (name, (vals, df)) in enumerate({"data.region": values("region", "r_name"), "model.brand": values("part", "p_brand"),
+                                            "trainer.steps": values("nation", "n_nationkey")}.items()):
+        parts.append(df.agg(vals).select(F.lit(name).alias("param"), F.lit(i).alias("ord"), "values"))
+    warmup = bd.table(spark, sf, "region").agg(F.collect_set("r_name")).select(
+        F.lit("trainer.warmup").alias("param"), F.lit(len(parts)).alias("ord"), F.array(F.lit(None).cast("string")).alias("values"))
+    axes = sw.axes_from_table(an.union_runs(*parts, warmup), types={"trainer.steps": "int"})
+    flat = sw.grid_expand(spark, axes)
+    return nested.flatten(nested.unflatten(flat), sep="/")

@@ -39,17 +39,19 @@ def smoothed(src: str, keys: str, value: str, out: str) -> str:
     """CTE body fragment: W2 + P7 of ``value`` over ``src`` per ``keys`` (comma list)."""
     jk = " AND ".join(f"y.{k.strip()} IS NOT DISTINCT FROM b.{k.strip()}" for k in keys.split(","))
     bk = ", ".join(f"b.{k.strip()}" for k in keys.split(","))
-    return f"""num AS (SELECT *, step - 1 AS rn, count(*) OVER (PARTITION BY {keys}) AS n,
+    sk = " AND ".join(f"sm.{k.strip()} IS NOT DISTINCT FROM n.{k.strip()}" for k in keys.split(","))
+    return f"""{out}_num AS (SELECT *, step - 1 AS rn, count(*) OVER (PARTITION BY {keys}) AS n,
                       max(step) OVER (PARTITION BY {keys}) AS max_step FROM {src}),
-blk AS (SELECT *, least(greatest(rn - 25, 0), n - 51) AS s FROM num WHERE n >= 51),
-sm AS (SELECT {bk}, b.step,
+{out}_blk AS (SELECT *, least(greatest(rn - 25, 0), n - 51) AS s FROM {out}_num WHERE n >= 51),
+{out}_sm AS (SELECT {bk}, b.step,
               CASE WHEN count(y.{value}) = 51 THEN sum(hat.h * y.{value}) END AS raw_sm,
               any_value(b.max_step) AS max_step
-       FROM blk b JOIN hat ON hat.p = b.rn - b.s
-       JOIN num y ON {jk} AND y.rn = b.s + hat.k
+       FROM {out}_blk b JOIN hat ON hat.p = b.rn - b.s
+       JOIN {out}_num y ON {jk} AND y.rn = b.s + hat.k
        GROUP BY {bk}, b.step),
-{out} AS (SELECT n.*, CASE WHEN n.step BETWEEN 30 AND sm.max_step - 30 THEN sm.raw_sm END AS smoothed_{value}
-        FROM num n LEFT JOIN sm ON {' AND '.join(f'sm.{k.strip()} IS NOT DISTINCT FROM n.{k.strip()}' for k in keys.split(','))} AND sm.step = n.step)"""
+{out} AS (SELECT n.* EXCLUDE (rn, n, max_step),
+                 CASE WHEN n.step BETWEEN 30 AND sm.max_step - 30 THEN sm.raw_sm END AS smoothed_{value}
+        FROM {out}_num n LEFT JOIN {out}_sm sm ON {sk} AND sm.step = n.step)"""
 
 
 def _best(src: str, key: str, metric: str, better: str) -> str:
@@ -222,23 +224,21 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _text_patterns():
-    from stepwise.functions.text import STRIP_PATTERN, WORD_PATTERN
-    return _lit(WORD_PATTERN), _lit(STRIP_PATTERN)
-
-
 # Python's whitespace characters, for DuckDB's trim().
 WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                                      *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 SEP = "chr(10) || chr(9)"
 
+# The punctuation characters that are words of their own, escaped for a class.
+_PUNCT = r""",.'"!#$%^&*(){}\[\];:<>/?\\|`~\-_=+"""
+_WORD = _lit(f"[{_PUNCT}{WS_CHARS}]|[^{_PUNCT}{WS_CHARS}]+")
+
 
 def occ_ctes(p: str, table: str, keys: list[str]) -> str:
-    word, strip = _text_patterns()
     ks = ", ".join(keys)
-    return f"""{p}_norm AS (SELECT {ks}, regexp_replace(text, {strip}, '', 'g') AS t FROM {table}),
+    return f"""{p}_norm AS (SELECT {ks}, trim(text, {_lit(WS_CHARS)}) AS t FROM {table}),
 {p}_occ AS (SELECT {ks}, u.w AS word, u.pos AS pos FROM (
-   SELECT {ks}, unnest(list_transform(regexp_extract_all(t, {word}), lambda x, i: {{'w': x, 'pos': i - 1}})) AS u
+   SELECT {ks}, unnest(list_transform(regexp_extract_all(t, {_WORD}), lambda x, i: {{'w': x, 'pos': i - 1}})) AS u
    FROM {p}_norm))"""
 
 
@@ -338,28 +338,6 @@ SELECT token FROM d_vocab INTERSECT SELECT token FROM b_vocab"""
 
 # ---------------------------------------------------------------- ranks
 
-def _split_sql(fractions, names, seed, table, key, cols):
-    fr = list(fractions) + [round(1 - sum(fractions), 3)]
-    labels = list(names) + ["remainder"]
-    m = len(fr)
-    size = [f"(CAST(floor(n * CAST({f} AS DOUBLE)) AS BIGINT) + CASE WHEN {i} < (n - ({' + '.join(f'CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)' for g in fr)})) % {m} + {m} * ((n - ({' + '.join(f'CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)' for g in fr)})) // {m}) THEN 1 ELSE 0 END)" for i, f in enumerate(fr)]
-    # leftovers dealt round-robin: part i gets floor(left/m) + (i < left % m)
-    left = f"(n - ({' + '.join(f'CAST(floor(n * CAST({g} AS DOUBLE)) AS BIGINT)' for g in fr)}))"
-    size = [f"(CAST(floor(n * CAST({f} AS DOUBLE)) AS BIGINT) + {left} // {m} + CASE WHEN {i} < {left} % {m} THEN 1 ELSE 0 END)"
-            for i, f in enumerate(fr)]
-    cum = ["0"]
-    for i in range(m - 1):
-        cum.append(" + ".join(size[: i + 1]))
-    case = " ".join(f"WHEN r >= {cum[i]} AND r < {cum[i]} + {size[i]} THEN '{labels[i]}'" for i in range(m))
-    return f"""WITH base AS (SELECT {cols}, row_number() OVER (ORDER BY md5('{seed}:' || CAST({key} AS VARCHAR)),
-                                     '{seed}:' || CAST({key} AS VARCHAR)) - 1 AS r FROM {table}),
-cnt AS (SELECT count(*) AS n FROM {table}),
-lab AS (SELECT base.*, CASE {case} END AS split FROM base, cnt)
-SELECT {cols}, split FROM lab WHERE split <> 'remainder'"""
-
-
-ORACLE["random_split"] = _split_sql([0.8, 0.1], ["train", "val"], 42, "embeddings", "vec_id", "vec_id, label")
-
 ORACLE["make_batches"] = """SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS position,
   CAST((row_number() OVER (ORDER BY vec_id) - 1) // 64 AS BIGINT) AS batch FROM embeddings"""
 
@@ -368,7 +346,7 @@ g AS (SELECT e.epoch, b.batch, cnt.n, cnt.per FROM range(3) e(epoch), cnt, range
 SELECT CAST(epoch AS BIGINT) AS epoch, CAST(batch AS INTEGER) AS batch, CAST(epoch * per + batch + 1 AS BIGINT) AS step,
   CAST(least(64, n - batch * 64) AS BIGINT) AS n_samples, (epoch * per + batch + 1) % 5 = 0 AS validate FROM g"""
 
-ORACLE["epoch_shuffle"] = """WITH ex AS (SELECT vec_id, e.epoch FROM embeddings, range(1, 4) e(epoch)),
+ORACLE["epoch_shuffle"] = """WITH ex AS (SELECT vec_id, e.epoch FROM embeddings, range(3) e(epoch)),
 r AS (SELECT vec_id, CAST(epoch AS INTEGER) AS epoch,
   CAST(row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || vec_id), '42:' || epoch || ':' || vec_id) - 1 AS BIGINT) AS position
   FROM ex)
@@ -538,3 +516,56 @@ ORACLE["relayout_pages"] = r"""SELECT category, count(*) AS n_files, CAST(sum(le
   SELECT html, nullif(string_split(regexp_extract(fn, '^(.+?)(\.[^.]*)?$', 1), '_')[-1], '') AS category FROM (
     SELECT html, replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') AS fn FROM pages))
 GROUP BY category"""
+
+# ---------------------------------------------------------------- sweep read path, sinks, collation
+
+SWEEPS = f"""mlog AS (SELECT * EXCLUDE (loss), loss AS loss_mean, exp(-loss) AS accuracy_mean FROM log),
+{smoothed('mlog', 'run_id', 'loss_mean', 'sl')}, {smoothed('sl', 'run_id', 'accuracy_mean', 'sa')},
+sweeps AS (SELECT cfg.exp_name AS sweep_name, sa.run_id, sa.step, sa.epoch AS epoch_x, cfg.depth AS epoch_y, cfg.optimizer, cfg.depth,
+       cfg.width, loss_mean, CASE WHEN cfg.exp_name = 'sweep_a' THEN accuracy_mean END AS accuracy_mean, smoothed_loss_mean,
+       CASE WHEN cfg.exp_name = 'sweep_a' THEN smoothed_accuracy_mean END AS smoothed_accuracy_mean
+     FROM sa JOIN cfg ON sa.run_id IS NOT DISTINCT FROM cfg.id)"""
+
+_METRIC_BEST = [("loss_mean", "lower"), ("accuracy_mean", "higher"), ("smoothed_loss_mean", "lower"), ("smoothed_accuracy_mean", "higher")]
+
+ORACLE["sweep_read"] = f"""WITH {LOG}, {CFG}, {HAT}, {SWEEPS}
+SELECT sweep_name, run_id, step, epoch_x, epoch_y, optimizer, round(loss_mean, 6) + 0.0 AS loss_mean,
+       round(accuracy_mean, 6) + 0.0 AS accuracy_mean, round(smoothed_loss_mean, 6) + 0.0 AS smoothed_loss_mean,
+       round(smoothed_accuracy_mean, 6) + 0.0 AS smoothed_accuracy_mean FROM sweeps"""
+
+ORACLE["sweep_best"] = f"""WITH {LOG}, {CFG}, {HAT}, {SWEEPS},
+{', '.join(f'b_{m} AS {_best("sweeps", "run_id", m, d)}' for m, d in _METRIC_BEST)}
+SELECT sweep_name, run_id, {', '.join(f'best_{m}_step, round(best_{m}, 6) + 0.0 AS best_{m}' for m, _ in _METRIC_BEST)}
+FROM (SELECT DISTINCT sweep_name, run_id FROM sweeps) {' '.join(f'LEFT JOIN b_{m} USING (run_id)' for m, _ in _METRIC_BEST)}"""
+
+ORACLE["sweep_series"] = f"""WITH {LOG}, {CFG}, {HAT}, {SWEEPS}, b AS {_best('sweeps', 'run_id', 'loss_mean', 'lower')}
+SELECT optimizer, depth, run_id, step, round(smoothed_loss_mean, 6) + 0.0 AS smoothed_loss_mean, best_loss_mean_step,
+       round(best_loss_mean, 6) + 0.0 AS best_loss_mean
+FROM sweeps LEFT JOIN b USING (run_id) WHERE optimizer IS NOT NULL AND depth IS NOT NULL"""
+
+ORACLE["facet_series_null"] = f"""WITH {LOG}, {CFG}, {J}
+SELECT optimizer, round(learning_rate, 6) + 0.0 AS learning_rate, run_id, step, round(loss, 6) + 0.0 AS loss FROM j"""
+
+ORACLE["log_summary_pandas_metric"] = f"""WITH {LOG}, {chunk_ctes('log', 20, 7)}
+SELECT run_id AS logger_id, count(*) AS n_steps, arg_max(step, step) AS step,
+       strftime(arg_max(time, step), '%Y-%m-%d %H:%M:%S.%f') AS time, arg_max(epoch, step) AS epoch,
+       run_id, arg_max(split, step) AS split, round(avg(loss), 6) AS loss_mean, round(stddev_samp(loss), 6) AS loss_std,
+       round(max(loss), 6) AS loss_max, round(median(loss), 6) AS loss_median
+FROM k3 GROUP BY run_id, island, fg, chunk"""
+
+ORACLE["materialised_features"] = f"""WITH {_split_ctes([0.8, 0.1], ['train', 'val'], 42, 'embeddings', 'vec_id', 'vec_id, embedding')}
+SELECT vec_id, split, list_transform(CAST(embedding AS DOUBLE[]), lambda y: round(greatest(y / 255, 0.0), 6) + 0.0) AS features
+FROM lab WHERE split <> 'remainder'"""
+
+ORACLE["sorted_vocab"] = ORACLE["bpe_vocab"]
+
+ORACLE["corpus_splits"] = """SELECT doc_id, CASE WHEN lang = 'en' THEN 'train' ELSE 'validation' END AS split,
+  CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents"""
+
+ORACLE["collated_batches"] = """SELECT CAST(vec_id_rank // 64 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS n_rows,
+  list(vec_id ORDER BY vec_id) AS vec_id, list(label ORDER BY vec_id) AS label
+FROM (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS vec_id_rank FROM embeddings) GROUP BY 1"""
+
+ORACLE["grid_nested"] = f"""WITH {_AX}, rn AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS po FROM region)
+SELECT CAST((po * nb + pb) * nn + pn + 1 AS BIGINT) AS run_id, r_name AS "data/region", p_brand AS "model/brand",
+  CAST(n_nationkey AS INTEGER) AS "trainer/steps" FROM rn, n, b, sz"""

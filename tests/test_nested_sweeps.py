@@ -87,3 +87,11 @@ def test_axes_from_params_table(spark):
     assert [(r["model.width"], r["lr"]) for r in runs[:3]] == [("10", "0.1"), ("10", "0.01"), ("10", "0.001")]
     empty = spark.createDataFrame([("a", 0, ["1"]), ("b", 1, [])], "param string, ord int, values array<string>")
     assert sweeps.grid_expand(spark, sweeps.axes_from_table(empty)).count() == 0
+
+
+def test_axes_from_table_gives_values_their_types_back(spark):
+    from stepwise.operators import sweeps
+    params = spark.createDataFrame([("m.w", 0, ["2", "10"]), ("m.off", 1, [None])], "param string, ord int, values array<string>")
+    grid = sweeps.grid_expand(spark, sweeps.axes_from_table(params, types={"m.w": "int"}))
+    assert grid.columns == ["m.w", "run_id"]
+    assert [tuple(r) for r in grid.orderBy("run_id").collect()] == [(2, 1), (10, 2)]

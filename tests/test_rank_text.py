@@ -53,3 +53,14 @@ def test_pre_tokenize_matches_python(spark):
     got = {r["i"]: r["w"] for r in df.select("i", tx.pre_tokenize(tx.normalize_text("t")).alias("w")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _py_words(t), repr(t)
+
+
+def test_collate_orders_rows_keeps_nulls_and_a_null_batch(spark):
+    df = spark.createDataFrame([(0, 1, "b"), (0, 0, None), (None, 5, "z")], "batch int, position int, v string")
+    got = {r["batch"]: (r["n_rows"], r["v"]) for r in rk.collate(df, "batch", "position", "v").collect()}
+    assert got == {0: (2, [None, "b"]), None: (1, ["z"])}
+
+
+def test_epoch_shuffle_counts_from_zero(spark):
+    out = rk.epoch_shuffle(spark.range(5), "id", 2).collect()
+    assert sorted((r["epoch"], r["position"]) for r in out) == [(e, p) for e in (0, 1) for p in range(5)]
