@@ -4,19 +4,17 @@ Data layout
 -----------
 * occurrences: ``(doc keys..., pos, word)`` from ``posexplode`` of the
   pre-tokenised text; never leaves the executors.
-* word table:  one row per distinct multi-character word,
-  ``(sym, freq)`` where ``sym`` is the word's current segmentation written as
-  ``\\t s1 \\n \\t s2 \\n ...``.  Words never contain whitespace (it is a
-  delimiter), so ``\\t``/``\\n`` cannot occur inside a symbol and a merge of
-  ``(a, b)`` is the plain string replacement ``\\ta\\n\\tb\\n -> \\tab\\n``:
-  left to right, non-overlapping, aligned to symbol boundaries.
-
-Training (T1) is a driver loop of rounds.  Each round is one Spark job: the
-pair counts of the word table (map-side combined, shuffled on the pair), and
-only the ranked head of the pair list reaches the driver.  Several merges are
-accepted per round when that provably gives the same result as one merge at
-a time (see ``_accept``).  The word table is cached per round and
-checkpointed to the shared checkpoint folder every few rounds to cut lineage.
+* word table:  one row per distinct multi-character word, ``(word, freq)``,
+  checkpointed once to the shared folder and never rewritten.
+
+Training (T1) is a loop of rounds, each one Spark job over all words, and
+gives the merges of one-at-a-time training.  A round guesses a sequence of
+coming merges from a bounded sample of the words, then
+counts over the whole word table what every pair would count before each
+merge of the sequence (see ``pair_histories``).  From those exact counts the
+driver accepts merges as long as the guess was right, and at the first wrong
+guess takes the right merge instead (see ``_settled``): every round adds at
+least one merge, and a wrong guess costs time, never a wrong merge.
 
 Encoding (T4) runs the greedy lowest-rank merge loop on every row in place, in
 Arrow batches, with the merge ranks broadcast (bounded by the vocabulary size)
@@ -25,6 +23,7 @@ and a bounded cache of words per task; T3 encodes a table of distinct words.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass, field
 
@@ -130,16 +129,6 @@ def pair_counts(table: DataFrame, sym: str = "sym", freq: str = "freq") -> DataF
                  .agg(F.sum(freq).cast("bigint").alias("count")))
 
 
-def _signed_pairs(table: DataFrame, sign: int, sym: str = "sym", freq: str = "freq") -> DataFrame:
-    """Adjacent pairs of every row with count +-freq (not aggregated)."""
-    s = _symbols(sym)
-    n = F.size(s) - 1
-    pairs = F.arrays_zip(F.slice(s, 1, n).alias("left"), F.slice(s, 2, n).alias("right"))
-    return (table.filter(F.size(s) > 1)
-                 .select(F.explode(pairs).alias("p"), (F.col(freq) * sign).cast("bigint").alias("count"))
-                 .select(F.col("p.left").alias("left"), F.col("p.right").alias("right"), "count"))
-
-
 def top_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
     """L1: the k most frequent pairs; ties by left, then right (binary string order)."""
     return pairs.orderBy(F.col("count").desc(), F.col("left").asc(), F.col("right").asc()).limit(k)
@@ -147,6 +136,13 @@ def top_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- T1, T2
 
+#: The sampled words that guesses are made from, the merges guessed in a round,
+#: the pairs whose histories a round brings to the driver.
+GUESS_WORDS, GUESS_MERGES, GUESS_PAIRS = 1 << 14, 256, 1 << 11
+#: Sums that a task holds before it emits them.
+HELD_SUMS = 1 << 18
+
+
 def apply_merges(sym, merges) -> F.Column:
     """Rewrite a segmentation by merges (left to right, non-overlapping)."""
     c = F.col(sym) if isinstance(sym, str) else sym
@@ -155,50 +151,240 @@ def apply_merges(sym, merges) -> F.Column:
     return c
 
 
-def _accept(head: list[tuple[str, str, int]], truncated: bool, ever: set[str],
-            room: int) -> list[tuple[str, str]]:
-    """Merges of one round that one-at-a-time training would make in the same order.
+def _times(merges) -> dict[tuple[str, str], list[int]]:
+    """The places of every pair in a sequence of merges, ascending."""
+    out: dict[tuple[str, str], list[int]] = {}
+    for t, pair in enumerate(merges):
+        out.setdefault(pair, []).append(t)
+    return out
+
+
+def replay(word: str, times: dict, start: int, note=None) -> list[str]:
+    """Apply a sequence of merges to one word in its order; the symbols left.
 
-    The first pair is always taken.  Further pairs are taken while they share
-    no symbol with a taken pair, make a string that never existed and is not
-    made by a taken pair, and count strictly more than the first pair that
-    fails those tests (c*).  Every pair created by a merge contains the new
-    symbol, so it occurs at most as often as an old pair touching a merged
-    symbol, which ranks at or below c*; the taken pairs' counts do not change.
-    A self pair (a, a) or a pair re-making an existing string is a round of
-    its own.
+    ``note(left, right, step, change)`` hears the pairs that the word holds before merge ``start``
+    (step 0) and the changes that merge ``start + i`` makes (step i + 1).  O(n log n) in the word's length.
     """
-    l0, r0, _ = head[0]
-    taken = [(l0, r0)]
-    if l0 == r0 or (l0 + r0) in ever or room <= 1:
-        return taken
-    used, made = {l0, r0}, {l0 + r0}
-    cand: list[tuple[str, str, int]] = []
-    c_star = None
-    for l, r, cnt in head[1:]:
-        new = l + r
-        if l == r or l in used or r in used or new in ever or new in made:
-            c_star = cnt
+    sym = list(word)
+    end = len(sym)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    queue: list[tuple] = []
+    heard = note is None
+
+    def offer(i: int, now: int) -> None:
+        j = after[i] if i >= 0 else end
+        if j < end and (at := times.get((sym[i], sym[j]))) is not None:
+            k = bisect.bisect_right(at, now)
+            if k < len(at):
+                heapq.heappush(queue, (at[k], i, sym[i], sym[j]))
+
+    def held() -> None:
+        i = 0
+        while end and after[i] < end:
+            note(sym[i], sym[after[i]], 0, 1)
+            i = after[i]
+
+    for i in range(end):
+        offer(i, -1)
+    while queue:
+        t, i, left, right = heapq.heappop(queue)
+        j = after[i]
+        if sym[i] != left or j >= end or sym[j] != right:
+            continue
+        if not heard and t >= start:
+            held()
+            heard = True
+        h, k, new, step = before[i], after[j], left + right, t - start + 1
+        if note is not None and step > 0:
+            note(left, right, step, -1)
+            if h >= 0:
+                note(sym[h], left, step, -1)
+                note(sym[h], new, step, 1)
+            if k < end:
+                note(right, sym[k], step, -1)
+                note(new, sym[k], step, 1)
+        sym[i], sym[j] = new, None
+        after[i] = k
+        if k < end:
+            before[k] = i
+        offer(h, t)
+        offer(i, t)
+    if not heard:
+        held()
+    return [s for s in sym if s is not None]
+
+
+def pair_histories(words: DataFrame, merges: list[tuple[str, str]], guesses: list[tuple[str, str]]) -> DataFrame:
+    """What every pair counts after ``merges`` and after each of ``guesses``: (left, right, most, steps).
+
+    ``steps`` are (step, change) in order: at step 0 the count after ``merges``, at step i + 1 the change by
+    guess i.  ``most`` is at least the pair's highest count.  Sums are made in every task before the
+    one shuffle, on the pair.
+    """
+    shared = words.sparkSession.sparkContext.broadcast((_times([*merges, *guesses]), len(merges)))
+
+    def table(sums: dict) -> pa.RecordBatch:
+        left, right, step = zip(*sums) if sums else ((), (), ())
+        return pa.record_batch([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(step, pa.int32()),
+                                pa.array(sums.values(), pa.int64())], ["left", "right", "step", "change"])
+
+    def run(batches):
+        times, start = shared.value
+        sums: dict[tuple[str, str, int], int] = {}
+        for batch in batches:
+            for word, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                def note(left, right, step, change, freq=freq):
+                    key = (left, right, step)
+                    sums[key] = sums.get(key, 0) + change * freq
+
+                replay(word, times, start, note)
+                if len(sums) >= HELD_SUMS:
+                    yield table(sums)
+                    sums.clear()
+        yield table(sums)
+
+    changes = words.select("word", "freq").mapInArrow(run, "left string, right string, step int, change bigint")
+    steps = (changes.repartition("left", "right").groupBy("left", "right", "step").agg(F.sum("change").alias("change"))
+                    .where("change != 0"))
+    return steps.groupBy("left", "right").agg(
+        F.sum(F.greatest("change", F.lit(0))).alias("most"),
+        F.array_sort(F.collect_list(F.struct("step", "change"))).alias("steps"))
+
+
+class _Best:
+    """Counts of pairs and the best of them: highest count, then left, then right."""
+
+    def __init__(self, counts: dict):
+        self.counts = dict(counts)
+        self.queue = [(-c, *pair) for pair, c in self.counts.items()]
+        heapq.heapify(self.queue)
+
+    def put(self, pair: tuple[str, str], count) -> None:
+        self.counts[pair] = count
+        heapq.heappush(self.queue, (-count, *pair))
+
+    def top(self):
+        """(-count, left, right) of the best pair with a positive count, or None."""
+        while self.queue:
+            minus, left, right = self.queue[0]
+            if minus < 0 and self.counts[left, right] == -minus:
+                return self.queue[0]
+            heapq.heappop(self.queue)
+        return None
+
+
+def _settled(rows, guesses: list[tuple[str, str]], truncated: bool):
+    """The merges that exact counts prove; what is known for the next guess.
+
+    Known are the counts just before the last of these merges, a bound of all other pairs' counts, and the
+    changes that each guessed merge made.
+
+    ``rows`` are pair histories, best ``most`` first; if ``truncated``, pairs that rank behind the last row
+    exist, and a best pair that does not rank before them proves nothing.
+    """
+    events: dict[int, list] = {}
+    for r in rows:
+        for step, change in r["steps"]:
+            events.setdefault(step, []).append(((r["left"], r["right"]), change))
+    last = (-rows[-1]["most"], rows[-1]["left"], rows[-1]["right"]) if truncated else None
+    best, taken = _Best({}), []
+    for step in range(len(guesses) + 1):
+        for pair, change in events.get(step, ()):
+            best.put(pair, best.counts.get(pair, 0) + change)
+        top = best.top()
+        if top is None or (last is not None and top > last):
             break
-        cand.append((l, r, cnt))
-        used |= {l, r}
-        made.add(new)
-    if c_star is None and truncated:
-        c_star = head[-1][2]
-    for l, r, cnt in cand:
-        if len(taken) >= room:
+        taken.append(top[1:])
+        if step == len(guesses) or taken[-1] != guesses[step]:
             break
-        if c_star is None or cnt > c_star:
-            taken.append((l, r))
+    counts: dict[tuple[str, str], int] = {}
+    for step in range(len(taken)):
+        for pair, change in events.get(step, ()):
+            counts[pair] = counts.get(pair, 0) + change
+    effects = {pair: dict(events.get(i + 1, ())) for i, pair in enumerate(guesses)}
+    return taken, (counts, -last[0] if truncated else 0, effects)
+
+
+def _guess(sample: list[tuple[str, float]], merges: list[tuple[str, str]], known, n: int) -> list[tuple[str, str]]:
+    """The next ``n`` merges as the sample and what the last round made known (None before the first) foresee them.
+
+    A merge changes the counts as it did in the last round's sequence, else in the sample's proportions.
+    """
+    exact, others, effects = known or ({}, 0, {})
+    if not sample:
+        return []
+    past = merges[:-1] if exact else merges
+    times = _times(past)
+    words = [replay(w, times, 0) for w, _ in sample]
+    seen: dict[tuple[str, str], int] = {}
+    where: dict[tuple[str, str], set[int]] = {}
+    for i, (sym, (_, freq)) in enumerate(zip(words, sample)):
+        for pair in zip(sym, sym[1:]):
+            seen[pair] = seen.get(pair, 0) + freq
+            where.setdefault(pair, set()).add(i)
+    likely = _Best({p: min(c, others) if exact else c for p, c in seen.items()} | exact)
+    out: list[tuple[str, str]] = []
+    forced = merges[-1] if exact else None
+    while len(out) < n:
+        if forced is not None:
+            pair, forced = forced, None
         else:
-            break
-    return taken
+            top = likely.top()
+            if top is None:
+                break
+            pair = top[1:]
+            out.append(pair)
+        scale = likely.counts.get(pair, 0) / seen[pair] if seen.get(pair, 0) > 0 else 1
+        change: dict[tuple[str, str], int] = {}
+        for i in where.pop(pair, ()):
+            old, freq, new, j = words[i], sample[i][1], [], 0
+            while j < len(old):
+                if j + 1 < len(old) and (old[j], old[j + 1]) == pair:
+                    new.append(old[j] + old[j + 1])
+                    j += 2
+                else:
+                    new.append(old[j])
+                    j += 1
+            for p in zip(old, old[1:]):
+                change[p] = change.get(p, 0) - freq
+            for p in zip(new, new[1:]):
+                change[p] = change.get(p, 0) + freq
+                where.setdefault(p, set()).add(i)
+            words[i] = new
+        change[pair] = -seen.get(pair, 0)
+        effect = effects.get(pair)
+        for p, c in change.items():
+            seen[p] = seen.get(p, 0) + c
+            if effect is None:
+                likely.put(p, likely.counts.get(p, 0) + c * scale)
+        for p, c in (effect or {}).items():
+            likely.put(p, likely.counts.get(p, 0) + c)
+        likely.put(pair, 0)
+    return out
+
+
+def _first(df: DataFrame, n: int, *order) -> list:
+    """The first ``n`` rows in an order, found on the executors (never one set for each partition on the driver)."""
+    return df.orderBy(*order).limit(n).coalesce(1).collect()
+
+
+def _sample(table: DataFrame, n: int) -> list[tuple[str, float]]:
+    """At most ``n`` words: half of them the most frequent, the rest by hash, weighted to stand for all rarer words."""
+    if n < 2:
+        return []
+    often = [(r["word"], r["freq"]) for r in _first(table, n // 2, F.desc("freq"), "word")]
+    if len(often) < n // 2:
+        return often
+    last, least = often[-1]
+    rare = table.where((F.col("freq") < least) | ((F.col("freq") == least) & (F.col("word") > last)))
+    some = [(r["word"], r["freq"]) for r in _first(rare, n - len(often), F.xxhash64("word"), "word")]
+    weight = (rare.agg(F.sum("freq")).first()[0] or 0) / max(1, sum(f for _, f in some))
+    return often + [(w, f * weight) for w, f in some]
 
 
 def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
-              new_tokens: int | None = None, head: int = 256,
-              checkpoint_every: int = 1, delta: bool | None = None,
-              delta_min_words: int = 2_000_000) -> BpeModel:
+              new_tokens: int | None = None, head: int = GUESS_PAIRS,
+              guess_words: int = GUESS_WORDS, guess_merges: int = GUESS_MERGES) -> BpeModel:
     """Train byte-pair merges on the whole corpus.
 
     ``keys`` give the corpus order (first appearance decides alphabet ids).
@@ -208,13 +394,12 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     summed, ranks are unique; a merge whose string already exists adds a
     merge but no vocabulary entry.
 
-    With ``delta`` the pair counts are kept as a checkpointed table and each
-    round only re-counts the words a merge touched (old pairs subtracted, new
-    pairs added); otherwise every round re-counts all words.  By default
-    ``delta`` is chosen from the size of the distinct-word table.
+    ``guess_words`` sampled words foresee up to ``guess_merges`` merges a round (0: none, a
+    round then adds one merge); ``head`` pair histories check them.  The three change the number of rounds only.
     """
     spark = corpus.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     words = word_freq(corpus, text, keys).cache()
     alpha_rows = alphabet(words).orderBy("id")
     cap = (vocab_size - len(SPECIALS) + 1) if vocab_size is not None else None
@@ -230,51 +415,26 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     ever = set(tokens)
     merges: list[tuple[str, str]] = []
 
-    table = (words.filter(F.length("word") > 1)
-                  .select(encode_symbols("word").alias("sym"), F.col("freq"))
-                  .repartition(parallelism(spark), "sym")).checkpoint(eager=True)
-    if delta is None:
-        # re-counting only touched words pays off once the word table is large;
-        # below that, the extra job per round costs more than the full recount
-        delta = table.limit(delta_min_words + 1).count() > delta_min_words
-    pairs = pair_counts(table).checkpoint(eager=True) if delta else None
-    rounds = 0
+    table = words.filter(F.length("word") > 1).select("word", "freq").repartition(parallelism(spark), "word").checkpoint()
+    words.unpersist()
+    sample = _sample(table, guess_words)
+    known, stuck = None, False
     while len(tokens) < vocab_size:
-        counts = pairs if delta else pair_counts(table)
-        got = [(r["left"], r["right"], r["count"]) for r in top_pairs(counts, head).collect()]
-        if not got:
+        guesses = [] if stuck else _guess(sample, merges, known, min(guess_merges, vocab_size - len(tokens)))
+        histories = pair_histories(table, merges, guesses).where("most > 0")
+        rows = _first(histories, head, F.desc("most"), "left", "right")
+        if not rows:
             break
-        batch = _accept(got, len(got) >= head, ever, vocab_size - len(tokens))
-        for l, r in batch:
+        taken, known = _settled(rows, guesses, len(rows) >= head)
+        # without guesses the order is that of the counts, so the best pair is always proven
+        stuck = not taken
+        for l, r in taken:
+            if len(tokens) >= vocab_size:
+                break
             merges.append((l, r))
             if l + r not in ever:
                 tokens.append(l + r)
                 ever.add(l + r)
-        if delta:
-            # only words containing a merged pair change: subtract their old pairs, add the new ones
-            touched = None
-            for l, r in batch:
-                hit = F.col("sym").contains(_L + l + _R + _L + r + _R)
-                touched = hit if touched is None else (touched | hit)
-            changed = table.filter(touched)
-            rewritten = changed.select(apply_merges("sym", batch).alias("sym"), "freq")
-            diff = _signed_pairs(changed, -1).unionByName(_signed_pairs(rewritten, 1))
-            pairs = (pairs.unionByName(diff).groupBy("left", "right")
-                          .agg(F.sum("count").cast("bigint").alias("count"))
-                          .filter(F.col("count") > 0)
-                          .checkpoint(eager=True))
-        # words merged down to one symbol have no pairs left: drop them
-        nxt = (table.select(apply_merges("sym", batch).alias("sym"), "freq")
-                    .filter(F.col("sym").contains(_R + _L)))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.cache()
-        table.unpersist()
-        table = nxt
-    table.unpersist()
-    words.unpersist()
     return BpeModel(tokens, merges)
 
 

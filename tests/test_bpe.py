@@ -65,9 +65,10 @@ def test_batched_rounds_equal_one_at_a_time(spark):
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
                       for _ in range(rng.randint(1, 30))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = bpe.bpe_train(df, "text", "doc_id", new_tokens=40, head=8, delta=False)
-    model_delta = bpe.bpe_train(df, "text", "doc_id", new_tokens=40, head=8, delta=True)
-    assert model_delta.merges == model.merges and model_delta.tokens == model.tokens
+    model = bpe.bpe_train(df, "text", "doc_id", new_tokens=40, head=8)
+    for other in ({"guess_words": 0}, {"guess_words": 5, "guess_merges": 7}, {"guess_words": 20, "head": 300}):
+        got = bpe.bpe_train(df, "text", "doc_id", new_tokens=40, **other)
+        assert got.merges == model.merges and got.tokens == model.tokens
     freq = {}
     for t in texts:
         for w in t.split(" "):
