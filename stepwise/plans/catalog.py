@@ -319,6 +319,31 @@ def round_trip_documents(spark, sf):
     return rt.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+#: Tokens of the full-size model.
+FULL_NEW_TOKENS = 1000
+
+
+@register("bpe_merges_1000")
+def bpe_merges_1000(spark, sf):
+    """1,000 tokens learned from all documents (tests/test_bpe.py compares with one merge at a time)."""
+    return _model(spark, sf, new_tokens=FULL_NEW_TOKENS).merges_df(spark)
+
+
+@register("encode_conversations_1000")
+def encode_conversations_1000(spark, sf):
+    """T4: conversation turns encoded with the full-size model."""
+    m = _model(spark, sf, new_tokens=FULL_NEW_TOKENS)
+    return bpe.encode(bd.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], m)
+
+
+@register("round_trip_documents_1000")
+def round_trip_documents_1000(spark, sf):
+    """decode(encode(text, no EOS)) of all documents with the full-size model."""
+    m = _model(spark, sf, new_tokens=FULL_NEW_TOKENS)
+    rt = bpe.round_trip(bd.table(spark, sf, "documents"), "text", "doc_id", m)
+    return rt.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @register("encoded_lengths")
 def encoded_lengths(spark, sf):
     """Tokens per encoded conversation turn (EOS included)."""

@@ -332,6 +332,8 @@ SELECT conv_id, turn, CAST(len(ids) + 1 AS INTEGER) AS n_tokens FROM c_out"""
 ORACLE["round_trip_documents"] = f"""SELECT doc_id, CAST(length(trim(text, {_lit(WS_CHARS)})) AS BIGINT) AS n_chars,
   md5(trim(text, {_lit(WS_CHARS)})) AS text_md5 FROM documents"""
 
+ORACLE["round_trip_documents_1000"] = ORACLE["round_trip_documents"]
+
 ORACLE["vocab_overlap"] = f"""WITH {_DOC}, {bpe_ctes('b', 'benchmark', 'item_id', _K)}
 SELECT token FROM d_vocab INTERSECT SELECT token FROM b_vocab"""
 

@@ -2,6 +2,7 @@ import random
 
 from stepwise.operators import bpe
 
+# The corpus and the vocabulary expected of it.
 WORDS = ["hug"] * 10 + ["pug"] * 5 + ["pun"] * 12 + ["bun"] * 4 + ["hugs"] * 5
 EXPECTED = ['[PAD]', '[UNK]', '[EOS]', 'p', 'u', 'n', ',', ' ', 'g', 'h', 's', 'b',
             'ug', 'un', 'hug', 'pun', 'pug', 'hugs', 'bun']
@@ -80,6 +81,64 @@ def test_batched_rounds_equal_one_at_a_time(spark):
     assert tokens == model.tokens
 
 
+def _greedy(word, ranks):
+    """Brute-force encoding: join the leftmost pair of lowest rank until none is left."""
+    s = list(word)
+    while True:
+        found = [(ranks[p], i) for i, p in enumerate(zip(s, s[1:])) if p in ranks]
+        if not found:
+            return s
+        i = min(found)[1]
+        s[i:i + 2] = [s[i] + s[i + 1]]
+
+
+def test_full_size_model_equals_one_at_a_time(spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    model = bpe.bpe_train(items, "text", "item_id", new_tokens=1000, guess_words=200)
+    words = bpe.word_freq(items, "text", "item_id")
+    freq = {r["word"]: r["freq"] for r in words.collect()}
+    alphabet = [r["token"] for r in bpe.alphabet(words).orderBy("id").collect()]
+    tokens, merges = _one_at_a_time(freq, 3 + len(alphabet) + 1000, alphabet)
+    assert merges == model.merges and tokens == model.tokens
+    assert len(merges) > 500
+    for row in bpe.encode_words(words, model).collect():
+        assert row["tokens"] == _greedy(row["word"], model.ranks)
+
+
+def test_replay_hears_every_change(spark):
+    """Counts before every merge, from the changes that a word makes, equal counts made anew."""
+    rng = random.Random(3)
+    for _ in range(200):
+        word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12)))
+        merges = [("a", "a"), ("a", "b"), ("aa", "aa"), ("b", "ab"), ("a", "a"), ("aa", "b"), ("ab", "ab")]
+        start = rng.randint(0, len(merges))
+        counts = [{} for _ in range(len(merges) - start + 1)]
+
+        def note(left, right, step, change):
+            for c in counts[step:]:
+                c[left, right] = c.get((left, right), 0) + change
+
+        got = bpe.replay(word, bpe._times(merges), start, note)
+        seq = list(word)
+        for t in range(len(merges) + 1):
+            if t >= start:
+                now = {}
+                for p in zip(seq, seq[1:]):
+                    now[p] = now.get(p, 0) + 1
+                assert {p: c for p, c in counts[t - start].items() if c} == now
+            if t < len(merges):
+                out, i = [], 0
+                while i < len(seq):
+                    if tuple(seq[i:i + 2]) == merges[t]:
+                        out.append(seq[i] + seq[i + 1])
+                        i += 2
+                    else:
+                        out.append(seq[i])
+                        i += 1
+                seq = out
+        assert got == seq
+
+
 def test_decode_out_of_range_raises(spark):
     model = bpe.BpeModel(["[PAD]", "[UNK]", "[EOS]", "a"], [])
     df = spark.createDataFrame([(1, [3, 2]), (2, [9])], "k long, ids array<int>")
