@@ -668,6 +668,19 @@ def stream_log_summary(spark, sf):
     return round_doubles(spark.read.parquet(out))
 
 
+@register("stream_log_summary_accuracy")
+def stream_log_summary_accuracy(spark, sf):
+    """R1 + A6: the batch log with logits as a stream of Parquet files, accuracy and loss, flush 4 / chunks of 3."""
+    log = bd.batch_step_log(spark, sf).withColumn("end_of_run", F.lit(None).cast("boolean"))
+    ends = log.groupBy("run_id").agg((F.max("step") + 1).alias("step")).withColumn("end_of_run", F.lit(True))
+    base, out = _scratch(spark, "stream-batches"), _scratch(spark, "stream-accuracy")
+    log.write.mode("append").parquet(base)
+    log.limit(0).unionByName(ends, allowMissingColumns=True).write.mode("append").parquet(base)
+    stream = spark.readStream.schema(log.schema).parquet(base)
+    stsum.run_to_table(stsum.stream_count_summary(stream, 4, 3, metrics=("loss", "accuracy")), out, out + "-chk")
+    return round_doubles(spark.read.parquet(out))
+
+
 @register("stream_join_configs")
 def stream_join_configs(spark, sf):
     """Streamed step records joined to static run configs."""

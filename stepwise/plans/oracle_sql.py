@@ -495,6 +495,7 @@ ORACLE["page_file_names"] = r"""SELECT page_id, fn AS file_name, CASE WHEN len(p
     SELECT page_id, replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_') AS fn FROM pages))"""
 
 ORACLE["stream_log_summary"] = ORACLE["log_summary"]
+ORACLE["stream_log_summary_accuracy"] = ORACLE["log_summary_accuracy"]
 ORACLE["stream_join_configs"] = ORACLE["join_logs_configs"]
 
 ORACLE["append_summaries"] = ORACLE["log_summary"]

@@ -1,9 +1,11 @@
 import math
 import random
+from datetime import datetime
 
 import pandas as pd
 
-from stepwise.streaming.summary import make_summariser
+from stepwise.operators.logs import count_window_summary
+from stepwise.streaming.summary import make_summariser, run_to_table, stream_count_summary
 
 
 class FakeState:
@@ -88,3 +90,37 @@ def test_late_record_joins_the_open_chunk_and_std_null_for_single_record():
     assert list(out["n_steps"]) == [2, 1] and list(out["loss_mean"]) == [7.0, 5.0] and list(out["step"]) == [3, 4]
     assert out["loss_std"].isna().tolist() == [False, True]
     assert math.isclose(out["perplexity"].iloc[1], math.exp(5.0))
+
+
+def test_stream_equals_batch_on_null_nan_infinite_and_large_losses(spark, tmp_path):
+    """Whatever the losses, labels and splits are, the stream gives the rows of the batch summary."""
+    rng = random.Random(11)
+    losses = [None, float("nan"), float("inf"), -float("inf"), 31730.5, 1000.0, 0.0]
+    schema = ("run_id string, split string, epoch int, step bigint, time timestamp, loss double, "
+              "logits array<array<double>>, labels array<int>, end_of_run boolean")
+    rows = []
+    for run in ("a", "b", "c", None):
+        for step in range(60):
+            loss = rng.choice(losses) if run in ("b", None) and rng.random() < 0.3 else rng.random()
+            labels = None if rng.random() < 0.2 else [rng.randint(0, 1) for _ in range(rng.randint(1, 3))]
+            logits = None if labels is None else [[rng.random(), rng.random()] for _ in labels]
+            rows.append((run, rng.choice(["train", "train", "val", None]) if run == "c" else "train", step // 20, step,
+                         datetime(2024, 1, 1, 0, 0, step), loss, logits, labels, None))
+    log = spark.createDataFrame(rows, schema)
+    base, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for lo, hi in ((0, 13), (13, 14), (14, 60)):
+        log.where(f"step >= {lo} and step < {hi}").coalesce(1).write.mode("append").parquet(base)
+    ends = [(r, None, None, 60, None, None, None, None, True) for r in ("a", "b", "c", None)]
+    spark.createDataFrame(ends, schema).write.mode("append").parquet(base)
+    metrics = ("loss", "perplexity", "accuracy")
+    for flush, size in ((10, 4), (0, 7)):
+        stream = spark.readStream.schema(schema).parquet(base)
+        to = f"{out}-{flush}"
+        run_to_table(stream_count_summary(stream, flush, size, metrics=metrics), to, to + "-chk")
+        got = spark.read.parquet(to)
+        want = count_window_summary(log.drop("end_of_run"), flush_interval=flush, aggregation_interval=size, metrics=metrics)
+
+        def plain(df):
+            return sorted(str([("%.9g" % v if isinstance(v, float) else v) for v in r]) for r in df.select(*want.columns).collect())
+
+        assert plain(got) == plain(want)
