@@ -37,12 +37,19 @@ def _cols(x) -> list:
 
 
 def _with_offsets(df: DataFrame, part: list[str], group: list[str], out: str,
-                  order: list[Column]) -> DataFrame:
-    """rank = rows of the same group in earlier parts + row_number inside the part."""
+                  order: list[Column], parts: int) -> DataFrame:
+    """rank = rows of the same group in earlier parts + row_number inside the part.
+
+    There are at most ``parts`` parts: without groups this bounds the broadcast offsets, with groups a
+    count of them does.
+    """
     counts = df.groupBy(*group, *part).agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.partitionBy(*group).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, *part, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
-    offsets = bounded_broadcast(offsets, MAX_OFFSET_ROWS)
+    if not group and parts <= MAX_OFFSET_ROWS:
+        offsets = F.broadcast(offsets)
+    else:
+        offsets = bounded_broadcast(offsets, MAX_OFFSET_ROWS)
     keys = group + part
     inner = Window.partitionBy(*keys).orderBy(*order)
     ranked = join_null_safe(df, offsets, keys)
@@ -74,7 +81,7 @@ def hash_rank(df: DataFrame, seed: Column, group=None, out: str = "rank",
     h = F.md5(s)
     tmp = (df.withColumn("__seed", s).withColumn("__h", h)
              .withColumn("__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("bigint")))
-    ranked = _with_offsets(tmp, ["__b"], group, out, [F.col("__h"), F.col("__seed")])
+    ranked = _with_offsets(tmp, ["__b"], group, out, [F.col("__h"), F.col("__seed")], 16 ** digits)
     return ranked.drop("__seed", "__h", "__b")
 
 
@@ -88,7 +95,7 @@ def ordered_rank(df: DataFrame, order, group=None, out: str = "rank",
     parts = (df.repartitionByRange(n, *group, *order)
                .withColumn("__pid", F.spark_partition_id())
                .checkpoint(eager=True))
-    return _with_offsets(parts, ["__pid"], group, out, [F.col(c) if isinstance(c, str) else c for c in order]) \
+    return _with_offsets(parts, ["__pid"], group, out, [F.col(c) if isinstance(c, str) else c for c in order], n) \
         .drop("__pid")
 
 
