@@ -10,14 +10,13 @@ group of near copies almost no weight.)
 
 Sampling: 64 consistent weighted samples per text; two texts agree on one with
 a probability equal to their weighted Jaccard similarity.  Banding: 20 bands of 5
-samples.  In a bucket every text is paired with a few leaders (the text with the largest buckets, and minima of
-salted hashes; one constant-size aggregate), never with all members, so the number of
-candidates grows with the texts whatever the buckets' sizes.  Pairs whose
-samples agree too little for the threshold are put aside, all others are
-verified by the exact weighted Jaccard similarity of the two sets.  Further rounds with
-other leaders run on the buckets whose texts are in several
-classes, until a round adds hardly any link.  A link can be missed if its texts share no band, or only large buckets
-whose leaders are like neither; README has the recall measured against all pairs.
+samples.  Pairs of a bucket whose samples agree too little for the threshold are put aside, all others are
+verified by the exact weighted Jaccard similarity of the two sets.  First every text of a bucket is paired with a few
+leaders (the text with the largest buckets, and minima of salted hashes; one constant-size aggregate), which
+puts most groups in one class.  Then, in every bucket whose texts are still in several classes, all texts meet all
+texts of the other classes: a large bucket is cut into blocks, and each two blocks are a cell of bounded bytes.  So every pair
+that shares a band is compared or held by one class; the work of a bucket grows with the square of its texts only while they are of
+several classes.  A link can be missed only if its texts share no band, or agree in fewer than ``LEAST_AGREED`` samples.
 
 Defined results: null is the empty text; equal texts are always one class; texts
 without words are near copies of nothing else.  The class id is the smallest doc_id
@@ -29,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -39,10 +39,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SAMPLES = 64
 BANDS, BAND_SAMPLES = 20, 5
-#: Leaders that a bucket's texts are compared with in each round.
+#: Leaders that a bucket's texts are compared with before all others.
 LEADERS = 4
-#: Rounds end when one adds links of no more than this share of all links so far.
-STOP_SHARE = 0.02
+#: Bytes of a block of a large bucket, and of the small buckets that are put together.
+BLOCK_BYTES, PACK_BYTES = 2 << 20, 64 << 10
 #: Pairs with fewer agreeing samples are not verified: five standard deviations below the threshold.
 LEAST_AGREED = int(SAMPLES * SIMILARITY - 5 * (SAMPLES * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Hashed slots of the document frequencies.
@@ -214,14 +214,14 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _pairs(buckets: DataFrame, salt: int) -> DataFrame:
+def _pairs(buckets: DataFrame) -> DataFrame:
     """(a, b): every text of a bucket (tid, key, score) with the bucket's leaders; each pair once.
 
     The first leader is the text whose buckets are the largest: the original of a group of near
     copies shares more buckets than any copy.  The others are minima of salted hashes.
     """
     leader = [F.max(F.struct("score", "tid"))["tid"].alias("l0")]
-    leader += [F.min(F.struct(F.xxhash64("tid", F.lit(salt * LEADERS + i)).alias("h"), "tid"))["tid"].alias(f"l{i}") for i in range(1, LEADERS)]
+    leader += [F.min(F.struct(F.xxhash64("tid", F.lit(i)).alias("h"), "tid"))["tid"].alias(f"l{i}") for i in range(1, LEADERS)]
     heads = buckets.groupBy("key").agg(*leader).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("heads"))
     met = buckets.select("tid", "key").join(stored(heads, "leaders"), "key").select("tid", F.explode("heads").alias("head")).where("tid != head")
     return met.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct()
@@ -235,6 +235,86 @@ def _shared(texts: DataFrame) -> DataFrame:
     return stored(shared.select("tid", "key").join(shared.groupBy("tid").agg(F.sum("n").alias("score")), "tid"), "scored")
 
 
+def _cells(members: DataFrame):
+    """Groups of rows of (key, tid, ...) in which any two texts of a bucket meet once.
+
+    A bucket of more than ``BLOCK_BYTES`` is dealt into blocks by hash, and each two blocks (i, j) are a cell;
+    other buckets are one cell each, small ones together in packs.
+    """
+    size = sum((F.octet_length(c) for c in ("tid", "root", "sig", "vec") if c in members.columns), F.lit(8 * BANDS + 8))
+    sizes = stored(members.groupBy("key").agg(F.sum(size).alias("bytes")), "sizes")
+    packs = max(1, (sizes.agg(F.sum("bytes")).first()[0] or 0) // PACK_BYTES)
+    blocks = sizes.select("key", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.when(F.col("bytes") > PACK_BYTES, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(packs))).alias("pack"))
+    dealt = members.join(broadcast_if_small(blocks, 24), "key").withColumn("block", F.pmod(F.xxhash64("tid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other").groupBy("pack", "i", "j")
+
+
+def _meetings(cell: pa.Table, root: np.ndarray):
+    """(p, qs): a row of a cell sorted by key, and later rows of its bucket to verify with it.
+
+    Those are of another class (``root`` may change between the steps) and agree in enough samples; a pair is met in the first band that it shares.
+    """
+    key, block = cell["key"].to_numpy(), cell["block"].to_numpy()
+    sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(len(key), -1)
+    bands = pc.list_flatten(cell["bands"]).to_numpy().reshape(len(key), -1)
+    across = cell["i"][0].as_py() != cell["j"][0].as_py()
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+        for p in range(lo, hi - 1):
+            q = np.arange(p + 1, hi)
+            q = q[(root[q] != root[p]) & ((block[q] != block[p]) | (not across))]
+            q = q[(sig[q] == sig[p]).sum(axis=1) >= LEAST_AGREED]
+            if len(q):
+                q = q[bands[p][(bands[q] == bands[p]).argmax(axis=1)] == key[p]]
+            if len(q):
+                yield p, q
+
+
+def _sorted_cell(cell: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows by key, and a number for each one's root."""
+    cell = cell.sort_by("key").combine_chunks()
+    return cell, np.unique(np.array(cell["root"].to_pylist(), dtype="S16"), return_inverse=True)[1]
+
+
+def _hits(cell: pa.Table) -> pa.Table:
+    """(key, tid) of the texts that have a pair to verify."""
+    cell, root = _sorted_cell(cell)
+    use = np.zeros(len(cell), bool)
+    for p, q in _meetings(cell, root):
+        use[p] = use[q] = True
+    return cell.select(["key", "tid"]).filter(pa.array(use))
+
+
+def _cell_links(similarity: float):
+    def link(cell: pa.Table) -> pa.Table:
+        """(a, b) of verified pairs that join the classes of a cell; a pair that others have joined before is left out."""
+        cell, root = _sorted_cell(cell)
+        parts = [_parts(v) for v in cell["vec"].to_pylist()]
+        size = np.array([len(c) for c, _ in parts])
+        first = np.cumsum(size) - size
+        place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)[1]
+        weight = np.concatenate([w for _, w in parts])
+        whole = np.array([w.sum(dtype=np.float64) for _, w in parts])
+        mine = np.zeros(len(place), np.float32)
+        left, right = [], []
+        for p, q in _meetings(cell, root):
+            own = slice(first[p], first[p] + size[p])
+            mine[place[own]] = weight[own]
+            start = np.cumsum(size[q]) - size[q]
+            at = np.arange(size[q].sum()) + np.repeat(first[q] - start, size[q])
+            both = np.add.reduceat(np.minimum(mine[place[at]], weight[at]).astype(np.float64), start)
+            mine[place[own]] = 0
+            for x in q[both / np.maximum(whole[p] + whole[q] - both, 1e-30) >= similarity]:
+                if root[x] != root[p]:
+                    left.append(p)
+                    right.append(x)
+                    root[root == root[x]] = root[p]
+        return pa.table({"a": cell["tid"].take(pa.array(left, pa.int64())), "b": cell["tid"].take(pa.array(right, pa.int64()))})
+
+    return link
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links`` (a, b): the smallest id that it is connected with.
 
@@ -271,35 +351,35 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
     texts = rows.where(F.col("__sig").isNotNull()).select(F.col("__tid").alias("tid"), F.col("__sig").alias("sig"), F.col("__bands").alias("bands")).dropDuplicates(["tid"])
     texts = stored(texts, "texts")
     buckets, sigs = _shared(texts), texts.select("tid", "sig")
-    roots, checked, salt, linked = None, None, 0, 0
-    while True:
-        use = buckets
-        if roots is not None:
-            named = stored(buckets.join(roots.withColumnRenamed("id", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "rooted")
-            mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-            use = named.drop("root").join(stored(mixed, "mixed"), "key", "left_semi")
-        pairs = _pairs(use, salt)
-        if roots is not None:  # nothing new can be learned of pairs met before or held by one class
-            at = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-            pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        pairs = pairs.join(sigs.select(F.col("tid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tid").alias("b"), F.col("sig").alias("sb")), "b")
-        pairs = stored(pairs.where(_agreed("sa", "sb") >= LEAST_AGREED).select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return rows, roots
-        need = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "needed")
+    pairs = _pairs(buckets)
+    pairs = pairs.join(sigs.select(F.col("tid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tid").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = stored(pairs.where(_agreed("sa", "sb") >= LEAST_AGREED).select("a", "b"), "pairs")
+
+    def vectors(ids: DataFrame) -> DataFrame:
+        need = stored(ids.distinct(), "needed")
         texts_of = docs.select(text_id(F.col(text)).alias("tid"), F.col(text).alias("text")).join(broadcast_if_small(need, 48), "tid", "left_semi").dropDuplicates(["tid"])
-        vecs = stored(texts_of.select("tid", _vector_udf(handle)("text").alias("vec")), "vectors")
+        return stored(texts_of.select("tid", _vector_udf(handle)("text").alias("vec")), "vectors")
+
+    roots = None
+    if not pairs.isEmpty():
+        vecs = vectors(pairs.select(F.explode(F.array("a", "b")).alias("tid")))
         joined = pairs.join(vecs.select(F.col("tid").alias("a"), F.col("vec").alias("va")), "a").join(vecs.select(F.col("tid").alias("b"), F.col("vec").alias("vb")), "b")
         links = stored(joined.withColumn("s", _similarity("va", "vb")).where(F.col("s") >= similarity).select("a", "b"), "near")
-        checked = pairs if checked is None else checked.unionAll(pairs)
-        new = links.count()
-        if new:
-            roots = _merged(roots, links)
-            linked += new
-        if new <= STOP_SHARE * linked:
-            return rows, roots
-        salt += 1
+        roots = None if links.isEmpty() else components(links)
+    named = buckets.select("tid", "key")
+    if roots is None:
+        named = named.withColumn("root", F.col("tid"))
+    else:
+        named = stored(named.join(roots.withColumnRenamed("id", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid")), "rooted")
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    members = named.join(stored(mixed, "mixed"), "key", "left_semi").join(texts, "tid")
+    members = stored(members.select("key", "tid", "root", "sig", "bands"), "members")
+    meant = stored(_cells(members).applyInArrow(_hits, "key long, tid binary").distinct(), "meant")
+    if meant.isEmpty():
+        return rows, roots
+    members = members.join(meant, ["key", "tid"], "left_semi").join(vectors(meant.select("tid")), "tid")
+    links = stored(_cells(stored(members, "weighed")).applyInArrow(_cell_links(similarity), "a binary, b binary").distinct(), "near")
+    return rows, roots if links.isEmpty() else _merged(roots, links)
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,55 @@ def test_samples_agree_as_the_weighted_jaccard():
     assert abs(np.mean(agree)) < 0.03
 
 
+def brute_near_classes(texts):
+    """Class number of each text: every two texts that share a band, verified."""
+    _, _, data, bounds = next(slices(pa.array(texts), 1 << 30))
+    df = np.zeros(neardup.SLOTS)
+    words, row = neardup._words(data, bounds)
+    for cell in set(zip(row.tolist(), neardup._slot(words).tolist(), strict=True)):
+        df[cell[1]] += 1
+    idf = (1 + np.log((1 + len(texts)) / (1 + df)) / np.log1p(len(texts))).astype(np.float32)
+    row, code, weight = neardup.shingles(data, bounds, idf)
+    bands = neardup.band_keys(neardup.samples(row, code, weight)[1])
+    vec = [code[row == i].tobytes() + weight[row == i].tobytes() for i in range(len(texts))]
+    group = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bands[i] == bands[j]).any() and group[i] != group[j] and neardup.weighted_jaccard(vec[i], vec[j]) >= neardup.SIMILARITY:
+                group[group == group[i]] = group[j]
+    return group.tolist()
+
+
+def test_copies_behind_a_shared_passage_are_all_found(spark):
+    """Groups of two in buckets of hundreds, where a few leaders are not of the group."""
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(230)]
+    texts = []
+    for g in range(150):
+        own = [f"g{g}w{i}" for i in range(22)]
+        other = own[:8] + [f"h{g}w{i}" for i in range(14)]
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    rnd.shuffle(texts)
+    want = brute_near_classes(texts)
+    got = [r["class_id"] for r in sorted(neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])]
+    first = {g: i for i, g in reversed(list(enumerate(want)))}
+    assert len(first) < 160 and got == [first[g] for g in want]
+
+
+def test_blocks_of_a_large_bucket_meet_all(spark, monkeypatch):
+    """Cells of few rows give the links of one cell."""
+    rnd = np.random.default_rng(3)
+    sig = rnd.integers(0, 256, (60, neardup.SAMPLES)).astype(np.uint8)
+    sig[30:] = sig[:30]
+    rows = [(7, bytes([i] * 16), bytes([i] * 16), sig[i].tobytes(), [7] + [1000 * b + i for b in range(1, neardup.BANDS)]) for i in range(60)]
+    members = spark.createDataFrame(rows, "key long, tid binary, root binary, sig binary, bands array<long>").withColumn("vec", F.unhex(F.lit("00" * 12)))
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    cells = neardup._cells(members)
+    assert cells.count().count() > 3
+    links = cells.applyInArrow(neardup._cell_links(-1.0), "a binary, b binary").collect()
+    assert sorted(tuple(sorted((r["a"][0], r["b"][0]))) for r in links) == [(i, i + 30) for i in range(30)]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 50)] + [(201, 200)]
     got = {r["id"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
