@@ -192,6 +192,16 @@ def test_blocks_of_a_large_bucket_meet_all(spark, monkeypatch):
     assert sorted(tuple(sorted((r["a"][0], r["b"][0]))) for r in links) == [(i, i + 30) for i in range(30)]
 
 
+@pytest.mark.parametrize("similarity", [0.80, 0.85])
+def test_pairs_without_a_shared_band_are_as_rare_as_with_independent_bands(similarity):
+    rnd, n = np.random.default_rng(8), 60_000
+    a = rnd.integers(0, 1 << 63, (n, neardup.SAMPLES)).astype(np.uint64)
+    b = np.where(rnd.random(a.shape) < similarity, a, a + np.uint64(1))
+    lost = (neardup.band_keys(a) != neardup.band_keys(b)).all(axis=1).sum()
+    theory = n * (1 - similarity ** neardup.BAND_SAMPLES) ** neardup.BANDS
+    assert abs(lost - theory) <= 5 * theory ** 0.5 + 1
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 50)] + [(201, 200)]
     got = {r["id"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
