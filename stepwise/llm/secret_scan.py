@@ -6,7 +6,9 @@ names (``a = "x"`` then ``password = a``), and scores each pair by the words of
 the literal.  Pairs that reach ``LEAST_SCORE`` add a span of kind ``literal``; the spans of the base patterns stay.
 
 Defined results: null is the empty text; positions are code points, ends exclusive; a literal found for several
-names is one span; equal rows give equal results.  Every text is read whole.  Columns of the input named like a
+names is one span; equal rows give equal results.  Every text is read whole; names and blanks may be of any length.  The
+literal of a bare value goes to the end of its run, so the literals of ``k=v&k=v`` overlap; they are held as positions and scored from
+the end of the run, so the work goes with the length of a text (times the different characters of a run).  Columns of the input named like a
 result are replaced.
 """
 
@@ -15,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +42,16 @@ NAME_SCORES = {
     "password": 2, "passwd": 2, "passphrase": 2, "pwd": 2, "secret": 2, "token": 1.5, "apikey": 2, "credential": 1.5, "credentials": 1.5,
     "private": 0.75, "access": 0.5, "auth": 0.75, "authorization": 1, "api": 0.75, "client": 0.25, "key": 0.75, "signature": 0.75, "session": 0.5, "bearer": 1,
 }
-#: Literals that stand for a value to be filled in.
-PLACEHOLDER = re.compile(r"^(x+|\*+|none|null|nil|true|false|changeme|example|test|todo|your.*|<.*>|\$\{.*\}|%.*%)$", re.IGNORECASE)
+#: Literals that stand for a value to be filled in; also those that start with ``your`` or are in the brackets.
+PLACEHOLDER = re.compile(r"(x+|\*+|none|null|nil|true|false|changeme|example|test|todo)\Z", re.IGNORECASE)
+BRACKETS = (("<", ">"), ("${", "}"), ("%", "%"))
 _SIGN = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'`\])]{0,2}[ \t]{0,16}\Z""")
-_QUOTED = re.compile(r"""[ \t]{0,16}(?:"([^"\n\\]*(?:\\.[^"\n\\]*)*)"|'([^'\n\\]*(?:\\.[^'\n\\]*)*)')""")
-_BARE = re.compile(r"""[ \t]{0,16}([^\s"',;(){}\[\]<>#]+)""")
+_NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+_BLANKS = re.compile(r"[ \t]*")
+_QUOTED = re.compile(r""""([^"\n\\]*(?:\\.[^"\n\\]*)*)"|'([^'\n\\]*(?:\\.[^'\n\\]*)*)'""")
+_BARE = re.compile(r"""[^\s"',;(){}\[\]<>#]+""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+\Z")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,20 +66,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of the assignments, in order."""
-    out = []
+def _name(before: str) -> str:
+    """The name that ends ``before``, the text between two signs; empty if there is none."""
+    before = before.rstrip(" \t")
+    end = len(before)
+    while end and len(before) - end < 2 and before[end - 1] in "\"'`])":
+        end -= 1
+    before = before[:end]
+    return before[len(before.rstrip(_NAME_CHARS)):].lstrip("0123456789.-")
+
+
+def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, start, end, quoted) of the assignments, in order; the literal is ``text[start:end]``."""
+    last = run_end = 0
     for sign in _SIGN.finditer(text):
-        name = _NAME.search(text[max(0, sign.start() - 160):sign.start()])
+        name = _name(text[last:sign.start()])
+        last = sign.end()
         if not name:
             continue
-        value = _QUOTED.match(text, sign.end())
-        group = 1 if value and value[1] is not None else 2
-        if not value:
-            value, group = _BARE.match(text, sign.end()), 1
-        if value and value[group]:
-            out.append((name[1], value[group], value.start(group), value.end(group), value.re is _QUOTED))
-    return out
+        start = _BLANKS.match(text, last).end()
+        quoted = _QUOTED.match(text, start)
+        if quoted:
+            start, end = quoted.span(quoted.lastindex)
+        elif start < run_end:
+            end = run_end
+        else:
+            bare = _BARE.match(text, start)
+            end = run_end = bare.end() if bare else start
+        if start < end:
+            yield name, start, end, bool(quoted)
 
 
 def name_score(name: str) -> float:
@@ -83,28 +103,51 @@ def name_score(name: str) -> float:
     return sum(NAME_SCORES.get(w, 0) for w in words)
 
 
-def literal_score(literal: str) -> float:
-    """From -2 (a placeholder or a word) to 1 (long, mixed)."""
-    if len(literal) < LEAST_ASSIGN or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+def _is_filler(text: str, start: int, end: int) -> bool:
+    if PLACEHOLDER.match(text, start, end) or text[start:min(end, start + 4)].lower() == "your":
+        return True
+    return any(end - start >= len(a) + len(b) and text.startswith(a, start, end) and text.endswith(b, start, end) for a, b in BRACKETS)
+
+
+def _shape_score(counts: Counter, n: int) -> float:
+    if any(c.isspace() for c in counts):
         return -2.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum((any(c.islower() for c in literal), any(c.isupper() for c in literal), any(c.isdigit() for c in literal), not literal.isalnum()))
+    entropy = -math.fsum(k / n * math.log2(k / n) for k in counts.values())
+    kinds = sum((any(c.islower() for c in counts), any(c.isupper() for c in counts), any(c.isdigit() for c in counts), not all(c.isalnum() for c in counts)))
     return min(1.0, 0.15 * (entropy - 2) + 0.25 * (kinds - 1))
 
 
+def literal_scores(text: str, starts: set[int], end: int) -> dict[int, float]:
+    """Scores of the literals of one end, from -2 (a placeholder or a word) to 1 (long, mixed); each character is counted once."""
+    scores, counts, at = {}, Counter(), end
+    for start in sorted(starts, reverse=True):
+        counts.update(text[start:at])
+        at = start
+        scores[start] = -2.0 if end - start < LEAST_ASSIGN or _is_filler(text, start, end) else _shape_score(counts, end - start)
+    return scores
+
+
+def literal_score(literal: str) -> float:
+    return literal_scores(literal, {0}, len(literal))[0]
+
+
 def literal_spans(text: str) -> set[tuple[int, int]]:
     """Literals that belong to a sensitive name, directly or through constants."""
-    constants: dict[str, tuple[str, int, int]] = {}
-    found = set()
-    for name, literal, start, end, quoted in pairs(text):
-        value = (literal, start, end)
-        if not quoted and _IDENT.match(literal) and literal in constants:
-            value = constants[literal]
+    constants: dict[str, tuple[int, int]] = {}
+    names: dict[tuple[int, int], float] = {}
+    for name, start, end, quoted in pairs(text):
+        value = (start, end)
+        if not quoted and _IDENT.match(text, start, end):
+            value = constants.get(text[start:end], value)
         constants[name] = value
-        if name_score(name) + literal_score(value[0]) >= LEAST_SCORE:
-            found.add(value[1:])
-    return found
+        score = name_score(name)
+        if score + 1 >= LEAST_SCORE:  # a literal adds 1 at most
+            names[value] = max(score, names.get(value, 0))
+    starts = defaultdict(set)
+    for start, end in names:
+        starts[end].add(start)
+    scores = {(start, end): x for end, use in starts.items() for start, x in literal_scores(text, use, end).items()}
+    return {value for value, score in names.items() if score + scores[value] >= LEAST_SCORE}
 
 
 def joined(spans: list[tuple[int, int, int]], names: tuple[str, ...]) -> str:

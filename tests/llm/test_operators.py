@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -251,6 +252,21 @@ def test_secrets_base_and_assignments(spark, empty):
     assert secret_scan.scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_secrets_of_a_long_run_take_memory_in_proportion():
+    peak = {}
+    for n in (2000, 4000):
+        text = "password=v1xQ9&" * n
+        tracemalloc.start()
+        found = secret_scan.literal_spans(text)
+        peak[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == n and all(b == len(text) for _, b in found)
+    assert peak[4000] < 3 * peak[2000]
+    text = "token=a token=%x& secret=yourkey&password=Zx81kQpLw09s:password=your&pwd=xxxxxxx&passwd=<a>"
+    want = {(a, b) for name, a, b, _ in secret_scan.pairs(text) if secret_scan.name_score(name) + secret_scan.literal_score(text[a:b]) >= secret_scan.LEAST_SCORE}
+    assert secret_scan.literal_spans(text) == want != set()
+
+
 def brute_pii(t):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
