@@ -2,7 +2,7 @@
 
 The method reads assignments of source code and configuration (``name = "literal"``, ``name: literal``,
 ``"name": "literal"``, ``name := literal``, ``name => literal``) as name-literal pairs, carries literals on through
-names (``a = "x"`` then ``password = a``), and scores each pair by the words of the final name and the shape of
+names (``a = "x"`` and ``password = a``; a name stands for its last value before, or if there is none for its first one after), and scores each pair by the words of the final name and the shape of
 the literal.  Pairs that reach ``LEAST_SCORE`` add a span of kind ``literal``; the spans of the base patterns stay.
 
 Defined results: null is the empty text; positions are code points, ends exclusive; a literal found for several
@@ -134,15 +134,32 @@ def literal_score(literal: str) -> float:
 def literal_spans(text: str) -> set[tuple[int, int]]:
     """Literals that belong to a sensitive name, directly or through constants."""
     constants: dict[str, tuple[int, int]] = {}
-    names: dict[tuple[int, int], float] = {}
+    first: dict[str, tuple[int, int]] = {}
+    later: dict[tuple[int, int], str] = {}
+    uses: list[tuple[float, tuple[int, int]]] = []
     for name, start, end, quoted in pairs(text):
         value = (start, end)
         if not quoted and _IDENT.match(text, start, end):
-            value = constants.get(text[start:end], value)
+            known = text[start:end]
+            if known in constants:
+                value = constants[known]
+            else:
+                later[value] = known
         constants[name] = value
+        first.setdefault(name, value)
         score = name_score(name)
         if score + 1 >= LEAST_SCORE:  # a literal adds 1 at most
-            names[value] = max(score, names.get(value, 0))
+            uses.append((score, value))
+    final: dict[tuple[int, int], tuple[int, int]] = {}
+    names: dict[tuple[int, int], float] = {}
+    for score, value in uses:
+        way = {}
+        while value not in final and value not in way and first.get(later.get(value), value) != value:
+            way[value] = None
+            value = first[later[value]]
+        value = final.get(value, value)
+        final.update(dict.fromkeys(way, value))
+        names[value] = max(score, names.get(value, 0))
     starts = defaultdict(set)
     for start, end in names:
         starts[end].add(start)

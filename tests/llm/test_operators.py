@@ -267,6 +267,15 @@ def test_secrets_of_a_long_run_take_memory_in_proportion():
     assert secret_scan.literal_spans(text) == want != set()
 
 
+@pytest.mark.parametrize("text", [
+    "client_passphrase" + " " * 20 + '= "Zx81kQpLw09s"', "client_passphrase =" + "\t" * 40 + "Zx81kQpLw09s", "a" * 300 + '_password = "Zx81kQpLw09s"',
+    "password = KEY\nKEY = 'Zx81kQpLw09s'\n", "password = A\nA = B\nB = 'Zx81kQpLw09s'\nB = 'other words'", "secret = A\nA = B\nB = A\npassword = K\nK = 'Zx81kQpLw09s'",
+])
+def test_secrets_behind_blanks_long_names_and_later_constants(text):
+    at = text.index("Zx81")
+    assert secret_scan.literal_spans(text) == {(at, at + 12)}
+
+
 def brute_pii(t):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
