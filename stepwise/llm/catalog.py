@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm import decontam, html_text, langid, mixing, neardup, pii, quality, secret_scan, shards, warc
+from stepwise.llm import centroids, decontam, hard_negatives, html_text, langid, mixing, neardup, ngram_lm, pii, quality, secret_scan, shards, warc
 from stepwise.llm.textbuf import spread_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,29 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN f.first IS NULL O
   CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a model of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0).alias("held_out"))
+    return ngram_lm.score(docs, ngram_lm.train(docs.where(~F.col("held_out")))).drop("text")
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the embeddings after ten rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLE["op12_centroid_clusters"] = centroids.oracle()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, with the label noise that the query states."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label=noisy, anchor=F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.ORACLE
