@@ -29,7 +29,6 @@ named like a result are replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +50,7 @@ BITS_PER_EVENT, PROBES = 16, 4
 #: Levels of any count below 2 ** 63.
 MAX_LEVEL = 1 + int(63 * math.log(2) / math.log(BASE))
 #: Text bytes for each filter block and for each group of texts that asks the blocks.
-BLOCK_BYTES = GROUP_BYTES = 16 << 20
+BLOCK_BYTES, GROUP_BYTES = 16 << 20, 4 << 20
 #: Tokens that a task counts before it sends them on; text bytes that it tokenises at once.
 FLUSH_TOKENS, STEP_BYTES = 1 << 21, 1 << 22
 
@@ -59,6 +58,9 @@ _U64 = np.uint64
 _START, _END = _U64(0x53F1A9C3D2E4B687), _U64(0x9D2C5680EFC60001)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+#: Words of up to so many bytes are hashed eight bytes at a time, all words together.
+SHORT_WORD = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _level_means() -> np.ndarray:
@@ -79,22 +81,47 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(_BOUNDS, counts, side="right").astype(np.int64)
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; different words of up to eight bytes and of one length never share it."""
+    size = ends - starts
+    out = size.astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    todo = np.flatnonzero(size <= SHORT_WORD)
+    for i in range(0, SHORT_WORD, 8):
+        todo = todo[size[todo] > i]
+        out[todo] = mix64(out[todo] ^ (eight[starts[todo] + i] & _MASKS[np.minimum(size[todo] - i, 8)]))
+    long = np.flatnonzero(size > SHORT_WORD)
+    cut = np.searchsorted(np.cumsum(size[long]), np.arange(1, int(size[long].sum()) // (1 << 20) + 1) << 20)
+    for piece in np.split(long, np.unique(cut)):
+        out[piece] = word_hashes(data, starts[piece], ends[piece])
+    return out
+
+
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of each row, one end behind them, and the first token of each row (with an end entry)."""
     low = _LOWER[data]
     starts, ends = runs(NOT_SPACE[low], bounds)
-    cut = np.searchsorted(np.cumsum(ends - starts), np.arange(1, len(data) // (1 << 20) + 1) << 20)
-    pieces = np.unique(np.concatenate(([0], cut, [len(starts)])))
-    words = [word_hashes(low, starts[i:j], ends[i:j]) for i, j in zip(pieces[:-1], pieces[1:])]
     n = per_row(rows_of(starts, bounds), len(bounds) - 1)
     first = np.concatenate(([0], np.cumsum(n + 1)))
     out = np.full(first[-1], _END, dtype=np.uint64)
     is_word = np.ones(first[-1], dtype=bool)
     is_word[first[1:] - 1] = False
-    out[is_word] = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    out[is_word] = _hashes(low, starts, ends)
     return out, first
 
 
+def tokens_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of a whole column, made in steps."""
+    toks, first, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for _, _, data, bounds in slices(texts, STEP_BYTES):
+        t, f = tokens(data, bounds)
+        toks.append(t)
+        first.append(f[1:] + n)
+        n += len(t)
+    return np.concatenate(toks), np.concatenate(first)
+
+
 def previous(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The token before each, the start mark for the first of a row."""
     prev = np.empty_like(toks)
@@ -112,12 +139,10 @@ def _short(keys: np.ndarray, block_bits: int) -> np.ndarray:
     return ((keys << _U64(block_bits)) >> _U64(32)).astype(np.uint32)
 
 
-def _positions(short: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+def _places(short: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bit of each event and the step to its next ones, modulo ``size``."""
     h = mix64((short.astype(np.uint64) << _U64(8)) + _U64(level))
-    at, step = h % _U64(size), mix64(h) | _U64(1)
-    for _ in range(PROBES):
-        yield at
-        at = (at + step) % _U64(size)
+    return h % _U64(size), (mix64(h) | _U64(1)) % _U64(size)
 
 
 def filter_bits(short: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -126,21 +151,23 @@ def filter_bits(short: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size = max(64, -(-int(top.sum()) * BITS_PER_EVENT // 8) * 8)
     bits = np.zeros(size, dtype=bool)
     for j in range(1, int(top.max(initial=0)) + 1):
-        for at in _positions(short[top >= j], j, size):
+        at, step = _places(short[top >= j], j, size)
+        for _ in range(PROBES):
             bits[at] = True
+            at = (at + step) % _U64(size)
     return np.packbits(bits, bitorder="little")
 
 
 def probe(bits: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """The level that each pair reaches."""
+    """The level that each pair reaches: the last one before the first event that isn't held."""
     out = np.zeros(len(short), dtype=np.uint8)
-    asked = np.arange(len(short))
+    asked, size = np.arange(len(short)), len(bits) * 8
     for j in range(1, MAX_LEVEL + 1):
-        for at in _positions(short[asked], j, len(bits) * 8):
-            yes = (bits[(at >> _U64(3)).astype(np.int64)] >> (at & _U64(7)).astype(np.uint8)) & 1 == 1
-            asked = asked[yes]
-            if len(asked) < len(yes):
-                break
+        at, step = _places(short[asked], j, size)
+        for _ in range(PROBES):
+            held = np.flatnonzero((bits[(at >> _U64(3)).astype(np.int64)] >> (at & _U64(7)).astype(np.uint8)) & 1)
+            asked, step = asked[held], step[held]
+            at = (at[held] + step) % _U64(size)
         if not len(asked):
             break
         out[asked] = j
@@ -246,9 +273,8 @@ class _Scorer:
         self.texts, self.n = model.texts, model.tokens
         self.floor = model.tokens + ADDED * (model.distinct + 1)
 
-    def results(self, data: np.ndarray, bounds: np.ndarray, count_of, level_of) -> dict[str, np.ndarray]:
+    def results(self, toks: np.ndarray, first: np.ndarray, count_of, level_of) -> dict[str, np.ndarray]:
         """``count_of`` sorted distinct words, ``level_of`` sorted distinct pairs."""
-        toks, first = tokens(data, bounds)
         prev = previous(toks, first)
         word, at = _distinct(toks)
         c = count_of(word)[at]
@@ -320,7 +346,7 @@ def _score_broadcast(docs: DataFrame, model: Model, text: str) -> DataFrame:
         for batch in batches:
             found: dict[str, list] = {n: [] for n, _ in RESULTS}
             for _, _, data, bounds in slices(batch.column(at), STEP_BYTES):
-                got = scorer.results(data, bounds, lambda w: each(w, np.int64, lambda b, k: _counts_in(b[0], b[1], k)),
+                got = scorer.results(*tokens(data, bounds), lambda w: each(w, np.int64, lambda b, k: _counts_in(b[0], b[1], k)),
                                      lambda p: each(p, np.uint8, lambda b, k: _in_turn(b[2], _short(k, bits))))
                 for n in found:
                     found[n].append(got[n])
@@ -344,12 +370,8 @@ def _score_blocks(docs: DataFrame, model: Model, text: str, group_bytes: int) ->
     bits, scorer, at = model.block_bits, _Scorer(model), names.index(text) + 1
 
     def questions(table: pa.Table) -> pa.Table:
-        words, pairs = [], []
-        for _, _, data, bounds in slices(table.column(at), STEP_BYTES):
-            toks, first = tokens(data, bounds)
-            words.append(pc.unique(pa.array(toks)).to_numpy())
-            pairs.append(pc.unique(pa.array(pair_keys(previous(toks, first), toks))).to_numpy())
-        words, pairs = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+        toks, first = tokens_of(table.column(at))
+        words, pairs = (np.sort(pc.unique(pa.array(x)).to_numpy()) for x in (toks, pair_keys(previous(toks, first), toks)))
         return pa.table({"__group": pa.array(np.full(1 << bits, table.column(0)[0].as_py(), np.int32)), "block": pa.array(np.arange(1 << bits, dtype=np.int32)),
                          "words": _cells(words, _block_ends(words, bits)), "pairs": _cells(_short(pairs, bits), _block_ends(pairs, bits))})
 
@@ -365,19 +387,9 @@ def _score_blocks(docs: DataFrame, model: Model, text: str, group_bytes: int) ->
     def scored(rows: pa.Table, answer: pa.Table) -> pa.Table:
         answer = answer.sort_by("block")
         counts, level = _join(answer["counts"], np.int64), _join(answer["levels"], np.uint8)
-        parts = list(slices(rows.column(at), STEP_BYTES))
-        words, pairs = [], []
-        for _, _, data, bounds in parts:
-            toks, first = tokens(data, bounds)
-            words.append(pc.unique(pa.array(toks)).to_numpy())
-            pairs.append(pc.unique(pa.array(pair_keys(previous(toks, first), toks))).to_numpy())
-        words, pairs = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
-        found: dict[str, list] = {n: [] for n, _ in RESULTS}
-        for _, _, data, bounds in parts:
-            got = scorer.results(data, bounds, lambda w: counts[np.searchsorted(words, w)], lambda p: level[np.searchsorted(pairs, p)])
-            for n in found:
-                found[n].append(got[n])
-        return pa.table([*rows.columns[1:], *[pa.array(np.concatenate(v)) for v in found.values()]], names=[*names, *found])
+        # the answers are in the order of the distinct words and pairs
+        found = scorer.results(*tokens_of(rows.column(at)), lambda words: counts, lambda pairs: level)
+        return pa.table([*rows.columns[1:], *[pa.array(v) for v in found.values()]], names=[*names, *found])
 
     asked = grouped.groupBy("__group").applyInArrow(questions, "__group int, block int, words binary, pairs binary")
     told = asked.groupBy("block").cogroup(model.blocks.groupBy("block")).applyInArrow(answers, "__group int, block int, counts binary, levels binary")
