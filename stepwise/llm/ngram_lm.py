@@ -52,7 +52,7 @@ MAX_LEVEL = 1 + int(63 * math.log(2) / math.log(BASE))
 #: Text bytes for each filter block and for each group of texts that asks the blocks.
 BLOCK_BYTES, GROUP_BYTES = 16 << 20, 4 << 20
 #: Tokens that a task counts before it sends them on; text bytes that it tokenises at once.
-FLUSH_TOKENS, STEP_BYTES = 1 << 21, 1 << 22
+FLUSH_TOKENS, STEP_BYTES = 1 << 20, 1 << 21
 
 _U64 = np.uint64
 _START, _END = _U64(0x53F1A9C3D2E4B687), _U64(0x9D2C5680EFC60001)
