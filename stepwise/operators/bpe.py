@@ -4,17 +4,21 @@ Data layout
 -----------
 * occurrences: ``(doc keys..., pos, word)`` from ``posexplode`` of the
   pre-tokenised text; never leaves the executors.
-* word table:  one row per distinct multi-character word, ``(word, freq)``,
-  checkpointed once to the shared folder and never rewritten.
-
-Training (T1) is a loop of rounds, each one Spark job over all words, and
-gives the merges of one-at-a-time training.  A round guesses a sequence of
-coming merges from a bounded sample of the words, then
-counts over the whole word table what every pair would count before each
-merge of the sequence (see ``pair_histories``).  From those exact counts the
-driver accepts merges as long as the guess was right, and at the first wrong
-guess takes the right merge instead (see ``_settled``): every round adds at
-least one merge, and a wrong guess costs time, never a wrong merge.
+* segmentations: one row per distinct multi-character word, ``(sym, freq,
+  pairs)``: its symbols after the first ``done`` merges, and a hash of each of its
+  adjacent pairs, the postings by which a round finds the words it touches.
+* pair counts after the same merges, ``(left, right, count)``.
+
+Training (T1) is a loop of rounds and gives the merges of one-at-a-time
+training.  A round guesses a sequence of coming merges from a bounded set of
+words.  One Spark job then segments anew only the words that hold a pair of
+the merges since ``done`` or of the guesses, and adds their signed count
+changes to the pair counts (see ``pair_histories``).  From those exact counts
+the driver accepts merges as long as the guess was right, and at the first
+wrong guess takes the right merge instead (see ``_settled``): every round adds at
+least one merge, and a wrong guess costs time, never a wrong merge.  When the
+merges since ``done`` have grown by half, segmentations and counts are written anew
+(see ``Segmented.advanced``).
 
 Encoding (T4) runs the greedy lowest-rank merge loop on every row in place, in
 Arrow batches, with the merge ranks broadcast (bounded by the vocabulary size)
@@ -25,6 +29,9 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import time
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -136,9 +143,13 @@ def top_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- T1, T2
 
-#: The sampled words that guesses are made from, the merges guessed in a round,
-#: the pairs whose histories a round brings to the driver.
-GUESS_WORDS, GUESS_MERGES, GUESS_PAIRS = 1 << 14, 256, 1 << 11
+#: The words that guesses are made from, the merges guessed in the first round (doubled after a round that
+#: proves all, halved after one that proves less than half) and at most, the pairs whose histories a round brings to the driver.
+GUESS_WORDS, GUESS_MERGES, MOST_GUESSES, GUESS_PAIRS = 1 << 15, 256, 1 << 10, 1 << 11
+#: Best pairs of which all words must be at hand, else a sample of all words gives the guesses.
+WHOLE_PAIRS = 16
+#: Merges that may wait before the segmentations are written anew: these at least and at most, else half of those done.
+WAITING = (64, 1 << 10)
 #: Sums that a task holds before it emits them.
 HELD_SUMS = 1 << 18
 
@@ -159,8 +170,8 @@ def _times(merges) -> dict[tuple[str, str], list[int]]:
     return out
 
 
-def replay(word: str, times: dict, start: int, note=None) -> list[str]:
-    """Apply a sequence of merges to one word in its order; the symbols left.
+def replay(word: str | list[str], times: dict, start: int, note=None) -> list[str]:
+    """Apply a sequence of merges to one word (or its symbols so far) in its order; the symbols left.
 
     ``note(left, right, step, change)`` hears the pairs that the word holds before merge ``start``
     (step 0) and the changes that merge ``start + i`` makes (step i + 1).  O(n log n) in the word's length.
@@ -214,14 +225,68 @@ def replay(word: str, times: dict, start: int, note=None) -> list[str]:
     return [s for s in sym if s is not None]
 
 
-def pair_histories(words: DataFrame, merges: list[tuple[str, str]], guesses: list[tuple[str, str]]) -> DataFrame:
+_JOINT = "\x01"
+
+
+def _posting(left: str, right: str) -> int:
+    """The hash by which a pair is found among the postings; ``_postings`` gives the same on Spark's side."""
+    return zlib.crc32(f"{left}{_JOINT}{right}".encode())
+
+
+def _postings(sym: str):
+    """Hashes of a word's adjacent pairs."""
+    rest = F.slice(sym, 2, F.greatest(F.size(sym) - 1, F.lit(0)))
+    first = F.slice(sym, 1, F.greatest(F.size(sym) - 1, F.lit(0)))
+    return F.array_distinct(F.zip_with(first, rest, lambda x, y: F.crc32(F.concat(x, F.lit(_JOINT), y))))
+
+
+def _holding(segs: DataFrame, pairs) -> DataFrame:
+    """The words that hold one of ``pairs``, and a few more whose hashes agree."""
+    keys = sorted({_posting(*p) for p in pairs})
+    return segs.where(F.expr(f"exists(pairs, p -> p in ({','.join(f'{k}L' for k in keys)}))")) if keys else segs.limit(0)
+
+
+@dataclass
+class Segmented:
+    """Every word's symbols after the first ``done`` merges, with postings, and the pair counts of that state."""
+
+    segs: DataFrame
+    counts: DataFrame
+    done: int = 0
+
+    @classmethod
+    def of(cls, segs: DataFrame, done: int) -> Segmented:
+        """``segs`` (sym, freq) written with postings to the shared folder; the counts are partial sums before one shuffle."""
+        parts = parallelism(segs.sparkSession)
+        segs = segs.select("sym", "freq", _postings("sym").alias("pairs")).checkpoint()
+        n = F.size("sym") - 1
+        pairs = segs.where("size(sym) > 1").select(F.explode(F.arrays_zip(F.slice("sym", 1, n).alias("left"), F.slice("sym", 2, n).alias("right"))).alias("p"), "freq")
+        counts = pairs.groupBy("p.left", "p.right").agg(F.sum("freq").cast("bigint").alias("count"))
+        return cls(segs, counts.coalesce(max(1, parts)).checkpoint(), done)
+
+    def advanced(self, merges: list[tuple[str, str]], to: int) -> Segmented:
+        """The state after ``merges[:to]``; only words that hold a pair of the new ones are segmented anew."""
+        times = self.segs.sparkSession.sparkContext.broadcast(_times(merges[self.done:to]))
+
+        def run(batches):
+            known = times.value
+            for batch in batches:
+                sym = [s if not any(p in known for p in zip(s, s[1:])) else replay(s, known, 0) for s in batch.column(0).to_pylist()]
+                yield pa.record_batch([pa.array(sym, pa.list_(pa.string())), batch.column(1)], ["sym", "freq"])
+
+        return Segmented.of(self.segs.select("sym", "freq").mapInArrow(run, "sym array<string>, freq bigint"), to)
+
+
+def pair_histories(state: Segmented, merges: list[tuple[str, str]], guesses: list[tuple[str, str]]) -> DataFrame:
     """What every pair counts after ``merges`` and after each of ``guesses``: (left, right, most, steps).
 
     ``steps`` are (step, change) in order: at step 0 the count after ``merges``, at step i + 1 the change by
-    guess i.  ``most`` is at least the pair's highest count.  Sums are made in every task before the
-    one shuffle, on the pair.
+    guess i.  ``most`` is at least the pair's highest count.  Words without a pair of the merges since the
+    state or of the guesses are not read beyond their postings: their part of the counts stays.  Sums are made
+    in every task before the one shuffle, on the pair.
     """
-    shared = words.sparkSession.sparkContext.broadcast((_times([*merges, *guesses]), len(merges)))
+    waiting = merges[state.done:]
+    shared = state.segs.sparkSession.sparkContext.broadcast((_times([*waiting, *guesses]), len(waiting)))
 
     def table(sums: dict) -> pa.RecordBatch:
         left, right, step = zip(*sums) if sums else ((), (), ())
@@ -232,20 +297,24 @@ def pair_histories(words: DataFrame, merges: list[tuple[str, str]], guesses: lis
         times, start = shared.value
         sums: dict[tuple[str, str, int], int] = {}
         for batch in batches:
-            for word, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for sym, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 def note(left, right, step, change, freq=freq):
                     key = (left, right, step)
                     sums[key] = sums.get(key, 0) + change * freq
 
-                replay(word, times, start, note)
+                for pair in zip(sym, sym[1:]):  # the state's counts hold the word as it was then
+                    note(*pair, 0, -1)
+                replay(sym, times, start, note)
                 if len(sums) >= HELD_SUMS:
                     yield table(sums)
                     sums.clear()
         yield table(sums)
 
-    changes = words.select("word", "freq").mapInArrow(run, "left string, right string, step int, change bigint")
-    steps = (changes.repartition("left", "right").groupBy("left", "right", "step").agg(F.sum("change").alias("change"))
-                    .where("change != 0"))
+    touched = _holding(state.segs, [*waiting, *guesses]).select("sym", "freq")
+    changes = touched.mapInArrow(run, "left string, right string, step int, change bigint").where("change != 0")
+    before = state.counts.select("left", "right", F.lit(0).alias("step"), F.col("count").alias("change"))
+    steps = (before.unionByName(changes).repartition("left", "right").groupBy("left", "right", "step").agg(F.sum("change").alias("change"))
+                   .where("change != 0"))
     return steps.groupBy("left", "right").agg(
         F.sum(F.greatest("change", F.lit(0))).alias("most"),
         F.array_sort(F.collect_list(F.struct("step", "change"))).alias("steps"))
@@ -305,10 +374,11 @@ def _settled(rows, guesses: list[tuple[str, str]], truncated: bool):
     return taken, (counts, -last[0] if truncated else 0, effects)
 
 
-def _guess(sample: list[tuple[str, float]], merges: list[tuple[str, str]], known, n: int) -> list[tuple[str, str]]:
+def _guess(sample: list[tuple[list[str], float]], merges: list[tuple[str, str]], known, n: int) -> list[tuple[str, str]]:
     """The next ``n`` merges as the sample and what the last round made known (None before the first) foresee them.
 
-    A merge changes the counts as it did in the last round's sequence, else in the sample's proportions.
+    ``merges`` are those that the sample's words haven't seen yet.  A merge changes the counts as it did in the
+    last round's sequence, else in the sample's proportions.
     """
     exact, others, effects = known or ({}, 0, {})
     if not sample:
@@ -368,23 +438,51 @@ def _first(df: DataFrame, n: int, *order) -> list:
     return df.orderBy(*order).limit(n).coalesce(1).collect()
 
 
-def _sample(table: DataFrame, n: int) -> list[tuple[str, float]]:
+def _sample(state: Segmented, n: int) -> list[tuple[list[str], float]]:
     """At most ``n`` words: half of them the most frequent, the rest by hash, weighted to stand for all rarer words."""
     if n < 2:
         return []
-    often = [(r["word"], r["freq"]) for r in _first(table, n // 2, F.desc("freq"), "word")]
+    key = F.array_join("sym", "")
+    table = state.segs.select("sym", "freq", key.alias("word"))
+    often = [(r["sym"], r["freq"], r["word"]) for r in _first(table, n // 2, F.desc("freq"), "word")]
     if len(often) < n // 2:
-        return often
-    last, least = often[-1]
+        return [(s, f) for s, f, _ in often]
+    _, least, last = often[-1]
     rare = table.where((F.col("freq") < least) | ((F.col("freq") == least) & (F.col("word") > last)))
-    some = [(r["word"], r["freq"]) for r in _first(rare, n - len(often), F.xxhash64("word"), "word")]
+    some = [(r["sym"], r["freq"]) for r in _first(rare, n - len(often), F.xxhash64("word"), "word")]
     weight = (rare.agg(F.sum("freq")).first()[0] or 0) / max(1, sum(f for _, f in some))
-    return often + [(w, f * weight) for w, f in some]
+    return [(s, f) for s, f, _ in often] + [(s, f * weight) for s, f in some]
+
+
+def _words_of(state: Segmented, merges: list[tuple[str, str]], known, n: int) -> tuple[list[tuple[list[str], float]], int]:
+    """At most ``n`` words that hold the best known pairs, as they were before the last merge, and the number of pairs of which all words are there.
+
+    With all words of a pair at hand the driver foresees what its merge does.
+    """
+    best = [merges[-1], *(p[1:] for p in heapq.nsmallest(GUESS_PAIRS, ((-c, *pair) for pair, c in known[0].items() if c > 0)))]
+    shared = state.segs.sparkSession.sparkContext.broadcast((_times(merges[state.done:-1]), {p: i for i, p in reversed(list(enumerate(best)))}))
+
+    def run(batches):
+        times, rank = shared.value
+        for batch in batches:
+            found: list[tuple] = []
+            for sym, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sym = replay(sym, times, 0) if times else sym
+                first = min((rank[p] for p in zip(sym, sym[1:]) if p in rank), default=None)
+                if first is not None:
+                    found.append((first, sym, freq))
+            ranks, syms, freqs = zip(*found) if found else ((), (), ())
+            yield pa.record_batch([pa.array(ranks, pa.int32()), pa.array(syms, pa.list_(pa.string())), pa.array(freqs, pa.int64())], ["rank", "sym", "freq"])
+
+    held = _holding(state.segs, [*merges[state.done:], *best]).select("sym", "freq").mapInArrow(run, "rank int, sym array<string>, freq bigint")
+    rows = _first(held, n + 1, "rank", F.desc("freq"), "sym")
+    return [(r["sym"], r["freq"]) for r in rows[:n]], rows[n]["rank"] if len(rows) > n else len(best)
 
 
 def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
               new_tokens: int | None = None, head: int = GUESS_PAIRS,
-              guess_words: int = GUESS_WORDS, guess_merges: int = GUESS_MERGES) -> BpeModel:
+              guess_words: int = GUESS_WORDS, guess_merges: int = GUESS_MERGES, waiting: tuple[int, int] = WAITING,
+              on_round: Callable[[dict], None] | None = None) -> BpeModel:
     """Train byte-pair merges on the whole corpus.
 
     ``keys`` give the corpus order (first appearance decides alphabet ids).
@@ -394,8 +492,10 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     summed, ranks are unique; a merge whose string already exists adds a
     merge but no vocabulary entry.
 
-    ``guess_words`` sampled words foresee up to ``guess_merges`` merges a round (0: none, a
-    round then adds one merge); ``head`` pair histories check them.  The three change the number of rounds only.
+    ``guess_words`` words foresee the merges of a round, at first ``guess_merges`` (0 words: none, a
+    round then adds one merge); ``head`` pair histories check them; ``waiting`` merges, at least and at most, come
+    before the segmentations are written anew.  The four change the number and cost of rounds only.
+    ``on_round`` hears of every round: merges so far, guessed, taken, words touched by the guesses, seconds.
     """
     spark = corpus.sparkSession
     ensure_checkpoint_dir(spark)
@@ -415,14 +515,18 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     ever = set(tokens)
     merges: list[tuple[str, str]] = []
 
-    table = words.filter(F.length("word") > 1).select("word", "freq").repartition(parallelism(spark), "word").checkpoint()
+    first = words.filter(F.length("word") > 1).select(to_chars("word").alias("sym"), "freq").repartition(parallelism(spark), "sym")
+    state = Segmented.of(first, 0)
     words.unpersist()
-    sample = _sample(table, guess_words)
-    known, stuck = None, False
+    sample = _sample(state, guess_words)
+    known, stuck, n_guesses = None, False, guess_merges
     while len(tokens) < vocab_size:
-        guesses = [] if stuck else _guess(sample, merges, known, min(guess_merges, vocab_size - len(tokens)))
-        histories = pair_histories(table, merges, guesses).where("most > 0")
-        rows = _first(histories, head, F.desc("most"), "left", "right")
+        began = time.time()
+        own, whole = _words_of(state, merges, known, guess_words) if known and guess_words >= 2 and not stuck else ([], 0)
+        wanted = 0 if stuck else min(n_guesses, vocab_size - len(tokens))
+        # a sample of all words while the best pairs are in too many
+        guesses = _guess(own, merges[-1:], known, wanted) if whole >= WHOLE_PAIRS else _guess(sample, merges, known, wanted)
+        rows = _first(pair_histories(state, merges, guesses).where("most > 0"), head, F.desc("most"), "left", "right")
         if not rows:
             break
         taken, known = _settled(rows, guesses, len(rows) >= head)
@@ -435,6 +539,14 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
             if l + r not in ever:
                 tokens.append(l + r)
                 ever.add(l + r)
+        if guesses:
+            proven = len(taken) >= len(guesses)
+            n_guesses = min(MOST_GUESSES, 2 * n_guesses) if proven else max(16, n_guesses // 2) if 2 * len(taken) < len(guesses) else n_guesses
+        if on_round is not None:
+            on_round({"merges": len(merges), "guessed": len(guesses), "taken": len(taken), "done": state.done, "whole_pairs": whole, "touched": _holding(state.segs, guesses).count(), "seconds": time.time() - began})
+        low, most = waiting
+        if taken and len(merges) - state.done >= min(most, max(low, state.done // 2)):
+            state = state.advanced(merges, len(merges) - 1)  # what is known holds before the last merge
     return BpeModel(tokens, merges)
 
 
@@ -507,8 +619,8 @@ def encode_words(words: DataFrame, model: BpeModel, word: str = "word") -> DataF
 
 # ---------------------------------------------------------------- T4, T6, T7
 
-#: Encoded words that a task remembers.
-WORD_CACHE = 1 << 16
+#: Encoded words that a task remembers, and the characters of the longest of them.
+WORD_CACHE, CACHED_CHARS = 1 << 16, 64
 
 
 def encode(df: DataFrame, text: str, keys, model: BpeModel, add_eos: bool = True) -> DataFrame:
@@ -535,7 +647,7 @@ def encode(df: DataFrame, text: str, keys, model: BpeModel, add_eos: bool = True
                 c = seen.get(w)
                 if c is None:
                     c = [ids.get(t, UNK_ID) for t in bpe_word(w, ranks)]
-                    if len(seen) < WORD_CACHE:
+                    if len(seen) < WORD_CACHE and len(w) <= CACHED_CHARS:
                         seen[w] = c
                 got += c
             out.append(got + [EOS_ID] if add_eos else got)

@@ -241,7 +241,7 @@ _MODELS: dict = {}
 
 def _model(spark, sf, name="documents", key="doc_id", new_tokens=TEXT_NEW_TOKENS):
     """Train (once per session) a BPE model on a whole corpus table."""
-    k = (sf, name, key, new_tokens, id(spark))
+    k = (sf, name, key, new_tokens, spark.sparkContext.applicationId)
     if k not in _MODELS:
         _MODELS[k] = bpe.bpe_train(bd.table(spark, sf, name), "text", key, new_tokens=new_tokens)
     return _MODELS[k]
@@ -323,6 +323,12 @@ def round_trip_documents(spark, sf):
 FULL_NEW_TOKENS = 1000
 
 
+@register("bpe_merges_10000")
+def bpe_merges_10000(spark, sf):
+    """T1 at the size of a real vocabulary: 10,000 new tokens learned from documents."""
+    return _model(spark, sf, new_tokens=10_000).merges_df(spark)
+
+
 @register("bpe_merges_1000")
 def bpe_merges_1000(spark, sf):
     """1,000 tokens learned from all documents (tests/test_bpe.py compares with one merge at a time)."""

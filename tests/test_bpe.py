@@ -1,3 +1,4 @@
+import heapq
 import random
 
 from stepwise.operators import bpe
@@ -105,6 +106,65 @@ def test_full_size_model_equals_one_at_a_time(spark):
         assert row["tokens"] == _greedy(row["word"], model.ranks)
 
 
+def _one_at_a_time_indexed(freq, new_tokens):
+    """Textbook BPE, one merge at a time, touching the words of the merged pair only."""
+    alphabet = {c for w in freq for c in w}
+    segs, counts, where, ever, merges = {w: list(w) for w in freq}, {}, {}, set(alphabet), []
+    for w, s in segs.items():
+        for p in zip(s, s[1:]):
+            counts[p] = counts.get(p, 0) + freq[w]
+            where.setdefault(p, set()).add(w)
+    queue = [(-c, *p) for p, c in counts.items()]
+    heapq.heapify(queue)
+    while queue and len(ever) - len(alphabet) < new_tokens:
+        c, a, b = heapq.heappop(queue)
+        if c == 0 or counts[a, b] != -c:
+            continue
+        merges.append((a, b))
+        ever.add(a + b)
+        change = {}
+        for w in where.pop((a, b)):
+            out = []
+            for x in segs[w]:
+                if out and out[-1] == (a, None) and x == b:
+                    out[-1] = (a + b, 1)
+                else:
+                    out.append((x, None))
+            out = [x for x, _ in out]
+            for p in zip(segs[w], segs[w][1:]):
+                change[p] = change.get(p, 0) - freq[w]
+            for p in zip(out, out[1:]):
+                change[p] = change.get(p, 0) + freq[w]
+                where.setdefault(p, set()).add(w)
+            segs[w] = out
+        for p, d in change.items():
+            if d:
+                counts[p] = counts.get(p, 0) + d
+                heapq.heappush(queue, (-counts[p], *p))
+    return merges
+
+
+def test_incremental_rounds_equal_one_at_a_time_and_touch_fewer_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rounds = []
+    model = bpe.bpe_train(docs, "text", "doc_id", new_tokens=3000, on_round=rounds.append)
+    freq = {r["word"]: r["freq"] for r in bpe.word_freq(docs, "text", "doc_id").collect()}
+    assert model.merges == _one_at_a_time_indexed(freq, 3000)
+    assert sum(r["taken"] for r in rounds) >= 3000 and len(rounds) < 100
+    third = len(rounds) // 3
+    touched = [r["touched"] / max(1, r["taken"]) for r in rounds]
+    assert sum(touched[-third:]) < 0.2 * sum(touched[:third])
+    assert rounds[-1]["done"] > 1000  # segmentations were written anew on the way
+    few = bpe.bpe_train(docs, "text", "doc_id", new_tokens=150, waiting=(3, 8), guess_merges=20, guess_words=300, head=400)
+    assert few.merges == model.merges[:len(few.merges)] and len(few.merges) >= 150
+
+
+def test_postings_agree_on_both_sides(spark):
+    df = spark.createDataFrame([(["a", "b\x01", "é😀", "a", "b\x01"],), (["x"],), ([],)], "sym array<string>")
+    got = [r[0] for r in df.select(bpe._postings("sym")).collect()]
+    assert got == [[bpe._posting("a", "b\x01"), bpe._posting("b\x01", "é😀"), bpe._posting("é😀", "a")], [], []]
+
+
 def test_replay_hears_every_change(spark):
     """Counts before every merge, from the changes that a word makes, equal counts made anew."""
     rng = random.Random(3)
