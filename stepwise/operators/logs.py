@@ -24,19 +24,55 @@ from pyspark.sql import functions as F
 from stepwise.functions.arrays import argmax
 from stepwise.functions.scalars import timestamp_str
 from stepwise.operators.common import join_null_safe
+from stepwise.operators.metrics import (StateMetric, add_states, chunk_states, mean_and_spread, merge_mean_and_spread,
+                                        python_by_chunk, sums)
 
 LAST_FIELDS = ("step", "time", "epoch", "run_id")
 
 
 @dataclass
 class Metric:
-    """A named metric = per-record preparation + chunk aggregates + final projection."""
+    """A named metric = per-record preparation + chunk aggregates + final projection.
+
+    ``state`` is the same metric as a mergeable state, for streams and beside metrics that have no aggregates.
+    """
 
     name: str
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
     aggs: Callable[[], list[Column]] = lambda: []
     finish: Callable[[], list[Column]] = lambda: []
     temp_cols: list[str] = field(default_factory=list)
+    state: StateMetric | None = None
+
+
+def _loss_state() -> StateMetric:
+    return StateMetric(
+        "loss", inputs={"loss": (lambda: F.col("loss"), "double")}, state={"n": "bigint", "mean": "double", "m2": "double"},
+        update=lambda x, begin: mean_and_spread(x["loss"], begin), merge=merge_mean_and_spread,
+        finish=lambda c: [F.when(c("n") > 0, c("mean")).alias("loss_mean"),
+                          F.when(c("n") > 1, F.sqrt(c("m2") / (c("n") - 1))).alias("loss_std")])
+
+
+def _perplexity_state() -> StateMetric:
+    return StateMetric(
+        "perplexity", inputs={"loss": (lambda: F.col("loss"), "double")}, state={"n": "bigint", "mean": "double", "m2": "double"},
+        update=lambda x, begin: mean_and_spread(x["loss"], begin), merge=merge_mean_and_spread,
+        finish=lambda c: [F.when(c("n") > 0, F.exp(c("mean"))).alias("perplexity")])
+
+
+def _accuracy_state() -> StateMetric:
+    def finish(c):
+        n, k = c("n"), c("k")
+        mean = F.try_divide(k, n)
+        std = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(k - n * mean * mean, n - 1))))
+        return [F.when(c("labelled") > 0, mean).alias("accuracy_mean"), F.when(c("labelled") > 0, std).alias("accuracy_std")]
+
+    known = lambda x: F.when(F.col("labels").isNotNull(), x)
+    return StateMetric(
+        "accuracy", inputs={"n": (lambda: known(record_correct()[0]), "bigint"), "k": (lambda: known(record_correct()[1]), "bigint")},
+        state={"labelled": "bigint", "n": "bigint", "k": "bigint"},
+        update=lambda x, begin: {"labelled": sums((x["n"][1].astype("int64"), x["n"][1]), begin), "n": sums(x["n"], begin), "k": sums(x["k"], begin)},
+        merge=add_states, finish=finish)
 
 
 def _loss_metric() -> Metric:
@@ -45,13 +81,14 @@ def _loss_metric() -> Metric:
         "loss",
         aggs=lambda: [F.avg("loss").alias("loss_mean"), F.stddev_samp("loss").alias("loss_std")],
         finish=lambda: [F.col("loss_mean"), F.col("loss_std")],
+        state=_loss_state(),
     )
 
 
 def _perplexity_metric() -> Metric:
     """Exp of the mean loss of the chunk."""
     return Metric("perplexity", aggs=lambda: [F.exp(F.avg("loss")).alias("perplexity")],
-                  finish=lambda: [F.col("perplexity")])
+                  finish=lambda: [F.col("perplexity")], state=_perplexity_state())
 
 
 def record_correct(logits: str = "logits", labels: str = "labels") -> tuple[Column, Column]:
@@ -79,7 +116,7 @@ def _accuracy_metric() -> Metric:
     return Metric(
         "accuracy", prepare=prepare,
         aggs=lambda: [F.sum("__acc_n").alias("__acc_n_sum"), F.sum("__acc_k").alias("__acc_k_sum")],
-        finish=finish, temp_cols=["__acc_n", "__acc_k"])
+        finish=finish, temp_cols=["__acc_n", "__acc_k"], state=_accuracy_state())
 
 
 @dataclass
@@ -98,18 +135,27 @@ class PandasMetric:
     fields: list[str]
 
 
-METRICS: dict[str, Callable[[], Metric]] = {
+METRICS: dict[str, Callable[[], Metric | StateMetric | PandasMetric]] = {
     "loss": _loss_metric,
     "accuracy": _accuracy_metric,
     "perplexity": _perplexity_metric,
 }
 
 
-def register_metric(name: str, factory: Callable[[], Metric]) -> None:
-    """Add a metric to the registry under a config name."""
+def register_metric(name: str, factory: Callable[[], Metric | StateMetric | PandasMetric]) -> None:
+    """Add a metric to the registry under a config name.
+
+    A ``StateMetric`` runs in the batch summary, on split runs and in streams.
+    """
     METRICS[name] = factory
 
 
+def state_metric(metric) -> StateMetric | None:
+    """The mergeable form of a metric or metric name, if it has one."""
+    m = METRICS[metric]() if isinstance(metric, str) and metric in METRICS else metric
+    return m if isinstance(m, StateMetric) else getattr(m, "state", None)
+
+
 def chunk_keys(df: DataFrame, run_key: str, seq: str, split: str,
                flush_interval: int = 1000, aggregation_interval: int = 1) -> DataFrame:
     """Add ``__island, __fg, __chunk`` (the summary row each record belongs to)."""
@@ -205,9 +251,11 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
     run_id, split, then each metric's columns.  ``skew_safe`` splits very
     long runs across tasks (see ``chunk_keys_skew_safe``).
     """
-    ms = [METRICS[m]() if isinstance(m, str) else m for m in metrics]
-    py = [m for m in ms if isinstance(m, PandasMetric)]
-    ms = [m for m in ms if not isinstance(m, PandasMetric)]
+    asked = [METRICS[m]() if isinstance(m, str) else m for m in metrics]
+    py = [m for m in asked if isinstance(m, PandasMetric)]
+    # beside a metric that only has a state, all that have one share its pass
+    mergeable = [m for m in asked if state_metric(m)] if any(isinstance(m, StateMetric) for m in asked) else []
+    ms = [m for m in asked if m not in py and m not in mergeable]
     for m in ms:
         df = m.prepare(df)
     keys_fn = chunk_keys_skew_safe if skew_safe else chunk_keys
@@ -215,11 +263,15 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
     last_cols = [c for c in LAST_FIELDS if c in df.columns]
     if split not in last_cols:
         last_cols.append(split)
-    last = F.max_by(F.struct(*[F.col(c).alias(c) for c in last_cols]), F.col(seq))
-    aggs = [F.count(F.lit(1)).cast("bigint").alias("n_steps"), last.alias("__last")]
-    for m in ms:
-        aggs += m.aggs()
-    grouped = keyed.groupBy(run_key, "__island", "__fg", "__chunk").agg(*aggs)
+    keys = [run_key, "__island", "__fg", "__chunk"]
+    grouped = None
+    if mergeable:
+        grouped = chunk_states(keyed, keys, seq, last_cols, [state_metric(m) for m in mergeable])
+    if ms or not mergeable:
+        last = F.max_by(F.struct(*[F.col(c).alias(c) for c in last_cols]), F.col(seq))
+        own = [] if mergeable else [F.count(F.lit(1)).cast("bigint").alias("n_steps"), last.alias("__last")]
+        native = keyed.groupBy(*keys).agg(*own, *[a for m in ms for a in m.aggs()])
+        grouped = native if grouped is None else join_null_safe(grouped, native, keys)
     lid = logger_id if logger_id is not None else F.col(run_key).cast("string")
     sel = [lid.alias("logger_id"), F.col("n_steps")]
     for c in last_cols:
@@ -227,36 +279,17 @@ def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "ste
         sel.append(timestamp_str(v).alias(c) if c == "time" else v.alias(c))
     if run_key not in last_cols:
         sel.append(F.col(run_key))
-    for m in ms:
-        sel += m.finish()
-    keys = [run_key, "__island", "__fg", "__chunk"]
-    for m in py:
-        grouped = join_null_safe(grouped, _pandas_metric(keyed, keys, seq, m), keys)
-        sel += [F.col(f.split()[0]) for f in m.schema.split(",")]
+    for m in asked:
+        if m in py:
+            # the windows of the default path leave a run, so a chunk, in one partition
+            records = keyed.repartition(*keys) if skew_safe else keyed
+            grouped = join_null_safe(grouped, python_by_chunk(records, keys, seq, m.fields, m.fn, m.schema), keys)
+            sel += [F.col(f.split()[0]) for f in m.schema.split(",")]
+        else:
+            sel += state_metric(m).results() if m in mergeable else m.finish()
     return grouped.select(*sel)
 
 
-def _pandas_metric(keyed: DataFrame, keys: list[str], seq: str, m: PandasMetric) -> DataFrame:
-    import pandas as pd
-
-    from stepwise.session import ship_package
-
-    ship_package(keyed.sparkSession)
-    out_cols = [f.split()[0] for f in m.schema.split(",")]
-    key_types = {k: t for k, t in keyed.dtypes if k in keys}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", " + m.schema
-
-    def run(pdf):
-        pdf = pdf.sort_values(seq)
-        vals = m.fn(pdf[m.fields])
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update({c: vals.get(c) for c in out_cols})
-        return pd.DataFrame([row])
-
-    return keyed.select(*keys, seq, *[f for f in m.fields if f != seq]) \
-        .groupBy(*keys).applyInPandas(run, schema)
-
-
 def collect_field_lists(df: DataFrame, keys, seq: str, fields) -> DataFrame:
     """Per chunk, each field's values (in sequence order) from the records that have it."""
     keys = [keys] if isinstance(keys, str) else list(keys)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ from stepwise.operators import rank as rk
 from stepwise.operators import sweeps as sw
 from stepwise.operators import vectors as vec
 from stepwise.sources import files as src
+from stepwise.streaming import ordered
 from stepwise.streaming import summary as stsum
 from stepwise.operators.common import round_doubles
+from stepwise.operators.metrics import sums
 from stepwise.operators.smooth import smooth_and_mask
 from stepwise.plans import bindings as bd
 
@@ -687,6 +690,89 @@ def stream_log_summary_accuracy(spark, sf):
     return round_doubles(spark.read.parquet(out))
 
 
+SUMMARY_ROWS = "kind string, logger_id string, n_steps bigint, step bigint, time string, epoch int, run_id string, split string"
+
+
+def _shuffled_input(spark, sf, appends: int = 4) -> str:
+    """The step log as JSON lines in appends that cut across every run's order; end markers last."""
+    base = _scratch(spark, "stream-shuffled")
+    log = bd.step_log(spark, sf).withColumn("end_of_run", F.lit(None).cast("boolean"))
+    for i in range(appends):
+        src.write_logs(log.where(F.pmod(F.xxhash64("run_id", "step"), F.lit(appends)) == i), base)
+    ends = log.groupBy("run_id").agg((F.max("step") + 1).alias("step")).withColumn("end_of_run", F.lit(True))
+    src.write_logs(log.limit(0).unionByName(ends, allowMissingColumns=True), base)
+    return base
+
+
+def _ordered_stream(spark, base, metrics, delay_days, files=None) -> DataFrame:
+    return ordered.stream_ordered_summary(stsum.stream_ingest(spark, base, max_files_per_trigger=files), 20, 7, metrics, delay=delay_days * 86_400.0)
+
+
+@register("stream_log_summary_shuffled")
+def stream_log_summary_shuffled(spark, sf):
+    """R1 + S3: records arrive in any order within the log's span and are summarised in step order; JSON-lines appends with a manifest."""
+    out = _scratch(spark, "stream-ordered")
+    closed = _ordered_stream(spark, _shuffled_input(spark, sf), ("loss", "perplexity"), 400, files=1)
+    ordered.append_batches(closed, out, out + "-chk").awaitTermination()
+    rows = ordered.read_batches(spark, out, SUMMARY_ROWS + ", loss_mean double, loss_std double, perplexity double")
+    return round_doubles(rows.where(F.col("kind") == ordered.SUMMARY).drop("kind"))
+
+
+@register("stream_rejected_records")
+def stream_rejected_records(spark, sf):
+    """The second half of each month arrives first, the stream is restarted for the first half; records that come too late are rows of their own, in no chunk."""
+    base, out = _scratch(spark, "stream-late"), _scratch(spark, "stream-rejects")
+    log = bd.step_log(spark, sf).withColumn("end_of_run", F.lit(None).cast("boolean"))
+    for late in (False, True):
+        src.write_logs(log.where((F.dayofmonth("time") <= 15) == late), base)
+        ordered.append_batches(_ordered_stream(spark, base, ("loss",), 0), out, out + "-chk").awaitTermination()
+    rows = ordered.read_batches(spark, out, SUMMARY_ROWS + ", loss_mean double, loss_std double")
+    return rows.where(F.col("kind") == ordered.REJECTED).select("run_id", "split", "epoch", "step", "time")
+
+
+def _extent_metric() -> logs.StateMetric:
+    """A metric of a user's own: least and greatest loss, and the mean size of a loss."""
+    def update(x, begin):
+        loss, there = x["loss"]
+        least = np.minimum.reduceat(np.where(there, loss, np.inf), begin)
+        return {"n": sums((there.astype("int64"), there), begin), "low": least,
+                "high": np.maximum.reduceat(np.where(there, loss, -np.inf), begin), "size": sums((np.abs(loss), there), begin)}
+
+    def merge(a, b):
+        return {"n": a["n"] + b["n"], "low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"]), "size": a["size"] + b["size"]}
+
+    def finish(c):
+        known = lambda x, name: F.when(c("n") > 0, x).alias(name)
+        return [known(c("low"), "loss_min"), known(c("high"), "loss_max"), known(c("size") / c("n"), "loss_size")]
+
+    return logs.StateMetric("extent", {"loss": (lambda: F.col("loss"), "double")}, {"n": "bigint", "low": "double", "high": "double", "size": "double"}, update, merge, finish)
+
+
+logs.register_metric("loss_extent", _extent_metric)
+
+
+@register("log_summary_user_metric")
+def log_summary_user_metric(spark, sf):
+    """W1 with a registered metric that has a mergeable state, beside a built-in one."""
+    return round_doubles(logs.count_window_summary(bd.step_log(spark, sf), flush_interval=20, aggregation_interval=7, metrics=("loss", "loss_extent")))
+
+
+@register("log_summary_user_metric_skew_safe")
+def log_summary_user_metric_skew_safe(spark, sf):
+    """The same on runs that are split over tasks; partial states are merged."""
+    return round_doubles(logs.count_window_summary(bd.step_log(spark, sf, skew_safe=True), flush_interval=20, aggregation_interval=7, metrics=("loss", "loss_extent"),
+                                                   skew_safe=True))
+
+
+@register("stream_log_summary_user_metric")
+def stream_log_summary_user_metric(spark, sf):
+    """E1 + R1: the same metric in a stream."""
+    out = _scratch(spark, "stream-user-metric")
+    closed = _ordered_stream(spark, _stream_input(spark, sf, with_markers=True), ("loss", "loss_extent"), 40)
+    stsum.run_to_table(closed, out, out + "-chk")
+    return round_doubles(spark.read.parquet(out).where(F.col("kind") == ordered.SUMMARY).drop("kind"))
+
+
 @register("stream_join_configs")
 def stream_join_configs(spark, sf):
     """Streamed step records joined to static run configs."""

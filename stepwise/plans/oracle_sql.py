@@ -496,6 +496,20 @@ ORACLE["page_file_names"] = r"""SELECT page_id, fn AS file_name, CASE WHEN len(p
 
 ORACLE["stream_log_summary"] = ORACLE["log_summary"]
 ORACLE["stream_log_summary_accuracy"] = ORACLE["log_summary_accuracy"]
+ORACLE["stream_log_summary_shuffled"] = ORACLE["log_summary"]
+#: The run's latest record of the later half passes every earlier step.
+ORACLE["stream_rejected_records"] = f"""WITH {LOG},
+p AS (SELECT run_id, max(step) AS passed FROM log WHERE day(time) > 15 GROUP BY run_id)
+SELECT log.run_id, split, epoch, step, strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS time
+FROM log JOIN p ON log.run_id = p.run_id WHERE day(time) <= 15 AND step <= passed"""
+ORACLE["log_summary_user_metric"] = f"""WITH {LOG}, {chunk_ctes('log', 20, 7)}
+SELECT run_id AS logger_id, count(*) AS n_steps, arg_max(step, step) AS step,
+       strftime(arg_max(time, step), '%Y-%m-%d %H:%M:%S.%f') AS time, arg_max(epoch, step) AS epoch,
+       run_id, arg_max(split, step) AS split, round(avg(loss), 6) AS loss_mean, round(stddev_samp(loss), 6) AS loss_std,
+       round(min(loss), 6) AS loss_min, round(max(loss), 6) AS loss_max, round(avg(abs(loss)), 6) AS loss_size
+FROM k3 GROUP BY run_id, island, fg, chunk"""
+ORACLE["log_summary_user_metric_skew_safe"] = ORACLE["log_summary_user_metric"]
+ORACLE["stream_log_summary_user_metric"] = ORACLE["log_summary_user_metric"]
 ORACLE["stream_join_configs"] = ORACLE["join_logs_configs"]
 
 ORACLE["append_summaries"] = ORACLE["log_summary"]
