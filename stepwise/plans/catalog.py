@@ -17,7 +17,7 @@ from stepwise.functions import arrays as ar
 from stepwise.functions import scalars as sc
 from stepwise.functions import text as tx
 from stepwise.operators import analysis as an
-from stepwise.operators import bpe, logs, nested
+from stepwise.operators import bpe, grid_train, logs, nested
 from stepwise.operators import rank as rk
 from stepwise.operators import sweeps as sw
 from stepwise.operators import vectors as vec
@@ -649,6 +649,28 @@ def sweep_train(spark, sf):
     return round_doubles(fit(spark, parts, grid, "embedding", "label", bd.INPUT_DIM, bd.OUTPUT_DIM, max_iter=30))
 
 
+def _trained(spark, sf, epochs, batch_size, val_interval):
+    """Four runs on the embeddings, every fifth of them held out."""
+    samples = bd.table(spark, sf, "embeddings").select("vec_id", "embedding", "label", F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"))
+    grid = spark.createDataFrame([(1, 16, 1, "sgd", 0.1), (2, 16, 1, "adam", 0.01), (3, 32, 1, "adam", 0.01), (4, 16, 2, "adam", 0.01)],
+                                 "run_id long, width int, depth int, optimizer string, learning_rate double")
+    return grid_train.train_grid(samples, grid, "vec_id", "embedding", "label", bd.INPUT_DIM, bd.OUTPUT_DIM, epochs, batch_size, val_interval)
+
+
+@register("sweep_train_log")
+def sweep_train_log(spark, sf):
+    """M1: loss of every run and step, and the accuracy on the held-out samples after it; all runs in one pass a step."""
+    log = _trained(spark, sf, epochs=15, batch_size=None, val_interval=1)
+    train = log.where("split = 'train'").select("run_id", "step", "loss")
+    return round_doubles(train.join(log.where("split = 'val'").select("run_id", "step", F.col("accuracy").alias("val_accuracy")), ["run_id", "step"]), 5)
+
+
+@register("sweep_train_schedule")
+def sweep_train_schedule(spark, sf):
+    """M1 + W5: epochs, steps and batch sizes in the log of a mini-batch training, with its validations."""
+    return _trained(spark, sf, epochs=2, batch_size=128, val_interval=3).select("run_id", "split", "epoch", "step", "n_samples")
+
+
 # ---------------------------------------------------------------- R1-R3
 
 def _stream_input(spark, sf, with_markers: bool) -> str:

@@ -586,3 +586,9 @@ FROM (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS vec_id_ra
 ORACLE["grid_nested"] = f"""WITH {_AX}, rn AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS po FROM region)
 SELECT CAST((po * nb + pb) * nn + pn + 1 AS BIGINT) AS run_id, r_name AS "data/region", p_brand AS "model/brand",
   CAST(n_nationkey AS INTEGER) AS "trainer/steps" FROM rn, n, b, sz"""
+
+ORACLE["sweep_train_schedule"] = """WITH n AS (SELECT count(*) FILTER (WHERE vec_id % 5 <> 0) AS train, count(*) FILTER (WHERE vec_id % 5 = 0) AS val FROM embeddings),
+s AS (SELECT train, val, CAST(ceil(train / 128.0) AS BIGINT) AS per, unnest(range(1, 2 * CAST(ceil(train / 128.0) AS BIGINT) + 1)) AS step FROM n),
+r AS (SELECT unnest([1, 2, 3, 4]) AS run_id)
+SELECT CAST(run_id AS BIGINT) AS run_id, 'train' AS split, CAST((step - 1) // per AS INTEGER) AS epoch, step, CAST(least(128, train - ((step - 1) % per) * 128) AS BIGINT) AS n_samples FROM s, r
+UNION ALL SELECT CAST(run_id AS BIGINT), 'val', CAST((step - 1) // per AS INTEGER), step, val FROM s, r WHERE step % 3 = 0"""
