@@ -10,10 +10,12 @@ Two rank schemes, both exact and deterministic:
   size; per-bucket counts (a tiny table) give each bucket its offset, and a
   ``row_number`` inside each bucket finishes the rank.  Because the seed is
   unique per row, a hot key cannot pile up in one bucket.
-* ``ordered_rank``: rows are range-partitioned on the (unique) order columns,
-  written to the shared checkpoint folder so partition contents are fixed,
-  counted per partition, and numbered inside partitions plus offsets.  Range
-  partitioning on a unique order splits hot key values too.
+* ``ordered_rank``: rows get range buckets of the (unique) order columns by
+  fixed splitters (see ``ranges``), are counted per bucket, and numbered inside
+  buckets plus offsets.  Nothing is stored; the input is read once for the sample, once
+  for the counts and once for the rows, so it must be the same every time.  Range
+  buckets on a unique order split hot key values too.  Order columns that are
+  expressions or of nested types are range-partitioned and checkpointed instead.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.operators.common import bounded_broadcast, join_null_safe
+from stepwise.operators.common import bounded_broadcast, join_null_safe, range_parts
+from stepwise.operators.ranges import sortable, splitters
 from stepwise.session import ensure_checkpoint_dir
 
 BUCKET_DIGITS = 3
@@ -90,6 +93,9 @@ def ordered_rank(df: DataFrame, order, group=None, out: str = "rank",
     """K1, key order: 0-based rank by ``order`` (unique within group) within ``group``."""
     order, group = _cols(order), _cols(group)
     spark = df.sparkSession
+    if sortable(df, [*group, *order]):
+        cut = splitters(df, [*group, *order], partitions or range_parts(spark))
+        return _with_offsets(cut.bucket_of(df, "__pid"), ["__pid"], group, out, [F.col(c) for c in order], cut.buckets).drop("__pid")
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = (df.repartitionByRange(n, *group, *order)
@@ -206,8 +212,27 @@ def head_n(df: DataFrame, order, n: int) -> DataFrame:
 
 
 def range_subset(df: DataFrame, order, start: int, stop: int) -> DataFrame:
-    """Rows [start, stop) in ``order``."""
-    return ordered_rank(df, order, out="__r").filter(F.col("__r").between(start, stop - 1)).drop("__r")
+    """Rows [start, stop) in ``order``.
+
+    Only the range buckets that these ranks lie in are read beyond their order columns, sorted and numbered.
+    """
+    order = _cols(order)
+    if not sortable(df, order):
+        return ordered_rank(df, order, out="__r").filter(F.col("__r").between(start, stop - 1)).drop("__r")
+    cut = splitters(df, order, range_parts(df.sparkSession))
+    counts = {r["__b"]: r["count"] for r in cut.bucket_of(df.select(*order), "__b").groupBy("__b").count().collect()}
+    before, own = 0, {}
+    for b in sorted(counts):
+        if before < stop and before + counts[b] > start:
+            own[b] = before
+        before += counts[b]
+    if not own or start >= stop:
+        return df.limit(0)
+    bounds = cut.scan_bounds(min(own), max(own))
+    some = cut.bucket_of(df if bounds is None else df.where(bounds), "__b").where(F.col("__b").isin(list(own)))
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.col("__b"))
+    rank = offset + F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
+    return some.withColumn("__r", rank).where(F.col("__r").between(start, stop - 1)).drop("__r", "__b")
 
 
 # ---------------------------------------------------------------- E3, F6
