@@ -1,19 +1,21 @@
 """Savitzky-Golay smoothing per run (W2) and the edge mask.
 
 A degree-``d`` least-squares polynomial fit over a ``w``-row block is a
-linear map, so the smoothed value of row ``i`` is a dot product of one row
-of the constant hat matrix ``H = V V^+`` with the block's values.  Rows in
-the first/last ``w // 2`` positions of a run use the block at the run edge
-(the polynomial-fit edge rule); the others use the centred block.
-
-Spark form: one window partitioned by the run keys, ordered by step, that
-collects the ``2w - 1`` neighbouring value structs; the matching ``H`` row is
-picked per row and applied with ``aggregate``.  All metrics share one
-window, so the whole operator is a single shuffle on the run keys.
+linear map of the block's moments, the sums of value times powers of the
+position.  Rows in the first/last ``w // 2`` positions of a run use the block at
+the run edge (the polynomial-fit edge rule); the others use the centred block.
+
+Spark form: window sums over the ``w`` rows around each row, and over the first
+and last ``w`` rows of the run, all in one window spec partitioned by the run keys and
+ordered by step; no values are collected.  Positions are taken relative to the
+nearest of two interleaved rows of origins, one of which is never crossed by a block, so powers stay
+small in runs of any length; the moments are then moved to the block's centre.
+All metrics share the window, so the whole operator is a single shuffle on the run keys.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -29,16 +31,68 @@ EDGE_MARGIN = 30
 
 
 @lru_cache(maxsize=8)
-def hat_matrix(window: int = WINDOW, degree: int = DEGREE) -> tuple[tuple[float, ...], ...]:
+def fit_matrix(window: int = WINDOW, degree: int = DEGREE) -> tuple[tuple[float, ...], ...]:
+    """M with fitted(p) = sum of p^a M[a][b] moment_b, positions relative to the block's centre."""
     half = window // 2
-    x = np.arange(-half, half + 1, dtype=np.float64)
-    v = np.vander(x, degree + 1, increasing=True)
-    h = v @ np.linalg.pinv(v)
-    return tuple(tuple(float(a) for a in row) for row in h)
+    v = np.vander(np.arange(-half, half + 1, dtype=np.float64), degree + 1, increasing=True)
+    return tuple(tuple(float(x) for x in row) for row in np.linalg.inv(v.T @ v))
 
 
-def _h_literal(window: int, degree: int) -> Column:
-    return F.array(*[F.array(*[F.lit(a) for a in row]) for row in hat_matrix(window, degree)])
+def _power(x: Column, u: Column, d: int) -> Column:
+    """x * u ** d by multiplication."""
+    for _ in range(d):
+        x = x * u
+    return x
+
+
+def _fitted(moments: list[Column], origin: Column, centre: Column, at: Column, window: int) -> Column:
+    """The fit at position ``at`` of the block around ``centre``, from its moments about ``origin``."""
+    off = (centre - origin).cast("double")
+    own = [sum((_power(F.lit(float(math.comb(d, k))) * moments[k], -off, d - k) for k in range(1, d + 1)), _power(moments[0], -off, d)) if d else moments[0]
+           for d in range(len(moments))]
+    p = (at - centre).cast("double")
+    m = fit_matrix(window, len(moments) - 1)
+    rows = [sum((F.lit(m[a][b]) * own[b] for b in range(1, len(own))), F.lit(m[a][0]) * own[0]) for a in range(len(own))]
+    return sum((_power(rows[a], p, a) for a in range(1, len(own))), rows[0])
+
+
+def _smoothed(df: DataFrame, cols, w, whole, rn: Column, n: Column, window: int, degree: int, prefix: str) -> DataFrame:
+    """``df`` with the smoothed columns; ``rn`` and ``n`` are a row's place in its run and the run's length, as columns of ``df``.
+
+    ``w`` is the ordered window, ``whole`` its whole partition, which holds all blocks of the rows asked for.
+    """
+    half, span = window // 2, 4 * window
+    near = w.rowsBetween(-half, half)
+    # origins every ``span`` rows, and half-way between; a block fits between two of one kind
+    origins = [(F.floor(rn / span) * span + span // 2), (F.floor((rn + span // 2) / span) * span)]
+    last = n - window
+    tmp, powers, sums, keep = "__m", {}, {}, df.columns
+    for i, c in enumerate(cols):
+        y = F.col(f"`{c}`").cast("double")
+        for d in range(degree + 1):
+            # the terms are columns before the window, so a frame only adds them up
+            for kind, u in (("0", rn - origins[0]), ("1", rn - origins[1]), ("first", rn - half), ("last", rn - last - half))[d == 0:]:
+                powers[f"{tmp}p{i}_{d}_{kind}"] = _power(y, u.cast("double"), d)
+            for kind in ("0", "1")[d == 0:]:
+                sums[f"{tmp}{i}_{d}_{kind}"] = F.sum(f"{tmp}p{i}_{d}_{kind}").over(near)
+            sums[f"{tmp}{i}_{d}_first"] = F.sum(F.when(rn < window, F.col(f"{tmp}p{i}_{d}_first"))).over(whole)
+            sums[f"{tmp}{i}_{d}_last"] = F.sum(F.when(rn >= last, F.col(f"{tmp}p{i}_{d}_last"))).over(whole)
+        sums[f"{tmp}{i}_n"] = F.count(y).over(near)
+        sums[f"{tmp}{i}_n_first"] = F.count(F.when(rn < window, y)).over(whole)
+        sums[f"{tmp}{i}_n_last"] = F.count(F.when(rn >= last, y)).over(whole)
+    out = df.withColumns(powers).withColumns(sums)
+    shift = rn % span
+    whole_in_first = (shift >= half) & (shift < span - half)
+    for i, c in enumerate(cols):
+        m = lambda d, kind: F.col(f"{tmp}{i}_{d}_{kind}")  # noqa: B023, E731
+        near_kind = lambda kind: [m(0, 1), *(m(d, kind) for d in range(1, degree + 1))]  # noqa: B023, E731
+        inner = F.when(whole_in_first, _fitted(near_kind(0), origins[0], rn, rn, window)).otherwise(_fitted(near_kind(1), origins[1], rn, rn, window))
+        edge = lambda kind, at: _fitted([m(d, kind) for d in range(degree + 1)], F.lit(0), F.lit(0), at, window)  # noqa: B023, E731
+        value = (F.when(rn < half, F.when(F.col(f"{tmp}{i}_n_first") == window, edge("first", rn - half)))
+                  .when(rn >= n - half, F.when(F.col(f"{tmp}{i}_n_last") == window, edge("last", rn - last - half)))
+                  .otherwise(F.when(F.col(f"{tmp}{i}_n") == window, inner)))
+        out = out.withColumn(prefix + c, F.when(n >= window, value))
+    return out.select(*[F.col(f"`{c}`") for c in keep if c not in {prefix + x for x in cols}], *[F.col(f"`{prefix + c}`") for c in cols])
 
 
 def savgol_smooth(df: DataFrame, keys, order: str, cols, window: int = WINDOW,
@@ -54,29 +108,10 @@ def savgol_smooth(df: DataFrame, keys, order: str, cols, window: int = WINDOW,
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    half = window // 2
     w = Window.partitionBy(*keys).orderBy(order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = w.rowsBetween(-(window - 1), window - 1)
-    tmp = "__sg"
-    out = (df
-           .withColumn(f"{tmp}_rn", F.row_number().over(w) - 1)
-           .withColumn(f"{tmp}_n", F.count(F.lit(1)).over(whole).cast("int"))
-           .withColumn(f"{tmp}_frame", F.collect_list(F.struct(*[F.col(c).alias(c) for c in cols])).over(near)))
-    rn, n = F.col(f"{tmp}_rn"), F.col(f"{tmp}_n")
-    start = F.least(F.greatest(rn - half, F.lit(0)), n - window)
-    frame_start = F.greatest(rn - (window - 1), F.lit(0))
-    out = (out.withColumn(f"{tmp}_p", (rn - start).cast("int"))
-              .withColumn(f"{tmp}_off", (start - frame_start).cast("int")))
-    hrow = F.element_at(_h_literal(window, degree), F.col(f"{tmp}_p") + 1)
-    frame, off = F.col(f"{tmp}_frame"), F.col(f"{tmp}_off")
-    for c in cols:
-        dot = F.aggregate(
-            F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0.0).cast("double"),
-            lambda acc, k: acc + F.element_at(hrow, k + 1)
-            * F.element_at(frame, off + k + 1)[c].cast("double"))
-        out = out.withColumn(prefix + c, F.when(n >= window, dot))
-    return out.drop(f"{tmp}_rn", f"{tmp}_n", f"{tmp}_frame", f"{tmp}_p", f"{tmp}_off")
+    out = df.withColumns({"__sg_rn": F.row_number().over(w) - 1, "__sg_n": F.count(F.lit(1)).over(whole).cast("int")})
+    return _smoothed(out, cols, w, whole, F.col("__sg_rn"), F.col("__sg_n"), window, degree, prefix).drop("__sg_rn", "__sg_n")
 
 
 def run_positions(df: DataFrame, keys, order) -> DataFrame:
@@ -127,23 +162,9 @@ def savgol_smooth_skew_safe(df: DataFrame, keys, order: str, cols, window: int =
              .withColumn("__bucket", F.explode(copies))
              .filter(F.col("__bucket") >= 0))
     w = Window.partitionBy(*keys, "__bucket").orderBy("__rn")
-    near = w.rowsBetween(-(window - 1), window - 1)
-    half = window // 2
-    out = ex.withColumn("__frame", F.collect_list(F.struct(*[F.col(c).alias(c) for c in cols])).over(near))
-    rn, n = F.col("__rn"), F.col("__n")
-    start = F.least(F.greatest(rn - half, F.lit(0)), n - window)
-    frame_start = F.greatest(rn - (window - 1), F.lit(0))
-    out = (out.filter(F.col("__bucket") == F.col("__home"))
-              .withColumn("__p", (rn - start).cast("int"))
-              .withColumn("__o", (start - frame_start).cast("int")))
-    hrow = F.element_at(_h_literal(window, degree), F.col("__p") + 1)
-    for c in cols:
-        dot = F.aggregate(
-            F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0.0).cast("double"),
-            lambda acc, k: acc + F.element_at(hrow, k + 1)
-            * F.element_at(F.col("__frame"), F.col("__o") + k + 1)[c].cast("double"))
-        out = out.withColumn(prefix + c, F.when(n >= window, dot))
-    return out.drop("__rn", "__n", "__home", "__bucket", "__frame", "__p", "__o")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = _smoothed(ex, cols, w, whole, F.col("__rn"), F.col("__n"), window, degree, prefix)
+    return out.filter(F.col("__bucket") == F.col("__home")).drop("__rn", "__n", "__home", "__bucket")
 
 
 def mask_outside_agg(df: DataFrame, cols, keys, step: str = "step", margin: int = EDGE_MARGIN) -> DataFrame:

@@ -185,3 +185,28 @@ def test_vector_edge_cases_do_not_raise(spark):
     got = {r["k"]: r["n"] for r in df.select("k", ar.layer_norm("v").alias("n")).collect()}
     assert got[1] is None and got[2] is None and got[3] is None
     assert [round(x, 9) for x in got[4]] == [round(-1 / 2 ** 0.5, 9), round(1 / 2 ** 0.5, 9)]
+
+
+def test_smoothing_of_a_long_run_equals_the_hat_matrix_and_collects_nothing(spark, capsys):
+    import numpy as np
+    n = 60_000
+    df = spark.range(n).select(F.lit("a").alias("run_id"), F.col("id").alias("step"), (F.sin(F.col("id") / 50) * 100 + F.hash("id") / 1e10).alias("loss"),
+                               F.when(F.col("id") == 40_000, F.lit(float("nan"))).when(F.col("id") != 20_000, F.col("id") % 7.0).alias("odd"))
+    y = np.array([r["loss"] for r in df.orderBy("step").collect()])
+    v = np.vander(np.arange(-25, 26.0), 4, increasing=True)
+    hat = v @ np.linalg.pinv(v)
+    want = np.convolve(y, hat[25][::-1], mode="same")
+    want[:25], want[-25:] = hat[:25] @ y[:51], hat[26:] @ y[-51:]
+    for out in (smooth.savgol_smooth(df, "run_id", "step", ["loss", "odd"]), smooth.savgol_smooth_skew_safe(df, "run_id", "step", ["loss", "odd"])):
+        rows = out.orderBy("step").collect()
+        assert np.abs(np.array([r["smoothed_loss"] for r in rows]) - want).max() < 1e-9
+        assert [r["step"] for r in rows if r["smoothed_odd"] is None] == list(range(19_975, 20_026))
+        assert [r["step"] for r in rows if r["smoothed_odd"] is not None and r["smoothed_odd"] != r["smoothed_odd"]] == list(range(39_975, 40_026))
+        out.explain()
+        assert "collect_list" not in capsys.readouterr().out
+    cubic = spark.range(300).select(F.lit("a").alias("run_id"), F.col("id").alias("step"), (F.pow(F.col("id") - 100.0, F.lit(3)) / 1e4 - F.col("id")).alias("loss"))
+    assert all(abs(r["smoothed_loss"] - r["loss"]) < 1e-7 for r in smooth.savgol_smooth(cubic, "run_id", "step", ["loss"]).collect())
+    fifth = smooth.savgol_smooth(cubic, "run_id", "step", ["loss"], window=7, degree=2).orderBy("step").collect()
+    w = np.vander(np.arange(-3, 4.0), 3, increasing=True)
+    z = np.array([r["loss"] for r in fifth])
+    assert abs(fifth[150]["smoothed_loss"] - (w @ np.linalg.pinv(w))[3] @ z[147:154]) < 1e-9
