@@ -143,11 +143,11 @@ def top_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- T1, T2
 
-#: The words that guesses are made from, the merges guessed in the first round (doubled after a round that
-#: proves all, halved after one that proves less than half) and at most, the pairs whose histories a round brings to the driver.
+#: The words that guesses are made from (half as many in the sample of all words), the merges guessed from the
+#: sample, those guessed from whole pairs at most, the pairs whose histories a round brings to the driver.
 GUESS_WORDS, GUESS_MERGES, MOST_GUESSES, GUESS_PAIRS = 1 << 15, 256, 1 << 10, 1 << 11
 #: Best pairs of which all words must be at hand, else a sample of all words gives the guesses.
-WHOLE_PAIRS = 16
+WHOLE_PAIRS = 64
 #: Merges that may wait before the segmentations are written anew: these at least and at most, else half of those done.
 WAITING = (64, 1 << 10)
 #: Sums that a task holds before it emits them.
@@ -459,7 +459,11 @@ def _words_of(state: Segmented, merges: list[tuple[str, str]], known, n: int) ->
 
     With all words of a pair at hand the driver foresees what its merge does.
     """
+    if n < 2:
+        return [], 0
     best = [merges[-1], *(p[1:] for p in heapq.nsmallest(GUESS_PAIRS, ((-c, *pair) for pair, c in known[0].items() if c > 0)))]
+    if len(best) <= WHOLE_PAIRS or _holding(state.segs, best[:WHOLE_PAIRS]).limit(n + 1).count() > n:  # not worth more
+        return [], 0
     shared = state.segs.sparkSession.sparkContext.broadcast((_times(merges[state.done:-1]), {p: i for i, p in reversed(list(enumerate(best)))}))
 
     def run(batches):
@@ -518,14 +522,19 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
     first = words.filter(F.length("word") > 1).select(to_chars("word").alias("sym"), "freq").repartition(parallelism(spark), "sym")
     state = Segmented.of(first, 0)
     words.unpersist()
-    sample = _sample(state, guess_words)
-    known, stuck, n_guesses = None, False, guess_merges
+    sample = _sample(state, guess_words // 2)
+    known, stuck = None, False
     while len(tokens) < vocab_size:
         began = time.time()
-        own, whole = _words_of(state, merges, known, guess_words) if known and guess_words >= 2 and not stuck else ([], 0)
-        wanted = 0 if stuck else min(n_guesses, vocab_size - len(tokens))
-        # a sample of all words while the best pairs are in too many
-        guesses = _guess(own, merges[-1:], known, wanted) if whole >= WHOLE_PAIRS else _guess(sample, merges, known, wanted)
+        left = vocab_size - len(tokens)
+        own, whole = _words_of(state, merges, known, guess_words) if known and not stuck else ([], 0)
+        if stuck:
+            guesses = []
+        elif whole >= WHOLE_PAIRS:
+            # these words show what merges do; what last round's guesses did held in their order
+            guesses = _guess(own, merges[-1:], (*known[:2], {}), min(MOST_GUESSES, whole + whole // 4, left))
+        else:  # the best pairs are in too many words: a sample of all words
+            guesses = _guess(sample, merges, known, min(guess_merges, left))
         rows = _first(pair_histories(state, merges, guesses).where("most > 0"), head, F.desc("most"), "left", "right")
         if not rows:
             break
@@ -539,9 +548,6 @@ def bpe_train(corpus: DataFrame, text: str, keys, vocab_size: int | None = None,
             if l + r not in ever:
                 tokens.append(l + r)
                 ever.add(l + r)
-        if guesses:
-            proven = len(taken) >= len(guesses)
-            n_guesses = min(MOST_GUESSES, 2 * n_guesses) if proven else max(16, n_guesses // 2) if 2 * len(taken) < len(guesses) else n_guesses
         if on_round is not None:
             on_round({"merges": len(merges), "guessed": len(guesses), "taken": len(taken), "done": state.done, "whole_pairs": whole, "touched": _holding(state.segs, guesses).count(), "seconds": time.time() - began})
         low, most = waiting
