@@ -6,16 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if a bounded count proves it has at most ``max_rows`` rows.
+#: Bytes of rows that are broadcast at most.
+MAX_BROADCAST_BYTES = 64 << 20
+_FIXED = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
 
-    The probe is ``limit(max_rows + 1).count()``, which stops reading as soon
-    as the bound is exceeded.  Above the bound the DataFrame is returned
+
+def row_bytes(df: DataFrame):
+    """About the bytes of a row: fixed sizes, and the length of text, binary and (as JSON) nested values."""
+    total = F.lit(8)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind.startswith(("array", "struct", "map")):
+            total = total + F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + _FIXED.get(kind, 8)
+    return total
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if a bounded probe proves that it has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    The probe reads ``max_rows + 1`` rows at most.  Above a bound the DataFrame is returned
     unchanged and the join shuffles both sides (AQE may still convert it
     from runtime statistics).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -3,7 +3,7 @@
 * M2 applies dense layers to a table of vectors in Arrow batches
   (``mapInPandas`` + NumPy matmul); the weight matrices are broadcast once —
   their size is the model's, not the data's.
-* M3 gathers embedding rows for token ids (an equi join on the id).
+* M3 gathers embedding rows for token ids (an equi join on the id; hot ids apart).
 * M4 turns logits + labels into per-batch loss and accuracy (F9 + A6) with
   one hash aggregate.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepwise.functions.arrays import argmax, cross_entropy
+from stepwise.operators.common import MAX_BROADCAST_BYTES, bounded_broadcast, range_parts
 from stepwise.session import ship_package
 
 
@@ -59,13 +60,28 @@ def class_centroids(df: DataFrame, features: str, label: str, dim: int) -> DataF
 
 
 def embed_tokens(encoded: DataFrame, ids: str, keys, table: DataFrame, id_col: str,
-                 vec_col: str) -> DataFrame:
-    """M3: one row per token position with its embedding vector; an id missing from the table raises."""
+                 vec_col: str, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """M3: one row per token position with its embedding vector; an id missing from the table raises.
+
+    A table within the bound is broadcast.  Beyond it the positions are joined by shuffle, but for ids that are
+    more than half a partition's share of all positions: there are at most twice as many of these as
+    partitions, and their vectors are broadcast.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     ex = encoded.select(*keys, F.posexplode(ids).alias("pos", "token_id"))
-    emb = table.select(F.col(id_col).cast("int").alias("token_id"), F.col(vec_col).alias("vector"))
-    found = ex.join(emb.withColumn("__known", F.lit(True)), "token_id", "left")
-    missing = F.raise_error(F.concat(F.lit("token id without an embedding: "), F.col("token_id").cast("string")))
+    emb = table.select(F.col(id_col).cast("int").alias("token_id"), F.col(vec_col).alias("vector")).withColumn("__known", F.lit(True))
+    small = bounded_broadcast(emb, 1 << 20, max_broadcast_bytes)
+    if small is not emb:
+        found = ex.join(small, "token_id", "left")
+    else:
+        counts = ex.groupBy("token_id").count()
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        hot = [r["token_id"] for r in counts.where((F.col("count") > total / (2 * range_parts(ex.sparkSession))) & F.col("token_id").isNotNull()).collect()]
+        is_hot = F.coalesce(F.col("token_id").isin(hot), F.lit(False)) if hot else F.lit(False)
+        found = ex.where(~is_hot).join(emb.where(~is_hot), "token_id", "left")
+        if hot:
+            found = found.unionByName(ex.where(is_hot).join(F.broadcast(emb.where(is_hot)), "token_id", "left"))
+    missing = F.raise_error(F.concat(F.lit("token id without an embedding: "), F.coalesce(F.col("token_id").cast("string"), F.lit("null"))))
     return found.withColumn("vector", F.when(F.col("__known"), F.col("vector")).otherwise(missing)).drop("__known")
 
 

@@ -602,6 +602,31 @@ def jsonl_logs(spark, sf):
                                    sc.timestamp_str("time").alias("time"), "loss"))
 
 
+def _damaged_logs(spark, sf) -> str:
+    """The step log as JSON lines; every 17th step's line is cut off, the next one's step is no number."""
+    path = _scratch(spark, "damaged")
+    log = bd.step_log(spark, sf)
+    good = F.to_json(F.struct(*[F.col(f.name) for f in src.STEP_LOG_SCHEMA.fields]), {"timestampFormat": src.JSON_TIME_FORMAT})
+    cut = F.concat(F.lit('{"run_id":"'), "run_id", F.lit('","step":'), F.col("step").cast("string"))
+    typed = F.concat(F.lit('{"run_id":"'), "run_id", F.lit('","step":"x'), F.col("step").cast("string"), F.lit('"}'))
+    log.select(F.when(F.col("step") % 17 == 0, cut).when(F.col("step") % 17 == 1, typed).otherwise(good).alias("value")).write.text(path)
+    return path
+
+
+@register("jsonl_logs_whole")
+def jsonl_logs_whole(spark, sf):
+    """The whole lines of logs with broken ones."""
+    df = src.read_run_logs(spark, _damaged_logs(spark, sf), on_error="skip")
+    return round_doubles(df.select("run_id", "split", "epoch", "step", sc.timestamp_str("time").alias("time"), "loss"))
+
+
+@register("jsonl_logs_broken")
+def jsonl_logs_broken(spark, sf):
+    """The broken lines of the same logs, with the run that could be read of them."""
+    bad = src.broken_lines(spark, _damaged_logs(spark, sf), src.STEP_LOG_SCHEMA)
+    return bad.where(F.col("file").isNotNull() & (F.col("split_start") >= 0)).select("line")
+
+
 @register("jsonl_configs")
 def jsonl_configs(spark, sf):
     """Nested configs written as JSON lines and read back flattened."""

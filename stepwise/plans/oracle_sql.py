@@ -592,3 +592,8 @@ s AS (SELECT train, val, CAST(ceil(train / 128.0) AS BIGINT) AS per, unnest(rang
 r AS (SELECT unnest([1, 2, 3, 4]) AS run_id)
 SELECT CAST(run_id AS BIGINT) AS run_id, 'train' AS split, CAST((step - 1) // per AS INTEGER) AS epoch, step, CAST(least(128, train - ((step - 1) % per) * 128) AS BIGINT) AS n_samples FROM s, r
 UNION ALL SELECT CAST(run_id AS BIGINT), 'val', CAST((step - 1) // per AS INTEGER), step, val FROM s, r WHERE step % 3 = 0"""
+
+ORACLE["jsonl_logs_whole"] = f"""WITH {LOG} SELECT run_id, split, epoch, step, strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS time, round(loss, 6) AS loss
+FROM log WHERE step % 17 NOT IN (0, 1)"""
+ORACLE["jsonl_logs_broken"] = f"""WITH {LOG} SELECT '{{"run_id":"' || run_id || '","step":' || CASE WHEN step % 17 = 0 THEN CAST(step AS VARCHAR) ELSE '"x' || step || '"}}' END AS line
+FROM log WHERE step % 17 IN (0, 1)"""

@@ -39,17 +39,59 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-def read_run_logs(spark: SparkSession, path: str, schema: T.StructType = STEP_LOG_SCHEMA) -> DataFrame:
-    """Every run's JSON-lines log under a path or glob; ``run_id`` is a string."""
-    df = spark.read.schema(schema).option("timestampFormat", JSON_TIME_FORMAT).json(path)
+CORRUPT = "__corrupt_line"
+
+
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines with the text of a line that isn't one object of the schema, its file and the start of its file split."""
+    with_line = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    df = spark.read.schema(with_line).option("timestampFormat", JSON_TIME_FORMAT).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return df.select(*df.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "fail") -> DataFrame:
+    """JSON lines of a schema; a broken line (cut off, not JSON, a value of another type) is an error, or left out.
+
+    Text behind a line's first object isn't looked at, as Spark's reader has it.
+
+    ``on_error``: ``fail``; ``skip``, the broken lines are then ``broken_lines`` of the same path; ``null``, a row of
+    nulls and of what could be read.
+    """
+    if on_error not in ("fail", "skip", "null"):
+        raise ValueError(f"on_error is fail, skip or null, not {on_error!r}")
+    if on_error == "null":
+        return spark.read.schema(schema).option("timestampFormat", JSON_TIME_FORMAT).json(path)
+    df = _json_lines(spark, path, schema)
+    whole = F.col(CORRUPT).isNull()
+    # the read columns are part of the condition: a scan of the broken text alone isn't possible
+    read = F.coalesce(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])), F.lit(""))
+    if on_error == "fail":
+        text = F.concat(F.lit("broken line in "), F.col("__file"), F.lit(": "), F.substring(CORRUPT, 1, 200), F.lit(" read as "), read)
+        keep = F.when(whole, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+    else:
+        keep = whole & (F.length(read) >= 0)
+    return df.where(keep).drop(CORRUPT, "__file", "__start")
+
+
+def broken_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The lines that ``read_json_lines`` refuses: file, split_start (byte of the file's split that holds it), line, and what was read of it as JSON."""
+    df = _json_lines(spark, path, schema)
+    read = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]))
+    # as above, the condition takes in the read columns
+    return df.where(F.col(CORRUPT).isNotNull() & (F.length(F.coalesce(read, F.lit(""))) >= 0)).select(F.col("__file").alias("file"), F.col("__start").alias("split_start"), F.col(CORRUPT).alias("line"), read.alias("read"))
+
+
+def read_run_logs(spark: SparkSession, path: str, schema: T.StructType = STEP_LOG_SCHEMA, on_error: str = "fail") -> DataFrame:
+    """Every run's JSON-lines log under a path or glob; ``run_id`` is a string.  Broken lines as ``read_json_lines`` has them."""
+    df = read_json_lines(spark, path, schema, on_error)
     if "run_id" in df.columns:
         df = df.withColumn("run_id", F.col("run_id").cast("string"))
     return df
 
 
-def read_run_configs(spark: SparkSession, path: str, schema: T.StructType, sep: str = ".") -> DataFrame:
-    """Nested run configs, one per line, flattened to dotted columns."""
-    return flatten(spark.read.schema(schema).json(path), sep=sep)
+def read_run_configs(spark: SparkSession, path: str, schema: T.StructType, sep: str = ".", on_error: str = "fail") -> DataFrame:
+    """Nested run configs, one per line, flattened to dotted columns.  Broken lines as ``read_json_lines`` has them."""
+    return flatten(read_json_lines(spark, path, schema, on_error), sep=sep)
 
 
 def append_summaries(df: DataFrame, path: str) -> None:
