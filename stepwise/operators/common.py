@@ -36,6 +36,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCA
     return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
+#: Rows of the longest run that one task sorts; logs with longer runs take the paths that split runs.
+HOT_RUN_ROWS = 1 << 22
+
+
+def splits_runs(df: DataFrame, keys, skew_safe: bool | None) -> bool:
+    """``skew_safe`` as given; if None, whether the longest run, counted over the key columns, has more than ``HOT_RUN_ROWS`` rows."""
+    if skew_safe is not None:
+        return skew_safe
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (longest or 0) > HOT_RUN_ROWS
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal or both-null keys; the keys come from ``left``."""
     other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from stepwise.functions.arrays import argmax
 from stepwise.functions.scalars import timestamp_str
-from stepwise.operators.common import join_null_safe
+from stepwise.operators.common import join_null_safe, splits_runs
 from stepwise.operators.metrics import (StateMetric, add_states, chunk_states, mean_and_spread, merge_mean_and_spread,
                                         python_by_chunk, sums)
 
@@ -244,13 +244,14 @@ def chunk_keys_skew_safe(df: DataFrame, run_key: str, seq: str, split: str,
 def count_window_summary(df: DataFrame, run_key: str = "run_id", seq: str = "step",
                          split: str = "split", flush_interval: int = 1000,
                          aggregation_interval: int = 1, metrics=("loss",),
-                         logger_id: Column | None = None, skew_safe: bool = False) -> DataFrame:
+                         logger_id: Column | None = None, skew_safe: bool | None = None) -> DataFrame:
     """One summary row per chunk with n_steps (A10), last-record fields (A9) and metrics.
 
     Output: logger_id, n_steps, step, time (string, microseconds), epoch,
     run_id, split, then each metric's columns.  ``skew_safe`` splits very
-    long runs across tasks (see ``chunk_keys_skew_safe``).
+    long runs across tasks (see ``chunk_keys_skew_safe``); None measures the runs and decides.
     """
+    skew_safe = splits_runs(df, run_key, skew_safe)
     asked = [METRICS[m]() if isinstance(m, str) else m for m in metrics]
     py = [m for m in asked if isinstance(m, PandasMetric)]
     # beside a metric that only has a state, all that have one share its pass

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.operators.common import bounded_broadcast, join_null_safe, range_parts
+from stepwise.operators.common import bounded_broadcast, join_null_safe, range_parts, splits_runs
 from stepwise.session import ensure_checkpoint_dir
 
 WINDOW = 51
@@ -191,12 +191,13 @@ def mask_outside(df: DataFrame, cols, keys, step: str = "step",
 
 
 def smooth_and_mask(df: DataFrame, keys, cols, step: str = "step", window: int = WINDOW,
-                    degree: int = DEGREE, margin: int = EDGE_MARGIN, skew_safe: bool = False) -> DataFrame:
+                    degree: int = DEGREE, margin: int = EDGE_MARGIN, skew_safe: bool | None = None) -> DataFrame:
     """The per-run read path of a sweep: W2 followed by P7 on the smoothed columns.
 
     ``skew_safe`` avoids every window partitioned by the run alone, so a run
-    holding a large share of all rows is spread over many tasks.
+    holding a large share of all rows is spread over many tasks; None measures the runs and decides.
     """
+    skew_safe = splits_runs(df, keys, skew_safe)
     present = [c for c in cols if c in df.columns]
     if skew_safe:
         out = savgol_smooth_skew_safe(df, keys, step, present, window, degree)

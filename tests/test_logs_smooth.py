@@ -210,3 +210,19 @@ def test_smoothing_of_a_long_run_equals_the_hat_matrix_and_collects_nothing(spar
     w = np.vander(np.arange(-3, 4.0), 3, increasing=True)
     z = np.array([r["loss"] for r in fifth])
     assert abs(fifth[150]["smoothed_loss"] - (w @ np.linalg.pinv(w))[3] @ z[147:154]) < 1e-9
+
+
+def test_runs_are_measured_and_split_if_long(spark, monkeypatch, capsys):
+    from stepwise.operators import common
+    df = spark.range(400).select((F.col("id") % 2).cast("string").alias("run_id"), F.lit("train").alias("split"), F.lit(1).alias("epoch"), F.col("id").alias("step"),
+                                 F.lit(None).cast("timestamp").alias("time"), (F.col("id") * 0.5).alias("loss"))
+    plain = [logs.count_window_summary(df, flush_interval=20, aggregation_interval=7), smooth.smooth_and_mask(df, "run_id", ["loss"])]
+    assert not common.splits_runs(df, "run_id", None) and common.splits_runs(df, "run_id", True)
+    monkeypatch.setattr(common, "HOT_RUN_ROWS", 100)
+    assert common.splits_runs(df, "run_id", None) and not common.splits_runs(df, "run_id", False)
+    split = [logs.count_window_summary(df, flush_interval=20, aggregation_interval=7), smooth.smooth_and_mask(df, "run_id", ["loss"])]
+    for a, b in zip(plain, split):
+        b.explain()
+        assert "__pid" in capsys.readouterr().out
+        rnd = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows)
+        assert rnd(a.select(sorted(a.columns)).collect()) == rnd(b.select(sorted(b.columns)).collect())
