@@ -502,6 +502,19 @@ def score_centroids(spark, sf):
     return scored.select("vec_id", ar.round_array("logits", 6).alias("logits"), ar.argmax("logits").alias("pred"))
 
 
+@register("score_centroids_tables")
+def score_centroids_tables(spark, sf):
+    """M2 with the weights as tables: the same layers by a blocked matrix product, no layer broadcast."""
+    e = bd.table(spark, sf, "embeddings")
+    cents = vec.class_centroids(e, "embedding", "label", bd.INPUT_DIM)
+    entries = cents.select(F.posexplode("centroid").alias("i", "w"), F.col("label").alias("j"))
+    same = spark.range(bd.OUTPUT_DIM).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("w"))
+    nothing = spark.range(bd.OUTPUT_DIM).select(F.col("id").alias("j"), F.lit(0.0).alias("b"))
+    n = bd.OUTPUT_DIM
+    scored = vec.score_mlp_tables(e, "embedding", [(entries, nothing), (same, nothing), (same, nothing)], [bd.INPUT_DIM, n, n, n], ["vec_id"])
+    return scored.select("vec_id", ar.round_array("logits", 6).alias("logits"), ar.argmax("logits").alias("pred"))
+
+
 @register("embed_tokens")
 def embed_tokens(spark, sf):
     """M3: embedding vector (rows of embeddings by id) for every token of the encoded turns."""

@@ -597,3 +597,5 @@ ORACLE["jsonl_logs_whole"] = f"""WITH {LOG} SELECT run_id, split, epoch, step, s
 FROM log WHERE step % 17 NOT IN (0, 1)"""
 ORACLE["jsonl_logs_broken"] = f"""WITH {LOG} SELECT '{{"run_id":"' || run_id || '","step":' || CASE WHEN step % 17 = 0 THEN CAST(step AS VARCHAR) ELSE '"x' || step || '"}}' END AS line
 FROM log WHERE step % 17 IN (0, 1)"""
+
+ORACLE["score_centroids_tables"] = ORACLE["score_centroids"]
