@@ -30,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm.textbuf import broadcast_if_small, stored
+from stepwise.llm.textbuf import broadcast_if_small, delete_on_exit, stored
 from stepwise.session import scratch_path
 
+#: Types of ids that records hold as numbers; ids of other types are held as text.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 LEAST_DEDUP = 100
 BLOCK_LINES = 256
 #: Captures in one index file, about.
 FILE_CAPTURES = 200_000
 #: Bytes of an archive that one read task is given at once.
 CHUNK = 32 << 20
+#: Bytes of an archive whose records go to one read task together.
+READ_TOGETHER = 4 << 20
 #: Fixed date of the records: archives of the same pages are the same bytes.
 DATE = "2020-01-01T00:00:00Z"
 
@@ -49,6 +53,8 @@ def file_system(folder: str):
 
     if folder.startswith("file:") and not folder.startswith("file://"):
         folder = "file://" + folder[5:]
+    for hadoop in ("s3a://", "s3n://"):  # Hadoop's names of a scheme
+        folder = f"s3://{folder[6:]}" if folder.startswith(hadoop) else folder
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
@@ -99,7 +105,10 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     long = F.octet_length("payload") >= LEAST_DEDUP
     firsts = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = broadcast_if_small(stored(firsts.select(F.col("digest").alias("d"), "first"), "firsts"), 160)
-    rows = rows.join(firsts, (F.col("digest") == F.col("d")) & long, "left").select("page_id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    rows = rows.join(firsts, (F.col("digest") == F.col("d")) & long, "left")
+    as_text = (lambda c: F.col(c)) if kind in WHOLE or kind == "string" else (lambda c: F.col(c).cast("string").alias(c))
+    rows = rows.select(as_text("page_id"), "url", "payload", "digest", as_text("first"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    kind = kind if kind in WHOLE else "string"
 
     def archive(batches):
         out, at, name = None, 0, f"{uuid.uuid4().hex}.warc.gz"
@@ -215,13 +224,21 @@ def lookup(wanted: DataFrame, files: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
 
     keys = wanted.select("key").where("key is not null").distinct()
-    asked = keys.select(F.explode(holders("key")).alias("name"), "key").repartitionByRange("name", "key").sortWithinPartitions("name", "key")
+    # a number of its own: the keys are few bytes, what is read for them isn't
+    parts = max(slots(wanted), len(names))
+    asked = keys.select(F.explode(holders("key")).alias("name"), "key").repartitionByRange(parts, "name", "key").sortWithinPartitions("name", "key")
     return asked.mapInArrow(search, "key string, file string, offset long, length long")
 
 
+def slots(df: DataFrame) -> int:
+    """Tasks of the cluster."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read(captures: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """The records at the captures (file, offset, length): page_id, payload, payload_bytes, payload_digest, record_type, refers_to.
 
+    There are as many read tasks as CHUNKs in the records asked for, and one for each task slot at least.
     The digest of a response is that of the payload read, and must be the one in its header.
     """
     def fetch(batches):
@@ -244,7 +261,9 @@ def read(captures: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
             types = (kind, pa.binary(), pa.int64(), pa.string(), pa.string(), kind)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ordered = captures.withColumn("part", F.floor(F.col("offset") / CHUNK)).repartition("file", "part").sortWithinPartitions("file", "offset")
+    captures = stored(captures.select("file", "offset", "length"), "asked")
+    parts = max(slots(captures), -(-int(captures.agg(F.sum("length")).first()[0] or 0) // CHUNK))
+    ordered = captures.withColumn("part", F.floor(F.col("offset") / READ_TOGETHER)).repartition(parts, "file", "part").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(fetch, f"page_id {id_type}, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}")
 
 
@@ -253,5 +272,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "warc")
     captures = write(pages, folder)
     files = build_index(captures, folder)
-    id_type = {"int": "int", "bigint": "long", "string": "string"}[dict(pages.dtypes)["page_id"]]
-    return read(lookup(captures.select("key"), files, folder), folder, id_type)
+    kind = dict(pages.dtypes)["page_id"]
+    delete_on_exit(spark, folder)
+    found = read(lookup(captures.select("key"), files, folder), folder, "long" if kind in WHOLE else "string")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
