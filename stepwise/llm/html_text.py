@@ -8,13 +8,15 @@ aligned columns.
 
 Defined results: null gives null, an empty page the empty text; text outside any tag counts; unclosed
 and stray tags lose no visible text, an unclosed comment is kept as text, an unclosed script or style hides the rest;
-nesting deeper than ``MAX_DEPTH`` is rendered at that depth, whole; equal rows give equal results.  Columns of the input
+nesting deeper than ``MAX_DEPTH`` is rendered at that depth, whole; equal rows give equal results.  A table whose aligned form would be
+more than ``MOST_PADDING`` times its text and cells is set without padding and spans, so work and output are linear in the page.  Columns of the input
 named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,6 +38,12 @@ IMPLIED = {
     "tfoot": (("thead", "tbody", "tfoot", "caption"), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ("html",)),
 }
 MAX_DEPTH = 120
+#: Characters of padding and cells of spans for each character and cell of a table (and the first so many are free).
+MOST_PADDING, FREE_PADDING = 8, 1 << 12
+#: HTML's own bounds of spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: What ends a comment and a marked section.
+_ENDS = (("<!--", re.compile(r"--!?>")), ("<![", re.compile(r"\]\s*\]\s*>")))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -54,6 +62,8 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {}, True)
         self.open = [self.root]
+        #: Tags open below a hidden element; they are not built.
+        self.below: Counter = Counter()
 
     def _close(self, names, stops, outermost: bool = False) -> None:
         """Closes the innermost (or outermost) open element of the names inside the nearest of the stops."""
@@ -72,6 +82,15 @@ class TreeBuilder(HTMLParser):
         attrs = dict(attrs)
         if tag == "html":
             return
+        if not self.open[-1].shown:
+            hidden = self.open[-1].tag
+            names, stops = IMPLIED.get(tag, ((), ()))
+            ends = hidden in names and not any(self.below[s] for s in stops) or hidden == "p" and tag in CLOSES_P or hidden == "head" and tag in BLOCK
+            if not ends:
+                if tag not in VOID:
+                    self.below[tag] += 1
+                return
+            self.below.clear()
         if tag in CLOSES_P or tag in IMPLIED:
             self._close(("p",), ("table", "td", "th", "li", "dd", "button"))
         if tag in BLOCK and self.open[-1].tag == "head":
@@ -92,6 +111,18 @@ class TreeBuilder(HTMLParser):
         self.handle_starttag(tag, attrs)  # as in HTML, the slash closes nothing
 
     def handle_endtag(self, tag):
+        if not self.open[-1].shown:
+            if self.below[tag]:
+                self.below[tag] -= 1
+                return
+            depth = len(self.open)
+            self._end(tag)
+            if len(self.open) < depth:
+                self.below.clear()
+            return
+        self._end(tag)
+
+    def _end(self, tag):
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self.open[-1].children.append(Node("p", {}, True))
             return
@@ -162,26 +193,64 @@ def _rows(table: Node) -> list[Node]:
     return rows
 
 
-def _span(cell: Node) -> int:
-    digits = (cell.attrs.get("colspan") or "1").strip()
-    return max(1, min(int(digits), 50)) if digits.isascii() and digits.isdigit() and len(digits) < 6 else 1
+def _span(cell: Node, name: str, most: int) -> int:
+    digits = (cell.attrs.get(name) or "1").strip()
+    return max(1, min(int(digits[:9]), most)) if digits.isascii() and digits.isdigit() else 1
+
+
+def _grid(rows: list[list[Node]], texts: list[list[list[str]]], most: int) -> list[list[list[str]]] | None:
+    """Lines of the cells in their columns; None if spans make more than ``most`` cells."""
+    grid, below, made = [], {}, 0  # below: column -> rows that a cell above still covers
+    for row, cells in zip(rows, texts):
+        line, k = [], 0
+        todo = list(zip(row, cells))[::-1]
+        while todo or any(j >= k for j in below):
+            if below.get(k):
+                line.append([])
+                k += 1
+            elif todo:
+                cell, lines = todo.pop()
+                wide, high = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
+                if made + len(line) + wide > most:
+                    return None
+                for j in range(k, k + wide):
+                    line.append(lines if j == k else [])
+                    if high > 1:
+                        below[j] = high
+                k += wide
+            else:
+                line.append([])
+                k += 1
+        below = {j: n - 1 for j, n in below.items() if n > 1}
+        made += len(line)
+        if made > most:
+            return None
+        if any(line):
+            grid.append(line)
+    return grid
 
 
 def _table(node: Node) -> list[str]:
     """Cells in columns as wide as their longest line; a cell's further lines stay in its column."""
-    grid, out = [], []
-    for row in _rows(node):
-        line = []
-        for c in row.children:
-            if isinstance(c, Node) and c.tag in ("td", "th") and c.shown:
-                line.append(render(c))
-                line.extend([[]] * (_span(c) - 1))
-        if any(line):
-            grid.append(line)
-    width = [max((len(x) for line in grid if k < len(line) for x in line[k]), default=0) for k in range(max(map(len, grid), default=0))]
+    out: list[str] = []
+    rows = [[c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and c.shown] for row in _rows(node)]
+    texts = [[render(c) for c in row] for row in rows]
+    most = MOST_PADDING * sum(map(len, rows)) + FREE_PADDING
+    grid = _grid(rows, texts, most)
+    aligned = grid is not None
+    grid = [line for line in texts if any(line)] if grid is None else grid
+    width = [max((len(x) for line in grid if k < len(line) for x in line[k]), default=0) for k in range(max(map(len, grid), default=0))] if aligned else []
+    if aligned:
+        text = sum(len(x) + 3 for line in grid for c in line for x in c)
+        reach = [0]
+        for w in width:
+            reach.append(reach[-1] + w + 3)
+        aligned = sum(max(map(len, line)) * reach[len(line)] for line in grid) <= MOST_PADDING * text + FREE_PADDING
+        width = width if aligned else [0] * len(width)
+        grid = grid if aligned else [line for line in texts if any(line)]
     for line in grid:
         for k in range(max(map(len, line))):
-            cells = [(c[k] if k < len(c) else "").ljust(width[j]) for j, c in enumerate(line)]
+            cells = [(c[k] if k < len(c) else "").ljust(width[j] if aligned else 0) for j, c in enumerate(line)] if aligned else [c[k] for c in line if k < len(c)]
             out.append(" | ".join(cells).rstrip().rstrip("|").rstrip())
     loose = Lines()  # text and captions that are in no cell
     for c in node.children:
@@ -279,10 +348,25 @@ def render(node: Node) -> list[str]:
     return to.lines
 
 
+def finished(html: str) -> str:
+    """The page with the ``<`` of constructs that never end as text, which the parser would else look ahead for again and again."""
+    for sign, end in _ENDS:
+        at = html.find(sign)
+        if at >= 0:
+            last = 0
+            for m in end.finditer(html, at):
+                last = m.end()
+            # a sign after the last end starts something without one
+            rest = max(at, last)
+            html = html[:rest] + html[rest:].replace(sign, "&lt;" + sign[1:])
+    end = html.rfind(">") + 1
+    return html[:end] + html[end:].replace("<", "&lt;")
+
+
 def visible_text(html: str) -> str:
     """The visible text of a page."""
     builder = TreeBuilder()
-    builder.feed(html)
+    builder.feed(finished(html))
     builder.close()
     return "\n".join(render(builder.root))
 
