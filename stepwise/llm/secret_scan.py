@@ -40,7 +40,7 @@ LITERAL = "literal"
 LEAST_SCORE = 2.0
 #: Words of names and how much they tell.
 NAME_SCORES = {
-    "password": 2, "passwd": 2, "passphrase": 2, "passcode": 2, "pwd": 2, "pass": 1.25, "pin": 1.25, "secret": 2, "secrets": 2, "token": 1.5, "jwt": 1.25, "apikey": 2, "credential": 1.5,
+    "password": 2, "passwd": 2, "passphrase": 2, "passcode": 2, "pwd": 2, "pass": 1.25, "pin": 1.5, "secret": 2, "secrets": 2, "token": 1.5, "jwt": 1.25, "apikey": 2, "credential": 1.5,
     "credentials": 1.5, "private": 0.75, "access": 0.5, "auth": 0.75, "authorization": 1, "api": 0.75, "client": 0.25, "key": 0.75, "signature": 0.75, "signing": 0.75, "encryption": 0.75,
     "session": 0.5, "bearer": 1, "hmac": 1, "salt": 0.75, "webhook": 0.75,
 }
