@@ -73,9 +73,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("source")
 
 
-#: Sources in the order of limit per weight; the same hash order, cut at the budget at whole hash values of 15 digits.
+#: Sources in the order of limit per weight; the same hash order, equal rows one by one, cut at the row nearest to the budget.
 ORACLE["op10_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5('mix:' || coalesce('i' || CAST(doc_id AS VARCHAR), 'n') || ':' || coalesce(md5(text), 'none')), 1, 15) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, CAST(source AS BLOB)) - 1) % 3 AS INT) + 1] AS w FROM d GROUP BY source),
 l AS (SELECT *, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS budget, sum(w) OVER () AS all_w FROM s),
 t AS (SELECT *, (budget - coalesce(sum(cap) OVER o, 0)) / (all_w - coalesce(sum(w) OVER o, 0)) AS common, row_number() OVER (ORDER BY cap / w, source IS NULL, CAST(source AS BLOB)) AS pos FROM l
@@ -83,11 +83,10 @@ t AS (SELECT *, (budget - coalesce(sum(cap) OVER o, 0)) / (all_w - coalesce(sum(
 g AS (SELECT source, source_size, CAST(least(cap, coalesce((SELECT arg_min(common, pos) FROM t x WHERE x.common <= x.cap / x.w) * w, cap)) AS DOUBLE) AS target FROM t),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole FROM g),
 b AS (SELECT *, greatest(target - whole * source_size, 0) AS rest FROM p),
-hs AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
-r AS (SELECT hs.source, hs.h, hs.n, b.rest, sum(n) OVER (PARTITION BY hs.source ORDER BY h) AS upto FROM hs JOIN b ON hs.source IS NOT DISTINCT FROM b.source),
-k AS (SELECT source, h FROM r WHERE upto <= rest OR (upto > rest AND upto - n <= rest AND (rest - upto + n) * 2 > n))
-SELECT d.doc_id, d.size, b.source_size, b.target, CAST(d.size * (b.whole + CASE WHEN b.whole < 2 AND k.h IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
+r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN whole < 2 AND (upto <= rest OR (upto - size <= rest AND (rest - upto + size) * 2 > size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
 """
 
 

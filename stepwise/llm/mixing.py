@@ -1,18 +1,19 @@
 """Mixing sources to target weights by hash-threshold histograms, with DataFrame functions only.
 
-Every row gets a hash of its id.  Sizes are summed by source and the first digits
-of the hash; the running sums give, for each source, the bucket in which its
+Every row gets a key: a hash of its id and text, then its place in the stored table, which tells
+equal rows apart.  Sizes are summed by source and the first digits
+of the key; the running sums give, for each source, the bucket in which its
 budget is reached.  Only the rows of these boundary buckets are summed
-again by the next digits, down to single hash values; the rows below the
-threshold are taken.  Nothing is sorted but the histograms, and the same ids are taken
-in every run.
+again by the next digits, down to single rows; the rows below the
+threshold are taken.  Nothing is sorted but the histograms.  The same rows are taken
+in every run; of rows equal in id and text, the same number.  Each text is read once: keys and sizes are stored.
 
 Targets: source i weighs ``weights[i % len(weights)]`` in the order of the names (code
 points, null last); the sources share ``share`` times all sizes by weight, none gets more
 than ``most`` times its own size, and what is over is shared again among the others.
 
 Defined results: null text has size 0; a source of size 0 has target 0; a null id is
-hashed as a value of its own, so that rows with equal ids (or none) are taken together;
+hashed as a value of its own; rows with equal ids (or none) and equal texts are taken one by one;
 empty tables give no rows.  Columns of the input named like a result are replaced.
 """
 
@@ -25,8 +26,8 @@ from stepwise.llm.textbuf import broadcast_if_small, stored, with_result
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Hexadecimal digits of the hash that one histogram resolves, and the histograms.
-DIGITS, LEVELS = 3, 5
+#: Hexadecimal digits of the key that one histogram resolves; digits of the hash in it and of the place behind.
+DIGITS, HASH_DIGITS, PLACE_DIGITS = 3, 15, 18
 
 
 def n_words(text: Column) -> Column:
@@ -55,32 +56,53 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def _digits(level: int) -> Column:
-    return F.substring("hash", 1 + level * DIGITS, DIGITS)
+    return F.substring("key", 1 + level * DIGITS, DIGITS)
+
+
+def keyed(doc_id: Column, text: Column, seed: str) -> Column:
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit(":"), F.coalesce(F.md5(text), F.lit("none"))))
+    return F.concat(F.substring(digest, 1, HASH_DIGITS), F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), PLACE_DIGITS, "0"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, cut): hashes below the cut are taken; their sizes sum to nearly the budget (source, left).
+    """(source, cut): keys below the cut are taken; their sizes sum to nearly the budget (source, left).
 
-    ``rows`` (source, hash, size) is stored.  Each level keeps the hash prefix of the boundary bucket.
+    ``rows`` (source, key, size) is stored.  Each level keeps the key prefix of the boundary bucket; the last one
+    is that at which every boundary bucket is a single row.
     """
     edge = budgets.select("source", F.lit("").alias("prefix"), F.col("left").cast("double").alias("left"))
-    done = None
-    for level in range(LEVELS):
-        edge = stored(edge, "edges")
-        met = rows.join(broadcast_if_small(edge.withColumnRenamed("source", "src"), 128), F.col("source").eqNullSafe(F.col("src")) & (F.substring("hash", 1, level * DIGITS) == F.col("prefix")))
-        hist = met.groupBy("source", "prefix", _digits(level).alias("digits")).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+    for level in range((HASH_DIGITS + PLACE_DIGITS) // DIGITS):
+        edge = edge.withColumnRenamed("source", "src").select("src", "prefix", "left")
+        met = rows.join(broadcast_if_small(edge, 128), F.col("source").eqNullSafe(F.col("src")) & (F.substring("key", 1, level * DIGITS) == F.col("prefix")))
+        hist = met.groupBy("source", "prefix", _digits(level).alias("digits")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("left").alias("left"))
         upto = Window.partitionBy("source").orderBy("digits")
         hist = hist.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
         full = Window.partitionBy("source")
         hist = hist.withColumn("over", F.min(F.when(F.col("upto") > F.col("left"), F.col("digits"))).over(full))
         one = hist.where(F.col("digits") == F.col("over"))
-        nxt = one.select("source", F.concat("prefix", "digits").alias("prefix"), (F.col("left") - F.col("before")).alias("left"), "n")
-        if level == LEVELS - 1:  # the last bucket is taken if that comes nearer to the budget
-            cut = nxt.select("source", F.when(F.col("left") * 2 > F.col("n"), F.concat("prefix", F.lit("g"))).otherwise(F.col("prefix")).alias("cut"))
-            done = stored(cut, "cuts")
-        else:
-            edge = nxt.drop("n")
-    return done
+        edge = stored(one.select("source", F.concat("prefix", "digits").alias("prefix"), (F.col("left") - F.col("before")).alias("left"), "n", "rows"), "edges")
+        if edge.where("rows > 1").isEmpty():
+            break
+    # the boundary row is taken if that comes nearer to the budget
+    return edge.select("source", F.when(F.col("left") * 2 > F.col("n"), F.concat("prefix", F.lit("g"))).otherwise(F.col("prefix")).alias("cut"))
+
+
+def _counted(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, keep_text: bool) -> DataFrame:
+    """Every row with size, source_size, target, taken and ``__copies``, how often the mixture takes it."""
+    sized = docs.withColumn("__size", n_words(F.col(text))).withColumn("__key", keyed(F.col(doc_id), F.col(text), seed))
+    sized = stored(sized if keep_text else sized.drop(text), "sizes")
+    slim = sized.select(F.col(source).alias("source"), F.col("__key").alias("key"), F.col("__size").alias("size"))
+    sums = stored(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    goal = targets(sums)
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(MOST)))).otherwise(0)
+    goal = stored(goal.withColumn("whole", whole.cast("long")).withColumn("left", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "targets")
+    cuts = thresholds(slim, stored(goal.where("whole < " + str(int(MOST))).select("source", "left"), "budgets"))
+    plan = stored(goal.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "left"), "plan")
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    out = sized.join(broadcast_if_small(plan, 160), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
+    out = out.withColumn("__copies", F.col("__whole") + F.coalesce((F.col("__key") < F.col("__cut")).cast("long"), F.lit(0)))
+    out = with_result(out, size=F.col("__size"), source_size=F.col("__source_size"), target=F.col("__target"), taken=F.col("__size") * F.col("__copies"))
+    return out.drop("__size", "__key", "__source", "__source_size", "__target", "__whole", "__cut")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", keep_text: bool = False) -> DataFrame:
@@ -89,24 +111,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``taken`` is the words that the mixture takes: whole repeats of the source, and one more of
     the rows below its threshold.
     """
-    sized = docs.withColumn("__size", n_words(F.col(text))).withColumn("__hash", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))))
-    slim = stored(sized.select(F.col(source).alias("source"), F.col("__hash").alias("hash"), F.col("__size").alias("size")), "sizes")
-    sums = stored(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    goal = targets(sums)
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(MOST)))).otherwise(0)
-    goal = stored(goal.withColumn("whole", whole.cast("long")).withColumn("left", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "targets")
-    cuts = thresholds(slim, goal.where("whole < " + str(int(MOST))).select("source", "left"))
-    plan = stored(goal.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "left"), "plan")
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
-    out = (sized if keep_text else sized.drop(text)).join(broadcast_if_small(plan, 160), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    copies = F.col("__whole") + F.coalesce((F.col("__hash") < F.col("__cut")).cast("long"), F.lit(0))
-    out = out.withColumn("__copies", copies)
-    out = with_result(out, size=F.col("__size"), source_size=F.col("__source_size"), target=F.col("__target"), taken=F.col("__size") * F.col("__copies"))
-    return out.drop("__size", "__hash", "__source", "__source_size", "__target", "__whole", "__cut") if keep_text else out.drop("__size", "__hash", "__source", "__source_size", "__target", "__whole", "__cut", "__copies")
+    return _counted(docs, doc_id, text, source, seed, keep_text).drop("__copies")
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mixture, repeated as often as it takes them, with the columns of ``docs``."""
     packed = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("words"), F.col(f"`{source}`").alias("origin"), F.struct("*").alias("row"))
-    found = mix(packed, "id", "words", "origin", keep_text=True)
+    found = _counted(packed, "id", "words", "origin", "mix", keep_text=False)
     return found.where("__copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy")).select("row.*")

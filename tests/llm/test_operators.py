@@ -442,3 +442,21 @@ def test_slices_keep_rows_whole():
     texts = ["a", None, "", "é" * 50, "b" * 500, "c"]
     seen = [bytes(data[bounds[k]:bounds[k + 1]]).decode() for lo, hi, data, bounds in slices(pa.array(texts)[1:], 60) for k in range(hi - lo)]
     assert seen == [t or "" for t in texts[1:]]
+
+
+def test_mixture_takes_equal_rows_one_by_one(spark):
+    """Rows without an id and with equal texts are no block; the boundary row is the nearest to the target."""
+    rows = [(None, "one two three four", "a")] * 900 + [(i, "w " * (i % 7), "b") for i in range(300)] + [(None, None, "a")] * 5 + [(7, "x y z", None)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    took, sizes = collections.Counter(), collections.Counter()
+    for r in got:
+        took[r["source"]] += r["taken"]
+        sizes[r["source"]] += r["size"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    goal = brute_targets(sizes)
+    assert len(got) == len(rows) and all(abs(took[s] - goal[s]) <= 3.5 for s in sizes)
+    again = mixing.mix(df.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    kept = mixing.mix(df, keep_text=True)
+    assert "text" in kept.columns and kept.count() == len(rows)
