@@ -97,6 +97,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, "source").drop("source")
 
 
+ORACLE["op5_quality_rules"] = quality.ORACLE
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""

@@ -1,9 +1,10 @@
 """Quality rules with host-level verdicts.
 
 Each text is measured once, as a byte buffer; the measures are stored, a row of
-numbers per document.  The failures of the rules are summed by host, the hosts' failure rates are
-shrunk with a beta prior fitted to all hosts (method of moments), and a host whose shrunk rate
+numbers per document.  The failures of each rule are summed by host; for each rule a beta prior is fitted to the rates of all
+hosts (method of moments) and shrinks them.  A host of which one shrunk rate
 is above ``MAX_RATE`` loses all its documents.  Documents that fail the base rule go themselves.
+Equal lines and windows are found by 64-bit hashes.
 
 Defined results: null and empty texts have no words and fail; a null host is a host of its own; a single
 host is its own prior; equal rows count each; empty tables give no rows.  Columns of the input named like a
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.llm.textbuf import NOT_SPACE, broadcast_if_small, byte_table, mix64, per_row, rows_of, runs, slices, stored, with_result, word_hashes
@@ -22,13 +23,16 @@ from stepwise.llm.textbuf import NOT_SPACE, broadcast_if_small, byte_table, mix6
 LEAST_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT_WORDS = 3
-#: Further rules, which count only towards the host's rate: symbols by word, repeated lines by words.
+#: Further rules, which count only towards the host's rates: symbols by word, repeated lines by words.
 MAX_SYMBOLS_A_WORD, MAX_DUP_LINES_A_WORD = 0.5, 0.1
 #: A host with a larger shrunk rate of failing documents is rejected.
 MAX_RATE = 0.5
 #: Bounds of the prior's strength, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6
 
+#: The rules, each with a rate of its own for every host; the first two are the base rule.
+RULES = ("short", "repeats", "symbols", "lines")
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = byte_table(b"#*$%&|<>")
 #: First bytes of code points inside words.
@@ -92,21 +96,35 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return stored(with_result(found, **m, base_failed=failed).drop("__m"), "measures")
 
 
-def host_rates(measured: DataFrame, host: str) -> DataFrame:
-    """(host, n, failed, rate, shrunk): one row per host."""
+def failures() -> dict[str, Column]:
+    """Whether a measured row fails each rule."""
     n = F.col("n_words")
-    bad = F.col("base_failed") | (F.col("n_symbols") > MAX_SYMBOLS_A_WORD * n) | (F.col("n_dup_lines") > MAX_DUP_LINES_A_WORD * n)
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("failed"))
-    hosts = stored(hosts.withColumn("rate", F.col("failed") / F.col("n")), "hosts")
-    # sums over hosts: sum n, sum failed, hosts, and sum n * rate^2
-    s = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("k"), F.count("*").alias("h"), F.sum(F.col("n") * F.col("rate") ** 2).alias("q")).first()
-    total = s["n"] or 1
-    mean = (s["k"] or 0) / total
+    return {
+        "short": n < LEAST_WORDS, "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n,
+        "symbols": F.col("n_symbols") > MAX_SYMBOLS_A_WORD * n, "lines": F.col("n_dup_lines") > MAX_DUP_LINES_A_WORD * n,
+    }
+
+
+def prior(n: int, failed: int, hosts: int, squares: float) -> tuple[float, float]:
+    """(mean, strength) of the beta prior of one rule, from sums over all hosts: documents, failures, hosts, n * rate^2."""
+    mean = failed / n if n else 0.0
     inside = mean * (1 - mean)
-    between = (s["q"] or 0.0) / total - mean**2 - inside * s["h"] / total
+    between = squares / n - mean**2 - inside * hosts / n if n else 0.0
     strength = MOST_STRENGTH if between <= 0 else inside / between - 1
-    strength = min(MOST_STRENGTH, max(LEAST_STRENGTH, strength))
-    return hosts.withColumn("shrunk", (F.col("failed") + mean * strength) / (F.col("n") + strength))
+    return mean, min(MOST_STRENGTH, max(LEAST_STRENGTH, strength))
+
+
+def host_rates(measured: DataFrame, host: str) -> DataFrame:
+    """(host, n, failed_<rule>, shrunk_<rule>, shrunk): one row per host; ``shrunk`` is the largest of its shrunk rates."""
+    bad = failures()
+    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.sum(bad[r].cast("long")).alias(f"failed_{r}") for r in RULES])
+    hosts = stored(hosts, "hosts")
+    sums = [F.struct(F.sum(f"failed_{r}").alias("k"), F.sum(F.col(f"failed_{r}") * F.col(f"failed_{r}") / F.col("n")).alias("q")).alias(r) for r in RULES]
+    s = hosts.agg(F.sum("n").alias("n"), F.count("*").alias("h"), *sums).first()
+    for r in RULES:
+        mean, strength = prior(s["n"] or 0, s[r]["k"] or 0, s["h"], s[r]["q"] or 0.0)
+        hosts = hosts.withColumn(f"shrunk_{r}", (F.col(f"failed_{r}") + mean * strength) / (F.col("n") + strength))
+    return hosts.withColumn("shrunk", F.greatest(*[F.col(f"shrunk_{r}") for r in RULES]))
 
 
 def judge(docs: DataFrame, host: str, text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
@@ -116,3 +134,27 @@ def judge(docs: DataFrame, host: str, text: str = "text", max_rate: float = MAX_
     hosts = hosts.select(F.col("host").alias("__host"), F.col("shrunk").alias("__rate"))
     out = found.join(broadcast_if_small(hosts, 128), F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
     return with_result(out, host_rate=F.col("__rate"), kept=~F.col("base_failed") & (F.col("__rate") <= max_rate)).drop("__host", "__rate")
+
+
+#: DuckDB SQL of ``judge`` on documents by source; the measures, the priors by moments and the verdicts.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+inside AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {REPEAT_WORDS})) AS p FROM twice) GROUP BY r),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN inside ON w.r = inside.r),
+f AS (SELECT *, n_words < {LEAST_WORDS} AS short, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS repeats,
+  n_symbols > {MAX_SYMBOLS_A_WORD} * n_words AS symbols, n_dup_lines > {MAX_DUP_LINES_A_WORD} * n_words AS lines FROM m),
+h AS (SELECT source, count(*) AS n, [count(*) FILTER (short), count(*) FILTER (repeats), count(*) FILTER (symbols), count(*) FILTER (lines)] AS k FROM f GROUP BY source),
+u AS (SELECT source, n, rule, k[rule] AS k FROM h, (SELECT unnest(range(1, {len(RULES) + 1})) AS rule)),
+s AS (SELECT rule, sum(k) / sum(n) AS mean, (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) AS within, sum(CAST(k AS DOUBLE) * k / n) / sum(n) AS q, count(*) / sum(n) AS hosts FROM u GROUP BY rule),
+p AS (SELECT rule, mean, CASE WHEN q - mean * mean - within * hosts <= 0 THEN {MOST_STRENGTH}
+  ELSE least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, within / (q - mean * mean - within * hosts) - 1)) END AS strength FROM s),
+v AS (SELECT source, max((k + mean * strength) / (n + strength)) AS host_rate FROM u JOIN p ON u.rule = p.rule GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, host_rate,
+  NOT (short OR repeats) AND host_rate <= {MAX_RATE} AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""

@@ -460,3 +460,30 @@ def test_mixture_takes_equal_rows_one_by_one(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
     kept = mixing.mix(df, keep_text=True)
     assert "text" in kept.columns and kept.count() == len(rows)
+
+
+def test_each_rule_has_its_own_rate_and_prior(spark):
+    good, symbols = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i} # $" for i in range(80))
+    kinds = [good, "short", symbols, "a b c " * 40, "\n".join(["a line of words again"] * 40 + [good])]
+    rnd = random.Random(3)
+    hosts = {h: [rnd.random() ** 3 for _ in kinds] for h in ("a", "b", "c", "d", None)}
+    rows = [(i, rnd.choices(kinds, hosts[h])[0], h) for i, h in enumerate(rnd.choices(list(hosts), [50, 30, 10, 3, 20], k=600))]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, host string"), "host"))
+    counts, sizes = collections.defaultdict(lambda: [0] * 4), collections.Counter(h for _, _, h in rows)
+    base = {}
+    for i, t, h in rows:
+        n, _, n_symbols, lines, repeats = brute_quality(t)
+        fails = (n < 50, 100 * repeats > 50 * n, n_symbols > 0.5 * n, lines > 0.1 * n)
+        base[i] = fails[0] or fails[1]
+        counts[h] = [a + b for a, b in zip(counts[h], fails, strict=True)]
+    rate = collections.defaultdict(float)
+    for r in range(4):
+        total = sum(sizes.values())
+        mean = sum(k[r] for k in counts.values()) / total
+        between = sum(n * (counts[h][r] / n - mean) ** 2 for h, n in sizes.items()) / total - mean * (1 - mean) * len(sizes) / total
+        strength = 1e6 if between <= 0 else min(1e6, max(2, mean * (1 - mean) / between - 1))
+        for h, n in sizes.items():
+            rate[h] = max(rate[h], (counts[h][r] + mean * strength) / (n + strength))
+    for i, _, h in rows:
+        assert abs(got[i]["host_rate"] - rate[h]) < 1e-9 and got[i]["base_failed"] == base[i] and got[i]["kept"] == (not base[i] and rate[h] <= quality.MAX_RATE)
+    assert {r["kept"] for r in got.values()} == {True, False}
