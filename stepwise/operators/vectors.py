@@ -64,18 +64,22 @@ def embed_tokens(encoded: DataFrame, ids: str, keys, table: DataFrame, id_col: s
                  vec_col: str, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """M3: one row per token position with its embedding vector; an id missing from the table raises.
 
-    A table within the bound is broadcast.  Beyond it the positions are joined by shuffle, but for ids that are
-    more than half a partition's share of all positions: there are at most twice as many of these as
-    partitions, and their vectors are broadcast.
+    A table within the bound is broadcast.  Beyond it, its rows of the ids that occur are, if they are within the bound.
+    Else the positions are joined by shuffle, but for ids that are more than half a partition's share of all
+    positions: there are at most twice as many of these as partitions, and their vectors are broadcast.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     ex = encoded.select(*keys, F.posexplode(ids).alias("pos", "token_id"))
     emb = table.select(F.col(id_col).cast("int").alias("token_id"), F.col(vec_col).alias("vector")).withColumn("__known", F.lit(True))
-    small = bounded_broadcast(emb, 1 << 20, max_broadcast_bytes)
-    if small is not emb:
+    small, used = bounded_broadcast(emb, 1 << 20, max_broadcast_bytes), None
+    if small is emb:
+        ensure_checkpoint_dir(ex.sparkSession)
+        counts = ex.groupBy("token_id").count().checkpoint()
+        used = emb.join(counts.select("token_id"), "token_id", "left_semi")
+        small = bounded_broadcast(used, 1 << 20, max_broadcast_bytes)
+    if small is not emb and small is not used:
         found = ex.join(small, "token_id", "left")
     else:
-        counts = ex.groupBy("token_id").count()
         total = counts.agg(F.sum("count")).first()[0] or 0
         hot = [r["token_id"] for r in counts.where((F.col("count") > total / (2 * range_parts(ex.sparkSession))) & F.col("token_id").isNotNull()).collect()]
         is_hot = F.coalesce(F.col("token_id").isin(hot), F.lit(False)) if hot else F.lit(False)

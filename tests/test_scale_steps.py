@@ -113,3 +113,17 @@ def test_words_of_an_arrow_column_are_those_of_the_pattern(spark):
         assert tx.word_lists(part).to_pylist() == [r["w"] or [] for r in rows]
     assert [r["t"] for r in rows] == [t and t.strip() for t in texts]
     assert tx.word_lists(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_embedding_sends_the_rows_that_occur(spark):
+    from pyspark.sql import functions as F
+
+    from stepwise.operators import vectors
+
+    table = spark.range(2000).select("id", F.array_repeat(F.col("id") / 2, 16).alias("v"))
+    enc = spark.range(40).select("id", F.array(F.col("id") % 3, F.lit(7)).cast("array<int>").alias("ids"))
+    out = vectors.embed_tokens(enc, "ids", "id", table, "id", "v", max_broadcast_bytes=20_000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "Union" not in plan
+    got = {(r["id"], r["pos"]): (r["token_id"], r["vector"]) for r in out.collect()}
+    assert got == {(i, p): (t, [t / 2] * 16) for i in range(40) for p, t in enumerate((i % 3, 7))}
