@@ -8,6 +8,10 @@ in pieces of bounded size; they are added in two levels.  The driver then moves
 all runs' weights at once, as stacked arrays, and broadcasts them for the next
 step.  Grids whose weights exceed ``MAX_WEIGHTS`` numbers are trained in several blocks of runs.
 
+Small batches don't need a job each: steps of ``LOT_ROWS`` rows together are one job, in which every task
+moves some of the runs through the lot's steps and keeps their weights at the validations;
+a second job then validates all of these weights in one pass over the held-out rows.
+
 The result is the run log: one row for each run and step, and one for each
 validation, which follows every ``val_interval``-th step as W5 has it.
 """
@@ -23,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.operators.common import parallelism
 from stepwise.operators.rank import epoch_shuffle
 from stepwise.session import ensure_checkpoint_dir, scratch_path, ship_package
 
@@ -30,6 +35,8 @@ from stepwise.session import ensure_checkpoint_dir, scratch_path, ship_package
 MAX_WEIGHTS = 1 << 23
 #: Numbers in a piece of a gradient; numbers of one layer's activations that a task holds at once.
 PIECE, ACTIVATIONS = 1 << 12, 1 << 22
+#: Train rows of the steps that one job takes.
+LOT_ROWS = 1 << 14
 #: Partial sums that are added in one group.
 FAN_IN = 64
 # adam's decay rates and the term that keeps its divisor from zero.
@@ -93,7 +100,7 @@ class Block:
     groups: list[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]
 
 
-def _partial_sums(rows: DataFrame, shared, want_val: bool) -> DataFrame:
+def _partial_sums(rows: DataFrame, shared, want_val: bool, want_gradient: bool = True) -> DataFrame:
     """(run, piece, values): piece -1 has loss, rows and right answers of train, then of validation; the others the gradient."""
     def run(batches):
         block: Block = shared.value
@@ -111,7 +118,7 @@ def _partial_sums(rows: DataFrame, shared, want_val: bool) -> DataFrame:
                     for lo in range(0, len(own), step):
                         some = own[lo:lo + step]
                         loss, right, grad = losses(flat, layers, x[some], y[some], not part)
-                        heads, sums = total.setdefault(g, (np.zeros((len(flat), 6)), np.zeros(flat.shape)))
+                        heads, sums = total.setdefault(g, (np.zeros((len(flat), 6)), np.zeros(flat.shape if want_gradient else (len(flat), 0))))
                         heads[:, 3 * part:3 * part + 3] += np.stack([loss, np.full(len(flat), len(some)), right], axis=1)
                         if grad is not None:
                             sums += grad
@@ -163,21 +170,35 @@ def train_grid(samples: DataFrame, grid: DataFrame, id_col: str, features: str,
     else:
         n = train.count()
         per_epoch = max(1, math.ceil(n / batch_size))
+    blocks = list(_blocks(grid.select("run_id", "width", "depth", "optimizer", "learning_rate").orderBy("run_id").collect(), input_dim, n_classes, seed))
+    lot_steps = 1 if batch_size is None else _lot_steps(blocks, batch_size, val_interval)
+    if batch_size is not None:
         step = F.col("epoch") * per_epoch + F.floor(F.col("position") / batch_size) + 1
-        epoch_shuffle(train, "id", epochs, seed).select("val", "x", "y", step.cast("long").alias("step")).repartition("step").write.partitionBy("step").parquet(path)
-    val.drop("id").write.parquet(f"{path}/val")
-    kind = "val boolean, x array<double>, y int"
+        steps = epoch_shuffle(train, "id", epochs, seed).select("val", "x", "y", step.cast("long").alias("step"))
+        lots = steps.withColumn("lot", F.floor((F.col("step") - 1) / lot_steps))
+        lots.repartition("lot").write.partitionBy("lot").parquet(path)
+    val.drop("id").repartition(parallelism(spark)).write.parquet(f"{path}/val")
+    kind = "val boolean, x array<double>, y int, step long"
     held_out = spark.read.schema(kind).parquet(f"{path}/val")
 
-    def rows_of(step: int) -> DataFrame:
-        return spark.read.schema(kind).parquet(f"{path}/all" if batch_size is None else f"{path}/step={step}")
+    def rows_of(lot: int) -> DataFrame:
+        return spark.read.schema(kind).parquet(f"{path}/all" if batch_size is None else f"{path}/lot={lot}")
 
     log: list[tuple] = []
-    for block in _blocks(grid.select("run_id", "width", "depth", "optimizer", "learning_rate").orderBy("run_id").collect(), input_dim, n_classes, seed):
-        log += _train(spark, *block, rows_of, held_out, epochs * per_epoch, per_epoch, val_interval)
+    for block in blocks:
+        if lot_steps > 1:
+            log += _train_lots(spark, *block, rows_of, held_out, epochs * per_epoch, per_epoch, val_interval, lot_steps, n > 0)
+        else:
+            log += _train(spark, *block, lambda step: rows_of(step - 1), held_out, epochs * per_epoch, per_epoch, val_interval)
     return spark.createDataFrame(log, LOG)
 
 
+def _lot_steps(blocks: list[tuple], batch_size: int, val_interval: int) -> int:
+    """Steps of a lot: its rows are bounded, and so are the weights, moments and kept weights of its runs together."""
+    most = max((sum(w.size for w in block[2]) for block in blocks), default=1)
+    return max(1, min(LOT_ROWS // batch_size, (MAX_WEIGHTS // most - 3) * val_interval))
+
+
 def _blocks(grid: list, input_dim: int, n_classes: int, seed: int) -> Iterator[tuple]:
     """Blocks of runs within the bound: shapes of the groups, run ids, weights, adam flags and rates, all stacked by group."""
     block: dict[tuple, list] = {}
@@ -243,6 +264,68 @@ def _train(spark, layers, runs, weights, adam, rate, rows_of, held_out, steps: i
     return log
 
 
+STATE = "run long, step long, head array<double>, weights array<double>, m array<double>, v array<double>"
+
+
+def _lot(rows: DataFrame, shared, val_interval: int) -> DataFrame:
+    """(run, step, head, weights, m, v) of every step of the rows: head as in ``_partial_sums``; weights where they are validated, with moments at the end (step 0)."""
+    def train(table: pa.Table) -> pa.Table:
+        layers, runs, w, m, v, adam, rate = shared.value[table["part"][0].as_py()]
+        x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), layers[0][0])
+        y, steps = table["y"].to_numpy(), table["step"].to_numpy()
+        order = np.argsort(steps, kind="stable")
+        ends = np.flatnonzero(np.diff(steps[order], append=-1)) + 1
+        out: list[tuple] = []
+        for lo, hi in zip([0, *ends[:-1]], ends):
+            some, step = order[lo:hi], int(steps[order[lo]])
+            loss, right, total = losses(w, layers, x[some], y[some], True)
+            w, m, v = moved(w, total / len(some), m, v, adam, rate, step)
+            kept = w.tolist() if step % val_interval == 0 else [None] * len(w)
+            out += [(r, step, [a, len(some), b], k, None, None) for r, a, b, k in zip(runs.tolist(), loss, right, kept)]
+        out += [(r, 0, None, *state) for r, *state in zip(runs.tolist(), w.tolist(), m.tolist(), v.tolist())]
+        many = pa.list_(pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), many, many, many, many])], names=["run", "step", "head", "weights", "m", "v"])
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(len(shared.value) - 1))).alias("part")
+    return rows.select(parts, "step", "x", "y").repartition(len(shared.value), "part").groupBy("part").applyInArrow(train, STATE)
+
+
+def _train_lots(spark, layers, runs, weights, adam, rate, rows_of, held_out, steps: int, per_epoch: int, val_interval: int, lot_steps: int, any_rows: bool) -> list[tuple]:
+    """The log of ``_train``, with two jobs for a lot of steps: one moves the weights, one validates all that are kept."""
+    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
+    ids = np.concatenate(runs).tolist()
+    place = {int(r): (g, i) for g, own in enumerate(runs) for i, r in enumerate(own)}
+    share = -(-len(ids) // parallelism(spark))
+    log: list[tuple] = []
+    for lot, first in enumerate(range(1, steps + 1, lot_steps)):
+        last = min(steps, first + lot_steps - 1)
+        checked = [s for s in range(first, last + 1) if s % val_interval == 0]
+        # weights that nothing moves are validated as they are
+        kept = {s: [w.copy() for w in weights] for s in checked}
+        heads = {(i, s): np.zeros(3) for i in ids for s in range(first, last + 1)}
+        if any_rows:
+            shared = spark.sparkContext.broadcast([(layers[g], runs[g][i:i + share], weights[g][i:i + share], *(z[i:i + share] for z in moments[g]), adam[g][i:i + share], rate[g][i:i + share])
+                                                   for g in range(len(runs)) for i in range(0, len(runs[g]), share)])
+            for r in _lot(rows_of(lot), shared, val_interval).toLocalIterator():
+                g, i = place[r["run"]]
+                if r["step"] == 0:
+                    weights[g][i], moments[g][0][i], moments[g][1][i] = r["weights"], r["m"], r["v"]
+                    continue
+                heads[r["run"], r["step"]] = np.array(r["head"])
+                if r["weights"] is not None:
+                    kept[r["step"]][g][i] = r["weights"]
+            shared.destroy()
+        log += [(i, "train", (s - 1) // per_epoch, s, *_means(h)) for (i, s), h in heads.items()]
+        if checked:
+            # the weights of a run at every validation count as a run of their own
+            own = [np.array([place[int(r)][1] + sum(map(len, runs[:g])) + k * len(ids) for k in range(len(checked)) for r in runs[g]]) for g in range(len(runs))]
+            shared = spark.sparkContext.broadcast(Block([(layers[g], own[g], np.concatenate([kept[s][g] for s in checked])) for g in range(len(runs))]))
+            found = {r["run"]: r["values"] for r in _added(_partial_sums(held_out, shared, True, False), held_out.rdd.getNumPartitions()).toLocalIterator()}
+            log += [(i, "val", (s - 1) // per_epoch, s, *_means(found.get(at + k * len(ids), [0.0] * 6)[3:])) for k, s in enumerate(checked) for at, i in enumerate(ids)]
+            shared.destroy()
+    return log
+
+
 def _means(head: np.ndarray) -> tuple:
     loss, n, right = head
     return (float(loss / n), int(n), int(right), float(right / n)) if n else (None, 0, 0, None)

@@ -146,3 +146,29 @@ def test_gradients_are_small_differences():
         down[:, k] -= 1e-6
         slope = (gt.losses(up, layers, x, y, False)[0] - gt.losses(down, layers, x, y, False)[0]) / 2e-6
         assert np.allclose(grad[:, k], slope, atol=1e-5)
+
+
+@pytest.mark.parametrize("rows, interval", [(40, 4), (1 << 14, 3)])
+def test_lots_of_steps_take_two_jobs_and_equal_numpy(spark, samples, grid, monkeypatch, rows, interval):
+    monkeypatch.setattr(gt, "LOT_ROWS", rows)
+    val = rows_where(samples, "split = 'val'")
+    dealt = epoch_shuffle(samples.where("split = 'train' and id < 100"), "id", 3, 42).collect()
+    made = []
+    added = gt._added
+    monkeypatch.setattr(gt, "_added", lambda *a: made.append(1) or added(*a))
+
+    def batch(step):
+        e, b = divmod(step - 1, 4)
+        return [(np.array(r["x"]), r["y"]) for r in dealt if r["epoch"] == e and r["position"] // 20 == b]
+
+    got = gt.train_grid(samples, grid, "id", "x", "y", 4, 3, epochs=3, batch_size=20, val_interval=interval)
+    same_log(got, [row for run in GRID for row in one_run(run, batch, val, 12, interval, 4)])
+    # one pass over the held-out rows for each lot that has validations, where it was a job for each of 12 steps
+    assert len(made) == (3 if rows == 40 else 1)
+
+
+def test_mini_batches_without_rows(spark, samples, grid):
+    got = gt.train_grid(samples.where("split = 'val'"), grid, "id", "x", "y", 4, 3, epochs=2, batch_size=20, val_interval=1)
+    assert {(r["split"], r["step"], r["n_samples"]) for r in got.collect()} == {("train", 1, 0), ("train", 2, 0), ("val", 1, 18), ("val", 2, 18)}
+    nothing = gt.train_grid(samples.limit(0), grid, "id", "x", "y", 4, 3, epochs=1, batch_size=20)
+    assert {(r["loss"], r["n_samples"]) for r in nothing.collect()} == {(None, 0)}
