@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepwise.operators.common import join_null_safe, parallelism, range_parts
 from stepwise.operators.nested import flatten
 
 JSON_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -169,5 +170,30 @@ def relayout_by_category(df: DataFrame, name_col: str, out: str | None = None,
     res = df.withColumn("item_id", p["item_id"]).withColumn("category", p["category"])
     if out is not None:
         cols = [c for c in res.columns if content_col is None or c in (name_col, content_col, "item_id", "category")]
-        res.select(*cols).write.mode("overwrite").partitionBy("category").parquet(out)
+        _by_folder(res.select(*cols), "category").write.mode("overwrite").partitionBy("category").parquet(out)
     return res
+
+
+def _by_folder(df: DataFrame, col: str) -> DataFrame:
+    """Rows dealt so that one task writes a folder; values with more rows than an even task go to several.
+
+    So there are as many files as folders, and one more for each even task at most, whatever the number of input splits.
+    """
+    parts = range_parts(df.sparkSession)
+    even = max(1, -(-df.count() // parts))
+    hot = df.groupBy(col).agg(F.ceil(F.count(F.lit(1)) / even).cast("int").alias("__pieces")).where("__pieces > 1")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t], F.spark_partition_id())
+    # at most ``parts`` values are hot
+    dealt = join_null_safe(df.withColumn("__row", row), F.broadcast(hot), [col], "left")
+    return dealt.repartition(parts, col, F.pmod("__row", F.coalesce("__pieces", F.lit(1)))).drop("__row", "__pieces")
+
+
+def read_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table in many folders, listed by as many tasks as the cluster has use for (Spark's default is a task a folder)."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(parallelism(spark) * 4))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(key, before)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from stepwise.operators import analysis as an
 from stepwise.operators import bpe
 from stepwise.operators import rank as rk
+from stepwise.operators.common import range_parts
 from stepwise.session import scratch_path
 from stepwise.sources import files as src
 
@@ -43,3 +44,18 @@ def test_apply_transforms_and_sorted_vocab(spark):
     assert sorted(r["y"] for r in out.collect()) == [2, 3]
     vocab = bpe.BpeModel(["[PAD]", "[UNK]", "[EOS]", "b", "a"]).vocab_df(spark)
     assert [r["token"] for r in bpe.sorted_vocab(vocab).collect()] == ["[EOS]", "[PAD]", "[UNK]", "a", "b"]
+
+
+def test_relayout_writes_a_folder_once(spark, tmp_path):
+    """Rows of few categories in many splits, one category hot and one null: a file a folder, and a few more of the hot one."""
+    rows = [(f"p_{i}_{'hot' if i % 2 else i % 7}.html", f"<p>{i}</p>") for i in range(600)] + [(None, "x")] * 3
+    df = spark.createDataFrame(rows, "file_name string, html string").repartition(12)
+    out = str(tmp_path / "pages")
+    src.relayout_by_category(df, "file_name", out=out, content_col="html")
+    written = [p for p in (tmp_path / "pages").rglob("*.parquet")]
+    folders = {p.parent.name for p in written}
+    assert len(folders) == 9 and len(written) <= 9 + range_parts(spark) < 9 * 12
+    listed = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    back = src.read_folders(spark, out, "file_name string, html string, item_id string, category string")
+    assert sorted((r[0] or "", r[1]) for r in back.select("file_name", "html").collect()) == sorted((n or "", h) for n, h in rows)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == listed
