@@ -179,10 +179,28 @@ def _in_turn(bits: np.ndarray, short: np.ndarray) -> np.ndarray:
     return np.concatenate([probe(bits, short[i:i + (1 << 18)]) for i in range(0, len(short), 1 << 18)] or [np.zeros(0, np.uint8)])
 
 
-def _cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary cells of consecutive values that end at ``ends``."""
-    off = np.concatenate(([0], ends)).astype(np.int64) * values.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then their next ones: high bytes that are mostly zero shrink in an exchange."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unplaned(cell: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _sorted_cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary cells of ascending values that end at ``ends``: the first one and the steps to the next, in planes."""
+    return pa.array([_planes(np.diff(part, prepend=part.dtype.type(0))) for part in np.split(values, ends[:-1])], pa.binary())
+
+
+def _ascending(cell: bytes, kind) -> np.ndarray:
+    """The values of a cell of ``_sorted_cells``."""
+    return np.cumsum(_unplaned(cell, kind), dtype=kind)
+
+
+def _plane_cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary cells of consecutive values that end at ``ends``, in planes."""
+    return pa.array([_planes(part) for part in np.split(values, ends[:-1])], pa.binary())
 
 
 def _block_ends(keys: np.ndarray, block_bits: int) -> np.ndarray:
@@ -209,6 +227,10 @@ def _join(cells: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(cells.to_pylist()), dtype=kind)
 
 
+def _joined(cells: pa.ChunkedArray, kind, read) -> np.ndarray:
+    return np.concatenate([read(c, kind) for c in cells.to_pylist()] or [np.zeros(0, kind)])
+
+
 PARTS = "block int, words binary, word_counts binary, pairs binary, pair_counts binary"
 BLOCKS = "block int, words binary, word_counts binary, bits binary, n_tokens long, n_words long"
 
@@ -239,8 +261,8 @@ def train(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
             words, n_words = _counted(np.concatenate([t for t, _ in held]))
             pairs, n_pairs = _counted(np.concatenate([p for _, p in held]))
             w_ends, p_ends = _block_ends(words, bits), _block_ends(pairs, bits)
-            return pa.record_batch([pa.array(np.arange(1 << bits, dtype=np.int32)), _cells(words, w_ends), _cells(n_words, w_ends),
-                                    _cells(_short(pairs, bits), p_ends), _cells(n_pairs.astype(np.uint32), p_ends)],
+            return pa.record_batch([pa.array(np.arange(1 << bits, dtype=np.int32)), _sorted_cells(words, w_ends), _plane_cells(n_words, w_ends),
+                                    _sorted_cells(_short(pairs, bits), p_ends), _plane_cells(n_pairs.astype(np.uint32), p_ends)],
                                    ["block", "words", "word_counts", "pairs", "pair_counts"])
 
         for batch in batches:
@@ -256,8 +278,8 @@ def train(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
             yield part()
 
     def build(table: pa.Table) -> pa.Table:
-        words, n_words = _summed(_join(table["words"], np.uint64), _join(table["word_counts"], np.int64))
-        pairs, n_pairs = _summed(_join(table["pairs"], np.uint32), _join(table["pair_counts"], np.uint32).astype(np.int64))
+        words, n_words = _summed(_joined(table["words"], np.uint64, _ascending), _joined(table["word_counts"], np.int64, _unplaned))
+        pairs, n_pairs = _summed(_joined(table["pairs"], np.uint32, _ascending), _joined(table["pair_counts"], np.uint32, _unplaned).astype(np.int64))
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "words": [words.tobytes()], "word_counts": [n_words.tobytes()],
                          "bits": [filter_bits(pairs, n_pairs).tobytes()], "n_tokens": [int(n_words.sum())], "n_words": [len(words)]})
 
@@ -373,20 +395,20 @@ def _score_blocks(docs: DataFrame, model: Model, text: str, group_bytes: int) ->
         toks, first = tokens_of(table.column(at))
         words, pairs = (np.sort(pc.unique(pa.array(x)).to_numpy()) for x in (toks, pair_keys(previous(toks, first), toks)))
         return pa.table({"__group": pa.array(np.full(1 << bits, table.column(0)[0].as_py(), np.int32)), "block": pa.array(np.arange(1 << bits, dtype=np.int32)),
-                         "words": _cells(words, _block_ends(words, bits)), "pairs": _cells(_short(pairs, bits), _block_ends(pairs, bits))})
+                         "words": _sorted_cells(words, _block_ends(words, bits)), "pairs": _sorted_cells(_short(pairs, bits), _block_ends(pairs, bits))})
 
     def answers(asked: pa.Table, block: pa.Table) -> pa.Table:
         known = len(block) > 0
         words = _join(block["words"], np.uint64)
         counts = _join(block["word_counts"], np.int64)
         held = _join(block["bits"], np.uint8)
-        n = [_counts_in(words, counts, np.frombuffer(w, np.uint64)).tobytes() for w in asked["words"].to_pylist()]
-        found = [(_in_turn(held, short) if known else np.zeros(len(short), np.uint8)).tobytes() for short in (np.frombuffer(p, np.uint32) for p in asked["pairs"].to_pylist())]
+        n = [_planes(_counts_in(words, counts, _ascending(w, np.uint64))) for w in asked["words"].to_pylist()]
+        found = [(_in_turn(held, short) if known else np.zeros(len(short), np.uint8)).tobytes() for short in (_ascending(p, np.uint32) for p in asked["pairs"].to_pylist())]
         return pa.table({"__group": asked["__group"], "block": asked["block"], "counts": pa.array(n, pa.binary()), "levels": pa.array(found, pa.binary())})
 
     def scored(rows: pa.Table, answer: pa.Table) -> pa.Table:
         answer = answer.sort_by("block")
-        counts, level = _join(answer["counts"], np.int64), _join(answer["levels"], np.uint8)
+        counts, level = _joined(answer["counts"], np.int64, _unplaned), _join(answer["levels"], np.uint8)
         # the answers are in the order of the distinct words and pairs
         found = scorer.results(*tokens_of(rows.column(at)), lambda words: counts, lambda pairs: level)
         return pa.table([*rows.columns[1:], *[pa.array(v) for v in found.values()]], names=[*names, *found])

@@ -260,3 +260,18 @@ def test_threshold_stops_early_and_keeps_ties():
     assert scored < 1000
     nothing, scored = block.search(anchor, np.ones(4000, bool), [(10_000_000, 20_000_000, 5)])
     assert len(nothing[0][0]) == 0 and scored < 200
+
+
+def test_sorted_keys_come_back_and_shrink():
+    """Cells of ascending keys, empty ones too; at the size of a block their steps take less than the keys themselves."""
+    import zlib
+
+    rnd = np.random.default_rng(5)
+    for kind in (np.uint32, np.uint64):
+        keys = np.unique(rnd.integers(0, np.iinfo(kind).max, 20_000, dtype=kind, endpoint=True))
+        ends = np.array([0, 1, 9_000, 9_000, len(keys)])
+        cells = lm._sorted_cells(keys, ends).to_pylist()
+        assert [len(c) // keys.itemsize for c in cells] == [0, 1, 8_999, 0, len(keys) - 9_000]
+        assert (np.concatenate([lm._ascending(c, kind) for c in cells]) == keys).all()
+        assert len(zlib.compress(cells[-1], 1)) < 0.9 * len(zlib.compress(keys[9_000:].tobytes(), 1))
+        assert (lm._unplaned(lm._planes(keys), kind) == keys).all()
