@@ -227,3 +227,21 @@ def test_alphabet_order_emoji_and_separators(spark):
     probe = spark.createDataFrame([(1, "banana aaaa")], "k long, text string")
     rt = bpe.round_trip(probe, "text", "k", model).first()["text"]
     assert rt == "banana aaaa"
+
+
+def test_replay_tells_only_changes(spark):
+    """What the merges before the start change is what the pairs before and after them differ by; words that nothing changes tell nothing."""
+    rng = random.Random(4)
+    merges = [("a", "a"), ("a", "b"), ("aa", "aa"), ("b", "ab"), ("aa", "b")]
+    for _ in range(200):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
+        start = rng.randint(0, len(merges))
+        whole, changes = {}, {}
+        got = bpe.replay(word, bpe._times(merges), start, lambda l, r, step, c: whole.update({(l, r, step): whole.get((l, r, step), 0) + c}))
+        assert bpe.replay(word, bpe._times(merges), start, lambda l, r, step, c: changes.update({(l, r, step): changes.get((l, r, step), 0) + c}), changes=True) == got
+        for pair in zip(word, word[1:]):
+            whole[*pair, 0] = whole.get((*pair, 0), 0) - 1
+        assert {k: c for k, c in whole.items() if c} == {k: c for k, c in changes.items() if c}
+    told = []
+    bpe.replay("ccc", bpe._times(merges), 2, lambda *a: told.append(a), changes=True)
+    assert told == []
