@@ -17,9 +17,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     docs = spread_files(docs)
-    packed = docs.select("text", F.struct("*").alias("row"))
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     found = langid.predict(packed, langid.train(docs))
-    return found.where(langid.accepted(found)).select("row.*")
+    return found.where(langid.accepted(found)).select(*[F.col(f"row.`{c}`") if c in rest else F.col("text").alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.textbuf import SLICE_BYTES, rows_of, slices, with_result
+from stepwise.llm.textbuf import SLICE_BYTES, bound_batches, rows_of, slices, with_result
 
 UNDETERMINED = "und"
 #: Hashed trigram slots.
@@ -92,6 +92,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
             used = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(acc[used], pa.int64())], names=["lang", "slot", "n"])
 
+    bound_batches(labelled.sparkSession)
     used = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = used.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
@@ -156,6 +157,7 @@ def infer(data: np.ndarray, bounds: np.ndarray, model: LanguageModel) -> np.ndar
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` (the share of the predicted language) and ``other_share`` to every row."""
+    bound_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     step = max(1 << 16, 4 * SLICE_BYTES // (len(model.languages) + 1))
 

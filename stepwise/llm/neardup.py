@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from stepwise.llm.textbuf import NOT_SPACE, broadcast_if_small, mix64, rows_of, runs, slices, stored, with_result, word_hashes
+from stepwise.llm.textbuf import NOT_SPACE, bound_batches, broadcast_if_small, mix64, rows_of, runs, slices, stored, with_result, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -345,6 +345,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
     """Stored rows (all columns but the text, with ``__tid``), and (id, root) of linked texts or None."""
     spark = docs.sparkSession
+    bound_batches(spark)
     handle = spark.sparkContext.broadcast(document_frequencies(docs, text))
     rows = docs.withColumn("__tid", text_id(F.col(text))).withColumn("__s", _signature_udf(handle)(F.col(text)))
     rows = stored(rows.drop(text).withColumn("__sig", F.col("__s.sig")).withColumn("__bands", F.col("__s.bands")).drop("__s"), "signed")

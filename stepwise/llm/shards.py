@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def cuts(rows: DataFrame, shards: int) -> tuple[int, list[int]]:
         finer = {}
         for bits in sorted({blocks.blocks[k][1] for k in split}):
             mine = [blocks.blocks[k][0] for k in split if blocks.blocks[k][1] == bits]
-            wanted = rows.sparkSession.createDataFrame([(k >> (KEY_BITS - bits),) for k in mine], "at long")
+            wanted = rows.sparkSession.createDataFrame(pa.table({"at": pa.array([k >> (KEY_BITS - bits) for k in mine], pa.int64())}))
             more = min(KEY_BITS, bits + MORE_BITS)
             inside = rows.join(F.broadcast(wanted), _block(bits) == F.col("at"), "left_semi")
             for b, n, atom in _histogram(inside, more):

@@ -20,6 +20,8 @@ from stepwise.session import scratch_path
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows after which an Arrow batch for the Python workers is closed.
+BATCH_BYTES = 2 << 20
 
 _U64 = np.uint64
 _ODD = _U64(0x9E3779B97F4A7C15)
@@ -126,6 +128,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session closes an Arrow batch at ``BATCH_BYTES`` (one longer row forms a batch of its own).
+
+    Spark's limits (10,000 rows, 64 MB or more) let a task's buffers, the rows that wait for
+    the worker's answer and the worker's copies grow with the length of the texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
