@@ -7,12 +7,22 @@ summariser writes.
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stepwise.operators.common import join_null_safe, parallelism, range_parts
 from stepwise.operators.nested import flatten
+from stepwise.session import ship_package
 
 JSON_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -165,12 +175,12 @@ def parse_file_name(name) -> dict:
 def relayout_by_category(df: DataFrame, name_col: str, out: str | None = None,
                          content_col: str | None = None) -> DataFrame:
     """Parse the category from each file name; optionally rewrite the rows under
-    ``out/category=<category>/`` (one folder per category)."""
+    ``out/category=<category>/`` (one folder per category; null and empty ones share the null folder)."""
     p = parse_file_name(name_col)
     res = df.withColumn("item_id", p["item_id"]).withColumn("category", p["category"])
     if out is not None:
         cols = [c for c in res.columns if content_col is None or c in (name_col, content_col, "item_id", "category")]
-        _by_folder(res.select(*cols), "category").write.mode("overwrite").partitionBy("category").parquet(out)
+        _write_folders(res.select(*cols), "category", out, content_col)
     return res
 
 
@@ -188,8 +198,217 @@ def _by_folder(df: DataFrame, col: str) -> DataFrame:
     return dealt.repartition(parts, col, F.pmod("__row", F.coalesce("__pieces", F.lit(1)))).drop("__row", "__pieces")
 
 
+#: Lists the files of a table's folders, beside them; Spark passes over names that begin with ``_`` or ``.``.
+FILE_LIST = "_files"
+LISTED = "value string, file string"
+#: Columns of these types are written by the tasks themselves.
+PLAIN = r"string|binary|boolean|tinyint|smallint|int|bigint|float|double|date|timestamp|timestamp_ntz|decimal\(\d+,\d+\)"
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+#: Characters that a folder's name has as ``%`` and two digits, and the null character.
+ESCAPED = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+#: Bytes of rows in a row group, and in a batch read from small files.
+GROUP_BYTES = 4 << 20
+
+
+def file_system(folder: str):
+    """The file system of a qualified folder, as tasks open it without Spark, and the folder's path there."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:(//)?", "", folder)
+    for hadoop in ("s3a://", "s3n://"):  # Hadoop's names of a scheme
+        folder = f"s3://{folder[6:]}" if folder.startswith(hadoop) else folder
+    return fs.FileSystem.from_uri(folder)
+
+
+def _tasks_open(spark: SparkSession, folder: str) -> bool:
+    """Whether the driver and a task can open a folder's store without Spark."""
+    def opens(_=None):
+        try:
+            system, path = file_system(folder)
+            system.get_file_info(path)
+            yield True
+        except (OSError, ValueError, NotImplementedError):
+            yield False
+
+    return next(opens()) and (folder.startswith("file:") or spark.sparkContext.parallelize([0], 1).mapPartitions(opens).first())
+
+
+def _packed(values: pa.Array) -> pa.Array:
+    """Each text or binary value compressed, behind its length."""
+    codec, bufs = pa.Codec("zstd"), (x.as_buffer() for x in values.cast(pa.binary()))
+    return pa.array([None if b is None else len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True) for b in bufs], pa.binary())
+
+
+def _unpacked(values: pa.Array, kind: pa.DataType) -> pa.Array:
+    codec, bufs = pa.Codec("zstd"), (x.as_py() for x in values)
+    sized = ((b, b and int.from_bytes(b[:8], "little")) for b in bufs)
+    return pa.array([None if b is None else n and codec.decompress(b[8:], n, asbytes=True) or b"" for b, n in sized], pa.binary()).view(kind)
+
+
+def _write_folders(df: DataFrame, col: str, out: str, content: str | None = None) -> None:
+    """``df`` as Parquet under ``out/<col>=<value>/``, in place of what is there.
+
+    The tasks write the files and list them in ``out/_files``; Spark's writer and reader keep each folder and file in the driver.
+    They still do where the tasks can't open the store of ``out``, where a column's type isn't plain, or where
+    only the folders that occur are to be overwritten. The column ``content``, if named, crosses the exchange compressed.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    path, job = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, uuid.uuid4().hex
+    system = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = system.makeQualified(path(out))
+    made = path(folder.getParent(), f".{folder.getName()}-{job}")
+    to = made.toString()
+    plain = all(re.fullmatch("string" if c == col else PLAIN, t) for c, t in df.dtypes) and len(df.columns) > 1
+    static = spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    if not (plain and static and _tasks_open(spark, to)):
+        _by_folder(df, col).write.mode("overwrite").partitionBy(col).parquet(out)
+        return
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        return write_part(batches, col, to, f"part-{task.partitionId():05d}-{job}", task.taskAttemptId(), kinds)
+
+    # as in Spark's writer, the folder of an empty value is that of null
+    rows = df.withColumn(col, F.nullif(F.make_valid_utf8(col), F.lit("")))
+    kinds = {c: pa.string() if t == "string" else pa.binary() for c, t in df.dtypes if c == content and c != col and t in ("string", "binary")}
+    for c in kinds:
+        rows = rows.withColumn(c, F.arrow_udf(_packed, "binary")(c))
+    try:
+        system.mkdirs(made)
+        _by_folder(rows, col).sortWithinPartitions(col).mapInArrow(run, LISTED).write.option("compression", "gzip").json(f"{to}/{FILE_LIST}")
+        system.create(path(made, "_SUCCESS")).close()
+    except BaseException:
+        system.delete(made, True)
+        raise
+    system.delete(folder, True)
+    if not system.rename(made, folder):
+        raise OSError(f"{to} could not be renamed to {folder.toString()}")
+
+
+class _FolderFile:
+    """A Parquet file of the folder of one value; it gets its name when it is whole."""
+
+    def __init__(self, system, root: str, col: str, value: str | None, name: str, attempt: int, schema: pa.Schema):
+        folder = f"{col}={NULL_FOLDER if value is None else ESCAPED.sub(lambda c: f'%{ord(c[0]):02X}', value)}"
+        self.system, self.value, self.file = system, value, f"{folder}/{name}"
+        self.path, self.hidden = f"{root}/{folder}/{name}", f"{root}/{folder}/.{name}.{attempt}"
+        system.create_dir(f"{root}/{folder}")
+        self.sink = system.open_output_stream(self.hidden, compression=None)
+        # most files have a row or a few: what readers skip by would be larger than the rows
+        self.writer = pq.ParquetWriter(self.sink, schema, compression="zstd", use_dictionary=False, write_statistics=False, store_schema=False)
+
+    def done(self) -> tuple[str | None, str]:
+        self.writer.close()
+        self.sink.close()
+        try:
+            self.system.move(self.hidden, self.path)
+        except OSError:  # in some stores a file of an earlier attempt isn't replaced
+            self.system.delete_file(self.path)
+            self.system.move(self.hidden, self.path)
+        return self.value, self.file
+
+    def drop(self) -> None:
+        self.writer.close()
+        self.sink.close()
+        self.system.delete_file(self.hidden)
+
+
+def _groups(rows: pa.Table, packed: dict[str, pa.DataType]) -> Iterator[pa.Table]:
+    """``rows`` in pieces of about ``GROUP_BYTES``, their packed columns unpacked."""
+    if not rows.num_rows:
+        return
+    sizes = np.full(rows.num_rows, rows.nbytes / rows.num_rows)
+    for c in packed:
+        sizes += [int.from_bytes(b[:8], "little") if b else 0 for b in rows[c].to_pylist()]
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP_BYTES)) + 1
+    for lo, hi in pairwise([0, *ends.tolist(), rows.num_rows]):
+        piece = rows.slice(lo, hi - lo)
+        for c, kind in packed.items():
+            piece = piece.set_column(piece.schema.get_field_index(c), c, _unpacked(piece[c], kind))
+        yield piece
+
+
+def write_part(batches, col: str, folder: str, name: str, attempt: int, packed: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Writes a task's rows, sorted by ``col``, each value's to a file in its folder; lists the files as they are done.
+
+    ``packed``: the columns that come compressed, and their types. A repeated task writes files of the same names.
+    """
+    system, root = file_system(folder)
+    listed = pa.schema([("value", pa.string()), ("file", pa.string())])
+    file, n = None, 0
+    try:
+        for batch in batches:
+            done = []
+            for rows in _groups(pa.Table.from_batches([batch]), packed):
+                values, rows, at = rows[col].to_pylist(), rows.drop_columns([col]), 0
+                for value, same in groupby(values):
+                    size = sum(1 for _ in same)
+                    if file is None or file.value != value:
+                        if file is not None:
+                            done.append(file.done())
+                        file, n = None, n + 1
+                        file = _FolderFile(system, root, col, value, f"{name}.c{n:03d}.zstd.parquet", attempt, rows.schema)
+                    file.writer.write_table(rows.slice(at, size))
+                    at += size
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*done, strict=True)], schema=listed)
+        if file is not None:
+            last, file = file.done(), None
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in last], schema=listed)
+    finally:
+        if file is not None:
+            file.drop()
+
+
+def read_listed(batches, folder: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of listed files; rows of small files share batches."""
+    system, root = file_system(folder)
+    pieces, size = [], 0
+
+    def joined():
+        return pa.concat_tables(pieces).combine_chunks().to_batches()
+
+    for batch in batches:
+        for value, name in zip(batch["value"].to_pylist(), batch["file"].to_pylist(), strict=True):
+            col = name[:name.index("=")].lower()
+            with system.open_input_file(f"{root}/{name}") as source, pq.ParquetFile(source) as file:
+                there = {c.lower(): c for c in file.schema_arrow.names}
+                wanted = [there[f.name.lower()] for f in schema if f.name.lower() in there]
+                for g in range(file.num_row_groups):
+                    rows, n = file.read_row_group(g, columns=wanted, use_threads=False), file.metadata.row_group(g).num_rows
+                    cols = []
+                    for f in schema:
+                        if f.name.lower() == col:
+                            cols.append(pa.repeat(pa.scalar(value, pa.string()).cast(f.type), n))
+                        else:
+                            cols.append(rows[there[f.name.lower()]].cast(f.type) if f.name.lower() in there else pa.nulls(n, f.type))
+                    pieces.append(pa.Table.from_arrays(cols, schema=schema))
+                    size += pieces[-1].nbytes
+                    if size >= GROUP_BYTES:
+                        yield from joined()
+                        pieces, size = [], 0
+    if pieces:
+        yield from joined()
+
+
 def read_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table in many folders, listed by as many tasks as the cluster has use for (Spark's default is a task a folder)."""
+    """A table in many folders.
+
+    Tasks read the files that ``relayout_by_category`` listed; files that were added later aren't among them. Without a list, the
+    folders are listed by as many tasks as the cluster has use for (Spark's default is a task a folder), and the files are kept in the driver.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = system.makeQualified(at).toString()
+    if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, FILE_LIST)):
+        ship_package(spark)
+        kinds = T.StructType.fromDDL(schema)
+        fields = to_arrow_schema(kinds)
+        return spark.read.schema(LISTED).json(f"{folder}/{FILE_LIST}").mapInArrow(lambda batches: read_listed(batches, folder, fields), kinds)
     key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(key)
     spark.conf.set(key, str(parallelism(spark) * 4))
